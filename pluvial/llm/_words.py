@@ -45,12 +45,12 @@ def _powers(pos: np.ndarray) -> np.ndarray:
     return _LOW[pos & (_TILE - 1)] * high[pos >> 12]
 
 
-def groups(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about ``size`` bytes each; a longer document is a range of its own."""
+def groups(offsets: np.ndarray, size: int = CHUNK, most: int = 2048) -> Iterator[tuple[int, int]]:
+    """Ranges of up to ``most`` documents and about ``size`` bytes each; a longer document is a range of its own."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1
-        b = min(n, max(b, a + 1))
+        b = min(n, a + most, max(b, a + 1))
         yield a, b
         a = b
 

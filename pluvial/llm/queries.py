@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, token_blocks
+from . import _labels, byte_bpe, mixing, quality, token_blocks, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out=0)
+    return scored.select("doc_id", (_labels.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
@@ -22,14 +28,26 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read(spark, manifest)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out=0)
+    return scored.select("doc_id", (_labels.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
     return byte_bpe.digests(byte_bpe.encode_decode(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op5_token_blocks": op5_token_blocks,
+    "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_mixing": op9_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.SQL}
