@@ -1,91 +1,104 @@
-"""Byte-level BPE by pieces that occur again and again.
-
-A text may be cut before a space that follows a non-space, or that a non-space
-follows: no match of the split pattern crosses such a place, and none looks
-beyond it in a way that changes the match. Each chunk's ids are therefore the
-same wherever it stands, and are kept for as long as a bounded memory allows.
+"""Byte-level BPE of whole batches, encoding each distinct stretch of text once.
+
+A text may be cut before a space that a non-space follows: no match of the
+split pattern crosses such a place, and none looks beyond it in a way that
+changes the match. So a stretch between two cuts has the same ids wherever it
+stands, and stretches that start with such a space may be encoded joined: the
+tokens' byte lengths tell where each one's ids end. Only cuts before bytes that
+surely start a non-space are used, so a stretch may hold several words.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
-import regex
-
-_RISK = re.compile(r" \s").search
-
-
-class Recent(dict):
-    """At most 2 * ``size`` entries: when ``size`` new ones came, those not used since are let go."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def find(self, key):
-        value = self.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.keep(key, value)
-        return value
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
-class PieceEncoder:
-    """ids of texts as little-endian 32-bit integers.
-
-    ``encode_pieces`` maps a list of matches of ``pattern`` to their ids; texts
-    of any length are read once, chunk by chunk.
-    """
-
-    KEPT, LONG = 160_000, 48
-
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], Sequence[Sequence[int]]]):
-        self.split = regex.compile(pattern).findall
-        self.encode_pieces = encode_pieces
-        self.chunks, self.pieces = Recent(self.KEPT), Recent(self.KEPT)
-
-    def chunks_of(self, text: str) -> list[str]:
-        """Chunks after the first start with the space that they were cut at, which is left out here."""
-        words = text.split(" ")
-        if not _RISK(text) and words[-1]:
-            return words
-        out = [words[0]]
-        for w in words[1:]:
-            before = out[-1]
-            if (not w or w[0].isspace()) and (not before or before[-1].isspace()):
-                out[-1] = before + " " + w  # a space between spaces is no safe place
-            else:
-                out.append(w)
-        return out
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [self.chunks_of(t) for t in texts]
-        heads = {p[0] for p in parts}
-        wanted = set().union(*[p[1:] for p in parts])
-        known: dict[str, bytes] = {}
-        missing: dict[str, list[str]] = {}
-        for c in wanted:
-            if (ids := self.chunks.find(c)) is None:
-                missing[c] = self.split(" " + c)
-            else:
-                known[c] = ids
-        first = {c: self.split(c) for c in heads}
-        fresh = {p: self.pieces.find(p) for ps in (*missing.values(), *first.values()) for p in ps}
-        new = [p for p, ids in fresh.items() if ids is None]
-        for p, ids in zip(new, self.encode_pieces(new), strict=True):
-            fresh[p] = np.asarray(ids, dtype="<u4").tobytes()
-            if len(p) <= self.LONG:
-                self.pieces.keep(p, fresh[p])
-        for c, ps in missing.items():
-            known[c] = b"".join([fresh[p] for p in ps])
-            if len(c) <= self.LONG:
-                self.chunks.keep(c, known[c])
-        head = {c: b"".join([fresh[p] for p in ps]) for c, ps in first.items()}
-        return [b"".join([head[p[0]], *map(known.__getitem__, p[1:])]) for p in parts]
+
+from ._words import _VALUE, _powers, groups, mix
+
+_U = np.uint64
+_SURE = np.zeros(256, bool)
+_SURE[0x21:0x7F] = True
+_SURE[0xC3:0xF5] = True
+_SURE[0xE1:0xE4] = False  # these may start a space of more than one byte
+_BYTE = mix(_VALUE + np.arange(256, dtype=np.uint64))  # tells capitals from small letters
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places (in ``data``) of the stretches of a range of documents, in order."""
+    base = offsets[0]
+    own = data[base : offsets[-1]]
+    if not len(own):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.zeros(len(own), bool)
+    first[:-1] = (own[:-1] == 0x20) & _SURE[own[1:]]
+    at = offsets[:-1] - base
+    first[at[at < len(own)]] = True  # an empty document's place is that of the next
+    starts = np.flatnonzero(first)
+    lens = np.diff(np.append(starts, len(own)))
+    pos = np.arange(len(own)) - np.repeat(starts, lens)
+    value = _BYTE[own] * _powers(pos)
+    return mix(np.add.reduceat(value, starts) + lens.astype(np.uint64) * _U(0xA24BAED4963EE407)), starts + base
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class BatchEncoder:
+    """``encode_text`` gives the ids of a text, ``token_bytes`` the length of each id in bytes."""
+
+    MOST, JOINED = 3 << 19, 1 << 18
+
+    def __init__(self, encode_text: Callable[[str], np.ndarray], token_bytes: np.ndarray):
+        self.encode_text, self.token_bytes = encode_text, token_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _fresh(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order in which the stretches were taken, their ids in that order, and the number of each one's."""
+        joins = lens > 1
+        joins[joins] = (data[starts[joins]] == 0x20) & _SURE[data[starts[joins] + 1]]
+        spots, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
+        ids, counts = [], []
+        group = np.cumsum(lens[spots]) // self.JOINED
+        for g in np.split(spots, np.flatnonzero(np.diff(group)) + 1) if len(spots) else ():
+            got = self.encode_text(data[ragged(starts[g], lens[g])].tobytes().decode())
+            ends = np.searchsorted(np.cumsum(self.token_bytes[got]), np.cumsum(lens[g])) + 1
+            ids.append(got)
+            counts.append(np.diff(ends, prepend=0))
+        for i in alone.tolist():
+            ids.append(self.encode_text(data[starts[i] : starts[i] + lens[i]].tobytes().decode()))
+        counts.append(np.asarray([len(x) for x in ids[len(counts) :]], np.int64))
+        return np.concatenate([spots, alone]), np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all documents, one after the other, and the n + 1 places where they start."""
+        found = [stretches(data, offsets[a : b + 1]) for a, b in groups(offsets)]
+        if not found or not sum(len(h) for h, _ in found):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        h, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        lens = np.diff(np.append(at, offsets[-1]))
+        uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        new = np.ones(len(uniq), bool)
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, uniq), len(self.keys) - 1)
+            new = self.keys[spot] != uniq
+        if len(self.keys) + new.sum() > self.MOST:
+            self._forget()
+            new[:] = True
+        taken, ids, fresh = self._fresh(data, at[first[new]], lens[first[new]])
+        counts, starts = np.empty_like(fresh), np.empty_like(fresh)
+        counts[taken] = fresh
+        starts[taken] = len(self.ids) + np.cumsum(fresh) - fresh
+        place = np.searchsorted(self.keys, uniq[new])
+        self.keys, self.starts, self.counts = (np.insert(x, place, y) for x, y in ((self.keys, uniq[new]), (self.starts, starts), (self.counts, counts)))
+        self.ids = np.concatenate([self.ids, ids])
+        entry = np.searchsorted(self.keys, uniq)[inverse]
+        counts = self.counts[entry]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return self.ids[ragged(self.starts[entry], counts)], ends[np.searchsorted(at, offsets)]

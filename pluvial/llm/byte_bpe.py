@@ -6,13 +6,17 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chunks import PieceEncoder
-
-SLICE = 4 << 20
+#: Texts of more characters than this are cut, where the pattern allows it, at about this many.
+LONG = 1 << 16
+ROWS = 512
+# a space that a letter, digit or other non-space follows: no match crosses it or looks beyond it
+_SAFE = regex.compile(r" (?=\S)")
 
 
 @lru_cache(maxsize=4)
@@ -21,22 +25,23 @@ def _encoder(ranks_path: str, pattern: str):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return enc, PieceEncoder(pattern, lambda pieces: [enc.encode_ordinary(p) for p in pieces])
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
 
+def parts(text: str, size: int = LONG) -> Iterator[str]:
+    """``text`` in pieces whose ids, put together, are those of the whole text."""
+    a = 0
+    while len(text) - a > size:
+        cut = _SAFE.search(text, a + size)
+        if cut is None:
+            break
+        yield text[a : cut.start()]
+        a = cut.start()
+    yield text[a:]
 
-def slices(texts: list[str], size: int = SLICE) -> Iterator[list[str]]:
-    """The texts in order, about ``size`` characters at a time, so that memory doesn't follow the batch."""
-    out: list[str] = []
-    n = 0
-    for t in texts:
-        out.append(t)
-        n += len(t)
-        if n >= size:
-            yield out
-            out, n = [], 0
-    if out:
-        yield out
+
+def encode(enc, text: str) -> bytes:
+    return b"".join([enc.encode_to_numpy(p, disallowed_special=()).astype("<u4", copy=False).tobytes() for p in parts(text)]) if text else b""
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
@@ -49,18 +54,15 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     ``encode_ordinary`` on the whole text. Rows that repeat come out as often
     as they came; a null id stays null; other columns are not read.
     """
-    import numpy as np
-
     def run(batches):
-        enc, pieces = _encoder(ranks_path, pattern)
+        enc = _encoder(ranks_path, pattern)
         for batch in batches:
-            at = 0
-            for part in slices(["" if t is None else t for t in batch.column(1).to_pylist()]):
-                ids = pieces.texts(part)
-                cols = [batch.column(0).slice(at, len(part)), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            for at in range(0, batch.num_rows, ROWS):
+                own = batch.slice(at, ROWS)
+                ids = [encode(enc, t or "") for t in own.column(1).to_pylist()]
+                cols = [own.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if decode:
                     cols.append(pa.array([enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.binary()))
-                at += len(part)
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_tokens", "decoded"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()

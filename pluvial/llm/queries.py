@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
-    manifest = token_blocks.write(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"), vocab.PATTERN, end_id=0)
+    manifest = token_blocks.write(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"), end_id=0)
     return token_blocks.read(spark, manifest)
 
 

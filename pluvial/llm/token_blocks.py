@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._chunks import PieceEncoder
-from ._shared import local_path, new_folder, shared_root
-from .byte_bpe import slices
+from ._chunks import BatchEncoder
+from ._shared import local_path, new_folder, text_bytes
+from ._words import groups
 
-MAGIC, BLOCK, PERCENTILE, SEGMENT = b"PFR1", 128, 90, 1 << 20
+MAGIC, BLOCK, PERCENTILE, SEGMENT, SLICE = b"PFR1", 128, 90, 1 << 20, 8 << 20
 
 
 def pack(values: np.ndarray) -> tuple[dict, bytes]:
@@ -46,9 +46,7 @@ def pack(values: np.ndarray) -> tuple[dict, bytes]:
     blocks = full.reshape(-1, BLOCK)
     low = blocks.min(axis=1)
     rest = blocks - low[:, None]
-    bits = np.zeros(rest.shape, np.uint8)
-    some = rest > 0
-    bits[some] = np.frexp(rest[some].astype(np.float64))[1]
+    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
     rank = min(BLOCK - 1, BLOCK * PERCENTILE // 100)
     width = np.partition(bits, rank, axis=1)[:, rank]
     over = bits > width[:, None]
@@ -120,20 +118,21 @@ class Writer:
         self.file.write(MAGIC)
         self.segments, self.docs, self.lengths, self.waiting, self.held = [], [], [], [], 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append(doc_id)
-        self.lengths.append(len(ids) // 4)
-        self.waiting.append(ids)
-        self.held += len(ids) // 4
+    def add(self, docs: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents with their ids one after the other, and the number of each one's."""
+        self.docs += docs
+        self.lengths += lengths.tolist()
+        self.waiting.append(ids.astype(np.uint32, copy=False))
+        self.held += len(ids)
         while self.held >= SEGMENT:
             self._segment(SEGMENT)
 
     def _segment(self, n: int) -> None:
-        values = np.frombuffer(b"".join(self.waiting), "<u4")
+        values = np.concatenate(self.waiting)
         table, data = pack(values[:n])
         self.segments.append(table | {"at": self.file.tell(), "size": len(data)})
         self.file.write(data)
-        self.waiting, self.held = [values[n:].tobytes()], len(values) - n
+        self.waiting, self.held = [values[n:]], len(values) - n
 
     def close(self) -> tuple[int, int]:
         if self.held:
@@ -184,26 +183,22 @@ class Reader:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> PieceEncoder:
+def _encoder(path: str) -> BatchEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    one_byte = set(ByteLevel.alphabet())  # the vocabulary writes each byte as one of these characters
+    vocab = tok.get_vocab()
+    token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        token_bytes[i] = len(token) if set(token) <= one_byte else len(token.encode())
+    return BatchEncoder(lambda text: np.asarray(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32), token_bytes)
 
-    def pieces(new: list[str]) -> list[list[int]]:
-        out = []
-        for i in range(0, len(new), 4096):
-            enc = tok.encode(new[i : i + 4096], is_pretokenized=True, add_special_tokens=False)
-            of = np.asarray(enc.word_ids, np.int64)
-            ids = np.asarray(enc.ids, np.uint32)
-            out += np.split(ids, np.searchsorted(of, np.arange(1, len(new[i : i + 4096]))))
-        return out
 
-    return PieceEncoder(pattern, pieces)
-
-
-def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the ids in ascending order of ``id_col``.
 
     Returns the manifest, one row for each file: ``part`` int, ``path``,
@@ -215,20 +210,20 @@ def write(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 0, f
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    place, end = local_path(folder), np.asarray([end_id], "<u4").tobytes()
+    place = local_path(folder)
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        writer, coder = None, _encoder(tokenizer_path, pattern)
+        writer, coder = None, _encoder(tokenizer_path)
         for batch in batches:
-            doc_ids, at = batch.column(0).to_pylist(), 0
-            for texts in slices(["" if t is None else t for t in batch.column(1).to_pylist()]):
-                writer = writer or Writer(place, f"part-{part:05d}-{TaskContext.get().taskAttemptId()}.pfr")
-                for ids in coder.texts(texts):
-                    writer.add(doc_ids[at], ids + end)
-                    at += 1
+            writer = writer or Writer(place, f"part-{part:05d}-{TaskContext.get().taskAttemptId()}.pfr")
+            doc_ids = batch.column(0).to_pylist()
+            data, offsets = text_bytes(batch.column(1))
+            for a, b in groups(offsets, SLICE, 1 << 14):
+                ids, ends = coder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                writer.add(doc_ids[a:b], np.insert(ids, ends[1:], end_id), np.diff(ends) + 1)
         if writer:
             n, ids = writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [writer.path], "docs": [n], "ids": [ids]})
@@ -270,6 +265,3 @@ def read(spark: SparkSession, manifest: DataFrame, with_ids: bool = False) -> Da
 
     n = max(1, manifest.count())
     return manifest.select("path", "start").repartition(n).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
-
-
-__all__ = ["Reader", "Writer", "pack", "read", "shared_root", "unpack", "write"]
