@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _labels, byte_bpe, mixing, quality, token_blocks, toxicity
+from . import _labels, byte_bpe, jaccard_join, mixing, quality, token_blocks, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,11 +43,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op5_token_blocks": op5_token_blocks,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_mixing": op9_mixing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}

@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text, as 64-bit hashes, each present or not: its words, the
+Features of a text, as 32-bit hashes, each present or not: its words, the
 words' first 4 to 8 bytes, pairs of neighbours, and pairs with one or two
 words between. Training sees a bounded sample once per epoch in a fixed order,
 with a learning rate of its own for each coordinate; the L1 term leaves few
@@ -19,7 +19,7 @@ from ._shared import text_bytes
 from ._words import combine, document_of, groups, word_hashes
 
 #: Most labelled documents of each label that training reads.
-PER_LABEL = {0: 12_000, 1: 6_000}
+PER_LABEL = {0: 8_000, 1: 4_000}
 PREFIXES = (4, 5, 6, 7, 8)
 
 
@@ -35,7 +35,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         same = doc[:-gap] == doc[gap:]
         hashes.append(combine(words[:-gap][same], words[gap:][same], salt=gap))
         docs.append(doc[gap:][same])
-    return np.concatenate(hashes), np.concatenate(docs)
+    return (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32), np.concatenate(docs)
 
 
 class Ftrl:
@@ -63,7 +63,12 @@ def _fit(rows: list[tuple[int, int, np.ndarray]], epochs: int, least_docs: int,
     """rows: (place, label, distinct feature hashes). Returns sorted hashes, their weights, the bias."""
     rows.sort(key=lambda r: (r[0], len(r[2])))
     if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0), 0.0
+        return np.zeros(0, np.uint32), np.zeros(0), 0.0
+    times = np.zeros(1 << 24, np.uint16)  # a first count by part of the hash, so that few have to be sorted
+    for *_, own in rows:
+        spot = own >> np.uint32(8)
+        times[spot] += 1
+    rows = [(place, label, own[times[own >> np.uint32(8)] >= least_docs]) for place, label, own in rows]
     known, times = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
     known = known[times >= least_docs]
     model = Ftrl(len(known) + 1, **rates)
@@ -103,14 +108,14 @@ def train(sampled: DataFrame, epochs: int = 4, least_docs: int = 3, **rates) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["place", "label", "features"])
 
     def learn(batches):
-        rows = [(p, y, np.frombuffer(f, np.uint64)) for batch in batches for p, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows = [(p, y, np.frombuffer(f, np.uint32)) for batch in batches for p, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         hashes, weights, bias = _fit(rows, epochs, least_docs, **rates)
         yield pa.RecordBatch.from_pydict({"hashes": [hashes.tobytes()], "weights": [weights.tobytes()], "bias": [bias]})
 
     found = sampled.select("place", "label", "text").mapInArrow(featurize, "place bigint, label int, features binary").repartition(1).mapInArrow(learn, "hashes binary, weights binary, bias double").collect()
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0), 0.0
-    return np.frombuffer(found[0].hashes, np.uint64), np.frombuffer(found[0].weights), found[0].bias
+        return np.zeros(0, np.uint32), np.zeros(0), 0.0
+    return np.frombuffer(found[0].hashes, np.uint32), np.frombuffer(found[0].weights), found[0].bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -126,13 +131,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     def run(batches):
         hashes, weights, bias = shared.value
         seen = np.zeros(1 << 20, bool)  # most features end here
-        seen[hashes >> np.uint64(44)] = True
+        seen[hashes >> np.uint32(12)] = True
         for batch in batches:
             data, offsets = text_bytes(batch.column(batch.num_columns - 1))
             total = np.full(len(offsets) - 1, bias)
             for a, b in groups(offsets):
                 f, doc = features(data, offsets[a : b + 1])
-                maybe = seen[f >> np.uint64(44)]
+                maybe = seen[f >> np.uint32(12)]
                 f, doc = f[maybe], doc[maybe]
                 if not len(f):
                     continue
