@@ -41,7 +41,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Ftrl:
     """FTRL-proximal for one-hot features: alpha, beta set the rates, l1 and l2 the penalties."""
 
-    def __init__(self, dim: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1):
+    def __init__(self, dim: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1):
         self.z, self.n = np.zeros(dim), np.zeros(dim)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
