@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _labels, byte_bpe, jaccard_join, mixing, quality, token_blocks, toxicity
+from . import _labels, byte_bpe, jaccard_join, mixing, quality, rabitq, token_blocks, toxicity, uniform_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_labels.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op4_uniform_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uniform_topk.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
 def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
@@ -49,10 +57,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_rabitq": op2_rabitq,
+    "op4_uniform_topk": op4_uniform_topk,
     "op5_token_blocks": op5_token_blocks,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_uniform_topk": uniform_topk.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
