@@ -32,8 +32,8 @@ from ._shared import cut, remove_folder, text_bytes
 from ._words import combine, document_of, groups, mix, word_hashes
 
 WORDS, PERCENT = 5, 75
-#: Most sets of a region that one task joins, and pivots of a split.
-REGION_MOST, SPLIT, LEVELS = 20_000, 8, 3
+#: Most shingles of a region that one task joins; pivots of a split, and how often regions are split.
+REGION_MOST, SPLIT, LEVELS = 6_000_000, 8, 3
 SLICE = 8 << 20
 
 
@@ -253,6 +253,8 @@ def _join_regions(members: DataFrame, percent: int) -> DataFrame:
                 if r != region:
                     close()
                     region, names, sets = r, [], []
+                elif name == names[-1]:
+                    continue
                 names.append(name)
                 sets.append(own)
             if out_a:
@@ -295,30 +297,31 @@ def _split(members: DataFrame, percent: int, level: int) -> DataFrame:
 def _tiles(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     """Regions that don't shrink, as pairs of tiles: every two sets of a region meet in one of them."""
     members = beside(members, sizes, "region")
-    tiles = F.ceil(F.col("count") / max(1, most // 2)).cast("int")
+    tiles = F.ceil(F.col("shingles") / max(1, most // 2)).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.xxhash64(F.col("region"), F.least(own, j), F.greatest(own, j)))
     return members.select(F.explode(pairs).alias("region"), "node", "own")
 
 
-def _fit_regions(members: DataFrame, percent: int, most: int, scratch: list[str]) -> DataFrame:
-    """``members`` with no region of more than about ``most`` sets."""
+def _fit_regions(members: DataFrame, meet: DataFrame, percent: int, most: int, scratch: list[str]) -> DataFrame:
+    """``members`` with no region of more than about ``most`` shingles. ``meet`` has their regions and sizes."""
     done, open_, before = [], members, None
     for level in range(LEVELS + 1):
-        sizes, uri = cut(open_.groupBy("region").count().where(F.col("count") > most), "sizes")
+        sizes, uri = cut(meet.groupBy("region").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > most), "sizes")
         scratch.append(uri)
-        total = sizes.agg(F.count(F.lit(1)), F.sum("count"), F.max("count")).first()
-        if not total[0]:
+        count, largest = sizes.agg(F.count(F.lit(1)), F.max("shingles")).first()
+        if not count:
             done.append(open_)
             break
-        done.append(open_.join(F.broadcast(sizes) if total[0] <= SMALL else sizes, "region", "left_anti"))
-        large = open_.join(F.broadcast(sizes) if total[0] <= SMALL else sizes, "region", "left_semi")
-        if level == LEVELS or before is not None and total[2] > 0.8 * before:
+        done.append(beside(open_, sizes.select("region"), "region", "left_anti"))
+        large = beside(open_, sizes.select("region"), "region", "left_semi")
+        if level == LEVELS or before is not None and largest > 0.8 * before:
             done.append(_tiles(large, sizes, most))
             break
-        before = total[2]
+        before = largest
         open_, uri = cut(_split(large, percent, level), "regions")
         scratch.append(uri)
+        meet = open_.select("region", (F.length("own") / 8).cast("bigint").alias("n"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -361,21 +364,22 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     partner = F.ceil(F.col("n") * percent / 100)
     need = F.greatest(F.lit(1), F.floor(partner / 8))
     total = hits.groupBy("node").agg(F.sum("hits").alias("total"))
-    able = kept(nodes.join(total, "node").where(F.col("total") >= need).select("node", "doc_id"), "able")
-    meet = beside(hits.select("node", "region"), able.select("node"), "node", "left_semi")
+    able = kept(nodes.join(total, "node").where(F.col("total") >= need).select("node", "doc_id", "n"), "able")
+    meet = beside(hits.select("node", "region"), able.select("node", "n"), "node")
     alone = kept(meet.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("region"), "alone")
-    meet = kept(beside(meet, alone, "region", "left_semi"), "meet")
+    meet = kept(beside(meet, alone, "region", "left_semi").select("node", "region", "n"), "meet")
 
     def sets_of(batches):
         for batch in batches:
             for _, _, sets, ends in _sets_of(batch, 0, words):
-                yield pa.RecordBatch.from_arrays([pa.array(signatures(sets, ends)), pa.array([sets[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["node", "own"])
+                name, once = np.unique(signatures(sets, ends), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in once], pa.binary())], ["node", "own"])
 
     wanted = able.where("doc_id is not null").select("doc_id")
     chosen = beside(texts, wanted, "doc_id", "left_semi").select("text").unionByName(texts.where("doc_id is null").select("text"))
-    sets = chosen.mapInArrow(sets_of, "node bigint, own binary").groupBy("node").agg(F.min("own").alias("own"))
-    members = kept(meet.join(sets, "node").select("region", "node", "own"), "members")
-    edges = kept(_join_regions(_fit_regions(members, percent, region_most, scratch), percent), "edges")
+    sets = chosen.mapInArrow(sets_of, "node bigint, own binary")
+    members = beside(sets, meet, "node").select("region", "node", "own")
+    edges = kept(_join_regions(_fit_regions(members, meet, percent, region_most, scratch), percent), "edges")
     found = kept(components(edges), "found")
     named = kept(found.join(nodes.select("node", "doc_id"), "node"), "named")
     first = kept(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
