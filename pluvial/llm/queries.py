@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _labels, byte_bpe, jaccard_join, mixing, quality, rabitq, token_blocks, toxicity, uniform_topk
+from . import _labels, byte_bpe, jaccard_join, kneser_ney, mixing, quality, rabitq, token_blocks, toxicity, uniform_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,12 @@ def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _labels.fold(F.col("doc_id"))
+    scored = kneser_ney.train_and_score(_table(spark, sf_dir, "documents"), place != 1)
+    return scored.select("doc_id", (place == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_uniform_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_topk.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
 
@@ -58,6 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_rabitq": op2_rabitq,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_uniform_topk": op4_uniform_topk,
     "op5_token_blocks": op5_token_blocks,
     "op6_quality": op6_quality,
