@@ -140,17 +140,18 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PER_LABEL
     keep = [id_col] if keep is None else keep
     kinds = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
+    at = keep.index(text_col) if text_col in keep and kinds[keep.index(text_col)].dataType.simpleString() == "string" else len(keep)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(batch.num_columns - 1))
+            data, offsets = text_bytes(batch.column(at))
             s = np.full(len(offsets) - 1, 0.5)
             for a, b in groups(offsets) if m else ():
                 s[a:b] = vote(counts(data, offsets[a : b + 1]), m)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*[f"c{i}" for i in range(len(keep))], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s)], [*[f"c{i}" for i in range(len(keep))], "score"])
 
-    picked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *([F.col(text_col).cast("string").alias("text")] if at == len(keep) else []))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds)) + ", score double"
     return picked.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _labels, byte_bpe, jaccard_join, kneser_ney, mixing, quality, rabitq, token_blocks, toxicity, uniform_topk
+from . import _labels, byte_bpe, jaccard_join, kneser_ney, mixing, quality, rabitq, token_blocks, token_counts, toxicity, uniform_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_decode(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocab
+
+    return token_counts.count(_table(spark, sf_dir, "documents"), vocab.path("piece_bpe_32k.model"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_blocks": op5_token_blocks,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }

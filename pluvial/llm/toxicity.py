@@ -127,13 +127,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the features of the sample
     keep = [id_col] if keep is None else keep
     kinds = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
+    at = keep.index(text_col) if text_col in keep and kinds[keep.index(text_col)].dataType.simpleString() == "string" else len(keep)
 
     def run(batches):
         hashes, weights, bias = shared.value
         seen = np.zeros(1 << 20, bool)  # most features end here
         seen[hashes >> np.uint32(12)] = True
         for batch in batches:
-            data, offsets = text_bytes(batch.column(batch.num_columns - 1))
+            data, offsets = text_bytes(batch.column(at))
             total = np.full(len(offsets) - 1, bias)
             for a, b in groups(offsets):
                 f, doc = features(data, offsets[a : b + 1])
@@ -146,9 +147,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
                 pairs = np.unique(doc[hit] * len(hashes) + spot[hit])
                 total[a:b] += np.bincount(pairs // len(hashes), weights[pairs % len(hashes)], b - a)
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*[f"c{i}" for i in range(len(keep))], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p)], [*[f"c{i}" for i in range(len(keep))], "score"])
 
-    picked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *([F.col(text_col).cast("string").alias("text")] if at == len(keep) else []))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds)) + ", score double"
     out = picked.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
