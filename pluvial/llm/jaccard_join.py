@@ -6,7 +6,10 @@ Regions: of each set the ``prefix`` holds its smallest hashes, so many that two
 linked sets share at least min(k, k') of them. Each prefix hash that several
 sets share elects one of them, and its sets join that pivot's region; two
 linked sets share a hash and so meet in a region. Sets that share fewer prefix
-hashes than any link needs are in no link and leave before.
+hashes than any link needs are in no link and leave before. A set also leaves
+its least regions as long as it shares less than half of what a link needs in
+them together: two linked sets then still share a hash in a region that
+neither has left. So a passage that many documents hold brings few together.
 
 Large regions: ``SPLIT`` of a region's sets become pivots; each set goes to the
 nearest one's Voronoi region and, as a boundary document, to every other whose
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import SMALL, beside, components
@@ -361,11 +364,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     posted = _postings(texts.select("text"), buckets, words, percent).groupBy("bucket").applyInArrow(_elect, "node bigint, region bigint, hits bigint")
     hits = kept(posted.groupBy("node", "region").agg(F.sum("hits").alias("hits")), "hits")
-    partner = F.ceil(F.col("n") * percent / 100)
-    need = F.greatest(F.lit(1), F.floor(partner / 8))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 8))  # spare of the smallest partner
     total = hits.groupBy("node").agg(F.sum("hits").alias("total"))
-    able = kept(nodes.join(total, "node").where(F.col("total") >= need).select("node", "doc_id", "n"), "able")
-    meet = beside(hits.select("node", "region"), able.select("node", "n"), "node")
+    able = kept(nodes.join(total, "node").withColumn("least", least).where("total >= least").select("node", "doc_id", "n", "least"), "able")
+    upto = Window.partitionBy("node").orderBy("hits", "region").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    meet = beside(hits, able.select("node", "n", "least"), "node").withColumn("upto", F.sum("hits").over(upto))
+    meet = kept(meet.where(F.col("upto") > F.floor((F.col("least") - 1) / 2)).select("node", "region", "n"), "meet")
     alone = kept(meet.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("region"), "alone")
     meet = kept(beside(meet, alone, "region", "left_semi").select("node", "region", "n"), "meet")
 
