@@ -22,16 +22,21 @@ def with_metadata(df: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(small(meta), list(keys), "left")
 
 
+#: The cell of a row, and the same columns of a grid. Names differ from a station's place even without case.
+CELL, GRID_CELL = ("cell_lat", "cell_lon"), ("latitude", "longitude")
+
+
 def cells_of(df: DataFrame, latitude: str, longitude: str, step: float = 0.25) -> DataFrame:
-    """The grid cell of each row, as columns ``latitude`` and ``longitude``."""
-    return df.withColumns({"latitude": quantized(F.col(latitude), step), "longitude": quantized(F.col(longitude), step)})
+    """The grid cell of each row, as the columns CELL."""
+    return df.withColumns({c: quantized(F.col(x), step) for c, x in zip(CELL, (latitude, longitude), strict=True)})
 
 
 def with_grid(df: DataFrame, grid: DataFrame, time: str = "time") -> DataFrame:
     """Grid values at each row's cell and time. The grid is first cut to the cells that occur: they are few."""
-    cells = df.select("latitude", "longitude").distinct()
-    held = grid.join(small(cells), ["latitude", "longitude"], "left_semi")
-    return df.join(held, [time, "latitude", "longitude"], "left")
+    cells = df.select(*CELL).distinct()
+    named = grid.withColumnsRenamed(dict(zip(GRID_CELL, CELL, strict=True)))
+    held = named.join(small(cells), list(CELL), "left_semi")
+    return df.join(held, [time, *CELL], "left")
 
 
 def matching(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:

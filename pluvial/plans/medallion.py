@@ -73,7 +73,7 @@ def silver(bronze: DataFrame, single: DataFrame, pressure: DataFrame, start: str
     df = impute.cascade(df, "VISIB", "STATION", F.month("time"), "time").drop(*SUPPORT)
     if left := existing(df, SUPPORT):
         raise validate.Violation(f"support columns left: {left}")
-    df = joins.with_grid(df, pressure).drop("latitude", "longitude")
+    df = joins.with_grid(df, pressure).drop(*joins.CELL)
     numbers = [f.name for f in df.schema if f.dataType.simpleString() == "double"]
     return df.withColumns({c: expr.round4(F.col(c)) for c in numbers})
 

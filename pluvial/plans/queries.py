@@ -241,8 +241,8 @@ def grid_join_left(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("time", F.to_date("o_orderdate"))
     cell = lambda c: expr.quantized(c, 250.0)
     grid = orders.groupBy("time", cell(F.col("o_totalprice")).alias("latitude")).agg(F.max("o_totalprice").alias("v")).withColumn("longitude", F.lit(0.0))
-    points = orders.select("o_orderkey", "time", cell(F.col("o_totalprice") + 100).alias("latitude"), F.lit(0.0).alias("longitude"))
-    return joins.with_grid(points, grid).select("o_orderkey", "time", "latitude", "v")
+    points = orders.select("o_orderkey", "time", cell(F.col("o_totalprice") + 100).alias("cell_lat"), F.lit(0.0).alias("cell_lon"))
+    return joins.with_grid(points, grid).select("o_orderkey", "time", F.col("cell_lat").alias("latitude"), "v")
 
 
 @query("SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey")
