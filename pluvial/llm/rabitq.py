@@ -65,8 +65,11 @@ def _meet(k: int, epsilon: float):
         seen = np.zeros(estimate.shape, bool)
         seen[qi, ci] = True
         best.add(qi, ids[ci], exact(qi, ci))
-        qi, ci = np.nonzero((estimate + bound >= best.floor(-np.inf)[:, None]) & ~seen & np.isfinite(estimate))
-        best.add(qi, ids[ci], exact(qi, ci))
+        floor = best.floor(-np.inf)
+        qi, ci = np.nonzero((estimate + bound >= floor[:, None]) & ~seen & np.isfinite(estimate))
+        scores = exact(qi, ci)
+        stay = scores >= floor[qi]
+        best.add(qi[stay], ids[ci[stay]], scores[stay])
 
     return meet
 
