@@ -89,6 +89,21 @@ def station_summary(df: DataFrame, station: str, name: str, time: str) -> DataFr
     )
 
 
+def dataset(df: DataFrame, station: str, time: str, target: str) -> DataFrame:
+    """One row: rows, stations, first and last day, rows with a target. ``columns`` is known without reading."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("columns"), F.count_distinct(station).alias("stations"),
+        F.min(time).alias("first"), F.max(time).alias("last"), F.count(target).alias("with_target"),
+    )
+
+
+def group_missingness(missing: DataFrame, groups: dict[str, str]) -> DataFrame:
+    """``missing_per_column``'s rows by group of columns: number, and average, largest and smallest percentage."""
+    pairs = F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])
+    of = missing.withColumn("group", F.element_at(pairs, F.col("column")))
+    return of.groupBy("group").agg(F.count(F.lit(1)).alias("columns"), F.avg("percent").alias("average"), F.max("percent").alias("largest"), F.min("percent").alias("smallest"))
+
+
 def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
     """``bin`` (from 1), ``low``, ``high``, ``count`` over equal widths from least to largest; the last bin holds the maximum."""
     bounds = df.agg(F.min(x).alias("_a"), F.max(x).alias("_b"))

@@ -437,6 +437,18 @@ def column_missingness(spark, sf_dir):
     return rounded(eda.missing_per_column(proxied(spark, sf_dir), ["station", "time", "rain", "proxy"]))
 
 
+@query(f"""WITH {PROXY}, m AS (""" + " UNION ALL ".join(f"SELECT '{g}' AS g, (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS p FROM p" for c, g in (("station", "key"), ("time", "key"), ("rain", "value"), ("proxy", "value"))) + f""")
+SELECT g AS "group", count(*) AS columns, {r4('avg(p)')} AS average, {r4('max(p)')} AS largest, {r4('min(p)')} AS smallest FROM m GROUP BY 1""")
+def group_missingness(spark, sf_dir):
+    groups = {"station": "key", "time": "key", "rain": "value", "proxy": "value"}
+    return rounded(eda.group_missingness(eda.missing_per_column(proxied(spark, sf_dir), list(groups)), groups))
+
+
+@query(f"WITH {FRAME} SELECT count(*) AS rows, CAST(3 AS INTEGER) AS columns, count(DISTINCT station) AS stations, min(time) AS first, max(time) AS last, count(rain) AS with_target FROM f")
+def dataset_summary(spark, sf_dir):
+    return eda.dataset(dense(spark, sf_dir), "station", "time", "rain")
+
+
 @query("WITH k AS (SELECT * FROM (VALUES (0, 'O'), (1, 'F'), (2, 'P'), (3, 'Z')) AS t(place, category)), n AS (SELECT o_orderstatus, count(*) AS c FROM orders GROUP BY 1) SELECT CAST(place AS INTEGER) AS place, category, coalesce(c, 0) AS count FROM k LEFT JOIN n ON n.o_orderstatus = k.category")
 def value_counts_fixed(spark, sf_dir):
     return eda.value_counts(table(spark, sf_dir, "orders"), F.col("o_orderstatus"), ["O", "F", "P", "Z"])

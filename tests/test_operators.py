@@ -258,3 +258,19 @@ def test_stream_of_days(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     want = events.groupBy(F.col("user_id").alias("station"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     assert got.join(want, ["station", "day", "n"]).count() == got.count()
+
+
+def test_feature_sets(spark):
+    from pluvial.functions import feature_sets
+    from pluvial.operators import report
+
+    assert len(feature_sets.SELECTED) == 46 == len(set(feature_sets.SELECTED)) and len(feature_sets.SELECTED_DASHBOARD) == 54
+    df = spark.createDataFrame([("s", 1.0, 2.0, 3.0)], ["STATION", "PRCP", "TEMP", "other"])
+    assert feature_sets.full(df) == ["TEMP", "other"] and feature_sets.selected(df)[0] == ["TEMP"] and len(feature_sets.selected(df)[1]) == 45
+    assert feature_sets.selected_dashboard(df) == ["TEMP", "other"]
+    rows = [(fs, "test", m, 3, 1.25003 + i, 1.0, None, 0.5, 0.0) for i, fs in enumerate(("full", "selected")) for m in ("one_stage",)] + [("none", "test", "persistence", 0, 9.0, 1.0, 1.0, 0.1, 0.0)]
+    results = spark.createDataFrame(rows, "feature_set string, scenario string, model string, n_features int, mae_mm double, rmse_mm double, wape_percent double, r2 double, bias_mean_pred_minus_true_mm double")
+    both = report.compared(results).collect()
+    assert [(r.model, r.mae_mm_full, r.mae_mm_selected) for r in both] == [("one_stage", 1.25003, 2.25003)]
+    assert report.printable(results).first().mae_mm == 1.25
+    assert report.best(results).first().model == "one_stage"
