@@ -42,9 +42,7 @@ def past_proxy(df: DataFrame, c: str, station: str, season: Column, time: str, o
     if window:
         made = made.withColumns({"_m1": win.past_median_window(c, [station, "_season"], time), "_m2": win.past_median_window(c, [station], time)})
     else:
-        open_ = F.col("_carried").isNull()
-        made = win.with_past_median(made, c, [station, "_season"], time, "_m1", open_)
-        made = win.with_past_median(made, c, [station], time, "_m2", open_)
+        made = win.with_past_medians(made, c, [station], time, {"_m1": ["_season"], "_m2": []}, F.col("_carried").isNull())
     proxy = F.when(F.col(c).isNull(), F.coalesce("_carried", "_m1", "_m2", F.lit(0.0)))
     return made.withColumn(out, proxy).drop("_carried", "_season", "_m1", "_m2")
 
