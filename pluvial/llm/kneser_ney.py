@@ -29,7 +29,7 @@ from ._shared import local_path, new_folder, publish, text_bytes
 from ._words import combine, groups, mix, word_hashes
 
 #: Words are known by 48 bits of their hash: as many as 16 million tell apart with a chance of a half.
-WORD_BITS, SPREAD, SLICE = np.uint64(16), 8, 16 << 20
+WORD_BITS, SPREAD, SLICE, SCORED = np.uint64(16), 8, 16 << 20, 4 << 20
 END, BEGIN = np.uint64(1), np.uint64(2)
 
 
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         m = Model(model)
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a, b in groups(offsets, SLICE, 1 << 16):
+            for a, b in groups(offsets, SCORED, 1 << 16):
                 v, w, ends = tokens(data, offsets[a : b + 1])
                 logp, base, count = m.score(v, w)
                 add = lambda x: np.add.reduceat(x, ends[:-1])
