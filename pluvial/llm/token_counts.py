@@ -1,7 +1,9 @@
 """How many unigram pieces a text has, without making the pieces.
 
-Words (each with the space mark before it) are segmented by Viterbi: an
-Aho-Corasick automaton lists the pieces that end at each place, and the best
+Texts are cut before a space that follows a non-space, where no piece of the
+vocabulary crosses (with a vocabulary that has such a piece, nowhere); so a run
+of spaces and the word after it are one stretch, and pieces of several space
+marks count. Stretches are segmented by Viterbi: an Aho-Corasick automaton lists the pieces that end at each place, and the best
 score and its number of pieces are carried along. Ties go by the rule of the
 tokenizers library's Unigram model: a candidate replaces an earlier one only if
 its score is higher, and candidates come in order of their start, so of equal
@@ -12,6 +14,7 @@ unknown neighbours, one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -20,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK, UNKNOWN, KEPT = "▁", 10.0, 300_000
+_STRETCH = re.compile(" +[^ ]*")
 
 
 class Counter(dict):
-    """Piece counts by word, kept for up to KEPT words."""
+    """Piece counts by stretch (without its first space), kept for up to KEPT stretches."""
 
     def __init__(self, pieces: Sequence[tuple[str, float]], byte_fallback: bool = True):
         import ahocorasick
@@ -35,9 +39,11 @@ class Counter(dict):
         self.trie.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN
         self.byte_fallback = byte_fallback
+        # a mark that is no piece may join its unknown neighbours
+        self.whole = any(MARK in p.lstrip(MARK) for p, _ in pieces) or not byte_fallback and all(p != MARK for p, _ in pieces)
 
     def __missing__(self, word: str) -> int:
-        n = self.count(MARK + word)
+        n = self.count(MARK + word.replace(" ", MARK))
         if len(self) >= KEPT:
             self.clear()
         if len(word) <= 64:
@@ -73,8 +79,13 @@ class Counter(dict):
         """Pieces of a whole text: a mark for each space, and one before the text unless it starts with a space."""
         if not text:
             return 0
-        words = text.replace(MARK, " ").split(" ")
-        return sum(map(self.__getitem__, words[1:] if not words[0] and len(words) > 1 else words))
+        text = text.replace(MARK, " ")
+        if text[0] != " ":
+            text = " " + text
+        if self.whole:
+            return self.count(text.replace(" ", MARK))
+        words = [x[1:] for x in _STRETCH.findall(text)] if "  " in text else text.split(" ")[1:]
+        return sum(map(self.__getitem__, words))
 
 
 @lru_cache(maxsize=2)

@@ -295,6 +295,28 @@ def test_count_ties_and_unknowns():
             assert counter.count(text) == len(tok.encode(text).ids), (pieces, text)
 
 
+def test_token_counts_with_runs_of_spaces(spark):
+    import public_tokenizers as vocab
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    def whole(pieces, fallback=True):
+        tok = Tokenizer(models.Unigram([*pieces, ("<unk>", min(s for _, s in pieces))], unk_id=len(pieces), byte_fallback=fallback))
+        tok.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+        return lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+
+    path, rng = vocab.path("piece_bpe_32k.model"), random.Random(8)
+    texts = ["a    b", "if x:\n        y = 1\n        z = 2", "   lead", "trail   ", "     ", "a" + " " * 40 + "b", "▁▁ mark", "\t  \t   é"]
+    texts += ["".join(rng.choice(["  ", " ", "   ", "ab", "word", "\n", "日", "\u2003", "(", " " * 17]) for _ in range(40)) for _ in range(40)]
+    want = whole(token_counts.pieces_of(path))
+    assert (want(texts[0]), want(texts[1])) == (3, 15)
+    df = spark.createDataFrame(list(enumerate([*texts, *[t or "" for t in odd_texts()]])), "doc_id long, text string")
+    for r in token_counts.count(df, path).join(df, "doc_id").collect():
+        assert r.n_tokens == want(r.text), r.text
+    for own in ([("▁", -1.0), ("a", -1.0), ("b▁", -1.0), ("▁▁▁", -1.0), ("a▁▁b", -0.5)], [("a", -1.0), ("b", -1.0)]):  # pieces across a cut; a mark that is no piece
+        for t in ("a  bab b  a", "c c  c", "b a   b"):
+            assert token_counts.Counter(own, byte_fallback=False).text(t) == whole(own, False)(t), (own, t)
+
+
 # ---- 9: mixing
 
 
