@@ -1,19 +1,26 @@
-"""Interpolated modified Kneser-Ney scores from bigrams counted in Spark.
-
-Tokens are words and one end for each text; each text is preceded by a begin
-that is never predicted. Batches are counted where they are read, pairs meet in
-buckets as binary blocks, and each bucket becomes one file: sorted 64-bit
-hashes of pairs with their counts, or sorted hashes of words with their own
-count, the number of words they follow, and how many pairs they begin that
-occur once, twice, or more. Scoring tasks map the files into memory and search
-them for the distinct pairs of a batch; pages are read as they are needed and
-shared by the workers of a machine.
-
-    p(w | v) = (c(vw) - D) / c(v) + g(v) p(w)
-    p(w)     = (N(*w) - D') / N(**) + g' / (V + 1)
-
-D and D' depend on whether the count is 1, 2 or more; g and g' hand on what
-they take. An unseen v leaves p(w); an unseen w leaves g' / (V + 1).
+"""Interpolated modified Kneser-Ney scores from n-grams counted in Spark.
+
+Tokens are words and one end for each text; each text is preceded by begins
+that are never predicted. Batches are counted where they are read. N-grams of
+the highest order meet in buckets of their contexts as binary blocks; each
+bucket becomes one file: sorted 64-bit hashes of contexts, and behind each the
+words that follow it with their counts. It hands on its part of the next lower
+order's continuation counts, and so on down to pairs. Their buckets become
+files of sorted hashes of pairs with counts, or of sorted hashes of words with
+the total of the pairs they begin, the number of words they follow, and how
+many pairs they begin that count one, two, or more. Words are counted once more
+by themselves. Scoring tasks map the files into memory and search them for what
+a batch holds; pages are read as they are needed and shared by the workers of a
+machine.
+
+    p(w | uv) = (c(uvw) - D3) / c(uv) + g(uv) p(w | v)
+    p(w | v)  = (a(vw) - D2) / a(v) + g(v) p(w)
+    p(w)      = (N(*w) - D1) / N(**) + g1 / (V + 1)
+
+a(vw) is c(vw) at the highest order and where v is a begin, and elsewhere the
+number of different words before vw; a(v) and c(uv) sum over all w. Each D
+depends on whether the count is 1, 2 or more; each g hands on what they take. An
+unseen context leaves the next lower order's; an unseen w ends in g1 / (V + 1).
 """
 
 from __future__ import annotations
@@ -28,24 +35,32 @@ from pyspark.sql import functions as F
 from ._shared import local_path, new_folder, publish, text_bytes
 from ._words import combine, groups, mix, word_hashes
 
-#: Words are known by 48 bits of their hash: as many as 16 million tell apart with a chance of a half.
+#: In n-grams words are known by 48 bits of their hash: as many as 16 million tell apart with a chance of a half.
 WORD_BITS, SPREAD, SLICE, SCORED = np.uint64(16), 8, 16 << 20, 4 << 20
 END, BEGIN = np.uint64(1), np.uint64(2)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(previous token, token) of every token of a range of documents, and the n + 1 places where documents start."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every token of a range of documents, in 64 bits, and the n + 1 places where documents start."""
     words, counts = (np.concatenate(x) for x in zip(*[word_hashes(data, offsets[a : b + 1]) for a, b in groups(offsets)], strict=True))
-    words = np.maximum(words >> WORD_BITS, np.uint64(3))
+    words = np.maximum(words, np.uint64(3))
     ends = np.concatenate([[0], np.cumsum(counts + 1)])
     token = np.full(ends[-1], END, np.uint64)
     inner = np.ones(ends[-1], bool)
     inner[ends[1:] - 1] = False
     token[inner] = words
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[ends[:-1]] = BEGIN
-    return before, token, ends
+    return token, ends
+
+
+def ngrams(token: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
+    """The ``order`` columns of every token's n-gram, the token itself last, in 48 bits."""
+    columns = [np.where(token == END, END, np.maximum(token >> WORD_BITS, np.uint64(3)))]
+    for _ in range(order - 1):
+        before = np.empty_like(token)
+        before[1:] = columns[0][:-1]
+        before[ends[:-1]] = BEGIN
+        columns.insert(0, before)
+    return columns
 
 
 def pair_bucket(v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
@@ -57,6 +72,25 @@ def word_bucket(w: np.ndarray, n: int) -> np.ndarray:
     return (mix(w ^ np.uint64(0x9E37)) % np.uint64(n)).astype(np.int32)
 
 
+def context_hash(columns: list[np.ndarray]) -> np.ndarray:
+    return combine(*columns, salt=len(columns))
+
+
+def context_bucket(context: np.ndarray, n: int) -> np.ndarray:
+    return (mix(context) % np.uint64(n)).astype(np.int32)
+
+
+def _pack48(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack48(x: np.ndarray) -> np.ndarray:
+    """From rows of six bytes."""
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :6] = x
+    return out.reshape(-1).view("<u8")
+
+
 def _split48(x: np.ndarray) -> list[bytes]:
     return [(x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (x >> np.uint64(32)).astype("<u2").tobytes()]
 
@@ -73,26 +107,123 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[head], *(np.add.reduceat(v[order], head) if len(head) else v for v in values)
 
 
-def _pairs(n_buckets: int):
+_PAIR_COLS = ["bucket", "v0", "v1", "w0", "w1", "n"]
+_GRAM_COLS = ["bucket", "contexts", "followers", "w", "n"]
+
+
+def _kinds(columns: list[str]) -> str:
+    return ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in columns)
+
+
+def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams and the sums of their counts."""
+    key = combine(*columns)
+    if counts is None:
+        _, at, counts = np.unique(key, return_index=True, return_counts=True)
+        return [c[at] for c in columns], counts
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    return [c[order[head]] for c in columns], np.add.reduceat(counts[order], head)
+
+
+def _blocks(columns: list[np.ndarray], counts: np.ndarray, n_buckets: int) -> tuple[list, list[str]]:
+    """Columns of a row for each bucket that distinct n-grams reach, and their names."""
+    if len(columns) == 2:
+        v, w = columns
+        bucket = pair_bucket(v, w, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        v, w, counts, bucket = v[order], w[order], counts[order].astype("<u4"), bucket[order]
+        edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        rows = [[i, *_split48(v[x:y]), *_split48(w[x:y]), counts[x:y].tobytes()] for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+        names = _PAIR_COLS
+    else:
+        context = context_hash(columns[:-1])
+        bucket = context_bucket(context, n_buckets)
+        order = np.lexsort((context, bucket))
+        context, bucket, counts = context[order], bucket[order], counts[order].astype("<u4")
+        columns = [c[order] for c in columns]
+        edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        rows, names = [], _GRAM_COLS
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            x, y = edges[i], edges[i + 1]
+            head = x + np.flatnonzero(np.concatenate([[True], context[x + 1 : y] != context[x : y - 1]]))
+            rows.append([i, b"".join(_pack48(c[head]) for c in columns[:-1]), np.diff(np.append(head, y)).astype("<u4").tobytes(), _pack48(columns[-1][x:y]), counts[x:y].tobytes()])
+    cols = list(zip(*rows, strict=True))
+    return [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names
+
+
+def _grams(order: int, n_buckets: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for a, b in groups(offsets, SLICE, 1 << 16):
+                yield pa.RecordBatch.from_arrays(*_blocks(*_distinct(ngrams(*tokens(data, offsets[a : b + 1]), order)), n_buckets))
+
+    return run
+
+
+def _small(n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Which counts are too large for a byte; their places and values, and a byte for each count."""
+    many = np.flatnonzero(n > 254)
+    return many, [many.astype("<u8").tobytes(), n[many].astype("<u8").tobytes(), np.minimum(n, 255).astype("u1").tobytes()]
+
+
+def _merge_grams(place: str, order: int, n_below: int):
+    """The file of a bucket of n-grams; hands on its part of the counts of one order less."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [[] for _ in range(order)]
+        for c, f, w in zip(*(table.column(x).to_pylist() for x in ("contexts", "followers", "w")), strict=True):
+            own = _unpack48(np.frombuffer(c, np.uint8).reshape(-1, 6)).reshape(order - 1, -1)
+            for k in range(order - 1):
+                parts[k].append(np.repeat(own[k], np.frombuffer(f, "<u4")))
+            parts[-1].append(_unpack48(np.frombuffer(w, np.uint8).reshape(-1, 6)))
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4").astype(np.int64)
+        columns, n = _distinct([np.concatenate(x) for x in parts], n)
+        context = context_hash(columns[:-1])
+        at = np.lexsort((columns[-1], context))
+        columns, n, context = [c[at] for c in columns], n[at], context[at]
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        many, counts = _small(n)
+        classes = [(n == i).sum() for i in (1, 2, 3, 4)]
+        header = np.asarray([len(head), len(n), len(many), *classes], "<u8").tobytes()
+        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, context[head].tobytes(), np.append(head, len(n)).astype("<u4").tobytes(), _pack48(columns[-1]), *counts]))
+        below = _distinct(columns[1:], np.where(columns[1] == BEGIN, n, 1))
+        cols, names = _blocks(*below, n_below)
+        return pa.table(cols, names=names)
+
+    return run
+
+
+def _counts(n_buckets: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in groups(offsets, SLICE, 1 << 16):
-                v, w, _ = tokens(data, offsets[a : b + 1])
-                _, at, counts = np.unique(combine(v, w), return_index=True, return_counts=True)
-                v, w = v[at], w[at]
-                bucket = pair_bucket(v, w, n_buckets)
+                word, n = np.unique(tokens(data, offsets[a : b + 1])[0], return_counts=True)
+                bucket = word_bucket(word, n_buckets)
                 order = np.argsort(bucket, kind="stable")
-                v, w, counts, bucket = v[order], w[order], counts[order].astype("<u4"), bucket[order]
-                edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                rows = [[i, *_split48(v[x:y]), *_split48(w[x:y]), counts[x:y].tobytes()] for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "v0", "v1", "w0", "w1", "n"])
+                edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+                some = np.flatnonzero(np.diff(edges))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([x[order][edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary()) for x in (word, n.astype("<u4")))], ["bucket", "word", "n"])
 
     return run
 
 
-_WORD_COLS = ["bucket", "w0", "w1", "count", "follows", "once", "twice", "more", "classes"]
+def _merge_counts(place: str):
+    """The file of a bucket of words, by all 64 bits, with how often each occurs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        word, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("word", "<u8"), ("n", "<u4")))
+        word, n = _summed(word, n.astype(np.int64))
+        publish(place, f"counts-{bucket:06d}", b"".join([np.asarray([len(word)], "<u8").tobytes(), word.tobytes(), n.astype("<u8").tobytes()]))
+        return pa.table({"vocabulary": pa.array([len(word)], pa.int64()), "tokens": pa.array([n.sum()], pa.int64())})
+
+    return run
+
+
+_WORD_COLS = ["bucket", "w0", "w1", "total", "follows", "once", "twice", "more", "classes"]
 
 
 def _merge_pairs(place: str, n_words: int):
@@ -104,33 +235,32 @@ def _merge_pairs(place: str, n_words: int):
         key, v, w, n = key[order], v[order], w[order], n[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, v, w, n = key[head], v[head], w[head], np.add.reduceat(n, head)
-        many = np.flatnonzero(n > 254)
-        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), key.tobytes(), many.astype("<u8").tobytes(), n[many].astype("<u8").tobytes(), np.minimum(n, 255).astype("u1").tobytes()]))
+        many, counts = _small(n)
+        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), key.tobytes(), *counts]))
         one = np.ones_like(n)
-        targets = _summed(w, n, one)
+        targets = _summed(w, one)
         contexts = _summed(v, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
         zero_t, zero_c = np.zeros(len(targets[0]), np.int64), np.zeros(len(contexts[0]), np.int64)
-        # a word's count as a target equals that as a context, but for begin and end
         word = np.concatenate([targets[0], contexts[0]])
-        count = np.concatenate([targets[1], np.where(contexts[0] == BEGIN, contexts[1], 0)])
-        rest = [np.concatenate(x) for x in ((targets[2], zero_c), (zero_t, contexts[2]), (zero_t, contexts[3]), (zero_t, contexts[4]))]
-        word, count, *rest = _summed(word, count, *rest)
+        total = np.concatenate([zero_t, contexts[1]])
+        rest = [np.concatenate(x) for x in ((targets[1], zero_c), (zero_t, contexts[2]), (zero_t, contexts[3]), (zero_t, contexts[4]))]
+        word, total, *rest = _summed(word, total, *rest)
         classes = np.asarray([(n == i).sum() for i in (1, 2, 3, 4)], "<i8").tobytes()
         bucket = word_bucket(word, n_words)
         order = np.argsort(bucket, kind="stable")
-        word, count, bucket, rest = word[order], count[order], bucket[order], [x[order].astype("<u4") for x in rest]
+        word, total, bucket, rest = word[order], total[order], bucket[order], [x[order].astype("<u4") for x in rest]
         edges = np.searchsorted(bucket, np.arange(n_words + 1))
         rows = []
         for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if y > x:
-                rows.append([i, *_split48(word[x:y]), count[x:y].astype("<u8").tobytes(), *(r[x:y].tobytes() for r in rest), b"" if rows else classes])
+                rows.append([i, *_split48(word[x:y]), total[x:y].astype("<u8").tobytes(), *(r[x:y].tobytes() for r in rest), b"" if rows else classes])
         cols = list(zip(*rows, strict=True))
         return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_WORD_COLS)
 
     return run
 
 
-_TOTALS = "bucket int, words bigint, tokens bigint, pairs bigint, classes array<bigint>, follow_classes array<bigint>"
+_TOTALS = "bucket int, words bigint, pairs bigint, classes array<bigint>, follow_classes array<bigint>"
 
 
 def _merge_words(place: str):
@@ -139,11 +269,11 @@ def _merge_words(place: str):
         bucket = table.column("bucket")[0].as_py()
         word = _join48(cols["w0"], cols["w1"])
         read = lambda c, kind: np.frombuffer(b"".join(cols[c]), kind).astype(np.int64)
-        word, count, follows, once, twice, more = _summed(word, read("count", "<u8"), *(read(c, "<u4") for c in ("follows", "once", "twice", "more")))
-        publish(place, f"words-{bucket:06d}", b"".join([np.asarray([len(word)], "<u8").tobytes(), word.tobytes(), count.astype("<u8").tobytes(), *(x.astype("<u4").tobytes() for x in (follows, once, twice, more))]))
+        word, total, follows, once, twice, more = _summed(word, read("total", "<u8"), *(read(c, "<u4") for c in ("follows", "once", "twice", "more")))
+        publish(place, f"words-{bucket:06d}", b"".join([np.asarray([len(word)], "<u8").tobytes(), word.tobytes(), total.astype("<u8").tobytes(), *(x.astype("<u4").tobytes() for x in (follows, once, twice, more))]))
         real = word != BEGIN
         classes = sum((np.frombuffer(c, "<i8") for c in cols["classes"] if c), np.zeros(4, np.int64))
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "words": [int(real.sum())], "tokens": [int(count[real].sum())], "pairs": [int(follows.sum())], "classes": [classes.tolist()], "follow_classes": [[int((follows == i).sum()) for i in (1, 2, 3, 4)]]})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "words": [int(real.sum())], "pairs": [int(follows.sum())], "classes": [classes.tolist()], "follow_classes": [[int((follows == i).sum()) for i in (1, 2, 3, 4)]]})
 
     return run
 
@@ -156,22 +286,52 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True)]
 
 
-def train(docs: DataFrame, folder: str | None = None, text_col: str = "text") -> dict:
+def _gram_classes(spark, place: str, orders: range, n: int) -> dict[int, list[int]]:
+    """For each order, how many n-grams count 1, 2, 3 and 4, from the heads of the files."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for i in batch.column(0).to_pylist():
+                path = os.path.join(place, f"grams-{orders.start + i // n}-{i % n:06d}")
+                if os.path.exists(path):
+                    found.append([orders.start + i // n, np.fromfile(path, "<u8", 7)[3:].tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["order", "classes"])
+
+    if not len(orders):
+        return {}
+    found = spark.range(len(orders) * n).mapInArrow(run, "order int, classes array<bigint>")
+    sums = found.groupBy("order").agg(*[F.sum(F.col("classes")[k]).alias(f"n{k}") for k in range(4)]).collect()  # a row for each order
+    return {k: [0] * 4 for k in orders} | {r[0]: list(r[1:]) for r in sums}
+
+
+def train(docs: DataFrame, folder: str | None = None, text_col: str = "text", order: int = 2) -> dict:
     """Count ``docs`` (all of its rows) and write the model's files; returns where they are and the totals.
 
-    Null and empty texts are one end each. Files have names by bucket and are
-    replaced whole, so a task that runs twice does no harm.
+    ``order``: the longest n-grams, 2 at least. Null and empty texts are one end
+    each. Files have names by bucket and are replaced whole, so a task that runs
+    twice does no harm.
     """
+    if order < 2:
+        raise ValueError("order: 2 at least")
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "bigrams")
+    folder = folder or new_folder(spark, "ngrams")
     place = local_path(folder)
     n_pairs = SPREAD * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 // SPREAD)
-    n_words = max(4, n_pairs // 2)
-    blocks = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_pairs(n_pairs), "bucket int, v0 binary, v1 binary, w0 binary, w1 binary, n binary")
-    words = blocks.groupBy("bucket").applyInArrow(_merge_pairs(place, n_words), "bucket int, " + ", ".join(f"{c} binary" for c in _WORD_COLS[1:]))
+    n_words, n_grams = max(4, n_pairs // 2), 2 * n_pairs
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    counted = texts.mapInArrow(_counts(n_words), "bucket int, word binary, n binary").groupBy("bucket").applyInArrow(_merge_counts(place), "vocabulary bigint, tokens bigint")
+    vocabulary, tokens_ = (x or 0 for x in counted.agg(F.sum("vocabulary"), F.sum("tokens")).first())
+    kinds = lambda k: _kinds(_GRAM_COLS if k > 2 else _PAIR_COLS)
+    number = lambda k: n_grams if k > 2 else n_pairs
+    blocks = texts.mapInArrow(_grams(order, number(order)), kinds(order))
+    for k in range(order, 2, -1):
+        blocks = blocks.groupBy("bucket").applyInArrow(_merge_grams(place, k, number(k - 1)), kinds(k - 1))
+    words = blocks.groupBy("bucket").applyInArrow(_merge_pairs(place, n_words), _kinds(_WORD_COLS))
     rows = words.groupBy("bucket").applyInArrow(_merge_words(place), _TOTALS).collect()  # a row for each bucket
     add = lambda x: [sum(y) for y in zip(*x, strict=True)] or [0] * 4
-    return {"place": place, "n_pairs": n_pairs, "n_words": n_words, "words": sum(r.words for r in rows), "tokens": sum(r.tokens for r in rows), "pairs": sum(r.pairs for r in rows), "d": discounts(add([r.classes for r in rows])), "d_follow": discounts(add([r.follow_classes for r in rows])), "follow_classes": add([r.follow_classes for r in rows])}
+    longer = [discounts(c) for _, c in sorted(_gram_classes(spark, place, range(3, order + 1), n_grams).items())]
+    return {"place": place, "order": order, "n_pairs": n_pairs, "n_words": n_words, "n_grams": n_grams, "vocabulary": vocabulary, "tokens": tokens_, "words": sum(r.words for r in rows), "pairs": sum(r.pairs for r in rows), "d": discounts(add([r.classes for r in rows])), "d_longer": longer, "d_follow": discounts(add([r.follow_classes for r in rows])), "follow_classes": add([r.follow_classes for r in rows])}
 
 
 class Model:
@@ -221,7 +381,7 @@ class Model:
         return out
 
     def word_stats(self, w: np.ndarray) -> np.ndarray:
-        """Rows (count, follows, once, twice, more)."""
+        """Rows (total, follows, once, twice, more)."""
         out = np.zeros((len(w), 5), np.int64)
         bucket = word_bucket(w, self.about["n_words"])
         order = np.lexsort((w, bucket))
@@ -236,9 +396,70 @@ class Model:
                 out[own[hit], k + 1] = self._take(raw, 8 + 16 * n + 4 * n * k, n, "<u4")[spot]
         return out
 
-    def score(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 p(w | v), log10 of the base probability, and the word's count, of each token."""
+    def counts(self, w: np.ndarray) -> np.ndarray:
+        """How often each word occurs, by its 64 bits."""
+        out = np.zeros(len(w), np.int64)
+        bucket = word_bucket(w, self.about["n_words"])
+        for i in np.unique(bucket).tolist():
+            own = np.flatnonzero(bucket == i)
+            if (found := self._find(f"counts-{i:06d}", 8, w[own])) is not None:
+                raw, n, spot, hit = found
+                out[own[hit]] = self._take(raw, 8 + 8 * n, n, "<u8")[spot]
+        return out
+
+    def gram_stats(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Rows (count, the context's total, once, twice, more) of n-grams of three words and more."""
+        out = np.zeros((len(columns[0]), 5), np.int64)
+        context = context_hash(columns[:-1])
+        bucket = context_bucket(context, self.about["n_grams"])
+        order = np.lexsort((context, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(self.about["n_grams"] + 1))
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[i] : edges[i + 1]]
+            raw = self._open(f"grams-{len(columns)}-{i:06d}")
+            if raw is None:
+                continue
+            m, n, many = (int(x) for x in self._take(raw, 0, 3, "<u8"))
+            contexts, at = self._take(raw, 56, m, "<u8"), 56 + 8 * m
+            places, at = self._take(raw, at, m + 1, "<u4"), at + 4 * (m + 1)
+            words, at = raw[at : at + 6 * n].reshape(-1, 6), at + 6 * n
+            spots, sizes, small = self._take(raw, at, many, "<u8"), self._take(raw, at + 8 * many, many, "<u8"), raw[at + 16 * many : at + 16 * many + n]
+            wanted, inverse = np.unique(context[own], return_inverse=True)
+            spot = np.minimum(np.searchsorted(contexts, wanted), m - 1)
+            hit = contexts[spot] == wanted
+            if not hit.any():
+                continue
+            first, last = places[spot[hit]].astype(np.int64), places[spot[hit] + 1].astype(np.int64)
+            begin = np.cumsum(last - first) - (last - first)
+
+            def sized(at):
+                c = np.asarray(small[at]).astype(np.int64)  # noqa: B023
+                big = np.flatnonzero(c == 255)
+                c[big] = sizes[np.searchsorted(spots, at[big])]  # noqa: B023
+                return c
+
+            every = sized(np.repeat(first - begin, last - first) + np.arange((last - first).sum()))
+            stats = np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (every, every == 1, every == 2, every > 2)], 1)
+            place = np.full(len(wanted), -1)
+            place[hit] = np.arange(hit.sum())
+            place = place[inverse]
+            own, place = own[place >= 0], place[place >= 0]
+            out[own, 1:] = stats[place]
+            low, high, w = first[place], last[place], columns[-1][own]
+            while (open_ := low < high).any():  # the first place in the context's run that holds w or more
+                middle = np.minimum((low + high) // 2, n - 1)
+                less = open_ & (_unpack48(words[middle]) < w)
+                low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+            there = low < last[place]
+            there[there] = _unpack48(words[low[there]]) == w[there]
+            out[own[there], 0] = sized(low[there])
+        return out
+
+    def score(self, token: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 p(w | the words before), log10 of the base probability, and the word's count, of each token."""
         a = self.about
+        columns = ngrams(token, ends, a["order"])
+        v, w = columns[-2:]
         words, place = np.unique(np.concatenate([v, w]), return_inverse=True)
         stats = self.word_stats(words)
         vi, wi = place[: len(v)], place[len(v) :]
@@ -249,12 +470,17 @@ class Model:
         more = a["words"] - f[0] - f[1]
         handed = (e[1] * f[0] + e[2] * f[1] + e[3] * more) / max(a["pairs"], 1) if a["pairs"] else 1.0
         low = (follows - e[np.minimum(follows, 3)]) / max(a["pairs"], 1) + handed / (a["words"] + 1)
-        total = np.where(words == END, 0, stats[:, 0])
         gives = stats[:, 2] * d[1] + stats[:, 3] * d[2] + stats[:, 4] * d[3]
-        t = total[vi]
+        t = stats[vi, 0]
         p = np.where(t > 0, (count - d[np.minimum(count, 3)] + gives[vi] * low[wi]) / np.maximum(t, 1), low[wi])
-        base = np.log10((stats[:, 0] + 0.5) / (a["tokens"] + 0.5 * (a["words"] + 1)))
-        return np.log10(p), base[wi], stats[wi, 0]
+        for k, own in enumerate(a["d_longer"], 3):
+            _, first, gram = np.unique(combine(*columns[-k:]), return_index=True, return_inverse=True)
+            x, d = self.gram_stats([c[first] for c in columns[-k:]])[gram], np.asarray([0.0, *own])
+            p = np.where(x[:, 1] > 0, (x[:, 0] - d[np.minimum(x[:, 0], 3)] + (x[:, 2:] @ d[1:]) * p) / np.maximum(x[:, 1], 1), p)
+        full, place = np.unique(token, return_inverse=True)
+        known = self.counts(full)
+        base = np.log10((known + 0.5) / (a["tokens"] + 0.5 * (a["vocabulary"] + 1)))
+        return np.log10(p), base[place], known[place]
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,8 +497,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in groups(offsets, SCORED, 1 << 16):
-                v, w, ends = tokens(data, offsets[a : b + 1])
-                logp, base, count = m.score(v, w)
+                token, ends = tokens(data, offsets[a : b + 1])
+                logp, base, count = m.score(token, ends)
                 add = lambda x: np.add.reduceat(x, ends[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x) for x in (np.diff(ends), add((count > 0).astype(np.int64)), np.full(b - a, model["tokens"]), add(base), add(logp)))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -280,6 +506,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return picked.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def train_and_score(docs: DataFrame, learn_from: Column, **columns) -> DataFrame:
+def train_and_score(docs: DataFrame, learn_from: Column, order: int = 2, **columns) -> DataFrame:
     """Train on the rows of ``docs`` where ``learn_from`` holds and score all of them."""
-    return score(docs, train(docs.where(learn_from), text_col=columns.get("text_col", "text")), **columns)
+    return score(docs, train(docs.where(learn_from), text_col=columns.get("text_col", "text"), order=order), **columns)

@@ -29,7 +29,7 @@ def op2_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _labels.fold(F.col("doc_id"))
-    scored = kneser_ney.train_and_score(_table(spark, sf_dir, "documents"), place != 1)
+    scored = kneser_ney.train_and_score(_table(spark, sf_dir, "documents"), place != 1, order=3)
     return scored.select("doc_id", (place == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -189,6 +189,49 @@ def test_kneser_ney(spark, docs, none):
     assert len(unseen) == len(rows) and all(math.isfinite(r.score) and r.n_known == 0 for r in unseen)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_orders(spark, docs, none, order):
+    fold = _labels.fold(F.col("doc_id"))
+    often = spark.createDataFrame([(1000 + i, "often so often as", "en", "a", 1, *["z"] * len(CLASH)) for i in range(300)], SCHEMA)
+    docs = docs.unionByName(often)
+    rows = docs.select("doc_id", "text", (fold != 1).alias("learn")).collect()
+    token = lambda t: [*words(t), "\0"]
+
+    def grams(t, k):
+        own = ["\1"] * (k - 1) + token(t)
+        return [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
+
+    adjusted = {order: collections.Counter(g for r in rows if r.learn for g in grams(r.text, order))}
+    for k in range(order - 1, 0, -1):
+        adjusted[k] = collections.Counter()
+        for g, n in adjusted[k + 1].items():
+            adjusted[k][g[1:]] += n if g[1] == "\1" else 1
+    d, after = {}, {}
+    for k, c in adjusted.items():
+        d[k] = [0, *kneser_ney.discounts([sum(x == i for x in c.values()) for i in (1, 2, 3, 4)])]
+        after[k] = collections.defaultdict(lambda: [0, 0.0])
+        for g, n in c.items():
+            after[k][g[:-1]][0] += n
+            after[k][g[:-1]][1] += d[k][min(n, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(adjusted[1]) + 1)
+        total, taken = after[k].get(g[:-1], (0, 0))
+        n = adjusted[k][g]
+        return (n - d[k][min(n, 3)] + taken * p(g[1:])) / total if total else p(g[1:])
+
+    some = next(g for g, n in adjusted[order].items() if n > 1 and "\1" not in g)[:-1]
+    assert abs(sum(p((*some, *w)) for w in adjusted[1]) + p((*some, "never seen")) - 1) < 1e-9
+    got = {r.doc_id: r for r in kneser_ney.train_and_score(docs, fold != 1, order=order).collect()}
+    for r in rows:
+        assert math.isclose(got[r.doc_id].score, sum(math.log10(p(g)) for g in grams(r.text, order)), rel_tol=1e-9)
+    assert kneser_ney.train_and_score(none, fold != 1, order=order).count() == 0
+    unseen = kneser_ney.train_and_score(docs, F.lit(False), order=order).collect()
+    assert len(unseen) == len(rows) and all(math.isfinite(r.score) and r.n_known == 0 for r in unseen)
+
+
 # ---- 5 and 7: tokens
 
 
