@@ -19,8 +19,11 @@ doesn't shrink is joined tile by tile.
 
 Within a region: distances to the pivot give windows (two linked sets differ
 in them by at most RADIUS), a local index proposes partners, and each is
-verified on whole sets. Sets of one component are not compared again, so a
-group of near copies costs one probe and not all its pairs.
+verified on whole sets. Where links are counted, every proposed pair is; a pair
+that meets in several regions counts in the least of them, so no pairs are
+written. Where components alone are wanted, sets of one component are not
+compared again, and a group of near copies costs one probe and not all its
+pairs.
 """
 
 from __future__ import annotations
@@ -174,52 +177,63 @@ class _Forest:
         return up
 
 
+class _Region:
+    """The sets of a region, ascending and distinct each, with distances to the first one and an index of prefixes."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sets, self.percent, self.m = sets, percent, len(sets)
+        self.n = n = np.asarray([len(s) for s in sets])
+        self.flat, self.ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
+        both = self._common(0, np.arange(self.m))
+        self.distance = 1 - both / (n[0] + n - both)
+        self.to_pivot = 100 * both >= percent * (n[0] + n - both)
+
+    def _common(self, i: int, others: np.ndarray) -> np.ndarray:
+        probe, n = self.sets[i], self.n[others]
+        starts = np.cumsum(n) - n
+        x = self.flat[np.repeat(self.ends[others] - starts, n) + np.arange(n.sum())]
+        at = np.minimum(np.searchsorted(probe, x), len(probe) - 1)
+        return np.add.reduceat(probe[at] == x, starts, dtype=np.int64)
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        both = self._common(i, others)
+        return 100 * both >= self.percent * (self.n[i] + self.n[others] - both)
+
+    def index(self) -> None:
+        n, owner = self.n, np.repeat(np.arange(self.m), self.n)
+        self.take, self.need, self.low = prefix_sizes(n, self.percent), spare(n), least_partner(n, self.percent)
+        inside = np.arange(len(self.flat)) - self.ends[owner] < self.take[owner]
+        key, who = self.flat[inside], owner[inside]
+        order = np.argsort(key, kind="stable")
+        self.key, self.who = key[order], who[order]
+
+    def maybe(self, i: int) -> np.ndarray:
+        """Which sets may link with set i, itself among them."""
+        own = self.flat[self.ends[i] : self.ends[i] + self.take[i]]
+        a, b = np.searchsorted(self.key, own, "left"), np.searchsorted(self.key, own, "right")
+        hits = np.bincount(self.who[np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())], minlength=self.m)
+        window = 1 - self.percent / 100 + 1e-9
+        return (hits >= np.minimum(self.need, self.need[i])) & (self.n >= self.low[i]) & (self.low <= self.n[i]) & (np.abs(self.distance - self.distance[i]) <= window)
+
+
 def join_region(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """The component (smallest place) of each set of a region, exactly; ``sets`` ascending and distinct."""
     m = len(sets)
-    n = np.asarray([len(s) for s in sets])
-    flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
-    owner = np.repeat(np.arange(m), n)
-    forest = _Forest(m)
-
-    def common(probe: np.ndarray, others: np.ndarray) -> np.ndarray:
-        spots = np.repeat(ends[others] - (np.cumsum(n[others]) - n[others]), n[others]) + np.arange(n[others].sum())
-        x = flat[spots]
-        at = np.minimum(np.searchsorted(probe, x), len(probe) - 1)
-        return np.add.reduceat(probe[at] == x, np.cumsum(n[others]) - n[others], dtype=np.int64)
-
-    def linked(i: int, others: np.ndarray) -> np.ndarray:
-        both = common(sets[i], others)
-        return 100 * both >= percent * (n[i] + n[others] - both)
-
-    pivot = 0
-    everyone = np.arange(m)
-    both = common(sets[pivot], everyone)
-    distance = 1 - both / (n[pivot] + n - both)
-    for j in np.flatnonzero(100 * both >= percent * (n[pivot] + n - both)).tolist():
-        forest.join(pivot, j)
+    region, forest = _Region(sets, percent), _Forest(m)
+    for j in np.flatnonzero(region.to_pivot).tolist():
+        forest.join(0, j)
     roots = forest.roots()
     if m == 2 or (roots == roots[0]).all():
         return roots
-    window = 1 - percent / 100 + 1e-9
-    inside = np.arange(len(flat)) - ends[owner] < prefix_sizes(n, percent)[owner]
-    key, who = flat[inside], owner[inside]
-    order = np.argsort(key, kind="stable")
-    key, who = key[order], who[order]
-    take, need, low = prefix_sizes(n, percent), spare(n), least_partner(n, percent)
+    region.index()
     probed = np.zeros(m, bool)
-    probed[pivot] = True
+    probed[0] = True
 
     def probe(i: int) -> None:
         probed[i] = True
-        own = flat[ends[i] : ends[i] + take[i]]
-        a, b = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-        hits = np.bincount(who[np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())], minlength=m)
-        maybe = (hits >= np.minimum(need, need[i])) & (n >= low[i]) & (low <= n[i]) & (np.abs(distance - distance[i]) <= window)
-        maybe &= forest.roots() != forest.root(i)
-        others = np.flatnonzero(maybe)
+        others = np.flatnonzero(region.maybe(i) & (forest.roots() != forest.root(i)))
         if len(others):
-            for j in others[linked(i, others)].tolist():
+            for j in others[region.linked(i, others)].tolist():
                 forest.join(i, j)
 
     single = lambda: np.bincount(forest.roots(), minlength=m)
@@ -233,6 +247,34 @@ def join_region(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return forest.roots()
 
 
+def count_region(sets: list[np.ndarray], copies: np.ndarray, earlier: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The component of each set of a region, and its links: the copies of all sets that link with it.
+
+    Every pair is verified that may link. ``earlier``: for each set the other regions that come before
+    this one and hold it; a pair that shares one of them has its links counted there and not here.
+    """
+    m = len(sets)
+    region, forest, links = _Region(sets, percent), _Forest(m), np.zeros(m, np.int64)
+    region.index()
+    other, who = np.concatenate(earlier), np.repeat(np.arange(m), [len(e) for e in earlier])
+    order = np.argsort(other, kind="stable")
+    other, who = other[order], who[order]
+    for i in range(m - 1):
+        others = i + 1 + np.flatnonzero(region.maybe(i)[i + 1 :])
+        if not len(others):
+            continue
+        others = others[region.linked(i, others)]
+        for j in others.tolist():
+            forest.join(i, j)
+        done = np.zeros(m, bool)
+        for a, b in zip(np.searchsorted(other, earlier[i], "left"), np.searchsorted(other, earlier[i], "right"), strict=True):
+            done[who[a:b]] = True
+        others = others[~done[others]]
+        links[i] += copies[others].sum()
+        links[others] += copies[i]
+    return forest.roots(), links
+
+
 def _rows(sets: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in sets]
 
@@ -270,6 +312,42 @@ def _join_regions(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def _count_regions(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) as of ``_join_regions``, and rows (a, null, links) with what each region adds to a set's links."""
+
+    def run(batches):
+        region, rows, done = None, [], []
+
+        def close():
+            if len(rows) > 1:
+                names, sets, copies, regions = zip(*rows, strict=True)
+                earlier = [np.asarray([r for r in own if r < region], np.int64) for own in regions]
+                roots, links = count_region(_rows(sets), np.asarray(copies), earlier, percent)
+                done.extend((names[i], names[int(roots[i])], 0) for i in np.flatnonzero(roots != np.arange(len(names))).tolist())
+                done.extend((names[i], None, int(links[i])) for i in np.flatnonzero(links).tolist())
+
+        def out():
+            a, b, n = zip(*done, strict=True) if done else ((), (), ())
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], ["a", "b", "links"])
+
+        for batch in batches:
+            for r, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != region:
+                    close()
+                    region, rows = r, []
+                elif row[0] == rows[-1][0]:
+                    continue
+                rows.append(row)
+            if done:
+                yield out()
+        close()
+        yield out()
+
+    dealt = members.select("region", "node", "own", "copies", "regions").repartition("region").sortWithinPartitions("region", "node")
+    return dealt.mapInArrow(run, "a bigint, b bigint, links bigint")
+
+
 def _split(members: DataFrame, percent: int, level: int) -> DataFrame:
     """One Voronoi step on regions that are too large."""
     picks = [F.min_by("own", F.xxhash64("node", F.lit(level * 100 + i))).alias(f"p{i}") for i in range(SPLIT)]
@@ -331,14 +409,15 @@ def _fit_regions(members: DataFrame, meet: DataFrame, percent: int, most: int, s
     return out
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", region_most: int = REGION_MOST) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", region_most: int = REGION_MOST, links: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``, and with ``links`` its ``n_links``.
 
     A text is lower-cased (A-Z) and cut into words; its set holds the distinct
     runs of ``words`` words, or the whole text's words as one if there are
     fewer. Two documents link when their intersection is at least ``percent``
     per cent of their union, and component_id is the smallest id reachable by
-    links, the own one included. Texts without words, and null, have an empty
+    links, the own one included; n_links is the number of other rows that the row
+    links with, exact copies among them. Texts without words, and null, have an empty
     set and link with nothing, not even each other. Rows with a null id link
     like others and lend no id: their component may be null. Repeated rows come
     out as often; an empty table gives no rows. Hashes have 64 bits: two sets
@@ -359,7 +438,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = kept(texts.mapInArrow(describe, "doc_id bigint, n_shingles bigint, node bigint"), "sets")
-    nodes = kept(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "nodes")
+    nodes = kept(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
 
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     posted = _postings(texts.select("text"), buckets, words, percent).groupBy("bucket").applyInArrow(_elect, "node bigint, region bigint, hits bigint")
@@ -383,13 +462,28 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     chosen = beside(texts, wanted, "doc_id", "left_semi").select("text").unionByName(texts.where("doc_id is null").select("text"))
     sets = chosen.mapInArrow(sets_of, "node bigint, own binary")
     members = beside(sets, meet, "node").select("region", "node", "own")
-    edges = kept(_join_regions(_fit_regions(members, meet, percent, region_most, scratch), percent), "edges")
+    members = _fit_regions(members, meet, percent, region_most, scratch)
+    if links:
+        members = kept(members, "members")
+        places = members.groupBy("node").agg(F.collect_set("region").alias("regions"))
+        places = kept(places.join(nodes.select("node", "copies"), "node"), "places")
+        found = kept(_count_regions(beside(members, places, "node"), percent), "links")
+        edges = found.where("b is not null").select("a", "b")
+        counted = kept(found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "counted")
+    else:
+        edges = kept(_join_regions(members, percent), "edges")
     found = kept(components(edges), "found")
     named = kept(found.join(nodes.select("node", "doc_id"), "node"), "named")
     first = kept(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
     linked = kept(beside(named.select("node", "root"), first, "root").select("node", F.col("component_id").alias("linked_id")), "linked")
-    own = kept(nodes.select("node", F.col("doc_id").alias("first_id")).join(linked, "node", "left").select("node", F.coalesce("linked_id", "first_id").alias("component_id")), "own")
-    out = beside(rows, own, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = nodes.select("node", F.col("doc_id").alias("first_id"), "copies").join(linked, "node", "left")
+    columns = ["doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    chosen = ["node", F.coalesce("linked_id", "first_id").alias("component_id")]
+    if links:
+        own = own.join(counted, "node", "left")
+        chosen.append((F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        columns.append(F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"))
+    out = beside(rows, kept(own.select(*chosen), "own"), "node", "left").select(*columns)
     out, _ = cut(out, "joined")
     for uri in scratch:
         remove_folder(spark, uri)

@@ -435,6 +435,39 @@ def test_join_equals_brute_force(spark, docs, most):
         assert got == brute_components(rows)
 
 
+def brute_links(rows):
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    links = [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
+    return links
+
+
+@pytest.mark.parametrize("most", [jaccard_join.REGION_MOST, 300])
+def test_join_counts_every_link(spark, docs, most):
+    rng = random.Random(6)
+    base = [f"g{i}" for i in range(200)]
+    group = [(i, near(rng, base, rng.randrange(6))) for i in range(40)]
+    group += [(100 + i, t) for i, (_, t) in enumerate(group[:5])]  # copies
+    for df in (docs, spark.createDataFrame(clusters(), "doc_id long, text string").repartition(4), spark.createDataFrame(group, "doc_id long, text string")):
+        rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+        got = jaccard_join.join(df, region_most=most, links=True)
+        assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+        want = brute_links(rows)
+        found = got.collect()
+        assert sorted(((r.doc_id, r.n_links) for r in found), key=repr) == sorted(((k, n) for (k, _), n in zip(rows, want)), key=repr)
+        assert sorted([tuple(r)[:3] for r in found], key=repr) == brute_components(rows)
+    assert max(want) > 30  # more links than a spanning forest has edges
+    assert jaccard_join.join(docs.limit(0), links=True).count() == 0
+
+
 def test_join_by_shuffles_alone(spark, monkeypatch):
     monkeypatch.setattr(_components, "SMALL", 0)
     monkeypatch.setattr(jaccard_join, "SMALL", 0)
