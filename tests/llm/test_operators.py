@@ -232,6 +232,17 @@ def test_kneser_ney_orders(spark, docs, none, order):
     assert len(unseen) == len(rows) and all(math.isfinite(r.score) and r.n_known == 0 for r in unseen)
 
 
+def test_words_count_by_all_bits(monkeypatch, tmp_path):
+    monkeypatch.setattr(kneser_ney, "WORD_BITS", np.uint64(60))  # n-grams tell 16 words apart
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}" for i in range(500)), "w1 w1"])], ["text"])
+    rows = pa.Table.from_batches(list(kneser_ney._counts(1)(iter([batch]))))
+    found = kneser_ney._merge_counts(str(tmp_path))(rows).to_pylist()
+    assert found == [{"vocabulary": 501, "tokens": 504}]  # with the end
+    model = kneser_ney.Model({"place": str(tmp_path), "n_words": 1})
+    data, ends = np.frombuffer(b"w1 w7 never seen", np.uint8), np.asarray([0, 16])
+    assert model.counts(kneser_ney.tokens(data, ends)[0]).tolist() == [3, 1, 0, 0, 2]
+
+
 # ---- 5 and 7: tokens
 
 
