@@ -62,12 +62,13 @@ def _to_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return docs.join(salted, docs["source"].eqNullSafe(salted["source"]) & (docs["own_salt"] == salted["salt"])).drop(salted["source"]).drop("salt", "own_salt")
 
 
-def _fill(rows: DataFrame, scratch: list[str]) -> DataFrame:
+def _fill(rows: DataFrame, scratch: list[str]) -> tuple[DataFrame, bool]:
     """Take open documents, in key order, while the source's running sum stays within its ``gap``.
 
     The sum runs in two steps: over the sums of the source's key buckets, then
     within each bucket; a bucket has about BUCKET_DOCS documents whatever the
     source's size. Documents that agree in key, id and size are taken together.
+    Also returns whether any was taken.
     """
     fits = ~F.col("chosen") & (F.col("size") <= F.col("gap")) & (F.col("size") > 0)
     rows = rows.withColumn("open", F.when(fits, F.col("size")).otherwise(0))
@@ -80,12 +81,13 @@ def _fill(rows: DataFrame, scratch: list[str]) -> DataFrame:
     rows, uri = cut(rows.withColumn("now", taken).drop("before"), "mix")
     scratch.append(uri)
     spent = rows.where("now").groupBy("rank").agg(F.sum("size").alias("spent"))
-    spent = F.broadcast(spent) if spent.count() <= BROADCAST_SOURCES else spent
+    some = spent.count()
+    spent = F.broadcast(spent) if some <= BROADCAST_SOURCES else spent
     out = rows.join(spent, "rank", "left")
-    return out.withColumn("gap", F.col("gap") - F.coalesce("spent", F.lit(0))).withColumn("chosen", F.col("chosen") | F.col("now")).drop("spent", "now", "open")
+    return out.withColumn("gap", F.col("gap") - F.coalesce("spent", F.lit(0))).withColumn("chosen", F.col("chosen") | F.col("now")).drop("spent", "now", "open"), some > 0
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (5, 2, 1), cap: float = 2.0, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (5, 2, 1), cap: float = 2.0, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rounds: int | None = None) -> DataFrame:
     """How often each document goes into the mix.
 
     Returns ``doc_id, source, size, source_size, target, copies, taken`` per
@@ -94,8 +96,9 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (5, 2, 1),
     all sizes; a target ends at ``cap`` times its source's size and the excess
     goes to the others. ``copies`` counts complete epochs, plus 1 for documents
     in the fractional epoch; ``taken`` is copies times size, so an empty text
-    takes nothing. The fractional epoch runs ROUNDS times over documents that
-    still fit the gap, so a long document at the edge doesn't leave it open.
+    takes nothing. The fractional epoch runs over documents that still fit the
+    gap until a run takes none, or ``rounds`` times at most, so long documents
+    at the edge don't leave it open.
     ``quality``: a positive Column of ``docs``; by default ``quality_weight``.
     Keys depend on ids alone: reruns agree. Rows that agree in id, source and
     size share one fate; null ids are one id. An empty table gives no rows.
@@ -118,8 +121,10 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (5, 2, 1),
     rows = rows.withColumn("bucket", F.least(F.floor(buckets * (1 - F.exp(-F.col("key") / mean))), buckets - 1))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1)
     rows = rows.withColumn("epochs", epochs).withColumn("gap", F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))).withColumn("chosen", F.lit(False)).drop("n", "key_sum")
-    for _ in range(ROUNDS):
-        rows = _fill(rows, scratch)
+    done, some = 0, True
+    while some and done != rounds:
+        rows, some = _fill(rows, scratch)
+        done += 1
     copies = (F.col("epochs") + F.col("chosen").cast("bigint")).cast("bigint")
     out, _ = cut(rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")), "mix")
     for uri in scratch:

@@ -392,6 +392,23 @@ def test_mixing(spark, docs, none):
     assert out.count() == sum(r.copies for r in rows)
 
 
+def test_mixing_fills_until_nothing_fits(spark):
+    rng = random.Random(1)
+    short = 0
+    for k in range(4):  # two sources: the first takes twice its words, the second what is left
+        sizes = [rng.choice([900, 700, 500, 300, 150, 80, 40, 20, 9, 4, 2, 1]) for _ in range(60)]
+        rows = [(1000 * k + i, " ".join(["w"] * n), "b") for i, n in enumerate(sizes)] + [(1000 * k + 999, "w " * (sum(sizes) // 7), "a")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        taken = {}
+        for rounds in (3, None):
+            found = [r for r in mixing.mix(df, rounds=rounds).collect() if r.source == "b"]
+            taken[rounds] = sum(r.taken for r in found)
+        gap, epochs = found[0].target - taken[None], math.floor(found[0].target / found[0].source_size)
+        assert 0 <= gap and not [r for r in found if r.copies == epochs and 0 < r.size <= gap]
+        short += taken[3] < taken[None]
+    assert short
+
+
 def test_mixing_without_broadcast(spark, docs, monkeypatch):
     want = sorted(map(repr, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
