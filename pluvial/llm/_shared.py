@@ -7,12 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -103,3 +105,28 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = col.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def appended(docs: DataFrame, keep: list[str], text_col: str, name: str, kind: str, make: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The columns ``keep`` and one more, which ``make`` computes from a batch's text bytes and their offsets. No row is shuffled."""
+    kinds = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
+    at = keep.index(text_col) if text_col in keep and kinds[keep.index(text_col)].dataType.simpleString() == "string" else len(keep)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(make(*text_bytes(batch.column(at))))], [*[f"c{i}" for i in range(len(keep))], "made"])
+
+    picked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *([F.col(f"`{text_col}`").cast("string").alias("text")] if at == len(keep) else []))
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds)) + f", made {kind}"
+    return picked.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("made").alias(name))

@@ -11,19 +11,16 @@ its least regions as long as it shares less than half of what a link needs in
 them together: two linked sets then still share a hash in a region that
 neither has left. So a passage that many documents hold brings few together.
 
-Large regions: ``SPLIT`` of a region's sets become pivots; each set goes to the
-nearest one's Voronoi region and, as a boundary document, to every other whose
-distance is within 2 * RADIUS of the nearest's: by the triangle inequality each
-link keeps a common region. This repeats while regions are too large; what
-doesn't shrink is joined tile by tile.
-
-Within a region: distances to the pivot give windows (two linked sets differ
-in them by at most RADIUS), a local index proposes partners, and each is
-verified on whole sets. Where links are counted, every proposed pair is; a pair
-that meets in several regions counts in the least of them, so no pairs are
-written. Where components alone are wanted, sets of one component are not
-compared again, and a group of near copies costs one probe and not all its
-pairs.
+Voronoi cells: a region of more than ``LEAF`` sets is cut about eight pivots;
+each set goes to its nearest pivot's cell and, as a boundary document, to every
+other whose distance is within 2 * RADIUS of the nearest's: by the triangle
+inequality each link keeps a common cell. Cells are cut again, recursively.
+Regions of up to ``REGION_MOST`` sets are cut inside the task that joins them
+(``_regions``), larger ones before they are dealt to tasks; what doesn't shrink,
+such as a large group of near copies, is dealt as pairs of tiles over many tasks.
+
+Every link is verified on whole sets and counted once: a pair that meets in
+several regions counts in the least of them, so no pairs are written.
 """
 
 from __future__ import annotations
@@ -34,13 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import SMALL, beside, components
-from ._shared import cut, remove_folder, text_bytes
+from ._regions import PIVOTS, Sets, across, boundary, roots, unseen
+from ._regions import links as links_of
+from ._shared import appended, cut, fresh, remove_folder, text_bytes
 from ._words import combine, document_of, groups, mix, word_hashes
 
 WORDS, PERCENT = 5, 75
-#: Most shingles of a region that one task joins; pivots of a split, and how often regions are split.
-REGION_MOST, SPLIT, LEVELS = 6_000_000, 8, 3
-SLICE = 8 << 20
+#: Most sets and shingles of a region that one task joins, how often regions are cut, and most sets of a tile of what doesn't shrink.
+REGION_MOST, SHINGLES, LEVELS, TILE_MOST = 512, 1 << 21, 3, 2048
+#: Least prefix hashes that a link shares (of sets that have as many); postings of a bucket; most bytes of pivots that are broadcast.
+SPARE, BUCKET, PIVOT_BYTES = 3, 1 << 20, 32 << 20
+WHOLE, SLICE = 2, 8 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -78,20 +79,20 @@ def signatures(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.where(sizes > 0, mix(sums + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0)).view(np.int64)
 
 
-def spare(n: np.ndarray) -> np.ndarray:
-    """k: how many prefix hashes two linked sets share at least, by the smaller k of the two."""
-    return np.maximum(1, n // 8)
-
-
 def least_partner(n: np.ndarray, percent: int) -> np.ndarray:
-    """The smallest set that one of n can link with: ceil(n * percent / 100)."""
+    """The smallest set that one of n can link with, and the least they share: ceil(n * percent / 100)."""
     return -(-n * percent // 100)
 
 
+def spare(n: np.ndarray, percent: int) -> np.ndarray:
+    """k: how many prefix hashes two linked sets share at least, by the smaller k of the two."""
+    return np.minimum(least_partner(n, percent), np.maximum(SPARE, n // 8))
+
+
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
     """With an overlap of at least ceil(percent / 100 * n), the j-th smallest common hash of two linked
     sets is among the first n - overlap + j of each; j = k gives the prefix."""
-    return np.minimum(n, n - least_partner(n, percent) + spare(n))
+    return np.minimum(n, n - least_partner(n, percent) + spare(n, percent))
 
 
 def _sets_of(batch: pa.RecordBatch, column: int, words: int):
@@ -156,175 +157,32 @@ def _elect(table: pa.Table) -> pa.Table:
     return pa.table({"node": name[first], "region": pivot[first], "hits": np.diff(np.append(first, len(name))).astype(np.int64)})
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-
-    def roots(self) -> np.ndarray:
-        up = np.asarray(self.up)
-        while (up != up[up]).any():
-            up = up[up]
-        self.up = up.tolist()
-        return up
-
-
-class _Region:
-    """The sets of a region, ascending and distinct each, with distances to the first one and an index of prefixes."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent, self.m = sets, percent, len(sets)
-        self.n = n = np.asarray([len(s) for s in sets])
-        self.flat, self.ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
-        both = self._common(0, np.arange(self.m))
-        self.distance = 1 - both / (n[0] + n - both)
-        self.to_pivot = 100 * both >= percent * (n[0] + n - both)
-
-    def _common(self, i: int, others: np.ndarray) -> np.ndarray:
-        probe, n = self.sets[i], self.n[others]
-        starts = np.cumsum(n) - n
-        x = self.flat[np.repeat(self.ends[others] - starts, n) + np.arange(n.sum())]
-        at = np.minimum(np.searchsorted(probe, x), len(probe) - 1)
-        return np.add.reduceat(probe[at] == x, starts, dtype=np.int64)
-
-    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
-        both = self._common(i, others)
-        return 100 * both >= self.percent * (self.n[i] + self.n[others] - both)
-
-    def index(self) -> None:
-        n, owner = self.n, np.repeat(np.arange(self.m), self.n)
-        self.take, self.need, self.low = prefix_sizes(n, self.percent), spare(n), least_partner(n, self.percent)
-        inside = np.arange(len(self.flat)) - self.ends[owner] < self.take[owner]
-        key, who = self.flat[inside], owner[inside]
-        order = np.argsort(key, kind="stable")
-        self.key, self.who = key[order], who[order]
-
-    def maybe(self, i: int) -> np.ndarray:
-        """Which sets may link with set i, itself among them."""
-        own = self.flat[self.ends[i] : self.ends[i] + self.take[i]]
-        a, b = np.searchsorted(self.key, own, "left"), np.searchsorted(self.key, own, "right")
-        hits = np.bincount(self.who[np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())], minlength=self.m)
-        window = 1 - self.percent / 100 + 1e-9
-        return (hits >= np.minimum(self.need, self.need[i])) & (self.n >= self.low[i]) & (self.low <= self.n[i]) & (np.abs(self.distance - self.distance[i]) <= window)
-
-
-def join_region(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """The component (smallest place) of each set of a region, exactly; ``sets`` ascending and distinct."""
-    m = len(sets)
-    region, forest = _Region(sets, percent), _Forest(m)
-    for j in np.flatnonzero(region.to_pivot).tolist():
-        forest.join(0, j)
-    roots = forest.roots()
-    if m == 2 or (roots == roots[0]).all():
-        return roots
-    region.index()
-    probed = np.zeros(m, bool)
-    probed[0] = True
-
-    def probe(i: int) -> None:
-        probed[i] = True
-        others = np.flatnonzero(region.maybe(i) & (forest.roots() != forest.root(i)))
-        if len(others):
-            for j in others[region.linked(i, others)].tolist():
-                forest.join(i, j)
-
-    single = lambda: np.bincount(forest.roots(), minlength=m)
-    for i in range(1, m):  # each set that no earlier probe has caught
-        if forest.root(i) == i and not probed[i]:
-            probe(i)
-    roots = forest.roots()
-    largest = int(single().argmax())
-    for i in np.flatnonzero((roots != largest) & ~probed).tolist():  # links between what the probes have caught
-        probe(i)
-    return forest.roots()
-
-
-def count_region(sets: list[np.ndarray], copies: np.ndarray, earlier: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """The component of each set of a region, and its links: the copies of all sets that link with it.
-
-    Every pair is verified that may link. ``earlier``: for each set the other regions that come before
-    this one and hold it; a pair that shares one of them has its links counted there and not here.
-    """
-    m = len(sets)
-    region, forest, links = _Region(sets, percent), _Forest(m), np.zeros(m, np.int64)
-    region.index()
-    other, who = np.concatenate(earlier), np.repeat(np.arange(m), [len(e) for e in earlier])
-    order = np.argsort(other, kind="stable")
-    other, who = other[order], who[order]
-    for i in range(m - 1):
-        others = i + 1 + np.flatnonzero(region.maybe(i)[i + 1 :])
-        if not len(others):
-            continue
-        others = others[region.linked(i, others)]
-        for j in others.tolist():
-            forest.join(i, j)
-        done = np.zeros(m, bool)
-        for a, b in zip(np.searchsorted(other, earlier[i], "left"), np.searchsorted(other, earlier[i], "right"), strict=True):
-            done[who[a:b]] = True
-        others = others[~done[others]]
-        links[i] += copies[others].sum()
-        links[others] += copies[i]
-    return forest.roots(), links
-
-
 def _rows(sets: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in sets]
 
 
 def _join_regions(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest of each region's links. Regions come one after the other in sorted partitions."""
-
-    def run(batches):
-        region, names, sets = None, [], []
-        out_a, out_b = [], []
-
-        def close():
-            if len(names) > 1:
-                roots = join_region(_rows(sets), percent)
-                for i in np.flatnonzero(roots != np.arange(len(names))).tolist():
-                    out_a.append(names[i])
-                    out_b.append(names[int(roots[i])])
-
-        for batch in batches:
-            for r, name, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != region:
-                    close()
-                    region, names, sets = r, [], []
-                elif name == names[-1]:
-                    continue
-                names.append(name)
-                sets.append(own)
-            if out_a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-                out_a, out_b = [], []
-        close()
-        yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    dealt = members.select("region", "node", "own").repartition("region").sortWithinPartitions("region", "node")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
-
-
-def _count_regions(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) as of ``_join_regions``, and rows (a, null, links) with what each region adds to a set's links."""
+    """Edges (a, b, null) of a spanning forest of each region's links, and rows (a, null, links) with what the
+    region adds to a set's links. A pair that meets in several of the regions ``bases`` counts in the least.
+    Regions come one after the other in sorted partitions."""
 
     def run(batches):
         region, rows, done = None, [], []
 
         def close():
-            if len(rows) > 1:
-                names, sets, copies, regions = zip(*rows, strict=True)
-                earlier = [np.asarray([r for r in own if r < region], np.int64) for own in regions]
-                roots, links = count_region(_rows(sets), np.asarray(copies), earlier, percent)
-                done.extend((names[i], names[int(roots[i])], 0) for i in np.flatnonzero(roots != np.arange(len(names))).tolist())
-                done.extend((names[i], None, int(links[i])) for i in np.flatnonzero(links).tolist())
+            if len(rows) < 2:
+                return
+            base, side, names, sets, copies, bases = zip(*rows, strict=True)
+            own, side, copies = Sets(_rows(sets)), np.asarray(side), np.asarray(copies)
+            i, j = links_of(own, np.arange(len(rows)), percent) if side[0] == WHOLE else across(own, side, percent)
+            if not len(i):
+                return
+            top = roots(len(rows), i, j)
+            done.extend((names[k], names[int(top[k])], 0) for k in np.flatnonzero(top != np.arange(len(rows))).tolist())
+            fresh = unseen([np.asarray([x for x in b if x < base[0]], np.int64) for b in bases], i, j)
+            i, j = i[fresh], j[fresh]
+            more = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
+            done.extend((names[k], None, int(more[k])) for k in np.flatnonzero(more).tolist())
 
         def out():
             a, b, n = zip(*done, strict=True) if done else ((), (), ())
@@ -336,7 +194,7 @@ def _count_regions(members: DataFrame, percent: int) -> DataFrame:
                 if r != region:
                     close()
                     region, rows = r, []
-                elif row[0] == rows[-1][0]:
+                elif row[2] == rows[-1][2]:
                     continue
                 rows.append(row)
             if done:
@@ -344,85 +202,85 @@ def _count_regions(members: DataFrame, percent: int) -> DataFrame:
         close()
         yield out()
 
-    dealt = members.select("region", "node", "own", "copies", "regions").repartition("region").sortWithinPartitions("region", "node")
+    dealt = members.select("region", "base", "side", "node", "own", "copies", "bases").repartition("region").sortWithinPartitions("region", "node")
     return dealt.mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
-def _split(members: DataFrame, percent: int, level: int) -> DataFrame:
-    """One Voronoi step on regions that are too large."""
-    picks = [F.min_by("own", F.xxhash64("node", F.lit(level * 100 + i))).alias(f"p{i}") for i in range(SPLIT)]
-    pivots, _ = cut(members.groupBy("region").agg(*picks), "pivots")
-    dealt = beside(members, pivots, "region") if pivots.count() <= 64 else members.join(pivots.hint("merge"), "region")
-    window = 2 * (1 - percent / 100) + 1e-9
+def _split(members: DataFrame, percent: int, level: int, scratch: list[str]) -> DataFrame:
+    """One Voronoi step on regions that one task should not join: a row for each cell that a set belongs to."""
+    picks = [F.min_by("own", F.xxhash64("node", F.lit(level * 100 + i))).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots, uri = cut(members.groupBy("region").agg(*picks), "pivots")
+    scratch.append(uri)
+    size = pivots.agg(F.sum(sum(F.length(f"p{i}") for i in range(PIVOTS)))).first()[0] or 0
+    dealt = members.join(F.broadcast(pivots) if size <= PIVOT_BYTES else pivots.hint("merge"), "region")
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(3 + SPLIT)]
-            regions, nodes, sets = [], [], []
-            for k in range(batch.num_rows):
-                own = np.frombuffer(cols[2][k], np.uint64)
-                d = []
-                for p in range(SPLIT):
-                    pivot = np.frombuffer(cols[3 + p][k], np.uint64)
-                    both = len(np.intersect1d(own, pivot, assume_unique=True))
-                    d.append(1 - both / (len(own) + len(pivot) - both))
-                for p in np.flatnonzero(np.asarray(d) <= min(d) + window):
-                    regions.append(int(combine(np.asarray([cols[0][k]], np.int64).view(np.uint64), salt=level * 100 + int(p)).view(np.int64)[0]))
-                    nodes.append(cols[1][k])
-                    sets.append(cols[2][k])
-            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["region", "node", "own"])
-
-    return dealt.select("region", "node", "own", *[f"p{i}" for i in range(SPLIT)]).mapInArrow(run, "region bigint, node bigint, own binary")
-
-
-def _tiles(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """Regions that don't shrink, as pairs of tiles: every two sets of a region meet in one of them."""
-    members = beside(members, sizes, "region")
-    tiles = F.ceil(F.col("shingles") / max(1, most // 2)).cast("int")
-    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.xxhash64(F.col("region"), F.least(own, j), F.greatest(own, j)))
-    return members.select(F.explode(pairs).alias("region"), "node", "own")
-
-
-def _fit_regions(members: DataFrame, meet: DataFrame, percent: int, most: int, scratch: list[str]) -> DataFrame:
-    """``members`` with no region of more than about ``most`` shingles. ``meet`` has their regions and sizes."""
-    done, open_, before = [], members, None
-    for level in range(LEVELS + 1):
-        sizes, uri = cut(meet.groupBy("region").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > most), "sizes")
+            for a in range(0, batch.num_rows, 256):
+                own = batch.slice(a, 256)
+                region, node, sets, *picked = (c.to_pylist() for c in own.columns)
+                held, d = Sets(_rows(sets)), np.empty((PIVOTS, len(sets)))
+                for r in set(region):  # all rows of a region have the same pivots
+                    at = np.asarray([k for k, x in enumerate(region) if x == r])
+                    for p in range(PIVOTS):
+                        d[p, at] = held.distances(np.frombuffer(picked[p][at[0]], np.uint64), at)
+                cell, at = np.nonzero(boundary(d, percent))
+                names = np.asarray(region, np.int64)
+                child = combine(names[at].view(np.uint64), cell.astype(np.uint64), salt=level + 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(names[at]), pa.array(np.asarray(node, np.int64)[at]), own.column(2).take(pa.array(at))], ["region", "parent", "node", "own"])
+
+    return dealt.select("region", "node", "own", *[f"p{i}" for i in range(PIVOTS)]).mapInArrow(run, "region bigint, parent bigint, node bigint, own binary")
+
+
+def _cells(members: DataFrame, meet: DataFrame, percent: int, most: int, scratch: list[str]) -> DataFrame:
+    """``base, node, own, tiles``: regions cut into Voronoi cells until none has more than ``most`` sets or
+    SHINGLES shingles, but for those that don't shrink; these get a number of tiles, the others 1."""
+
+    def kept(df: DataFrame, kind: str) -> DataFrame:
+        out, uri = cut(df, kind)
         scratch.append(uri)
-        count, largest = sizes.agg(F.count(F.lit(1)), F.max("shingles")).first()
-        if not count:
-            done.append(open_)
-            break
-        done.append(beside(open_, sizes.select("region"), "region", "left_anti"))
-        large = beside(open_, sizes.select("region"), "region", "left_semi")
-        if level == LEVELS or before is not None and largest > 0.8 * before:
-            done.append(_tiles(large, sizes, most))
+        return out
+
+    columns = ["base", "node", "own", "tiles"]
+    large = (F.col("k") > most) | (F.col("shingles") > SHINGLES)
+    sized = lambda df, *more: df.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"), *more)
+    tile = F.greatest(F.lit(most // 4), F.least(F.lit(TILE_MOST), F.floor(F.col("k") / 32)), F.lit(1))
+    tiles = F.greatest(F.ceil(F.col("k") / tile), F.ceil(2 * F.col("shingles") / SHINGLES)).cast("int").alias("tiles")
+    sizes = kept(sized(meet).where(large), "sizes")
+    if not sizes.count():
+        return members.select(F.col("region").alias("base"), "node", "own", F.lit(1).alias("tiles"))
+    members = kept(members.select("region", "node", "own"), "members")
+    done = [beside(members, sizes.select("region"), "region", "left_anti").select(F.col("region").alias("base"), "node", "own", F.lit(1).alias("tiles"))]
+    open_ = beside(members, sizes.select("region"), "region", "left_semi")
+    for level in range(LEVELS):
+        found = kept(_split(open_, percent, level, scratch), "regions")
+        n = (F.length("own") / 8).cast("bigint")
+        grown = sized(found.select("region", "parent", n.alias("n")), F.first("parent").alias("parent"))
+        was = sizes.select(F.col("region").alias("parent"), F.col("k").alias("was"))
+        sizes = kept(grown.join(was, "parent").withColumn("large", large).withColumn("stuck", F.col("large") & (F.lit(level == LEVELS - 1) | (F.col("k") > 0.8 * F.col("was")))), "sizes")
+        placed = beside(found.select("region", "node", "own"), sizes.select("region", F.when(F.col("large") & ~F.col("stuck"), F.lit(0)).when(F.col("stuck"), tiles).otherwise(1).alias("tiles")), "region")
+        done.append(placed.where("tiles > 0").select(F.col("region").alias("base"), "node", "own", "tiles"))
+        sizes = sizes.where("large and not stuck")
+        if not sizes.count():
             break
-        before = largest
-        open_, uri = cut(_split(large, percent, level), "regions")
-        scratch.append(uri)
-        meet = open_.select("region", (F.length("own") / 8).cast("bigint").alias("n"))
+        open_ = placed.where("tiles = 0").select("region", "node", "own")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.select(*columns)
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", region_most: int = REGION_MOST, links: bool = False) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``, and with ``links`` its ``n_links``.
+def _dealt(cells: DataFrame) -> DataFrame:
+    """With ``region`` and ``side``: a cell of one tile is a region; of more, every two tiles and each tile are one."""
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(
+        F.xxhash64("base", F.least(own, j), F.greatest(own, j)).alias("region"), F.when(own == j, WHOLE).when(own < j, 0).otherwise(1).alias("side")))
+    single = F.array(F.struct(F.col("base").alias("region"), F.lit(WHOLE).alias("side")))
+    return cells.select("base", "node", "own", "copies", "bases", F.explode(F.when(F.col("tiles") == 1, single).otherwise(every)).alias("at")).select("*", "at.region", "at.side").drop("at")
 
-    A text is lower-cased (A-Z) and cut into words; its set holds the distinct
-    runs of ``words`` words, or the whole text's words as one if there are
-    fewer. Two documents link when their intersection is at least ``percent``
-    per cent of their union, and component_id is the smallest id reachable by
-    links, the own one included; n_links is the number of other rows that the row
-    links with, exact copies among them. Texts without words, and null, have an empty
-    set and link with nothing, not even each other. Rows with a null id link
-    like others and lend no id: their component may be null. Repeated rows come
-    out as often; an empty table gives no rows. Hashes have 64 bits: two sets
-    or shingles that differ are taken for equal with a chance of 2^-64 a pair.
-    """
+
+def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, region_most: int) -> DataFrame:
+    """``doc_id, node, n_shingles, component_id, n_links, root`` of every row: its set's name, and its component's."""
     spark = docs.sparkSession
     scratch: list[str] = []
 
@@ -440,12 +298,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     rows = kept(texts.mapInArrow(describe, "doc_id bigint, n_shingles bigint, node bigint"), "sets")
     nodes = kept(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
 
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = _postings(texts.select("text"), buckets, words, percent).groupBy("bucket").applyInArrow(_elect, "node bigint, region bigint, hits bigint")
-    hits = kept(posted.groupBy("node", "region").agg(F.sum("hits").alias("hits")), "hits")
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 8))  # spare of the smallest partner
+    partner = F.ceil(F.col("n") * percent / 100)  # least_partner, spare, prefix_sizes as columns
+    spared = lambda n: F.least(F.ceil(n * percent / 100), F.greatest(F.lit(SPARE), F.floor(n / 8)))
+    posted = nodes.agg(F.sum(F.least(F.col("n"), F.col("n") - partner + spared(F.col("n"))))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-posted // BUCKET))
+    chosen = _postings(texts.select("text"), buckets, words, percent).groupBy("bucket").applyInArrow(_elect, "node bigint, region bigint, hits bigint")
+    hits = kept(chosen.groupBy("node", "region").agg(F.sum("hits").alias("hits")), "hits")
     total = hits.groupBy("node").agg(F.sum("hits").alias("total"))
-    able = kept(nodes.join(total, "node").withColumn("least", least).where("total >= least").select("node", "doc_id", "n", "least"), "able")
+    able = kept(nodes.join(total, "node").withColumn("least", spared(partner)).where("total >= least").select("node", "doc_id", "n", "least"), "able")
     upto = Window.partitionBy("node").orderBy("hits", "region").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     meet = beside(hits, able.select("node", "n", "least"), "node").withColumn("upto", F.sum("hits").over(upto))
     meet = kept(meet.where(F.col("upto") > F.floor((F.col("least") - 1) / 2)).select("node", "region", "n"), "meet")
@@ -458,50 +318,76 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
                 name, once = np.unique(signatures(sets, ends), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([sets[ends[i] : ends[i + 1]].tobytes() for i in once], pa.binary())], ["node", "own"])
 
-    wanted = able.where("doc_id is not null").select("doc_id")
-    chosen = beside(texts, wanted, "doc_id", "left_semi").select("text").unionByName(texts.where("doc_id is null").select("text"))
-    sets = chosen.mapInArrow(sets_of, "node bigint, own binary")
-    members = beside(sets, meet, "node").select("region", "node", "own")
-    members = _fit_regions(members, meet, percent, region_most, scratch)
-    if links:
-        members = kept(members, "members")
-        places = members.groupBy("node").agg(F.collect_set("region").alias("regions"))
-        places = kept(places.join(nodes.select("node", "copies"), "node"), "places")
-        found = kept(_count_regions(beside(members, places, "node"), percent), "links")
-        edges = found.where("b is not null").select("a", "b")
-        counted = kept(found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "counted")
-    else:
-        edges = kept(_join_regions(members, percent), "edges")
-    found = kept(components(edges), "found")
-    named = kept(found.join(nodes.select("node", "doc_id"), "node"), "named")
-    first = kept(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
-    linked = kept(beside(named.select("node", "root"), first, "root").select("node", F.col("component_id").alias("linked_id")), "linked")
-    own = nodes.select("node", F.col("doc_id").alias("first_id"), "copies").join(linked, "node", "left")
-    columns = ["doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
-    chosen = ["node", F.coalesce("linked_id", "first_id").alias("component_id")]
-    if links:
-        own = own.join(counted, "node", "left")
-        chosen.append((F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-        columns.append(F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"))
-    out = beside(rows, kept(own.select(*chosen), "own"), "node", "left").select(*columns)
+    wanted = able.where("doc_id is not null").select("doc_id").distinct()
+    some = beside(texts, wanted, "doc_id", "left_semi").select("text").unionByName(texts.where("doc_id is null").select("text"))
+    members = beside(some.mapInArrow(sets_of, "node bigint, own binary"), meet, "node").select("region", "node", "own")
+    found = kept(_cells(members, meet, percent, region_most, scratch), "cells")
+    places = found.groupBy("node").agg(F.collect_set("base").alias("bases"))
+    places = kept(places.join(nodes.select("node", "copies"), "node"), "places")
+    linked = kept(_join_regions(_dealt(beside(found, places, "node")), percent), "links")
+    counted = kept(linked.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "counted")
+    tops = kept(components(linked.where("b is not null").select("a", "b")), "found")
+    named = kept(tops.join(nodes.select("node", "doc_id"), "node"), "named")
+    first = kept(named.groupBy("root").agg(F.min("doc_id").alias("linked_id")), "first")
+    own = nodes.select("node", F.col("doc_id").alias("first_id"), "copies").join(beside(named.select("node", "root"), first, "root"), "node", "left").join(counted, "node", "left")
+    own = own.select("node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    some = F.col("n_shingles") > 0
+    out = beside(rows, kept(own, "own"), "node", "left").select("doc_id", "node", "n_shingles", F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("n_links")).otherwise(0).cast("bigint").alias("n_links"), "root")
     out, _ = cut(out, "joined")
     for uri in scratch:
         remove_folder(spark, uri)
     return out
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, one for each id; rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
-    found = join(docs, **options)
-    stay, _ = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay_id")).distinct(), "stay")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    key = F.col(id_col).cast("bigint")
-    side = F.broadcast(stay) if stay.count() <= SMALL else stay.hint("merge")
-    out = docs.where(F.col(id_col).isNotNull()).join(side, key == F.col("_stay_id"), "left_semi")
-    if twice:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", region_most: int = REGION_MOST, links: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``, and with ``links`` its ``n_links``.
+
+    A text is lower-cased (A-Z) and cut into words; its set holds the distinct
+    runs of ``words`` words, or the whole text's words as one if there are
+    fewer. Two documents link when their intersection is at least ``percent``
+    per cent of their union, and component_id is the smallest id reachable by
+    links, the own one included; n_links is the number of other rows that the row
+    links with, exact copies among them. Texts without words, and null, have an empty
+    set and link with nothing, not even each other. Rows with a null id link
+    like others and lend no id: their component may be null. Repeated rows come
+    out as often; an empty table gives no rows. Hashes have 64 bits: two sets
+    or shingles that differ are taken for equal with a chance of 2^-64 a pair.
+    ``region_most``: sets of a region that one task joins without a further cut.
+    """
+    out = _joined(docs, words, percent, id_col, text_col, region_most)
+    return out.select("doc_id", "n_shingles", "component_id", *["n_links"] * links)
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", region_most: int = REGION_MOST) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component one row stays.
+
+    That is a row with the component's smallest id, a null id counting as larger
+    than any; where an id stands on rows of different texts, the text decides,
+    so each row is kept or dropped by its own set and none is lost with a
+    namesake. Rows with equal id and equal set are one document. Texts without
+    words are near nothing, and all such rows stay. An empty table gives no rows.
+    """
+    found = _joined(docs, words, percent, id_col, text_col, region_most).where("n_shingles > 0")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    node, none, first = fresh(docs, "node", "none", "first")
+    stay, _ = cut(found.groupBy("root").agg(least.alias("x")).select(F.col("x.node").alias(node), F.col("x.none").alias(none), F.col("x.doc_id").alias(first)), "stay")
+    keys = found.groupBy("doc_id", "node").count().where("count > 1")
+    twice, _ = cut(stay.join(keys, (F.col(node) == keys["node"]) & F.col(first).eqNullSafe(keys["doc_id"]), "left_semi"), "twice")
+
+    def name(data, offsets):
+        parts = [signatures(*shingle_sets(data, offsets[a : b + 1], words)) for a, b in groups(offsets)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    own = fresh(docs, "set")[0]
+    named = appended(docs, docs.columns, text_col, own, "bigint", name)
+    key = F.col(f"`{id_col}`").cast("bigint")
+    on = (F.col(own) == F.col(node)) & (F.col(none) == key.isNull()) & key.eqNullSafe(F.col(first))
+    side = lambda df: F.broadcast(df) if df.count() <= SMALL else df.hint("merge")
+    out = named.join(side(stay), on, "left_semi")
+    if twice.limit(1).count():
+        more = out.join(side(twice), on, "left_semi").dropDuplicates([own, id_col])
+        out = out.join(side(twice), on, "left_anti").unionByName(more)
+    return out.unionByName(named.where(F.col(own) == 0)).drop(own)
 
 
 SQL = """

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pluvial.llm import (_components, _labels, _words, byte_bpe, jaccard_join, kneser_ney, mixing, quality, queries, rabitq, token_blocks, token_counts, toxicity, uniform_topk)
+from pluvial.llm import (_components, _labels, _regions, _words, byte_bpe, jaccard_join, kneser_ney, mixing, quality, queries, rabitq, token_blocks, token_counts, toxicity, uniform_topk)
 from tests.oracle import ordered, sql_rows
 
 SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -455,7 +456,7 @@ def clusters(n=30):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("most", [jaccard_join.REGION_MOST, 300])
+@pytest.mark.parametrize("most", [jaccard_join.REGION_MOST, 6])
 def test_join_equals_brute_force(spark, docs, most):
     for df in (docs, spark.createDataFrame(clusters(), "doc_id long, text string").repartition(4)):
         rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
@@ -478,7 +479,7 @@ def brute_links(rows):
     return links
 
 
-@pytest.mark.parametrize("most", [jaccard_join.REGION_MOST, 300])
+@pytest.mark.parametrize("most", [jaccard_join.REGION_MOST, 6])
 def test_join_counts_every_link(spark, docs, most):
     rng = random.Random(6)
     base = [f"g{i}" for i in range(200)]
@@ -513,19 +514,76 @@ def test_join_of_nothing(none, docs):
     assert sorted(r.doc_id for r in stay.where("doc_id is not null").collect()) == sorted({k for k, r in found.items() if k is not None and r.component_id == k})
 
 
-def test_regions_by_probing():
+def pairs_of(sets):
+    return {(i, j) for j in range(len(sets)) for i in range(j) for both in [len(np.intersect1d(sets[i], sets[j]))] if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)}
+
+
+@pytest.mark.parametrize("leaf", [2, 8, 64])
+def test_links_within_regions(monkeypatch, leaf):
+    monkeypatch.setattr(_regions, "LEAF", leaf)
+    monkeypatch.setattr(_regions, "BLOCK", 7)
+    monkeypatch.setattr(_regions, "COLUMNS", 16)
+    monkeypatch.setattr(_regions, "PAIRS", 50)
     rng = np.random.default_rng(4)
-    for _ in range(30):
-        base = np.unique(rng.integers(0, 1 << 60, 60, dtype=np.uint64))
-        sets = [np.unique(np.where(rng.random(len(base)) < rng.random() * 0.3, rng.integers(0, 1 << 60, len(base), dtype=np.uint64), base)) for _ in range(25)]
-        roots = jaccard_join.join_region(sets)
-        up = list(range(25))
-        for i in range(25):
-            for j in range(i):
-                both = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                    up = [up[j] if u == up[i] else u for u in up]
-        assert len({*zip(up, roots.tolist())}) == len(set(up)) == len(set(roots.tolist()))
+    cut = 0
+    for k in range(20):
+        sets, passage = [], np.unique(rng.integers(0, 1 << 60, 12, dtype=np.uint64))
+        for _ in range(1 + k % 5):
+            base = np.unique(rng.integers(0, 1 << 60, rng.integers(5, 60), dtype=np.uint64))
+            for _ in range(12):
+                own = np.where(rng.random(len(base)) < rng.random() * 0.3, rng.integers(0, 1 << 60, len(base), dtype=np.uint64), base)
+                sets.append(np.unique(np.concatenate([own, passage]) if k % 2 else own))
+        want, at, held = pairs_of(sets), np.arange(len(sets)), _regions.Sets(sets)
+        for found in (_regions.links(held, at, 75), _regions.direct(held, at, 75)):
+            assert len(found[0]) == len(want) and {*zip(*(x.tolist() for x in found))} == want
+        side = rng.integers(0, 2, len(sets))
+        assert {(min(p), max(p)) for p in zip(*(x.tolist() for x in _regions.across(held, side, 75)))} == {(i, j) for i, j in want if side[i] != side[j]}
+        top = _regions.join_region(sets)
+        up = list(range(len(sets)))
+        for i, j in want:
+            up = [up[j] if u == up[i] else u for u in up]
+        assert len({*zip(up, top.tolist())}) == len(set(up)) == len(set(top.tolist()))
+        earlier = [np.asarray(rng.choice(6, rng.integers(0, 3), replace=False)) for _ in sets]
+        i, j = (np.asarray(x, int) for x in zip(*want))
+        assert _regions.unseen(earlier, i, j).tolist() == [not set(earlier[a].tolist()) & set(earlier[b].tolist()) for a, b in zip(i, j)]
+        cut += k % 5 > 1 and (_regions.cells(held, at, 75).sum(axis=1) < 0.8 * len(sets)).all()
+    assert cut  # cells that are smaller than their region
+
+
+def test_a_shared_element_is_no_work():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(np.append(rng.integers(1, 1 << 60, 5, dtype=np.uint64), np.uint64(7))) for _ in range(50_000)]
+    began = time.perf_counter()
+    assert (_regions.join_region(sets) == np.arange(50_000)).all()
+    assert time.perf_counter() - began < 20
+
+
+def test_a_shared_shingle_is_no_work(spark):
+    rows = spark.range(50_000).selectExpr("id as doc_id", "concat('a b c d e ', id, ' ', id * 7 % 50021, ' ', id * 11 % 50023, ' q', id, ' r', id) as text")
+    found = jaccard_join.join(rows, links=True)
+    assert found.where("n_shingles <> 6 or component_id <> doc_id or n_links > 0").count() == 0 and found.count() == 50_000
+
+
+def test_large_groups_are_dealt_over_tasks(spark):
+    rng = random.Random(3)
+    base = [f"g{i}" for i in range(60)]
+    texts = [near(rng, base, 1) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [tuple(r) for r in df.collect()]
+    got = jaccard_join.join(df, region_most=40, links=True).collect()
+    assert [r.n_links for r in sorted(got)] == brute_links(rows)
+    assert sorted([tuple(r)[:3] for r in got], key=repr) == brute_components(rows)
+
+
+def test_one_of_each_loses_no_document(spark):
+    rng = random.Random(4)
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(3, " ".join(a), "x"), (5, " ".join([*a, "more"]), "y"), (5, " ".join(b), "z"), (7, " ".join(b), "q"), (None, near(rng, a, 1), "n"), (None, "none of this is here yet", "n"), (None, "None of this  is here yet", "m"), (8, "", "e"), (8, None, "e"), (3, " ".join(a).upper(), "x")]
+    for parts in (1, 2, 5):
+        df = spark.createDataFrame(rows, "_stay_id long, node string, set string").repartition(parts)
+        got = jaccard_join.one_of_each(df, id_col="_stay_id", text_col="node").collect()
+        assert sorted(((r[0], (r[1] or "").lower().split()[:1]) for r in got), key=repr) == [(3, ["a0"]), (5, ["b0"]), (8, []), (8, []), (None, ["none"])]
+    assert jaccard_join.one_of_each(df.limit(0), id_col="_stay_id", text_col="node").count() == 0
 
 
 # ---- queries and the pipeline
