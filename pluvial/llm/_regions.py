@@ -142,7 +142,7 @@ def links(sets: Sets, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
     if len(at) <= LEAF:
         return direct(sets, at, percent)
     inside = cells(sets, at, percent)
-    if inside.sum(axis=1).max() > 0.8 * len(at):
+    if 2 * (inside.sum(axis=1) ** 2).sum() > len(at) ** 2:  # no fewer pairs
         return direct(sets, at, percent)
     found = [(at[:0], at[:0])]
     for c, own in enumerate(inside):

@@ -6,10 +6,11 @@ Regions: of each set the ``prefix`` holds its smallest hashes, so many that two
 linked sets share at least min(k, k') of them. Each prefix hash that several
 sets share elects one of them, and its sets join that pivot's region; two
 linked sets share a hash and so meet in a region. Sets that share fewer prefix
-hashes than any link needs are in no link and leave before. A set also leaves
-its least regions as long as it shares less than half of what a link needs in
-them together: two linked sets then still share a hash in a region that
-neither has left. So a passage that many documents hold brings few together.
+hashes than any link needs are in no link and leave before. Regions have one
+order for all sets, by how many hashes a member has in them on average, and a set
+leaves the first of them as long as it shares less than a link needs in them
+together: of the hashes that two linked sets share, the last lies in a region
+that neither has left. So a passage that many documents hold brings few together.
 
 Voronoi cells: a region of more than ``LEAF`` sets is cut about eight pivots;
 each set goes to its nearest pivot's cell and, as a boundary document, to every
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import SMALL, beside, components
@@ -37,8 +38,8 @@ from ._shared import appended, cut, fresh, remove_folder, text_bytes
 from ._words import combine, document_of, groups, mix, word_hashes
 
 WORDS, PERCENT = 5, 75
-#: Most sets and shingles of a region that one task joins, how often regions are cut, and most sets of a tile of what doesn't shrink.
-REGION_MOST, SHINGLES, LEVELS, TILE_MOST = 512, 1 << 21, 3, 2048
+#: Most sets and shingles of a region that one task joins, how often regions are cut, and tiles of what doesn't shrink, as far as memory allows.
+REGION_MOST, SHINGLES, LEVELS, TILES = 192, 1 << 22, 3, 24
 #: Least prefix hashes that a link shares (of sets that have as many); postings of a bucket; most bytes of pivots that are broadcast.
 SPARE, BUCKET, PIVOT_BYTES = 3, 1 << 20, 32 << 20
 WHOLE, SLICE = 2, 8 << 20
@@ -207,7 +208,7 @@ def _join_regions(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _split(members: DataFrame, percent: int, level: int, scratch: list[str]) -> DataFrame:
-    """One Voronoi step on regions that one task should not join: a row for each cell that a set belongs to."""
+    """One Voronoi step on regions that one task should not join: each set with the names of the cells it belongs to."""
     picks = [F.min_by("own", F.xxhash64("node", F.lit(level * 100 + i))).alias(f"p{i}") for i in range(PIVOTS)]
     pivots, uri = cut(members.groupBy("region").agg(*picks), "pivots")
     scratch.append(uri)
@@ -224,50 +225,56 @@ def _split(members: DataFrame, percent: int, level: int, scratch: list[str]) ->
                     at = np.asarray([k for k, x in enumerate(region) if x == r])
                     for p in range(PIVOTS):
                         d[p, at] = held.distances(np.frombuffer(picked[p][at[0]], np.uint64), at)
-                cell, at = np.nonzero(boundary(d, percent))
-                names = np.asarray(region, np.int64)
-                child = combine(names[at].view(np.uint64), cell.astype(np.uint64), salt=level + 1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(names[at]), pa.array(np.asarray(node, np.int64)[at]), own.column(2).take(pa.array(at))], ["region", "parent", "node", "own"])
+                at, cell = np.nonzero(boundary(d, percent).T)
+                names = np.asarray(region, np.int64)[at].view(np.uint64)
+                cells = combine(names, cell.astype(np.uint64), salt=level + 1).view(np.int64)
+                ends = np.searchsorted(at, np.arange(len(sets) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(cells))], ["region", "node", "own", "cells"])
 
-    return dealt.select("region", "node", "own", *[f"p{i}" for i in range(PIVOTS)]).mapInArrow(run, "region bigint, parent bigint, node bigint, own binary")
+    return dealt.select("region", "node", "own", *[f"p{i}" for i in range(PIVOTS)]).mapInArrow(run, "region bigint, node bigint, own binary, cells array<bigint>")
 
 
 def _cells(members: DataFrame, meet: DataFrame, percent: int, most: int, scratch: list[str]) -> DataFrame:
     """``base, node, own, tiles``: regions cut into Voronoi cells until none has more than ``most`` sets or
-    SHINGLES shingles, but for those that don't shrink; these get a number of tiles, the others 1."""
+    SHINGLES shingles. Where cells together have over half of their region's pairs, the region stays whole and
+    gets a number of tiles; the others have 1."""
 
     def kept(df: DataFrame, kind: str) -> DataFrame:
         out, uri = cut(df, kind)
         scratch.append(uri)
         return out
 
-    columns = ["base", "node", "own", "tiles"]
+    def placed(df: DataFrame, tiles: Column = F.lit(1)) -> DataFrame:
+        return df.select(F.col("region").alias("base"), "node", "own", tiles.alias("tiles"))
+
     large = (F.col("k") > most) | (F.col("shingles") > SHINGLES)
-    sized = lambda df, *more: df.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"), *more)
-    tile = F.greatest(F.lit(most // 4), F.least(F.lit(TILE_MOST), F.floor(F.col("k") / 32)), F.lit(1))
-    tiles = F.greatest(F.ceil(F.col("k") / tile), F.ceil(2 * F.col("shingles") / SHINGLES)).cast("int").alias("tiles")
-    sizes = kept(sized(meet).where(large), "sizes")
+    measures = F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")
+    tiles = F.greatest(F.least(F.ceil(F.col("k") / most), F.lit(TILES)), F.ceil(2 * F.col("shingles") / SHINGLES)).cast("int")
+    sizes = kept(meet.groupBy("region").agg(*measures).where(large), "sizes")
     if not sizes.count():
-        return members.select(F.col("region").alias("base"), "node", "own", F.lit(1).alias("tiles"))
+        return placed(members)
     members = kept(members.select("region", "node", "own"), "members")
-    done = [beside(members, sizes.select("region"), "region", "left_anti").select(F.col("region").alias("base"), "node", "own", F.lit(1).alias("tiles"))]
+    done = [placed(beside(members, sizes.select("region"), "region", "left_anti"))]
     open_ = beside(members, sizes.select("region"), "region", "left_semi")
     for level in range(LEVELS):
         found = kept(_split(open_, percent, level, scratch), "regions")
-        n = (F.length("own") / 8).cast("bigint")
-        grown = sized(found.select("region", "parent", n.alias("n")), F.first("parent").alias("parent"))
-        was = sizes.select(F.col("region").alias("parent"), F.col("k").alias("was"))
-        sizes = kept(grown.join(was, "parent").withColumn("large", large).withColumn("stuck", F.col("large") & (F.lit(level == LEVELS - 1) | (F.col("k") > 0.8 * F.col("was")))), "sizes")
-        placed = beside(found.select("region", "node", "own"), sizes.select("region", F.when(F.col("large") & ~F.col("stuck"), F.lit(0)).when(F.col("stuck"), tiles).otherwise(1).alias("tiles")), "region")
-        done.append(placed.where("tiles > 0").select(F.col("region").alias("base"), "node", "own", "tiles"))
-        sizes = sizes.where("large and not stuck")
+        grown = found.select("region", F.explode("cells").alias("cell"), (F.length("own") / 8).cast("bigint").alias("n")).groupBy("region", "cell").agg(*measures)
+        pairs = grown.groupBy("region").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
+        stuck = kept(sizes.join(pairs, "region").where("2 * pairs > k * k").select("region", tiles.alias("tiles")), "stuck")
+        done.append(placed(beside(found, stuck, "region"), F.col("tiles")))
+        moved = beside(found, stuck.select("region"), "region", "left_anti").select(F.explode("cells").alias("region"), "node", "own")
+        grown = beside(grown, stuck.select("region"), "region", "left_anti")
+        sizes = kept(grown.where(large).select(F.col("cell").alias("region"), "k", "shingles"), "sizes")
+        done.append(placed(beside(moved, sizes.select("region"), "region", "left_anti")))
         if not sizes.count():
             break
-        open_ = placed.where("tiles = 0").select("region", "node", "own")
+        open_ = beside(moved, sizes.select("region"), "region", "left_semi")
+    else:
+        done.append(placed(beside(open_, sizes.select("region", tiles.alias("tiles")), "region"), F.col("tiles")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(*columns)
+    return out
 
 
 def _dealt(cells: DataFrame) -> DataFrame:
@@ -306,9 +313,10 @@ def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     hits = kept(chosen.groupBy("node", "region").agg(F.sum("hits").alias("hits")), "hits")
     total = hits.groupBy("node").agg(F.sum("hits").alias("total"))
     able = kept(nodes.join(total, "node").withColumn("least", spared(partner)).where("total >= least").select("node", "doc_id", "n", "least"), "able")
-    upto = Window.partitionBy("node").orderBy("hits", "region").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    meet = beside(hits, able.select("node", "n", "least"), "node").withColumn("upto", F.sum("hits").over(upto))
-    meet = kept(meet.where(F.col("upto") > F.floor((F.col("least") - 1) / 2)).select("node", "region", "n"), "meet")
+    weight = kept(hits.groupBy("region").agg((F.sum("hits") / F.count(F.lit(1))).alias("weight")), "weights")
+    upto = Window.partitionBy("node").orderBy("weight", "region").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    meet = beside(beside(hits, weight, "region"), able.select("node", "n", "least"), "node").withColumn("upto", F.sum("hits").over(upto))
+    meet = kept(meet.where("upto >= least").select("node", "region", "n"), "meet")
     alone = kept(meet.groupBy("region").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("region"), "alone")
     meet = kept(beside(meet, alone, "region", "left_semi").select("node", "region", "n"), "meet")
 
