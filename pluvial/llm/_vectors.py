@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most vectors of a block.
-CANDIDATES, QUERIES, SLICES = 2048, 1024, 64
+#: Most vectors of a block; pairs of blocks that one task may hold one after the other.
+CANDIDATES, QUERIES, FIELD = 2048, 1024, 64
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, drop_zero: bool) -> DataFrame:
@@ -54,15 +54,25 @@ def blocks(rows: DataFrame, most: int, columns: str, pack) -> DataFrame:
 def paired(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Each block of queries beside every block of candidates of its length.
 
-    Candidate blocks are dealt over at most SLICES slices and query blocks are
-    copied to each, so a slice's pairs follow each other by query block and no
-    task holds more than two blocks and a query block's results.
+    The pairs form a grid of candidate slices by query groups, with as many
+    fields as the shuffle has partitions a few times over, and more where a
+    field would hold over FIELD pairs; the two numbers are chosen for the least
+    copying. A block of candidates is copied to each query group and a block of
+    queries to each slice. A field's pairs follow each other by query block, and
+    no task holds more than two blocks and a query block's results.
     """
-    n = min(SLICES, int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    c = candidates.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"))
-    q = queries.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    q = q.select(*[F.col(x).alias(x if x in ("dim", "slice") else f"q_{x}") for x in q.columns])
-    return q.hint("merge").join(c, ["dim", "slice"])
+    vectors = lambda df: df.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0)), F.count(F.lit(1))).first()
+    (c_bytes, c_blocks), (q_bytes, q_blocks) = vectors(candidates), vectors(queries)
+    fields = max(4 * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), c_blocks * q_blocks // FIELD)
+    groups = min(max(1, q_blocks), max(1, round((fields * q_bytes / max(1, c_bytes)) ** 0.5)))
+    slices = min(max(1, c_blocks), -(-fields // groups))
+    place = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = candidates.withColumn("slice", place(slices)).withColumn("group", every(groups))
+    q = queries.withColumn("group", place(groups)).withColumn("slice", every(slices))
+    on = ["dim", "slice", "group"]
+    q = q.select(*[F.col(x).alias(x if x in on else f"q_{x}") for x in q.columns])
+    return q.hint("merge").join(c, on)
 
 
 class Best:

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, remove_folder
+from ._components import SMALL
+from ._shared import cut, fresh, remove_folder
 
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[!|#$%&*]"
 BUCKET_DOCS, BROADCAST_SOURCES, SALTS, ROUNDS = 1024, 10_000, 64, 3
@@ -90,8 +91,8 @@ def _fill(rows: DataFrame, scratch: list[str]) -> tuple[DataFrame, bool]:
 def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (5, 2, 1), cap: float = 2.0, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rounds: int | None = None) -> DataFrame:
     """How often each document goes into the mix.
 
-    Returns ``doc_id, source, size, source_size, target, copies, taken`` per
-    row of ``docs``. ``size``: words of the whole text (null: 0). Sources by
+    Returns ``doc_id, source, size, source_size, target, copies, taken,
+    text_hash`` per row of ``docs``. ``size``: words of the whole text (null: 0). Sources by
     code point, null last, have the weights in turn and share ``share`` times
     all sizes; a target ends at ``cap`` times its source's size and the excess
     goes to the others. ``copies`` counts complete epochs, plus 1 for documents
@@ -100,12 +101,13 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (5, 2, 1),
     gap until a run takes none, or ``rounds`` times at most, so long documents
     at the edge don't leave it open.
     ``quality``: a positive Column of ``docs``; by default ``quality_weight``.
-    Keys depend on ids alone: reruns agree. Rows that agree in id, source and
-    size share one fate; null ids are one id. An empty table gives no rows.
+    Keys depend on ids and quality alone: reruns agree. Rows that agree in id,
+    source and text share one fate; null ids are one id. An empty table gives
+    no rows.
     """
     text = F.col(text_col)
     size = sizes(text)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), (quality_weight(text, size) if quality is None else quality.cast("double")).alias("quality"))
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text.cast("string")).alias("text_hash"), (quality_weight(text, size) if quality is None else quality.cast("double")).alias("quality"))
     digest = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 13)
     u = (F.conv(digest, 16, 10).cast("double") + 0.5) / float(1 << 52)
     scratch: list[str] = []
@@ -126,19 +128,28 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (5, 2, 1),
         rows, some = _fill(rows, scratch)
         done += 1
     copies = (F.col("epochs") + F.col("chosen").cast("bigint")).cast("bigint")
-    out, _ = cut(rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")), "mix")
+    out, _ = cut(rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "text_hash"), "mix")
     for uri in scratch:
         remove_folder(docs.sparkSession, uri)
     return out
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the same columns."""
+    """The rows of ``docs`` as often as the mix takes them, with the same columns.
+
+    Rows with equal id, source and text are told from others by a 64-bit hash of
+    the text. Texts without words take nothing and come out once for each epoch
+    of their source. An empty table gives no rows.
+    """
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    fate = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies")).distinct()
-    sized = docs.withColumn("_mix_own_size", sizes(F.col(text_col)))
-    on = F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_own_size") == F.col("_mix_size"))
-    out = sized.join(fate, on).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
+    names = fresh(docs, "mix_id", "mix_source", "mix_text", "mix_copies")
+    own, source, text, copies = names
+    fate = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(own), F.col("source").alias(source), F.col("text_hash").alias(text)).agg(F.max("copies").alias(copies))
+    fate, uri = cut(fate, "mix")
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(source)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(text))
+    out = docs.join(F.broadcast(fate) if fate.count() <= SMALL else fate.hint("merge"), on)
+    copy = fresh(docs, "mix_copy")[0]
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -81,4 +81,4 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op4_uniform_topk": uniform_topk.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_rabitq": rabitq.SQL, "op4_uniform_topk": uniform_topk.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}

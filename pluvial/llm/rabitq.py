@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import _vectors as V
 from ._shared import cut
 
-EPSILON, PAIRS = 3.5, 1 << 17
+EPSILON, PAIRS = 3.5, 1 << 14
 
 
 @lru_cache(maxsize=4)
@@ -45,6 +45,7 @@ def _meet(k: int, epsilon: float):
         size = turn.shape[1]
         q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
         q, raw = (np.frombuffer(row[n]).reshape(-1, dim) for n in ("q_raw", "raw"))
+        columns = np.ascontiguousarray(q.T), np.ascontiguousarray(raw.T)
         norm, fit = np.frombuffer(row["scalars"]).reshape(2, -1)
         bits = np.unpackbits(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32) * 2 - 1
         estimate = ((q @ turn).astype(np.float32) @ bits.T) * (norm / fit / np.sqrt(size)).astype(np.float32)
@@ -53,7 +54,12 @@ def _meet(k: int, epsilon: float):
         estimate[q_ids[:, None] == ids] = -np.inf
 
         def exact(qi, ci):
-            return np.concatenate([np.einsum("ij,ij->i", q[qi[a : a + PAIRS]], raw[ci[a : a + PAIRS]]) for a in range(0, len(qi), PAIRS)]) if len(qi) else np.zeros(0)
+            out = np.zeros(len(qi))
+            for a in range(0, len(qi), PAIRS):
+                x, y, sums = columns[0][:, qi[a : a + PAIRS]], columns[1][:, ci[a : a + PAIRS]], out[a : a + PAIRS]
+                for d in range(dim):  # one component after the other, so that a score is the same sum everywhere
+                    sums += x[d] * y[d]
+            return out
 
         if len(ids) > k:
             first = np.argpartition(-estimate, k - 1, axis=1)[:, :k]
@@ -86,7 +92,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, epsilon: float = EPSILON,
     """
     rows = V.usable(vectors, id_col, vec_col, drop_zero=True)
     kinds = "codes binary, scalars binary, raw binary"
-    candidates = V.blocks(rows, V.CANDIDATES, kinds, pack)
+    candidates, _ = cut(V.blocks(rows, V.CANDIDATES, kinds, pack), "candidates")
     queries, _ = cut(V.blocks(rows.where(is_query(F.col("vec_id"))), V.QUERIES, "raw binary", lambda x: {"raw": x}).withColumn("block", F.xxhash64("ids")), "queries")
     found = V.scan(V.paired(candidates, queries), ["q_ids", "q_raw", "ids", "codes", "scalars", "raw"], k, np.float64, _meet(k, epsilon))
     return V.merged(found, queries.select("block", F.col("ids").alias("q_ids")), k, np.float64, "double")
+
+
+SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.w, c.w) AS score
+  FROM v q JOIN v c ON len(q.w) = len(c.w) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 20
+"""

@@ -189,7 +189,10 @@ def _encoder(path: str) -> BatchEncoder:
     from tokenizers.pre_tokenizers import ByteLevel
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    about = json.loads(tok.to_str())
+    first = about["pre_tokenizer"] or {}
+    if first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True) or about["normalizer"]:
+        raise ValueError(f"{path}: texts are cut where byte-level BPE without a normalizer allows it")
     one_byte = set(ByteLevel.alphabet())  # the vocabulary writes each byte as one of these characters
     vocab = tok.get_vocab()
     token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -204,9 +207,13 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | N
     Returns the manifest, one row for each file: ``part`` int, ``path``,
     ``docs`` and ``ids`` long, ``start`` long (ids in all files before it); it
     has as many rows as there are partitions. Null and empty texts have the end
-    id alone; null ids come first; equal ids stay together in one file. A task
-    that runs twice writes under another name, and the manifest names the file
-    of the attempt that counts.
+    id alone; null ids come first; rows of equal id lie in the order of their
+    texts, so reruns agree. The strings of the tokenizer's special tokens are
+    these tokens, as they are by the library's default. Other columns are not
+    read. A task that runs twice writes under another name, and the manifest
+    names the file of the attempt that counts. Stretches of text are told apart
+    by 64-bit hashes. Only byte-level BPE without a normalizer or a first space
+    is taken: for it alone texts may be cut.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -229,7 +236,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | N
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [writer.path], "docs": [n], "ids": [ids]})
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    files = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "part int, path string, docs bigint, ids bigint")
+    files = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part int, path string, docs bigint, ids bigint")
     start, rows = 0, []
     for r in sorted(files.collect(), key=lambda r: r.part):  # a row for each partition
         rows.append((r.part, r.path, r.docs, r.ids, start))
@@ -238,7 +245,10 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | N
 
 
 def read(spark: SparkSession, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """Per document of the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and, if asked for, ``ids`` binary."""
+    """Per document of the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and, if asked for, ``ids`` binary.
+
+    Repeated and null ids come out as they were written; an empty manifest gives no rows; a file that is gone is an error.
+    """
 
     def run(batches):
         for batch in batches:

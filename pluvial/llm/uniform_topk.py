@@ -104,7 +104,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, groups: i
     def whole(x: np.ndarray) -> dict[str, np.ndarray]:
         return {"raw": np.floor(scale * x).astype(np.int64)}
 
-    candidates = V.blocks(rows, V.CANDIDATES, "raw binary", whole)
+    candidates, _ = cut(V.blocks(rows, V.CANDIDATES, "raw binary", whole), "candidates")
     queries, _ = cut(V.blocks(rows.where(is_query(F.col("vec_id"))), V.QUERIES, "raw binary", whole).withColumn("block", F.xxhash64("ids")), "queries")
     names = ["q_ids", "q_raw", "ids", "raw"]
     lists = V.scan(V.paired(candidates, queries), names, k, np.int64, _lists(k, groups))

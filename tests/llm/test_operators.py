@@ -266,19 +266,25 @@ def test_token_files(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     manifest = token_blocks.write(docs, vocab.path("byte_bpe_50k.json"), folder=f"file://{tmp_path}/tokens")
     rows = token_blocks.read(spark, manifest, with_ids=True).collect()
     assert len(rows) == docs.count()
     texts = collections.defaultdict(list)
     for r in docs.select("doc_id", "text").collect():
         texts[r.doc_id].append(r.text)
+    for own in texts.values():
+        own.sort(key=lambda t: (t is not None, t), reverse=True)
     at = 0
     for r in sorted(rows, key=lambda r: r.start):
         ids = np.frombuffer(r.ids, "<u4").tolist()
         assert ids == tok.encode(texts[r.doc_id].pop() or "", add_special_tokens=False).ids + [0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(r.ids))
         at += len(ids)
+    twice = token_blocks.read(spark, token_blocks.write(docs.repartition(7), vocab.path("byte_bpe_50k.json"), folder=f"file://{tmp_path}/again"), with_ids=True).collect()
+    assert sorted(map(tuple, twice), key=lambda r: r[1]) == sorted(map(tuple, rows), key=lambda r: r[1])
+    assert any(50256 in np.frombuffer(r.ids, "<u4") for r in rows)  # <|endoftext|> in a text, by the library's default
+    with pytest.raises(ValueError):
+        token_blocks._encoder(vocab.path("word_bpe_49k.json"))
     order = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda x: (x is not None, x))
     empty = token_blocks.write(none, vocab.path("byte_bpe_50k.json"), folder=f"file://{tmp_path}/none")
@@ -410,6 +416,15 @@ def test_mixing_fills_until_nothing_fits(spark):
     assert short
 
 
+def test_mixed_rows_with_clashing_names(spark):
+    rows = [(i % 7 if i % 5 else None, f"w{i % 11} " * (1 + i % 4), "s", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "mix_id long, mix_text string, mix_source string, mix_copies int")
+    names = {"id_col": "mix_id", "text_col": "mix_text", "source_col": "mix_source"}
+    got = collections.Counter(map(tuple, mixing.mixed_rows(df, **names).collect()))
+    assert set(got) <= set(rows) and max(got.values()) <= 2
+    assert sum(len(words(r[1])) * n for r, n in got.items()) == sum(r.taken for r in mixing.mix(df, **names).collect())
+
+
 def test_mixing_without_broadcast(spark, docs, monkeypatch):
     want = sorted(map(repr, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
