@@ -1,17 +1,18 @@
 """Interpolated modified Kneser-Ney scores from n-grams counted in Spark.
 
 Tokens are words and one end for each text; each text is preceded by begins
-that are never predicted. Batches are counted where they are read. N-grams of
-the highest order meet in buckets of their contexts as binary blocks; each
-bucket becomes one file: sorted 64-bit hashes of contexts, and behind each the
-words that follow it with their counts. It hands on its part of the next lower
-order's continuation counts, and so on down to pairs. Their buckets become
-files of sorted hashes of pairs with counts, or of sorted hashes of words with
-the total of the pairs they begin, the number of words they follow, and how
-many pairs they begin that count one, two, or more. Words are counted once more
-by themselves. Scoring tasks map the files into memory and search them for what
-a batch holds; pages are read as they are needed and shared by the workers of a
-machine.
+that are never predicted. Batches are counted where they are read. First words
+are counted by 64-bit hashes and get ids, frequent ones the smaller. N-grams of
+the highest order, as ids, meet in buckets of their contexts as compressed
+blocks; each bucket becomes one file: sorted hashes of contexts, and behind
+each the words that follow it with their counts. It hands on its part of the
+next lower order's continuation counts, and so on down to pairs. Their buckets
+become files of sorted hashes of pairs with counts, or of sorted words with the
+total of the pairs they begin, the number of words they follow, and how many
+pairs they begin that count one, two, or more. Scoring tasks map the files into
+memory and search them for what a batch holds; pages are read as they are
+needed and shared by the workers of a machine. A file that was written and
+cannot be seen is an error.
 
     p(w | uv) = (c(uvw) - D3) / c(uv) + g(uv) p(w | v)
     p(w | v)  = (a(vw) - D2) / a(v) + g(v) p(w)
@@ -29,21 +30,26 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._chunks import ragged
 from ._shared import local_path, new_folder, publish, text_bytes
 from ._words import combine, groups, mix, word_hashes
 
-#: In n-grams words are known by 48 bits of their hash: as many as 16 million tell apart with a chance of a half.
-WORD_BITS, SPREAD, SLICE, SCORED = np.uint64(16), 8, 16 << 20, 4 << 20
-END, BEGIN = np.uint64(1), np.uint64(2)
+SLICE, SCORED, CHUNK = 16 << 20, 4 << 20, 8
+#: N-grams of a bucket, about. A bucket's contexts and pairs are known by 40 bits of their hash, and its number by others.
+BUCKET, HASH_BYTES, CLASSES = 2_000_000, 5, 64
+END = np.uint64(1)
+#: The ids of words that were never counted and of begins; counted words follow.
+UNKNOWN, BEGIN, FIRST = 0, 1, 2
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every token of a range of documents, in 64 bits, and the n + 1 places where documents start."""
     words, counts = (np.concatenate(x) for x in zip(*[word_hashes(data, offsets[a : b + 1]) for a, b in groups(offsets)], strict=True))
-    words = np.maximum(words, np.uint64(3))
+    words = np.maximum(words, np.uint64(2))
     ends = np.concatenate([[0], np.cumsum(counts + 1)])
     token = np.full(ends[-1], END, np.uint64)
     inner = np.ones(ends[-1], bool)
@@ -52,11 +58,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return token, ends
 
 
-def ngrams(token: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
-    """The ``order`` columns of every token's n-gram, the token itself last, in 48 bits."""
-    columns = [np.where(token == END, END, np.maximum(token >> WORD_BITS, np.uint64(3)))]
+def ngrams(ids: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
+    """The ``order`` columns of every token's n-gram, the token itself last."""
+    columns = [ids.astype(np.uint64)]
     for _ in range(order - 1):
-        before = np.empty_like(token)
+        before = np.empty_like(columns[0])
         before[1:] = columns[0][:-1]
         before[ends[:-1]] = BEGIN
         columns.insert(0, before)
@@ -64,8 +70,9 @@ def ngrams(token: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def pair_bucket(v: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """Pairs of one v lie in SPREAD buckets, so that a frequent word doesn't fill one."""
-    return (mix(v) % np.uint64(n // SPREAD) * np.uint64(SPREAD) + mix(w) % np.uint64(SPREAD)).astype(np.int32)
+    """Pairs of one v lie in an eighth of the buckets, so that a frequent word doesn't fill one."""
+    spread = np.uint64(max(8, n // 8))
+    return (mix(v + END) % (np.uint64(n) // spread) * spread + mix(w + END) % spread).astype(np.int32)
 
 
 def word_bucket(w: np.ndarray, n: int) -> np.ndarray:
@@ -80,23 +87,31 @@ def context_bucket(context: np.ndarray, n: int) -> np.ndarray:
     return (mix(context) % np.uint64(n)).astype(np.int32)
 
 
-def _pack48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def short(h: np.ndarray) -> np.ndarray:
+    """The bits of a hash that files hold."""
+    return h >> np.uint64(64 - 8 * HASH_BYTES)
 
 
-def _unpack48(x: np.ndarray) -> np.ndarray:
-    """From rows of six bytes."""
+def _cut(x: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    """Numbers from rows of a few bytes."""
     out = np.zeros((len(x), 8), np.uint8)
-    out[:, :6] = x
+    out[:, : x.shape[1]] = x
     return out.reshape(-1).view("<u8")
 
 
-def _split48(x: np.ndarray) -> list[bytes]:
-    return [(x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (x >> np.uint64(32)).astype("<u2").tobytes()]
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Equally long columns of unsigned 32-bit numbers, each byte's plane by itself."""
+    planes = [np.ascontiguousarray(np.asarray(c, "<u4").view(np.uint8).reshape(-1, 4).T) for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
 
 
-def _join48(low: list[bytes], high: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(low), "<u4").astype(np.uint64) | np.frombuffer(b"".join(high), "<u2").astype(np.uint64) << np.uint64(32)
+def unsqueezed(data: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 4, -1)
+    return [np.ascontiguousarray(p.T).reshape(-1).view("<u4").astype(np.uint64) for p in planes]
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -107,14 +122,6 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[head], *(np.add.reduceat(v[order], head) if len(head) else v for v in values)
 
 
-_PAIR_COLS = ["bucket", "v0", "v1", "w0", "w1", "n"]
-_GRAM_COLS = ["bucket", "contexts", "followers", "w", "n"]
-
-
-def _kinds(columns: list[str]) -> str:
-    return ", ".join(f"{c} {'int' if c == 'bucket' else 'binary'}" for c in columns)
-
-
 def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams and the sums of their counts."""
     key = combine(*columns)
@@ -126,40 +133,47 @@ def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tu
     return [c[order[head]] for c in columns], np.add.reduceat(counts[order], head)
 
 
-def _blocks(columns: list[np.ndarray], counts: np.ndarray, n_buckets: int) -> tuple[list, list[str]]:
-    """Columns of a row for each bucket that distinct n-grams reach, and their names."""
-    if len(columns) == 2:
-        v, w = columns
-        bucket = pair_bucket(v, w, n_buckets)
-        order = np.argsort(bucket, kind="stable")
-        v, w, counts, bucket = v[order], w[order], counts[order].astype("<u4"), bucket[order]
-        edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        rows = [[i, *_split48(v[x:y]), *_split48(w[x:y]), counts[x:y].tobytes()] for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
-        names = _PAIR_COLS
-    else:
-        context = context_hash(columns[:-1])
-        bucket = context_bucket(context, n_buckets)
-        order = np.lexsort((context, bucket))
-        context, bucket, counts = context[order], bucket[order], counts[order].astype("<u4")
-        columns = [c[order] for c in columns]
-        edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        rows, names = [], _GRAM_COLS
-        for i in np.flatnonzero(np.diff(edges)).tolist():
-            x, y = edges[i], edges[i + 1]
-            head = x + np.flatnonzero(np.concatenate([[True], context[x + 1 : y] != context[x : y - 1]]))
-            rows.append([i, b"".join(_pack48(c[head]) for c in columns[:-1]), np.diff(np.append(head, y)).astype("<u4").tobytes(), _pack48(columns[-1][x:y]), counts[x:y].tobytes()])
+#: A block of n-grams: what its contexts are and how many words follow each; the words and counts; notes of the files written so far.
+_BLOCK = "bucket int, contexts binary, words binary, notes binary"
+
+
+def _blocks(columns: list[np.ndarray], counts: np.ndarray, n_buckets: int, notes: bytes = b"") -> list[pa.Array]:
+    """A row for each bucket that distinct n-grams reach. Contexts are sorted, the first word as differences, for the codec."""
+    bucket = pair_bucket(*columns, n_buckets) if len(columns) == 2 else context_bucket(context_hash(columns[:-1]), n_buckets)
+    order = np.lexsort((*columns[-2::-1], bucket))
+    columns, counts, bucket = [c[order] for c in columns], counts[order], bucket[order]
+    new = bucket[1:] != bucket[:-1]
+    for c in columns[:-1]:
+        new |= c[1:] != c[:-1]
+    head = np.flatnonzero(np.concatenate([[True], new]))
+    follow = np.diff(np.append(head, len(bucket)))
+    edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
+    rows = []
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        x, y = edges[i], edges[i + 1]
+        p, q = np.searchsorted(head, (x, y))
+        own = head[p:q]
+        rows.append((i, squeezed(np.diff(columns[0][own], prepend=np.uint64(0)), *(c[own] for c in columns[1:-1]), follow[p:q]), squeezed(columns[-1][x:y], counts[x:y]), b"" if rows else notes))
     cols = list(zip(*rows, strict=True))
-    return [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names
+    return [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])]
 
 
-def _grams(order: int, n_buckets: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for a, b in groups(offsets, SLICE, 1 << 16):
-                yield pa.RecordBatch.from_arrays(*_blocks(*_distinct(ngrams(*tokens(data, offsets[a : b + 1]), order)), n_buckets))
+def _unblocked(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    parts, counts = [[] for _ in range(order)], []
+    for c, w in zip(table.column("contexts").to_pylist(), table.column("words").to_pylist(), strict=True):
+        first, *rest, follow = unsqueezed(c, order)
+        for part, x in zip(parts, (np.cumsum(first), *rest), strict=False):
+            part.append(np.repeat(x, follow.astype(np.int64)))
+        word, n = unsqueezed(w, 2)
+        parts[-1].append(word)
+        counts.append(n.astype(np.int64))
+    return _distinct([np.concatenate(x) for x in parts], np.concatenate(counts))
 
-    return run
+
+def _note(table: pa.Table, order: int, n: np.ndarray) -> bytes:
+    """What the rows have noted, and a note of the order, the bucket, and how many counts are 1, 2, 3 and 4."""
+    own = np.asarray([order, table.column("bucket")[0].as_py(), *((n == i).sum() for i in (1, 2, 3, 4))], "<i8").tobytes()
+    return b"".join(table.column("notes").to_pylist()) + own
 
 
 def _small(n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -168,29 +182,33 @@ def _small(n: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     return many, [many.astype("<u8").tobytes(), n[many].astype("<u8").tobytes(), np.minimum(n, 255).astype("u1").tobytes()]
 
 
-def _merge_grams(place: str, order: int, n_below: int):
+def _grams(about: dict, order: int, n_buckets: int):
+    def run(batches):
+        model = Model(about)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for a, b in groups(offsets, SLICE, 1 << 16):
+                token, ends = tokens(data, offsets[a : b + 1])
+                yield pa.RecordBatch.from_arrays(_blocks(*_distinct(ngrams(model.words(token)[0], ends, order)), n_buckets), ["bucket", "contexts", "words", "notes"])
+
+    return run
+
+
+def _merge_grams(place: str, order: int, width: int, n_below: int):
     """The file of a bucket of n-grams; hands on its part of the counts of one order less."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [[] for _ in range(order)]
-        for c, f, w in zip(*(table.column(x).to_pylist() for x in ("contexts", "followers", "w")), strict=True):
-            own = _unpack48(np.frombuffer(c, np.uint8).reshape(-1, 6)).reshape(order - 1, -1)
-            for k in range(order - 1):
-                parts[k].append(np.repeat(own[k], np.frombuffer(f, "<u4")))
-            parts[-1].append(_unpack48(np.frombuffer(w, np.uint8).reshape(-1, 6)))
-        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4").astype(np.int64)
-        columns, n = _distinct([np.concatenate(x) for x in parts], n)
-        context = context_hash(columns[:-1])
+        columns, n = _unblocked(table, order)
+        context = short(context_hash(columns[:-1]))
         at = np.lexsort((columns[-1], context))
         columns, n, context = [c[at] for c in columns], n[at], context[at]
         head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        many, counts = _small(n)
-        classes = [(n == i).sum() for i in (1, 2, 3, 4)]
-        header = np.asarray([len(head), len(n), len(many), *classes], "<u8").tobytes()
-        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, context[head].tobytes(), np.append(head, len(n)).astype("<u4").tobytes(), _pack48(columns[-1]), *counts]))
+        follow = np.diff(np.append(head, len(n)))
+        (far, follows), (many, counts) = _small(follow), _small(n)
+        header = np.asarray([len(head), len(n), len(far), len(many)], "<u8").tobytes()
+        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, *follows, *counts, head[::CHUNK].astype("<u8").tobytes(), _cut(context[head], HASH_BYTES), _cut(columns[-1], width)]))
         below = _distinct(columns[1:], np.where(columns[1] == BEGIN, n, 1))
-        cols, names = _blocks(*below, n_below)
-        return pa.table(cols, names=names)
+        return pa.table(_blocks(*below, n_below, _note(table, order, n)), names=["bucket", "contexts", "words", "notes"])
 
     return run
 
@@ -210,6 +228,11 @@ def _counts(n_buckets: int):
     return run
 
 
+def _classes(n: np.ndarray) -> np.ndarray:
+    """0 for the largest counts; a class for each power of two."""
+    return CLASSES - np.frexp(n.astype(np.float64))[1]
+
+
 def _merge_counts(place: str):
     """The file of a bucket of words, by all 64 bits, with how often each occurs."""
 
@@ -218,25 +241,37 @@ def _merge_counts(place: str):
         word, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("word", "<u8"), ("n", "<u4")))
         word, n = _summed(word, n.astype(np.int64))
         publish(place, f"counts-{bucket:06d}", b"".join([np.asarray([len(word)], "<u8").tobytes(), word.tobytes(), n.astype("<u8").tobytes()]))
-        return pa.table({"vocabulary": pa.array([len(word)], pa.int64()), "tokens": pa.array([n.sum()], pa.int64())})
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "tokens": pa.array([n.sum()], pa.int64()), "classes": [np.bincount(_classes(n), minlength=CLASSES + 1).tolist()]})
 
     return run
 
 
-_WORD_COLS = ["bucket", "w0", "w1", "total", "follows", "once", "twice", "more", "classes"]
+def _name_words(place: str, starts: dict[int, np.ndarray]):
+    """The file of ids beside each file of counts: by class, then bucket, then hash."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket in (x for x in batch.column(0).to_pylist() if x in starts):
+                raw = np.memmap(os.path.join(place, f"counts-{bucket:06d}"), np.uint8, "r")
+                n = Model._take(raw, 8 + 8 * int(Model._take(raw, 0, 1, "<u8")[0]), int(Model._take(raw, 0, 1, "<u8")[0]), "<u8")
+                kind = _classes(n)
+                order = np.argsort(kind, kind="stable")
+                sizes = np.bincount(kind, minlength=CLASSES + 1)
+                ids = np.empty(len(n), "<u4")
+                ids[order] = ragged(starts[bucket], sizes)
+                publish(place, f"ids-{bucket:06d}", ids.tobytes())
+            yield batch
+
+    return run
 
 
 def _merge_pairs(place: str, n_words: int):
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("v0", "v1", "w0", "w1", "n")}
-        v, w, n = _join48(cols["v0"], cols["v1"]), _join48(cols["w0"], cols["w1"]), np.frombuffer(b"".join(cols["n"]), "<u4").astype(np.int64)
-        key = combine(v, w)
+        (v, w), n = _unblocked(table, 2)
+        key = short(combine(v, w))
         order = np.argsort(key, kind="stable")
-        key, v, w, n = key[order], v[order], w[order], n[order]
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, v, w, n = key[head], v[head], w[head], np.add.reduceat(n, head)
-        many, counts = _small(n)
-        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), key.tobytes(), *counts]))
+        many, counts = _small(n[order])
+        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), *counts, _cut(key[order], HASH_BYTES)]))
         one = np.ones_like(n)
         targets = _summed(w, one)
         contexts = _summed(v, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
@@ -245,35 +280,29 @@ def _merge_pairs(place: str, n_words: int):
         total = np.concatenate([zero_t, contexts[1]])
         rest = [np.concatenate(x) for x in ((targets[1], zero_c), (zero_t, contexts[2]), (zero_t, contexts[3]), (zero_t, contexts[4]))]
         word, total, *rest = _summed(word, total, *rest)
-        classes = np.asarray([(n == i).sum() for i in (1, 2, 3, 4)], "<i8").tobytes()
         bucket = word_bucket(word, n_words)
         order = np.argsort(bucket, kind="stable")
-        word, total, bucket, rest = word[order], total[order], bucket[order], [x[order].astype("<u4") for x in rest]
+        word, total, bucket, rest = word[order], total[order], bucket[order], [x[order] for x in rest]
         edges = np.searchsorted(bucket, np.arange(n_words + 1))
         rows = []
-        for i, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if y > x:
-                rows.append([i, *_split48(word[x:y]), total[x:y].astype("<u8").tobytes(), *(r[x:y].tobytes() for r in rest), b"" if rows else classes])
+        for i in np.flatnonzero(np.diff(edges)).tolist():
+            x, y = edges[i], edges[i + 1]
+            rows.append((i, squeezed(np.diff(word[x:y], prepend=np.uint64(0)), *(r[x:y] for r in rest)), total[x:y].astype("<u8").tobytes(), b"" if rows else _note(table, 2, n)))
         cols = list(zip(*rows, strict=True))
-        return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=_WORD_COLS)
+        return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "words", "totals", "notes"])
 
     return run
 
 
-_TOTALS = "bucket int, words bigint, pairs bigint, classes array<bigint>, follow_classes array<bigint>"
-
-
 def _merge_words(place: str):
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in _WORD_COLS[1:]}
         bucket = table.column("bucket")[0].as_py()
-        word = _join48(cols["w0"], cols["w1"])
-        read = lambda c, kind: np.frombuffer(b"".join(cols[c]), kind).astype(np.int64)
-        word, total, follows, once, twice, more = _summed(word, read("total", "<u8"), *(read(c, "<u4") for c in ("follows", "once", "twice", "more")))
-        publish(place, f"words-{bucket:06d}", b"".join([np.asarray([len(word)], "<u8").tobytes(), word.tobytes(), total.astype("<u8").tobytes(), *(x.astype("<u4").tobytes() for x in (follows, once, twice, more))]))
-        real = word != BEGIN
-        classes = sum((np.frombuffer(c, "<i8") for c in cols["classes"] if c), np.zeros(4, np.int64))
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "words": [int(real.sum())], "pairs": [int(follows.sum())], "classes": [classes.tolist()], "follow_classes": [[int((follows == i).sum()) for i in (1, 2, 3, 4)]]})
+        parts = [unsqueezed(x, 5) for x in table.column("words").to_pylist()]
+        word = np.concatenate([np.cumsum(p[0]) for p in parts])
+        total = np.frombuffer(b"".join(table.column("totals").to_pylist()), "<u8").astype(np.int64)
+        word, total, follows, once, twice, more = _summed(word, total, *(np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(1, 5)))
+        publish(place, f"words-{bucket:06d}", b"".join([np.asarray([len(word)], "<u8").tobytes(), total.astype("<u8").tobytes(), word.astype("<u4").tobytes(), *(x.astype("<u4").tobytes() for x in (follows, once, twice, more))]))
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "words": [int((word != BEGIN).sum())], "pairs": [int(follows.sum())], "follow_classes": [[int((follows == i).sum()) for i in (1, 2, 3, 4)]], "notes": pa.array([b"".join(table.column("notes").to_pylist())], pa.binary())})
 
     return run
 
@@ -286,52 +315,78 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True)]
 
 
-def _gram_classes(spark, place: str, orders: range, n: int) -> dict[int, list[int]]:
-    """For each order, how many n-grams count 1, 2, 3 and 4, from the heads of the files."""
-
-    def run(batches):
-        for batch in batches:
-            found = []
-            for i in batch.column(0).to_pylist():
-                path = os.path.join(place, f"grams-{orders.start + i // n}-{i % n:06d}")
-                if os.path.exists(path):
-                    found.append([orders.start + i // n, np.fromfile(path, "<u8", 7)[3:].tolist()])
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["order", "classes"])
-
-    if not len(orders):
-        return {}
-    found = spark.range(len(orders) * n).mapInArrow(run, "order int, classes array<bigint>")
-    sums = found.groupBy("order").agg(*[F.sum(F.col("classes")[k]).alias(f"n{k}") for k in range(4)]).collect()  # a row for each order
-    return {k: [0] * 4 for k in orders} | {r[0]: list(r[1:]) for r in sums}
-
-
 def train(docs: DataFrame, folder: str | None = None, text_col: str = "text", order: int = 2) -> dict:
     """Count ``docs`` (all of its rows) and write the model's files; returns where they are and the totals.
 
     ``order``: the longest n-grams, 2 at least. Null and empty texts are one end
-    each. Files have names by bucket and are replaced whole, so a task that runs
-    twice does no harm.
+    each; repeated rows count as often. Files have names by bucket and are
+    replaced whole, so a task that runs twice does no harm; the totals list the
+    files, so one that is lost is not taken for an empty bucket. The number of
+    buckets follows the number of tokens.
     """
     if order < 2:
         raise ValueError("order: 2 at least")
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "ngrams")
     place = local_path(folder)
-    n_pairs = SPREAD * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 // SPREAD)
-    n_words, n_grams = max(4, n_pairs // 2), 2 * n_pairs
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counted = texts.mapInArrow(_counts(n_words), "bucket int, word binary, n binary").groupBy("bucket").applyInArrow(_merge_counts(place), "vocabulary bigint, tokens bigint")
-    vocabulary, tokens_ = (x or 0 for x in counted.agg(F.sum("vocabulary"), F.sum("tokens")).first())
-    kinds = lambda k: _kinds(_GRAM_COLS if k > 2 else _PAIR_COLS)
-    number = lambda k: n_grams if k > 2 else n_pairs
-    blocks = texts.mapInArrow(_grams(order, number(order)), kinds(order))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_words = max(4, partitions, texts.rdd.getNumPartitions())
+    counted = texts.mapInArrow(_counts(n_words), "bucket int, word binary, n binary").groupBy("bucket").applyInArrow(_merge_counts(place), "bucket int, tokens bigint, classes array<bigint>").collect()  # a row for each bucket
+    sizes = np.asarray([r.classes for r in counted], np.int64).reshape(len(counted), CLASSES + 1)
+    starts = FIRST + (np.cumsum(sizes.T.ravel()) - sizes.T.ravel()).reshape(CLASSES + 1, -1).T
+    vocabulary, n_tokens = int(sizes.sum()), sum(r.tokens for r in counted)
+    if vocabulary + FIRST >= 1 << 32:
+        raise ValueError("more words than ids")
+    spark.range(n_words).mapInArrow(_name_words(place, {r.bucket: s for r, s in zip(counted, starts, strict=True)}), "id bigint").count()
+    n_pairs = 8 * max(1, partitions * 2 // 8, -(-n_tokens // BUCKET) // 8)
+    about = {"place": place, "order": order, "n_pairs": n_pairs, "n_words": n_words, "n_grams": 2 * n_pairs, "vocabulary": vocabulary, "tokens": n_tokens, "width": max(1, (vocabulary + FIRST - 1).bit_length() + 7 >> 3), "files": {f"{kind}-{r.bucket:06d}" for r in counted for kind in ("counts", "ids")}}
+    number = lambda k: about["n_grams"] if k > 2 else n_pairs
+    blocks = texts.mapInArrow(_grams(about, order, number(order)), _BLOCK)
     for k in range(order, 2, -1):
-        blocks = blocks.groupBy("bucket").applyInArrow(_merge_grams(place, k, number(k - 1)), kinds(k - 1))
-    words = blocks.groupBy("bucket").applyInArrow(_merge_pairs(place, n_words), _kinds(_WORD_COLS))
-    rows = words.groupBy("bucket").applyInArrow(_merge_words(place), _TOTALS).collect()  # a row for each bucket
-    add = lambda x: [sum(y) for y in zip(*x, strict=True)] or [0] * 4
-    longer = [discounts(c) for _, c in sorted(_gram_classes(spark, place, range(3, order + 1), n_grams).items())]
-    return {"place": place, "order": order, "n_pairs": n_pairs, "n_words": n_words, "n_grams": n_grams, "vocabulary": vocabulary, "tokens": tokens_, "words": sum(r.words for r in rows), "pairs": sum(r.pairs for r in rows), "d": discounts(add([r.classes for r in rows])), "d_longer": longer, "d_follow": discounts(add([r.follow_classes for r in rows])), "follow_classes": add([r.follow_classes for r in rows])}
+        blocks = blocks.groupBy("bucket").applyInArrow(_merge_grams(place, k, about["width"], number(k - 1)), _BLOCK)
+    words = blocks.groupBy("bucket").applyInArrow(_merge_pairs(place, n_words), "bucket int, words binary, totals binary, notes binary")
+    rows = words.groupBy("bucket").applyInArrow(_merge_words(place), "bucket int, words bigint, pairs bigint, follow_classes array<bigint>, notes binary").collect()  # a row for each bucket
+    notes = np.frombuffer(b"".join(bytes(r.notes) for r in rows), "<i8").reshape(-1, 6)
+    follow = [sum(x) for x in zip(*(r.follow_classes for r in rows), strict=True)] or [0] * 4
+    files = {f"words-{r.bucket:06d}" for r in rows} | {f"grams-{k}-{b:06d}" if k > 2 else f"pairs-{b:06d}" for k, b in notes[:, :2].tolist()}
+    d = [discounts(notes[notes[:, 0] == k, 2:].sum(axis=0).tolist()) for k in range(2, order + 1)]
+    return about | {"files": about["files"] | files, "words": sum(r.words for r in rows), "pairs": sum(r.pairs for r in rows), "d": d[0], "d_longer": d[1:], "d_follow": discounts(follow), "follow_classes": follow}
+
+
+def places(x: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """For each bucket in ``x`` where it stands."""
+    order = np.argsort(x, kind="stable")
+    edges = np.searchsorted(x[order], np.arange(n + 1))
+    return [(i, order[edges[i] : edges[i + 1]]) for i in np.flatnonzero(np.diff(edges)).tolist()]
+
+
+def find(rows: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In sorted numbers given as rows of a few bytes: the first place within [low, high) that holds ``wanted`` or more, and whether it is there."""
+    low, end = low.copy(), high
+    high = high.copy()
+    while (open_ := low < high).any():
+        middle = np.minimum((low + high) // 2, len(rows) - 1)
+        less = open_ & (_wide(rows[middle]) < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    there = low < end
+    there[there] = _wide(rows[low[there]]) == wanted[there]
+    return low, there
+
+
+class Bytes:
+    """Counts of which most are a byte each."""
+
+    def __init__(self, raw, at: int, n: int, many: int):
+        self.spots, self.sizes = (raw[at + k * 8 * many : at + (k + 1) * 8 * many].view("<u8") for k in (0, 1))
+        self.small, self.end = raw[at + 16 * many : at + 16 * many + n], at + 16 * many + n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        c = np.asarray(self.small[at]).astype(np.int64)
+        big = c == 255
+        if big.any():
+            c[big] = self.sizes[np.searchsorted(self.spots, np.asarray(at)[big])]
+        return c
 
 
 class Model:
@@ -341,124 +396,99 @@ class Model:
         self.about, self.files = about, {}
 
     def _open(self, name: str):
+        """None for a bucket without rows; an error for a file that was written and isn't there."""
         if name not in self.files:
-            path = os.path.join(self.about["place"], name)
-            self.files[name] = np.memmap(path, np.uint8, "r") if os.path.exists(path) else None
+            known = name in self.about["files"]
+            self.files[name] = np.memmap(os.path.join(self.about["place"], name), np.uint8, "r") if known else None
         return self.files[name]
 
     @staticmethod
     def _take(raw, at: int, n: int, kind: str):
         return raw[at : at + n * np.dtype(kind).itemsize].view(kind)
 
-    def _find(self, name: str, header: int, wanted: np.ndarray):
-        """The file's bytes, its number of keys, and the places and presence of the wanted keys."""
-        raw = self._open(name)
-        if raw is None:
-            return None
-        n = int(self._take(raw, 0, 1, "<u8")[0])
-        keys = self._take(raw, header, n, "<u8")
-        spot = np.minimum(np.searchsorted(keys, wanted), n - 1)
-        hit = keys[spot] == wanted
-        return raw, n, spot[hit], hit
+    def words(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id of each token, and how often it occurs, by its 64 bits."""
+        word, back = np.unique(token, return_inverse=True)
+        ids, counts = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64)
+        for i, own in places(word_bucket(word, self.about["n_words"]), self.about["n_words"]):
+            if (raw := self._open(f"counts-{i:06d}")) is None:
+                continue
+            n = int(self._take(raw, 0, 1, "<u8")[0])
+            keys = self._take(raw, 8, n, "<u8")
+            spot = np.minimum(np.searchsorted(keys, word[own]), n - 1)
+            hit = keys[spot] == word[own]
+            counts[own[hit]] = self._take(raw, 8 + 8 * n, n, "<u8")[spot[hit]]
+            ids[own[hit]] = self._open(f"ids-{i:06d}").view("<u4")[spot[hit]]
+        return ids[back], counts[back]
 
     def pair_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        key, bucket = combine(v, w), pair_bucket(v, w, self.about["n_pairs"])
-        out = np.zeros(len(key), np.int64)
-        order = np.lexsort((key, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(self.about["n_pairs"] + 1))
-        for i in np.flatnonzero(np.diff(edges)).tolist():
-            own = order[edges[i] : edges[i + 1]]
-            if (found := self._find(f"pairs-{i:06d}", 16, key[own])) is None:
+        key, out = short(combine(v, w)), np.zeros(len(v), np.int64)
+        for i, own in places(pair_bucket(v, w, self.about["n_pairs"]), self.about["n_pairs"]):
+            if (raw := self._open(f"pairs-{i:06d}")) is None:
                 continue
-            raw, n, spot, hit = found
-            many = int(self._take(raw, 8, 1, "<u8")[0])
-            counts = self._take(raw, 16 + 8 * n + 16 * many, n, "u1")[spot].astype(np.int64)
-            if many:
-                big = counts == 255
-                at = np.searchsorted(self._take(raw, 16 + 8 * n, many, "<u8"), spot[big])
-                counts[big] = self._take(raw, 16 + 8 * n + 8 * many, many, "<u8")[at]
-            out[own[hit]] = counts
+            n, many = (int(x) for x in self._take(raw, 0, 2, "<u8"))
+            counts = Bytes(raw, 16, n, many)
+            own = own[np.argsort(key[own])]
+            spot, hit = find(raw[counts.end :].reshape(n, HASH_BYTES), np.zeros(len(own), np.int64), np.full(len(own), n), key[own])
+            out[own[hit]] = counts[spot[hit]]
         return out
 
     def word_stats(self, w: np.ndarray) -> np.ndarray:
         """Rows (total, follows, once, twice, more)."""
         out = np.zeros((len(w), 5), np.int64)
-        bucket = word_bucket(w, self.about["n_words"])
-        order = np.lexsort((w, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(self.about["n_words"] + 1))
-        for i in np.flatnonzero(np.diff(edges)).tolist():
-            own = order[edges[i] : edges[i + 1]]
-            if (found := self._find(f"words-{i:06d}", 8, w[own])) is None:
+        for i, own in places(word_bucket(w, self.about["n_words"]), self.about["n_words"]):
+            if (raw := self._open(f"words-{i:06d}")) is None:
                 continue
-            raw, n, spot, hit = found
-            out[own[hit], 0] = self._take(raw, 8 + 8 * n, n, "<u8")[spot]
+            n = int(self._take(raw, 0, 1, "<u8")[0])
+            keys = self._take(raw, 8 + 8 * n, n, "<u4")
+            spot = np.minimum(np.searchsorted(keys, w[own].astype("<u4")), n - 1)
+            hit = keys[spot] == w[own]
+            spot, own = spot[hit], own[hit]
+            out[own, 0] = self._take(raw, 8, n, "<u8")[spot]
             for k in range(4):
-                out[own[hit], k + 1] = self._take(raw, 8 + 16 * n + 4 * n * k, n, "<u4")[spot]
-        return out
-
-    def counts(self, w: np.ndarray) -> np.ndarray:
-        """How often each word occurs, by its 64 bits."""
-        out = np.zeros(len(w), np.int64)
-        bucket = word_bucket(w, self.about["n_words"])
-        for i in np.unique(bucket).tolist():
-            own = np.flatnonzero(bucket == i)
-            if (found := self._find(f"counts-{i:06d}", 8, w[own])) is not None:
-                raw, n, spot, hit = found
-                out[own[hit]] = self._take(raw, 8 + 8 * n, n, "<u8")[spot]
+                out[own, k + 1] = self._take(raw, 8 + 12 * n + 4 * n * k, n, "<u4")[spot]
         return out
 
     def gram_stats(self, columns: list[np.ndarray]) -> np.ndarray:
         """Rows (count, the context's total, once, twice, more) of n-grams of three words and more."""
         out = np.zeros((len(columns[0]), 5), np.int64)
-        context = context_hash(columns[:-1])
-        bucket = context_bucket(context, self.about["n_grams"])
-        order = np.lexsort((context, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(self.about["n_grams"] + 1))
-        for i in np.flatnonzero(np.diff(edges)).tolist():
-            own = order[edges[i] : edges[i + 1]]
+        hashes = context_hash(columns[:-1])
+        for i, own in places(context_bucket(hashes, self.about["n_grams"]), self.about["n_grams"]):
             raw = self._open(f"grams-{len(columns)}-{i:06d}")
             if raw is None:
                 continue
-            m, n, many = (int(x) for x in self._take(raw, 0, 3, "<u8"))
-            contexts, at = self._take(raw, 56, m, "<u8"), 56 + 8 * m
-            places, at = self._take(raw, at, m + 1, "<u4"), at + 4 * (m + 1)
-            words, at = raw[at : at + 6 * n].reshape(-1, 6), at + 6 * n
-            spots, sizes, small = self._take(raw, at, many, "<u8"), self._take(raw, at + 8 * many, many, "<u8"), raw[at + 16 * many : at + 16 * many + n]
-            wanted, inverse = np.unique(context[own], return_inverse=True)
-            spot = np.minimum(np.searchsorted(contexts, wanted), m - 1)
-            hit = contexts[spot] == wanted
-            if not hit.any():
+            m, n, far, many = (int(x) for x in self._take(raw, 0, 4, "<u8"))
+            follow = Bytes(raw, 32, m, far)
+            counts = Bytes(raw, follow.end, n, many)
+            chunks = -(-m // CHUNK)
+            starts, at = np.frombuffer(raw[counts.end : counts.end + 8 * chunks].tobytes(), "<u8"), counts.end + 8 * chunks
+            contexts, words = raw[at : at + HASH_BYTES * m].reshape(m, HASH_BYTES), raw[at + HASH_BYTES * m :].reshape(n, -1)
+            wanted, back = np.unique(short(hashes[own]), return_inverse=True)
+            spot, hit = find(contexts, np.zeros(len(wanted), np.int64), np.full(len(wanted), m), wanted)
+            spot = spot[hit]
+            if not len(spot):
                 continue
-            first, last = places[spot[hit]].astype(np.int64), places[spot[hit] + 1].astype(np.int64)
+            before = spot % CHUNK
+            within = follow[ragged(spot - before, before)]
+            first = starts[spot // CHUNK].astype(np.int64) + np.bincount(np.repeat(np.arange(len(spot)), before), within, len(spot)).astype(np.int64)
+            last = first + follow[spot]
             begin = np.cumsum(last - first) - (last - first)
-
-            def sized(at):
-                c = np.asarray(small[at]).astype(np.int64)  # noqa: B023
-                big = np.flatnonzero(c == 255)
-                c[big] = sizes[np.searchsorted(spots, at[big])]  # noqa: B023
-                return c
-
-            every = sized(np.repeat(first - begin, last - first) + np.arange((last - first).sum()))
+            every = counts[ragged(first, last - first)]
             stats = np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (every, every == 1, every == 2, every > 2)], 1)
             place = np.full(len(wanted), -1)
-            place[hit] = np.arange(hit.sum())
-            place = place[inverse]
+            place[hit] = np.arange(len(spot))
+            place = place[back]
             own, place = own[place >= 0], place[place >= 0]
             out[own, 1:] = stats[place]
-            low, high, w = first[place], last[place], columns[-1][own]
-            while (open_ := low < high).any():  # the first place in the context's run that holds w or more
-                middle = np.minimum((low + high) // 2, n - 1)
-                less = open_ & (_unpack48(words[middle]) < w)
-                low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
-            there = low < last[place]
-            there[there] = _unpack48(words[low[there]]) == w[there]
-            out[own[there], 0] = sized(low[there])
+            low, there = find(words, first[place], last[place], columns[-1][own])
+            out[own[there], 0] = counts[low[there]]
         return out
 
     def score(self, token: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 p(w | the words before), log10 of the base probability, and the word's count, of each token."""
         a = self.about
-        columns = ngrams(token, ends, a["order"])
+        ids, known = self.words(token)
+        columns = ngrams(ids, ends, a["order"])
         v, w = columns[-2:]
         words, place = np.unique(np.concatenate([v, w]), return_inverse=True)
         stats = self.word_stats(words)
@@ -477,10 +507,7 @@ class Model:
             _, first, gram = np.unique(combine(*columns[-k:]), return_index=True, return_inverse=True)
             x, d = self.gram_stats([c[first] for c in columns[-k:]])[gram], np.asarray([0.0, *own])
             p = np.where(x[:, 1] > 0, (x[:, 0] - d[np.minimum(x[:, 0], 3)] + (x[:, 2:] @ d[1:]) * p) / np.maximum(x[:, 1], 1), p)
-        full, place = np.unique(token, return_inverse=True)
-        known = self.counts(full)
-        base = np.log10((known + 0.5) / (a["tokens"] + 0.5 * (a["vocabulary"] + 1)))
-        return np.log10(p), base[place], known[place]
+        return np.log10(p), np.log10((known + 0.5) / (a["tokens"] + 0.5 * (a["vocabulary"] + 1))), known
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -507,5 +534,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def train_and_score(docs: DataFrame, learn_from: Column, order: int = 2, **columns) -> DataFrame:
-    """Train on the rows of ``docs`` where ``learn_from`` holds and score all of them."""
+    """Train on the rows of ``docs`` where ``learn_from`` holds (null: not) and score all of them.
+
+    Nulls, empty texts, repeated rows and empty tables are as in ``train`` and ``score``; other columns are not read.
+    """
     return score(docs, train(docs.where(learn_from), text_col=columns.get("text_col", "text"), order=order), **columns)

@@ -234,14 +234,31 @@ def test_kneser_ney_orders(spark, docs, none, order):
 
 
 def test_words_count_by_all_bits(monkeypatch, tmp_path):
-    monkeypatch.setattr(kneser_ney, "WORD_BITS", np.uint64(60))  # n-grams tell 16 words apart
+    monkeypatch.setattr(kneser_ney, "HASH_BYTES", 1)  # n-grams may merge, words may not
     batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}" for i in range(500)), "w1 w1"])], ["text"])
     rows = pa.Table.from_batches(list(kneser_ney._counts(1)(iter([batch]))))
     found = kneser_ney._merge_counts(str(tmp_path))(rows).to_pylist()
-    assert found == [{"vocabulary": 501, "tokens": 504}]  # with the end
-    model = kneser_ney.Model({"place": str(tmp_path), "n_words": 1})
+    assert [(r["tokens"], sum(r["classes"])) for r in found] == [(504, 501)]  # with the end
+    starts = {0: np.cumsum([2, *found[0]["classes"][:-1]])}
+    list(kneser_ney._name_words(str(tmp_path), starts)(iter([pa.RecordBatch.from_arrays([pa.array([0, 1])], ["id"])])))
+    model = kneser_ney.Model({"place": str(tmp_path), "n_words": 1, "files": {"counts-000000", "ids-000000"}})
     data, ends = np.frombuffer(b"w1 w7 never seen", np.uint8), np.asarray([0, 16])
-    assert model.counts(kneser_ney.tokens(data, ends)[0]).tolist() == [3, 1, 0, 0, 2]
+    ids, counts = model.words(kneser_ney.tokens(data, ends)[0])
+    assert counts.tolist() == [3, 1, 0, 0, 2] and ids[2] == ids[3] == 0
+    assert {ids[0], ids[4]} == {2, 3} and ids[1] > 3  # frequent words have the smaller ids
+
+
+def test_lost_model_file_is_an_error(spark, docs, tmp_path):
+    model = kneser_ney.train(docs, folder=f"file://{tmp_path}/m", order=3)
+    assert {p.name for p in (tmp_path / "m").iterdir()} == model["files"]
+    token, ends = kneser_ney.tokens(np.frombuffer(b"w1 w2 w3 w4", np.uint8), np.asarray([0, 11]))
+    assert np.isfinite(kneser_ney.Model(model).score(token, ends)[0]).all()
+    for kind in ("counts", "ids", "words", "pairs", "grams"):
+        hidden = {p: p.rename(tmp_path / p.name) for p in (tmp_path / "m").glob(f"{kind}-*")}
+        with pytest.raises(FileNotFoundError):
+            kneser_ney.Model(model).score(token, ends)
+        for p, q in hidden.items():
+            q.rename(p)
 
 
 # ---- 5 and 7: tokens
