@@ -39,8 +39,8 @@ from ._shared import local_path, new_folder, publish, text_bytes
 from ._words import combine, groups, mix, word_hashes
 
 SLICE, SCORED, CHUNK = 16 << 20, 4 << 20, 8
-#: N-grams of a bucket, about. A bucket's contexts and pairs are known by 40 bits of their hash, and its number by others.
-BUCKET, HASH_BYTES, CLASSES = 2_000_000, 5, 64
+#: N-grams of a bucket, about: as many at most, and at least where there are more shuffle partitions than that needs. A bucket's contexts and pairs are known by 40 bits of their hash, and its number by others.
+BUCKET, LEAST, HASH_BYTES, CLASSES, PAD = 2_000_000, 100_000, 5, 64, bytes(8)
 END = np.uint64(1)
 #: The ids of words that were never counted and of begins; counted words follow.
 UNKNOWN, BEGIN, FIRST = 0, 1, 2
@@ -96,11 +96,13 @@ def _cut(x: np.ndarray, size: int) -> bytes:
     return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _wide(x: np.ndarray) -> np.ndarray:
-    """Numbers from rows of a few bytes."""
-    out = np.zeros((len(x), 8), np.uint8)
-    out[:, : x.shape[1]] = x
-    return out.reshape(-1).view("<u8")
+def packed(raw: np.ndarray, at: int, n: int, size: int) -> np.ndarray:
+    """``n`` numbers of ``size`` bytes as they lie in a file. Each is read with bytes of the next, so ``low`` has to cut these off."""
+    return np.ndarray(n, "<u8", raw, at, (size,))
+
+
+def low(x: np.ndarray, size: int) -> np.ndarray:
+    return x & np.uint64((1 << 8 * size) - 1)
 
 
 def squeezed(*columns: np.ndarray) -> bytes:
@@ -206,7 +208,7 @@ def _merge_grams(place: str, order: int, width: int, n_below: int):
         follow = np.diff(np.append(head, len(n)))
         (far, follows), (many, counts) = _small(follow), _small(n)
         header = np.asarray([len(head), len(n), len(far), len(many)], "<u8").tobytes()
-        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, *follows, *counts, head[::CHUNK].astype("<u8").tobytes(), _cut(context[head], HASH_BYTES), _cut(columns[-1], width)]))
+        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, *follows, *counts, head[::CHUNK].astype("<u8").tobytes(), _cut(context[head], HASH_BYTES), _cut(columns[-1], width), PAD]))
         below = _distinct(columns[1:], np.where(columns[1] == BEGIN, n, 1))
         return pa.table(_blocks(*below, n_below, _note(table, order, n)), names=["bucket", "contexts", "words", "notes"])
 
@@ -271,7 +273,7 @@ def _merge_pairs(place: str, n_words: int):
         key = short(combine(v, w))
         order = np.argsort(key, kind="stable")
         many, counts = _small(n[order])
-        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), *counts, _cut(key[order], HASH_BYTES)]))
+        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), *counts, _cut(key[order], HASH_BYTES), PAD]))
         one = np.ones_like(n)
         targets = _summed(w, one)
         contexts = _summed(v, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
@@ -339,7 +341,7 @@ def train(docs: DataFrame, folder: str | None = None, text_col: str = "text", or
     if vocabulary + FIRST >= 1 << 32:
         raise ValueError("more words than ids")
     spark.range(n_words).mapInArrow(_name_words(place, {r.bucket: s for r, s in zip(counted, starts, strict=True)}), "id bigint").count()
-    n_pairs = 8 * max(1, partitions * 2 // 8, -(-n_tokens // BUCKET) // 8)
+    n_pairs = 8 * max(1, min(2 * partitions, n_tokens // LEAST) // 8, -(-n_tokens // (8 * BUCKET)))
     about = {"place": place, "order": order, "n_pairs": n_pairs, "n_words": n_words, "n_grams": 2 * n_pairs, "vocabulary": vocabulary, "tokens": n_tokens, "width": max(1, (vocabulary + FIRST - 1).bit_length() + 7 >> 3), "files": {f"{kind}-{r.bucket:06d}" for r in counted for kind in ("counts", "ids")}}
     number = lambda k: about["n_grams"] if k > 2 else n_pairs
     blocks = texts.mapInArrow(_grams(about, order, number(order)), _BLOCK)
@@ -361,17 +363,26 @@ def places(x: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     return [(i, order[edges[i] : edges[i + 1]]) for i in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def find(rows: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In sorted numbers given as rows of a few bytes: the first place within [low, high) that holds ``wanted`` or more, and whether it is there."""
-    low, end = low.copy(), high
-    high = high.copy()
-    while (open_ := low < high).any():
-        middle = np.minimum((low + high) // 2, len(rows) - 1)
-        less = open_ & (_wide(rows[middle]) < wanted)
-        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
-    there = low < end
-    there[there] = _wide(rows[low[there]]) == wanted[there]
-    return low, there
+def find(keys: np.ndarray, size: int, first: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In ascending ``packed`` numbers: the first place within [first, end) that holds ``wanted`` or more, and whether it is there."""
+    below, above = first.copy(), end.copy()
+    while (open_ := below < above).any():
+        middle = np.minimum((below + above) // 2, len(keys) - 1)
+        less = open_ & (low(keys[middle], size) < wanted)
+        below, above = np.where(less, middle + 1, below), np.where(open_ & ~less, middle, above)
+    there = below < end
+    there[there] = low(keys[below[there]], size) == wanted[there]
+    return below, there
+
+
+def find_hash(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``find`` among all of a file's hashes. They are spread evenly, so a search starts near a hash's share of the range."""
+    n, reach = len(keys), 8 + 4 * int(len(keys) ** 0.5)
+    guess = (wanted.astype(np.float64) * (n / 2.0 ** (8 * HASH_BYTES))).astype(np.int64)
+    first, end = np.clip(guess - reach, 0, n - 1), np.clip(guess + reach, 1, n)
+    first[low(keys[first], HASH_BYTES) >= wanted] = 0
+    end[low(keys[end - 1], HASH_BYTES) < wanted] = n
+    return find(keys, HASH_BYTES, first, end, wanted)
 
 
 class Bytes:
@@ -399,7 +410,7 @@ class Model:
         """None for a bucket without rows; an error for a file that was written and isn't there."""
         if name not in self.files:
             known = name in self.about["files"]
-            self.files[name] = np.memmap(os.path.join(self.about["place"], name), np.uint8, "r") if known else None
+            self.files[name] = np.asarray(np.memmap(os.path.join(self.about["place"], name), np.uint8, "r")) if known else None
         return self.files[name]
 
     @staticmethod
@@ -429,7 +440,7 @@ class Model:
             n, many = (int(x) for x in self._take(raw, 0, 2, "<u8"))
             counts = Bytes(raw, 16, n, many)
             own = own[np.argsort(key[own])]
-            spot, hit = find(raw[counts.end :].reshape(n, HASH_BYTES), np.zeros(len(own), np.int64), np.full(len(own), n), key[own])
+            spot, hit = find_hash(packed(raw, counts.end, n, HASH_BYTES), key[own])
             out[own[hit]] = counts[spot[hit]]
         return out
 
@@ -462,9 +473,9 @@ class Model:
             counts = Bytes(raw, follow.end, n, many)
             chunks = -(-m // CHUNK)
             starts, at = np.frombuffer(raw[counts.end : counts.end + 8 * chunks].tobytes(), "<u8"), counts.end + 8 * chunks
-            contexts, words = raw[at : at + HASH_BYTES * m].reshape(m, HASH_BYTES), raw[at + HASH_BYTES * m :].reshape(n, -1)
+            contexts, words = packed(raw, at, m, HASH_BYTES), packed(raw, at + HASH_BYTES * m, n, self.about["width"])
             wanted, back = np.unique(short(hashes[own]), return_inverse=True)
-            spot, hit = find(contexts, np.zeros(len(wanted), np.int64), np.full(len(wanted), m), wanted)
+            spot, hit = find_hash(contexts, wanted)
             spot = spot[hit]
             if not len(spot):
                 continue
@@ -480,8 +491,8 @@ class Model:
             place = place[back]
             own, place = own[place >= 0], place[place >= 0]
             out[own, 1:] = stats[place]
-            low, there = find(words, first[place], last[place], columns[-1][own])
-            out[own[there], 0] = counts[low[there]]
+            at, there = find(words, self.about["width"], first[place], last[place], columns[-1][own])
+            out[own[there], 0] = counts[at[there]]
         return out
 
     def score(self, token: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
