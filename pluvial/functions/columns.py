@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -68,15 +68,33 @@ def selection_faults(df: DataFrame, names: Sequence[str], count: int, leaks: Ite
     return {k: v for k, v in faults.items() if v}
 
 
+# The groups of columns in the order in which they are tried; names as written, names without case,
+# and parts of names without case.
+GROUPS = (
+    ("metadata_time", "names", ("STATION", "time", "DATE", "station_name", "month_name")),
+    ("eda_helper", "names without case", ("year", "month", "day", "split", "rain_status", "prcp_label")),
+    ("target_or_auxiliary", "names", ("PRCP", "target_1stage_prcp_mm", "target_stage1_rain_label", "target_stage2_prcp_log1p", "PRCP_impute")),
+    ("location", "names", ("LATITUDE", "LONGITUDE", "ELEVATION")),
+    ("gsod_surface", "names", ("TEMP", "DEWP", "WDSP", "STP", "SLP", "VISIB")),
+    ("era5_single_level", "names without case", ("u10", "v10", "t2m", "d2m", "sp", "msl", "z", "lsm", "sst")),
+    ("era5_pressure_500hpa", "parts", ("_500",)),
+    ("era5_pressure_850hpa", "parts", ("_850",)),
+    ("lag_rolling", "parts", ("lag", "rolling", "past", "3d", "7d", "14d", "30d")),
+    ("temporal_cyclical", "parts", ("day_sin", "day_cos", "month_sin", "month_cos")),
+    ("thermodynamic", "parts", ("dew_point", "lapse", "convection")),
+    ("wind_dynamics", "parts", ("wind", "shear", "du_", "dv_", "ageostrophic")),
+    ("moisture_flux", "parts", ("moisture", "flux", "q_")),
+    ("geometric", "parts", ("thickness", "elevation_diff")),
+)
+OTHER_GROUP = "other_engineered"
+
+
 def feature_group(name: str) -> str:
-    """The group of a weather feature by its name; the first rule that fits counts."""
-    rules = (
-        ("targets", lambda c: c.startswith("target_")),
-        ("upper air, 500 hPa", lambda c: "_500" in c and "850" not in c),
-        ("upper air, 850 hPa", lambda c: "_850" in c and "500" not in c and "flux" not in c and "convection" not in c),
-        ("lag", lambda c: "_lag_" in c),
-        ("rolling", lambda c: "_3d_" in c or "_past_" in c),
-        ("season", lambda c: c.endswith(("_sin", "_cos"))),
-        ("station", lambda c: c.isupper()),
-    )
-    return next((group for group, fits in rules if fits(name)), "derived")
+    """The group of a column by its name; the first of GROUPS that fits counts."""
+    fits = {"names": lambda own: name in own, "names without case": lambda own: name.lower() in own, "parts": lambda own: any(p in name.lower() for p in own)}
+    return next((group for group, kind, own in GROUPS if fits[kind](own)), OTHER_GROUP)
+
+
+def month_name(time: str) -> Column:
+    """The short English name of a date's month."""
+    return F.date_format(time, "MMM")

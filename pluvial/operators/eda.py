@@ -83,8 +83,9 @@ def summary(df: DataFrame, keys: Sequence[Column], x: str, time: str, threshold:
 
 
 def station_summary(df: DataFrame, station: str, name: str, time: str) -> DataFrame:
+    """A row for each station; its name is that of its first row, the smallest of several at that time."""
     return df.groupBy(station).agg(
-        F.min_by(name, time).alias("station_name"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.year(time)).alias("n_years"),
+        F.min_by(name, F.struct(F.col(time), F.col(name))).alias("station_name"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.year(time)).alias("n_years"),
         F.min(time).alias("start_date"), F.max(time).alias("end_date"), F.count_distinct(F.to_date(time)).alias("n_unique_days"),
     )
 

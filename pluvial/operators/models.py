@@ -16,20 +16,28 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fewer rainy rows to train on, or to validate on, than these: rain is predicted by its mean.
 LEAST_ROWS, LEAST_RAINY = 30, 10
 
 
-def _ready(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Features without nulls: infinities and nulls become 0 after a caller's own imputation."""
-    clean = {c: F.coalesce(F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double")), F.lit(0.0)) for c in features}
-    return df.withColumns(clean)
+def _ready(df: DataFrame, features: Sequence[str], fill: dict[str, float]) -> DataFrame:
+    """Features without nulls: infinities and nulls become ``fill``."""
+    return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double")), F.lit(fill[c])) for c in features})
 
 
-def tweedie(train: DataFrame, features: Sequence[str], label: str, power: float = 1.3):
-    """E(y) = exp(x b), with variance mean ** power."""
-    glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=label, predictionCol="prediction", regParam=0.01, maxIter=25)
+def medians(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Medians of the finite values of the training rows; 0 where there are none."""
+    finite = [F.median(F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double"))).alias(c) for c in features]
+    return {c: 0.0 if m is None else m for c, m in train.agg(*finite).first().asDict().items()}  # one row
+
+
+def tweedie(train: DataFrame, features: Sequence[str], label: str, power: float = 1.3, rounds: int = 25):
+    """E(y) = exp(x b), with variance mean ** power. Nulls take the training medians."""
+    fill = medians(train, features)
+    glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=label, predictionCol="prediction", regParam=0.01, maxIter=rounds)
     stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), glm.setFeaturesCol("_x")]
-    return Pipeline(stages=stages).fit(_ready(train, features))
+    model = Pipeline(stages=stages).fit(_ready(train, features, fill))
+    return lambda df: model.transform(_ready(df, features, fill)).drop("_x")
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -40,35 +48,57 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.element_at(pairs, F.col(label)))
 
 
-def two_stage(train: DataFrame, features: Sequence[str], rain: str = "target_stage1_rain_label", log_amount: str = "target_stage2_prcp_log1p", trees: int = 20, depth: int = 4, validation: str | None = None):
-    """A rain classifier, and a regressor of log amounts on rainy rows. Returns a function that adds ``prediction``:
-    the chance of rain times the amount. Too few rainy rows: the regressor is their mean."""
-    data = _ready(train, features)
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
-    data = assemble.transform(data)
-    rainy = data.where(F.col(rain) == 1)
-    stop = {"validationIndicatorCol": validation} if validation else {}
-    chance = GBTClassifier(featuresCol="_x", labelCol=rain, weightCol="weight", maxIter=trees, maxDepth=depth, seed=42, predictionCol="_label", **stop).fit(balanced(data, rain))
-    few = rainy.limit(LEAST_RAINY).count() < LEAST_RAINY
-    mean = rainy.agg(F.avg(log_amount)).first()[0] or 0.0 if few else None
-    amount = None if few else GBTRegressor(featuresCol="_x", labelCol=log_amount, maxIter=trees, maxDepth=depth, seed=42, predictionCol="_log", **stop).fit(rainy)
-
-    def predict(df: DataFrame) -> DataFrame:
-        out = chance.transform(assemble.transform(_ready(df, features)))
-        out = out.withColumn("_log", F.lit(float(mean))) if amount is None else amount.transform(out)
-        expected = vector_to_array("probability")[1] * F.greatest(F.expm1("_log"), F.lit(0.0))
+class TwoStage:
+    """The chance of rain times its amount. ``amount`` is None where too few rows rained; ``mean`` serves then."""
+
+    def __init__(self, features: Sequence[str], fill: dict[str, float], chance, amount, mean: float):
+        self.features, self.fill, self.chance, self.amount, self.mean = list(features), fill, chance, amount, mean
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``prediction``, not below 0."""
+        out = VectorAssembler(inputCols=self.features, outputCol="_x").transform(_ready(df, self.features, self.fill))
+        out = self.chance.transform(out)
+        if self.amount is None:
+            amount = F.lit(float(self.mean))
+        else:
+            out, amount = self.amount.transform(out), F.expm1("_log")
+        expected = F.greatest(vector_to_array("probability")[1] * amount, F.lit(0.0))
         return out.withColumn("prediction", expected).drop("_x", "rawPrediction", "probability", "_label", "_log")
 
-    return predict
+    def importances(self) -> dict[str, list[tuple[str, float]]]:
+        """Impurity-based importances of each stage, by feature."""
+        stages = {"importance_stage1_cls": self.chance, "importance_stage2_wet": self.amount}
+        return {name: list(zip(self.features, m.featureImportances.toArray().tolist(), strict=True)) for name, m in stages.items() if m is not None}
 
 
-def importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
-    """Impurity-based importances of a tree model, by feature."""
-    return list(zip(features, model.featureImportances.toArray().tolist(), strict=True))
+def two_stage(train: DataFrame, features: Sequence[str], rain: str = "target_stage1_rain_label", log_amount: str = "target_stage2_prcp_log1p", trees: int = 20, depth: int = 4, valid: DataFrame | None = None) -> TwoStage:
+    """A rain classifier, and a regressor of log amounts on rainy rows. Nulls take the training medians.
+
+    With ``valid`` boosting stops when its rows no longer gain. Fewer than
+    LEAST_ROWS rainy rows to train on, or LEAST_RAINY to validate on: the mean
+    amount of the rainy training rows stands for the regressor.
+    """
+    fill, flag = medians(train, features), "_valid"
+    assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
+    rows = train.withColumn(flag, F.lit(False))
+    if valid is not None:
+        rows = rows.unionByName(valid.withColumn(flag, F.lit(True)), allowMissingColumns=True)
+    data = assemble.transform(_ready(rows.where(F.col(rain).isNotNull()), features, fill))
+    stop = {} if valid is None else {"validationIndicatorCol": flag}
+    chance = GBTClassifier(featuresCol="_x", labelCol=rain, weightCol="weight", maxIter=trees, maxDepth=depth, seed=42, predictionCol="_label", **stop).fit(balanced(data, rain))
+    rainy = data.where(F.col(rain) == 1)
+    n, n_valid, mean = rainy.agg(F.count_if(~F.col(flag)), F.count_if(F.col(flag)), F.avg(F.when(~F.col(flag), F.expm1(log_amount)))).first()
+    if n < LEAST_ROWS or valid is not None and n_valid < LEAST_RAINY:
+        return TwoStage(features, fill, chance, None, mean or 0.0)
+    amount = GBTRegressor(featuresCol="_x", labelCol=log_amount, maxIter=trees, maxDepth=depth, seed=42, predictionCol="_log", **stop).fit(rainy)
+    return TwoStage(features, fill, chance, amount, mean)
 
 
 def scenarios(parts: dict[str, DataFrame], feature_sets: dict[str, Sequence[str]], target: str = "target_1stage_prcp_mm", lagged: str = "PRCP_lag_1") -> DataFrame:
-    """The result table: persistence, one-stage and two-stage for each feature set on every part but ``train``."""
+    """The result table: persistence, one-stage and two-stage for each feature set on every part but ``train``.
+
+    A part named ``valid`` also stops the boosting.
+    """
     from . import metrics
 
     out: list[DataFrame] = []
@@ -81,12 +111,28 @@ def scenarios(parts: dict[str, DataFrame], feature_sets: dict[str, Sequence[str]
     for name in [p for p in parts if p != "train"]:
         add(metrics.persistence(parts[name], lagged), name, "none", "persistence", 0)
     for label, features in feature_sets.items():
-        one, two = tweedie(train, features, target), two_stage(train, features)
+        one, two = tweedie(train, features, target), two_stage(train, features, valid=parts.get("valid"))
         for name in [p for p in parts if p != "train"]:
-            ready = _ready(parts[name], features)
-            add(one.transform(ready), name, label, "one_stage", len(features))
-            add(two(parts[name]), name, label, "two_stage", len(features))
+            add(one(parts[name]), name, label, "one_stage", len(features))
+            add(two.predict(parts[name]), name, label, "two_stage", len(features))
     table = out[0]
     for t in out[1:]:
         table = table.unionByName(t)
     return table
+
+
+def live_benchmark(parts: dict[str, DataFrame], full: Sequence[str], selected: Sequence[str], target: str = "target_1stage_prcp_mm", lagged: str = "PRCP_lag_1") -> DataFrame:
+    """The dashboard's comparison on the part ``test``: only one feature set where both are the same."""
+    sets = {f"full {len(full)}": full} | ({f"selected {len(selected)}": selected} if list(selected) != list(full) else {})
+    return scenarios(parts, sets, target, lagged).where("scenario = 'test'")
+
+
+def quick_check(train: DataFrame, valid: DataFrame, full: Sequence[str], selected: Sequence[str], target: str = "target_1stage_prcp_mm") -> DataFrame:
+    """``feature_set, n_features`` and the measures of the one-stage model with all and with the selected features."""
+    from . import metrics
+
+    rows = []
+    for name, features in (("Full filtered features", full), ("Selected features", selected)):
+        found = tweedie(train, features, target, rounds=10)(valid).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
+        rows.append(metrics.regression(found, target, "prediction").select(F.lit(name).alias("feature_set"), F.lit(len(features)).alias("n_features"), "*"))
+    return rows[0].unionByName(rows[1])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Weights of the parts of the score, fixed values.
-WEIGHTS = {"importance_amount": 0.35, "importance_rain": 0.25, "importance_log": 0.25, "abs_spearman": 0.10, "abs_spearman_rain": 0.05}
+WEIGHTS = {"importance_tweedie": 0.35, "importance_stage1_cls": 0.25, "importance_stage2_wet": 0.25, "abs_spearman": 0.10, "abs_spearman_rain": 0.05}
 
 
 def technical(df: DataFrame, columns: Sequence[str], most_missing: float = 0.4) -> DataFrame:
@@ -22,13 +22,17 @@ def technical(df: DataFrame, columns: Sequence[str], most_missing: float = 0.4)
 
 def scored(parts: DataFrame, name: str, weights: dict[str, float]) -> DataFrame:
     """``score``: weighted sum of the parts, each divided by its maximum (0 if that isn't positive)."""
-    everything = Window.partitionBy()  # a row for each feature
+    tops = parts.agg(*[F.max(F.coalesce(F.col(c), F.lit(0.0))).alias(f"_top_{c}") for c in weights])  # one row
     score = F.lit(0.0)
     for c, w in weights.items():
-        part = F.coalesce(F.col(c), F.lit(0.0))
-        top = F.max(part).over(everything)
-        score = score + w * F.when(top > 0, part / top).otherwise(0.0)
-    return parts.select(name, score.alias("score"))
+        top = F.col(f"_top_{c}")
+        score = score + w * F.when(top > 0, F.coalesce(F.col(c), F.lit(0.0)) / top).otherwise(0.0)
+    return parts.join(F.broadcast(tops)).select(name, score.alias("score"))
+
+
+def with_correlation(importances: DataFrame, correlations: DataFrame, name: str = "feature") -> DataFrame:
+    """Importances with correlations beside them; features that were not correlated have 0."""
+    return importances.join(correlations, name, "left").na.fill(0.0)
 
 
 def pruned(names: Iterable[str], correlation: dict[tuple[str, str], float], most: int = 46, limit: float = 0.95) -> list[str]:

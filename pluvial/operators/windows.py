@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +74,29 @@ def with_past_medians(df: DataFrame, c: str, keys: Sequence[str], order: str, ou
             value = F.when(F.col(f"_was_{x}") == F.col(x), value)
         medians.append(F.percentile(value, F.lit(0.5)).alias(out))
     return df.join(gaps.join(values, same).groupBy(*keys, order).agg(*medians), [*keys, order], "left")
+
+
+def splits(values: Sequence[float] | None) -> list[float]:
+    """Borders of blocks of values, from quantiles."""
+    inner = sorted({float(v) for v in values or () if v is not None and abs(v) < float("inf")})
+    return [-float("inf"), *(inner or [0.0]), float("inf")]
+
+
+def quantiles_of(c: Column, blocks: int) -> Column:
+    return F.percentile_approx(c, [i / blocks for i in range(1, blocks)], 10 * blocks)
+
+
+def running(rows: DataFrame, value: str, borders: list[float], sums: dict[str, str]) -> DataFrame:
+    """For each of ``sums`` (new column: summed one) the sum over all rows of smaller ``value``.
+
+    The sum runs in two steps, over the blocks between ``borders`` and within
+    each block, so no task sorts all rows. ``value`` has to be distinct and not
+    null; NaN counts as largest. The sums by block have a row for each block.
+    """
+    placed = Bucketizer(splits=borders, inputCol="_as_double", outputCol="_block", handleInvalid="keep").transform(rows.withColumn("_as_double", F.col(value).cast("double"))).drop("_as_double")
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    inside = Window.partitionBy("_block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums.values()])
+    totals = totals.select("_block", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums.values()])
+    out = placed.join(F.broadcast(totals), "_block")
+    return out.withColumns({new: F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for new, c in sums.items()}).drop("_block", *[f"_b_{c}" for c in sums.values()])

@@ -42,8 +42,9 @@ def single_daily(grid: DataFrame, north: float = 24, south: float = 8, west: flo
     return frame.daily(held.withColumns(change), ["latitude", "longitude"], "time", means, existing(grid, ("lsm",)))
 
 
-def pressure_daily(grid: DataFrame, levels=LEVELS) -> DataFrame:
-    """Daily cells of the pressure grid, a column for each variable and level; cells need both levels."""
+def pressure_daily(grid: DataFrame, levels=LEVELS, north: float = 24, south: float = 8, west: float = 102, east: float = 110) -> DataFrame:
+    """Daily cells of the pressure grid within the box, a column for each variable and level; cells need both levels."""
+    grid = grid.where(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
     if gone := validate.absent_levels(grid, "isobaricInhPa", levels):
         raise validate.Violation(f"levels absent: {gone}")
     change = {"t": expr.celsius(F.col("t")), "z": expr.metres(F.col("z"))}
@@ -79,4 +80,9 @@ def silver(bronze: DataFrame, single: DataFrame, pressure: DataFrame, start: str
 
 
 def gold(bronze: DataFrame, single: DataFrame, pressure: DataFrame, start: str, end: str) -> DataFrame:
-    return features.gold(silver(bronze, single_daily(single), pressure_daily(pressure), start, end))
+    """The gold table; an error if a grid's times can't be read or targets don't follow from rain."""
+    for name, grid in (("single", single), ("pressure", pressure)):
+        validate.check(grid, {f"{name}_time_is_read": F.col("time").try_cast("timestamp_ntz").isNotNull()})
+    out = features.gold(silver(bronze, single_daily(single), pressure_daily(pressure), start, end))
+    validate.check(out.where("PRCP is not null"), validate.gold_rules())
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvial.functions import expr
-from pluvial.functions.columns import numeric_columns
+from pluvial.functions.columns import month_name, numeric_columns
 from pluvial.operators import eda, features, frame, impute, joins, metrics, models, selection, stats, validate
 from pluvial.operators import windows as win
 
@@ -258,10 +258,10 @@ def semi_join(spark, sf_dir):
     return joins.matching(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def anti_join(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return joins.unmatched(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return joins.unmatched(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), back, ["o_orderkey"])
 
 
 @query("""WITH a AS (SELECT p_brand, max(p_retailprice) AS top FROM part WHERE p_size < 10 GROUP BY 1), b AS (SELECT p_brand, min(p_retailprice) AS low FROM part WHERE p_size > 45 GROUP BY 1)
@@ -364,7 +364,7 @@ def level_sanity(spark, sf_dir):
     return rounded(validate.pressure_level_faults(named))
 
 
-@query("SELECT 'absent' AS side, 'X' AS level")
+@query("SELECT 'absent' AS side, l AS level FROM (VALUES ('A'), ('N'), ('R'), ('X')) AS t(l) WHERE l NOT IN (SELECT l_returnflag FROM lineitem)")
 def missing_levels(spark, sf_dir):
     gone = validate.absent_levels(table(spark, sf_dir, "lineitem"), "l_returnflag", ["A", "N", "R", "X"])
     return spark.createDataFrame([("absent", g) for g in gone], "side string, level string")
@@ -373,11 +373,9 @@ def missing_levels(spark, sf_dir):
 # ---- summaries
 
 
-@query("SELECT user_id, arg_min(event_type, struct_pack(a := ts, b := event_id)) AS station_name, count(*) AS n_rows, count(DISTINCT year(ts)) AS n_years, min(ts) AS start_date, max(ts) AS end_date, count(DISTINCT CAST(ts AS DATE)) AS n_unique_days FROM events GROUP BY 1")
+@query("SELECT user_id, arg_min(event_type, struct_pack(a := ts, b := event_type)) AS station_name, count(*) AS n_rows, count(DISTINCT year(ts)) AS n_years, min(ts) AS start_date, max(ts) AS end_date, count(DISTINCT CAST(ts AS DATE)) AS n_unique_days FROM events GROUP BY 1")
 def station_summary(spark, sf_dir):
-    events = table(spark, sf_dir, "events").withColumn("place", F.struct("ts", "event_id"))
-    names = events.groupBy("user_id").agg(F.min_by("event_type", "place").alias("station_name"))
-    return eda.station_summary(events, "user_id", "event_type", "ts").drop("station_name").join(names, "user_id")
+    return eda.station_summary(table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
 
 
 def missing_sql(key: str) -> str:
@@ -584,9 +582,19 @@ def technical_filter(spark, sf_dir):
     return rounded(selection.technical(df, ["station", "rain", "proxy", "same", "nothing"]))
 
 
-@query("SELECT * FROM (VALUES (1, 'l_quantity'), (2, 'l_discount'), (3, 'l_tax')) AS t(place, feature)")
+PRUNED = ["l_quantity", "l_quantity_2", "l_discount", "l_tax"]
+PRUNED_RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in PRUNED)
+PRUNED_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM k" for a in PRUNED for b in PRUNED if a != b)
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT l_quantity, l_quantity * l_quantity AS l_quantity_2, l_discount, l_tax FROM lineitem), k AS (SELECT {PRUNED_RANKS} FROM n), c AS ({PRUNED_PAIRS}),
+f AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(PRUNED, 1))}) AS t(i, name)),
+x AS (SELECT f.i, f.name, coalesce(list(c.b) FILTER (abs(c.r) >= 0.95), []) AS close FROM f LEFT JOIN c ON c.a = f.name GROUP BY 1, 2),
+g AS (SELECT 0 AS i, CAST([] AS VARCHAR[]) AS kept UNION ALL SELECT x.i, CASE WHEN len(g.kept) < 3 AND NOT list_has_any(g.kept, x.close) THEN list_append(g.kept, x.name) ELSE g.kept END FROM g JOIN x ON x.i = g.i + 1),
+l AS (SELECT kept FROM g ORDER BY i DESC LIMIT 1)
+SELECT CAST(place AS INTEGER) AS place, kept[place] AS feature FROM (SELECT kept, unnest(range(1, len(kept) + 1)) AS place FROM l)""")
 def correlation_pruning(spark, sf_dir):
-    names = ["l_quantity", "l_quantity_2", "l_discount", "l_tax"]
+    names = PRUNED
     df = table(spark, sf_dir, "lineitem").withColumn("l_quantity_2", F.col("l_quantity") * F.col("l_quantity"))
     pairs = {(r.a, r.b): r.r for r in stats.spearman_pairs(df, names).collect()}  # a row for each pair of columns
     kept = selection.pruned(names, pairs, most=3)
@@ -606,19 +614,70 @@ def topk_ranked(spark, sf_dir):
     return eda.ranked(best, "p_retailprice", "p_partkey").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("SELECT name FROM (VALUES ('l_discount'), ('l_extendedprice'), ('l_quantity')) AS t(name)")
+@query("SELECT column_name AS name FROM (DESCRIBE SELECT * FROM lineitem) WHERE column_type IN ('DOUBLE', 'FLOAT', 'BIGINT', 'INTEGER') AND column_name NOT IN ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_tax')")
 def feature_columns(spark, sf_dir):
     names = numeric_columns(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax"])
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
+@query(f"SELECT {LINE}, coalesce(CASE WHEN l_quantity > 25 THEN l_quantity END, l_tax) AS a, coalesce(CASE WHEN l_discount > 0.05 THEN l_discount END, l_quantity) AS b FROM lineitem")
+def filled_from_grid(spark, sf_dir):
+    df = lines(spark, sf_dir, F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("a"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("b"), F.col("l_tax").alias("c"), F.col("l_quantity").alias("d"))
+    return df.withColumns(impute.filled_from({"a": "c", "b": "d"})).drop("c", "d")
+
+
+@query(f"""WITH x AS (SELECT *, l_quantity AS a, l_discount * 10 AS b, l_tax AS c, l_extendedprice / 1000 AS d FROM lineitem)
+SELECT {LINE}, {r4('a * d')} AS moist_convection_500, {r4('a - b')} AS dew_point_depression, {r4('c - a')} AS du_850_500, {r4('d - b')} AS dv_850_500, {r4('sqrt((c - a) * (c - a) + (d - b) * (d - b))')} AS wind_shear_mag, {r4('d - c')} AS elevation_diff FROM x""")
+def physical_features_rest(spark, sf_dir):
+    a, b, c, d = F.col("l_quantity"), F.col("l_discount") * 10, F.col("l_tax"), F.col("l_extendedprice") / 1000
+    named = lines(spark, sf_dir, a.alias("q_500"), d.alias("w_500"), a.alias("TEMP"), b.alias("DEWP"), c.alias("u_850"), a.alias("u_500"), d.alias("v_850"), b.alias("v_500"), d.alias("ELEVATION"), c.alias("z"))
+    return rounded(features.physical(named).drop("q_500", "w_500", "TEMP", "DEWP", "u_850", "u_500", "v_850", "v_500", "ELEVATION", "z"))
+
+
+@query(f"WITH {FRAME}, x AS (SELECT station, time, rain - lag(rain) {W}) AS du_dt_850, 2 * rain - lag(2 * rain) {W}) AS dv_dt_850 FROM f) SELECT station, time, {r4('du_dt_850')} AS du_dt_850, {r4('dv_dt_850')} AS dv_dt_850, {r4('sqrt(du_dt_850 * du_dt_850 + dv_dt_850 * dv_dt_850)')} AS ageostrophic_signal FROM x")
+def tendencies(spark, sf_dir):
+    df = dense(spark, sf_dir).withColumns({"u_850": F.col("rain"), "v_850": 2 * F.col("rain")})
+    return rounded(features.tendencies(df, "station", "time").drop("rain", "u_850", "v_850"))
+
+
+@query(f"WITH {FRAME}, x AS (SELECT station, time, greatest(rain - 50, 0.0) AS a FROM f WHERE rain IS NOT NULL) SELECT station, time, {r4('a')} AS target_1stage_prcp_mm, CAST(a >= 0.1 AS INTEGER) AS target_stage1_rain_label, {r4('ln(1 + a)')} AS target_stage2_prcp_log1p FROM x")
+def targets_clipped(spark, sf_dir):
+    df = dense(spark, sf_dir).where("rain is not null").withColumn("rain", F.col("rain") - 50)
+    return rounded(features.targets(df, "rain", clip=True).drop("rain"))
+
+
+@query("SELECT event_id, strftime(ts, '%b') AS month_name FROM events")
+def month_names(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", month_name("ts").alias("month_name"))
+
+
+@query("SELECT 'train' AS part, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998 UNION ALL SELECT 'valid', count(*) FROM orders WHERE year(o_orderdate) = 1999 UNION ALL SELECT 'test', count(*) FROM orders WHERE year(o_orderdate) = 2000")
+def year_split_parts(spark, sf_dir):
+    parts = validate.split_by_year(table(spark, sf_dir, "orders"), "o_orderdate", (1995, 1998), 1999, 2000)
+    counts = [p.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n")) for n, p in zip(("train", "valid", "test"), parts, strict=True)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT p_partkey, p_retailprice, coalesce(r, 0.0) AS r FROM part LEFT JOIN (SELECT ps, CAST(count(*) AS DOUBLE) AS r FROM (SELECT l_partkey AS ps FROM lineitem WHERE l_quantity > 45) GROUP BY 1) ON ps = p_partkey")
+def importance_with_correlation(spark, sf_dir):
+    side = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).cast("double").alias("r"))
+    return selection.with_correlation(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), side, "p_partkey")
+
+
+@query(f"WITH {DAYS}, x AS (SELECT *, ln(1 + rain) AS l FROM d) SELECT 'rain_not_negative' AS rule, CAST(0 AS BIGINT) + count(*) FILTER (rain < 0) AS violations FROM x UNION ALL SELECT 'label_follows_rain', count(*) FILTER ((rain >= 30) <> (rain >= 0.1)) FROM x UNION ALL SELECT 'amount_is_rain', count(*) FILTER (rain > 80) FROM x UNION ALL SELECT 'log_is_log1p', count(*) FILTER (rain > 80) FROM x UNION ALL SELECT 'rain_finite', count(*) FILTER (NOT isfinite(rain)) FROM x")
+def gold_gate(spark, sf_dir):
+    rain = F.col("rain")
+    df = days(spark, sf_dir).withColumns({"target_1stage_prcp_mm": F.when(rain > 80, rain + 1).otherwise(rain), "target_stage1_rain_label": (rain >= 30).cast("int"), "target_stage2_prcp_log1p": F.when(rain > 80, F.log1p(rain) + 1).otherwise(F.log1p(rain))})
+    return validate.violations(df, validate.gold_rules("rain"))
+
+
 @query()
 def two_stage_glm(spark, sf_dir):
-    """Persistence, one-stage and two-stage on the frame: train on the first 20 days, test on the rest."""
-    df = targets_frame(spark, sf_dir)
+    """Persistence, one-stage and two-stage on the frame: train on 17 days, stop the boosting by 4, test on the rest."""
+    df, day = targets_frame(spark, sf_dir).na.drop(), F.dayofyear("time")
     inputs = ["lag_1", "lag_2", "mean_3d", "sum_3d"]
-    parts = {"train": df.where(F.dayofyear("time") <= 20).na.drop(), "test": df.where(F.dayofyear("time") > 20).na.drop()}
-    return models.scenarios(parts, {"all": inputs, "lags": inputs[:2]}, lagged="lag_1")
+    parts = {"train": df.where(day <= 17), "valid": df.where((day > 17) & (day <= 21)), "test": df.where(day > 21)}
+    return models.live_benchmark(parts, inputs, inputs[:2], lagged="lag_1")
 
 
 def targets_frame(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pluvial.functions import columns as cols
 from pluvial.functions import expr
-from pluvial.operators import eda, features, frame, impute, joins, metrics, selection, stats, validate
+from pluvial.operators import eda, features, frame, impute, joins, metrics, models, selection, stats, validate
 from pluvial.operators import windows as win
 from pluvial.plans import medallion
 from pluvial.sources import fetch, files, schemas
@@ -161,10 +161,47 @@ def test_column_choices(spark):
     assert df.columns[0] == "STATION" and cols.first_of(df, ["site", "station"]) == "STATION"
     assert cols.numeric_columns(df, ["b"]) == ["u_850_lag_1"]
     assert cols.chosen(df, ["b", "x"], least=2) == (["b", "u_850_lag_1"], ["x"])
-    assert cols.feature_group("u_850_lag_1") == "upper air, 850 hPa" and cols.feature_group("TEMP_lag_1") == "lag"
+    want = {"u_850_lag_1": "era5_pressure_850hpa", "TEMP_lag_1": "lag_rolling", "moisture_flux_850": "era5_pressure_850hpa", "dv_850_500": "era5_pressure_500hpa", "TEMP": "gsod_surface", "PRCP": "target_or_auxiliary"}
+    want |= {"LATITUDE": "location", "u10": "era5_single_level", "STATION": "metadata_time", "Year": "eda_helper", "day_sin": "temporal_cyclical", "dew_point_depression": "thermodynamic", "elevation_diff": "geometric", "abc": "other_engineered"}
+    assert {c: cols.feature_group(c) for c in want} == want
     assert cols.selection_faults(df, ["b", "b", "STATION", "x"], 3, ["b"]) == {"count": ["4"], "repeated": ["b"], "leaks": ["b"], "absent": ["x"], "not_numeric": ["STATION"]}
 
 
+def test_rank_correlation_with_nulls_and_ties(spark):
+    rng = np.random.default_rng(2)
+    rows = [tuple(None if rng.random() < 0.2 else float(v) for v in rng.integers(0, 6, 2)) + (float(rng.integers(0, 3)), 1.0) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double")
+    got = {(r.a, r.b): r.r for r in stats.spearman_pairs(df, ["a", "b", "c", "same"]).collect()}
+    frame = pd.DataFrame(rows, columns=["a", "b", "c", "same"])
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        both = frame[[x, y]].dropna().rank()
+        assert math.isclose(got[x, y], both[x].corr(both[y]), abs_tol=1e-9)
+    assert got["a", "same"] is None or math.isnan(got["a", "same"])
+
+
+def test_models_fall_back_and_explain(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(x), None if i % 9 == 0 else float(y), float(max(0, x))) for i, (x, y) in enumerate(rng.normal(size=(160, 2)))]
+    df = features.targets(spark.createDataFrame(rows, "u double, v double, PRCP double"))
+    few = models.two_stage(df.where("PRCP = 0 or u > 1.8"), ["u", "v"], trees=2)
+    assert few.amount is None and set(few.importances()) == {"importance_stage1_cls"}
+    full = models.two_stage(df, ["u", "v"], trees=3, valid=df)
+    assert set(full.importances()) == {"importance_stage1_cls", "importance_stage2_wet"}
+    for m in (few, full):
+        assert m.predict(df).where("prediction is null or prediction < 0").count() == 0
+    assert math.isclose(models.medians(df, ["v"])["v"], np.median([r[1] for r in rows if r[1] is not None]))
+    assert [r.n_features for r in models.quick_check(df, df, ["u", "v"], ["u"]).collect()] == [2, 1]
+
+
+def test_gates(spark):
+    single, pressure = grids(spark)
+    assert medallion.pressure_daily(pressure).where("latitude > 24").count() == 0 < medallion.pressure_daily(pressure).count()
+    bad = single.withColumn("time", F.when(F.col("latitude") < 15, F.col("time")))
+    with pytest.raises(validate.Violation, match="single_time"):
+        medallion.gold(bronze(spark), bad, pressure, "2020-01-01", "2020-01-12")
+    assert medallion.gold(bronze(spark), single, pressure, "2020-01-01", "2020-01-12").count() == 24
+
+
 def test_pruning_and_scores(spark):
     assert selection.pruned(["a", "b", "c", "d"], {("a", "b"): -0.96, ("a", "c"): 0.5, ("c", "d"): 0.9}, most=3) == ["a", "c", "d"]
     parts = spark.createDataFrame([("a", 2.0, None), ("b", 1.0, -1.0)], "f string, p double, q double")

@@ -20,5 +20,5 @@ def test_rows_equal_sql(spark, name):
 
 def test_models_beat_nothing(spark):
     rows = queries.two_stage_glm(spark, "/root/testdata/sf0.001").collect()
-    assert {(r.feature_set, r.model) for r in rows} == {("none", "persistence"), ("all", "one_stage"), ("all", "two_stage"), ("lags", "one_stage"), ("lags", "two_stage")}
+    assert {(r.feature_set, r.model) for r in rows} == {("none", "persistence"), ("full 4", "one_stage"), ("full 4", "two_stage"), ("selected 2", "one_stage"), ("selected 2", "two_stage")}
     assert all(r.mae_mm > 0 for r in rows)
