@@ -36,9 +36,10 @@ def _named(rows: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 def _ranked(rows: DataFrame, columns: Sequence[str], known: dict[str, tuple[int, list[float]]]) -> DataFrame:
     """Each column replaced by its rank with ties averaged. A value is ranked once, however many rows have it."""
+    given = rows
     for c in columns:
         distinct, quantiles = known[c]
-        counts = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_own"))
+        counts = given.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_own"))
         ranks = win.running(counts, c, win.splits(quantiles), {"_under": "_own"}).select(c, (F.col("_under") + (F.col("_own") + 1) / 2).alias(f"_r_{c}"))
         rows = rows.join(F.broadcast(ranks) if distinct <= BROADCAST_VALUES else ranks.hint("merge"), c).drop(c).withColumnRenamed(f"_r_{c}", c)
     return rows
