@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import ship
+
 #: Texts of more characters than this are cut, where the pattern allows it, at about this many.
 LONG = 1 << 16
 ROWS = 512
@@ -54,6 +56,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     ``encode_ordinary`` on the whole text. Rows that repeat come out as often
     as they came; a null id stays null; other columns are not read.
     """
+    ship(docs.sparkSession)
+
     def run(batches):
         enc = _encoder(ranks_path, pattern)
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._components import SMALL, beside, components
 from ._regions import PIVOTS, Sets, across, boundary, roots, unseen
 from ._regions import links as links_of
-from ._shared import appended, cut, fresh, remove_folder, text_bytes
+from ._shared import appended, cut, fresh, remove_folder, ship, text_bytes
 from ._words import combine, document_of, groups, mix, word_hashes
 
 WORDS, PERCENT = 5, 75
@@ -289,6 +289,7 @@ def _dealt(cells: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, region_most: int) -> DataFrame:
     """``doc_id, node, n_shingles, component_id, n_links, root`` of every row: its set's name, and its component's."""
     spark = docs.sparkSession
+    ship(spark)
     scratch: list[str] = []
 
     def kept(df: DataFrame, kind: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import ragged
-from ._shared import local_path, new_folder, publish, text_bytes
+from ._shared import cut, local_path, new_folder, publish, remove_folder, ship, text_bytes
 from ._words import combine, groups, mix, word_hashes
 
 SLICE, SCORED, CHUNK = 16 << 20, 4 << 20, 8
@@ -329,6 +329,7 @@ def train(docs: DataFrame, folder: str | None = None, text_col: str = "text", or
     if order < 2:
         raise ValueError("order: 2 at least")
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or new_folder(spark, "ngrams")
     place = local_path(folder)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -548,5 +549,9 @@ def train_and_score(docs: DataFrame, learn_from: Column, order: int = 2, **colum
     """Train on the rows of ``docs`` where ``learn_from`` holds (null: not) and score all of them.
 
     Nulls, empty texts, repeated rows and empty tables are as in ``train`` and ``score``; other columns are not read.
+    The scores are written to the shared folder, and the model's files removed.
     """
-    return score(docs, train(docs.where(learn_from), text_col=columns.get("text_col", "text"), order=order), **columns)
+    folder = new_folder(docs.sparkSession, "ngrams")
+    out, _ = cut(score(docs, train(docs.where(learn_from), folder, columns.get("text_col", "text"), order), **columns), "scores")
+    remove_folder(docs.sparkSession, folder)
+    return out

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _labels
-from ._shared import text_bytes
+from ._shared import appended, ship, text_bytes
 from ._words import _SPACE, document_of, groups, word_hashes
 
 #: Most labelled documents of each label that are kept as neighbours.
@@ -138,25 +138,25 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     come out as often; without labelled rows every score is 0.5.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PER_LABEL
-    keep = [id_col] if keep is None else keep
-    kinds = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    at = keep.index(text_col) if text_col in keep and kinds[keep.index(text_col)].dataType.simpleString() == "string" else len(keep)
 
-    def run(batches):
+    def make(data, offsets):
         m = shared.value
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(at))
-            s = np.full(len(offsets) - 1, 0.5)
-            for a, b in groups(offsets) if m else ():
-                s[a:b] = vote(counts(data, offsets[a : b + 1]), m)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s)], [*[f"c{i}" for i in range(len(keep))], "score"])
+        s = np.full(len(offsets) - 1, 0.5)
+        for a, b in groups(offsets) if m else ():
+            s[a:b] = vote(counts(data, offsets[a : b + 1]), m)
+        return s
 
-    picked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *([F.col(text_col).cast("string").alias("text")] if at == len(keep) else []))
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds)) + ", score double"
-    return picked.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return appended(docs, [id_col] if keep is None else keep, text_col, "score", "double", make)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_label: dict[int, int] | None = None, held_out: int | None = 0, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Fit on a bounded sample of ``labels`` and score every whole text of ``docs``."""
+    """Fit on a bounded sample of ``labels`` and score every whole text of ``docs``.
+
+    Null and empty texts are scored as texts without terms; repeated rows come
+    out as often; an empty table gives no rows; without labelled rows every
+    score is 0.5. Rows without label, id or text in the sample's fold take no
+    part in fitting.
+    """
+    ship(docs.sparkSession)
     sampled = _labels.sample(docs, labels, label_col, per_label or PER_LABEL, held_out, id_col, text_col)
     return score(docs, fit(sampled), id_col, text_col, keep)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _labels, byte_bpe, jaccard_join, kneser_ney, mixing, quality, rabitq, token_blocks, token_counts, toxicity, uniform_topk
-from ._shared import ship
+from ._shared import cut, remove_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,7 +41,10 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocab
 
     manifest = token_blocks.write(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"), end_id=0)
-    return token_blocks.read(spark, manifest)
+    out, _ = cut(token_blocks.read(spark, manifest), "tokens")
+    for r in manifest.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).distinct().collect():  # one folder
+        remove_folder(spark, "file://" + r.folder)
+    return out
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

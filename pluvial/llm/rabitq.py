@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vectors as V
-from ._shared import cut
+from ._shared import cut, remove_folder, ship
 
 EPSILON, PAIRS = 3.5, 1 << 14
 
@@ -90,12 +90,17 @@ def search(vectors: DataFrame, is_query, k: int = 20, epsilon: float = EPSILON,
     length than the query's are no candidates. A row is its query's own if the
     ids agree. Repeated ids that are not the query's count as several rows.
     """
+    spark = vectors.sparkSession
+    ship(spark)
     rows = V.usable(vectors, id_col, vec_col, drop_zero=True)
     kinds = "codes binary, scalars binary, raw binary"
-    candidates, _ = cut(V.blocks(rows, V.CANDIDATES, kinds, pack), "candidates")
-    queries, _ = cut(V.blocks(rows.where(is_query(F.col("vec_id"))), V.QUERIES, "raw binary", lambda x: {"raw": x}).withColumn("block", F.xxhash64("ids")), "queries")
+    candidates, uri_1 = cut(V.blocks(rows, V.CANDIDATES, kinds, pack), "candidates")
+    queries, uri_2 = cut(V.blocks(rows.where(is_query(F.col("vec_id"))), V.QUERIES, "raw binary", lambda x: {"raw": x}).withColumn("block", F.xxhash64("ids")), "queries")
     found = V.scan(V.paired(candidates, queries), ["q_ids", "q_raw", "ids", "codes", "scalars", "raw"], k, np.float64, _meet(k, epsilon))
-    return V.merged(found, queries.select("block", F.col("ids").alias("q_ids")), k, np.float64, "double")
+    out, _ = cut(V.merged(found, queries.select("block", F.col("ids").alias("q_ids")), k, np.float64, "double"), "nearest")
+    for uri in (uri_1, uri_2):
+        remove_folder(spark, uri)
+    return out
 
 
 SQL = """

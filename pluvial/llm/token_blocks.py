@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._chunks import BatchEncoder
-from ._shared import local_path, new_folder, text_bytes
+from ._shared import local_path, new_folder, ship, text_bytes
 from ._words import groups
 
 MAGIC, BLOCK, PERCENTILE, SEGMENT, SLICE = b"PFR1", 128, 90, 1 << 20, 8 << 20
@@ -216,6 +216,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | N
     is taken: for it alone texts may be cut.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or new_folder(spark, "tokens")
     place = local_path(folder)
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import ship
+
 MARK, UNKNOWN, KEPT = "▁", 10.0, 300_000
 _STRETCH = re.compile(" +[^ ]*")
 
@@ -109,6 +111,7 @@ def count(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     stays null; other columns are not read. Counts of words are kept for the
     next texts in a bounded memory.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _labels
-from ._shared import text_bytes
+from ._shared import appended, ship, text_bytes
 from ._words import combine, document_of, groups, word_hashes
 
 #: Most labelled documents of each label that training reads.
@@ -118,6 +118,13 @@ def train(sampled: DataFrame, epochs: int = 4, least_docs: int = 3, **rates) ->
     return np.frombuffer(found[0].hashes, np.uint32), np.frombuffer(found[0].weights), found[0].bias
 
 
+def _seen(hashes: np.ndarray) -> np.ndarray:
+    """By the first bits of a feature whether any weight may be meant; most features end here."""
+    out = np.zeros(1 << 20, bool)
+    out[hashes >> np.uint32(12)] = True
+    return out
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``doc_id`` (or the columns ``keep``) and ``score``: 1 / (1 + exp(-sum of the weights of the text's distinct features)).
 
@@ -125,37 +132,32 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     often; a model without weights gives every text its bias.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the features of the sample
-    keep = [id_col] if keep is None else keep
-    kinds = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    at = keep.index(text_col) if text_col in keep and kinds[keep.index(text_col)].dataType.simpleString() == "string" else len(keep)
 
-    def run(batches):
+    def make(data, offsets):
         hashes, weights, bias = shared.value
-        seen = np.zeros(1 << 20, bool)  # most features end here
-        seen[hashes >> np.uint32(12)] = True
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(at))
-            total = np.full(len(offsets) - 1, bias)
-            for a, b in groups(offsets):
-                f, doc = features(data, offsets[a : b + 1])
-                maybe = seen[f >> np.uint32(12)]
-                f, doc = f[maybe], doc[maybe]
-                if not len(f):
-                    continue
-                spot = np.minimum(np.searchsorted(hashes, f), len(hashes) - 1)
-                hit = hashes[spot] == f
-                pairs = np.unique(doc[hit] * len(hashes) + spot[hit])
-                total[a:b] += np.bincount(pairs // len(hashes), weights[pairs % len(hashes)], b - a)
-            p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(p)], [*[f"c{i}" for i in range(len(keep))], "score"])
-
-    picked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *([F.col(text_col).cast("string").alias("text")] if at == len(keep) else []))
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds)) + ", score double"
-    out = picked.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score")
+        seen = _seen(hashes)
+        total = np.full(len(offsets) - 1, bias)
+        for a, b in groups(offsets):
+            f, doc = features(data, offsets[a : b + 1])
+            maybe = seen[f >> np.uint32(12)]
+            f, doc = f[maybe], doc[maybe]
+            if not len(f):
+                continue
+            spot = np.minimum(np.searchsorted(hashes, f), len(hashes) - 1)
+            hit = hashes[spot] == f
+            pairs = np.unique(doc[hit] * len(hashes) + spot[hit])
+            total[a:b] += np.bincount(pairs // len(hashes), weights[pairs % len(hashes)], b - a)
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+    return appended(docs, [id_col] if keep is None else keep, text_col, "score", "double", make)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_label: dict[int, int] | None = None, held_out: int | None = 0, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, **options) -> DataFrame:
-    """Train on a bounded sample of ``labels`` and score every whole text of ``docs``."""
+    """Train on a bounded sample of ``labels`` and score every whole text of ``docs``.
+
+    Null and empty texts score the bias alone; repeated rows come out as often;
+    an empty table gives no rows; without labelled rows every score is 0.5.
+    """
+    ship(docs.sparkSession)
     sampled = _labels.sample(docs, labels, label_col, per_label or PER_LABEL, held_out, id_col, text_col)
     return score(docs, train(sampled, **options), id_col, text_col, keep)

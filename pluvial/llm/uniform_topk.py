@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vectors as V
-from ._shared import cut
+from ._shared import cut, remove_folder, ship
 
 GROUPS, PAIRS, LOWEST = 2, 1 << 17, -(1 << 62)
 
@@ -99,13 +99,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, groups: i
     length than the query's are no candidates. A row is its query's own if the
     ids agree. Sums beyond 63 bits wrap.
     """
+    spark = vectors.sparkSession
+    ship(spark)
     rows = V.usable(vectors, id_col, vec_col, drop_zero=False)
 
     def whole(x: np.ndarray) -> dict[str, np.ndarray]:
         return {"raw": np.floor(scale * x).astype(np.int64)}
 
-    candidates, _ = cut(V.blocks(rows, V.CANDIDATES, "raw binary", whole), "candidates")
-    queries, _ = cut(V.blocks(rows.where(is_query(F.col("vec_id"))), V.QUERIES, "raw binary", whole).withColumn("block", F.xxhash64("ids")), "queries")
+    candidates, uri_1 = cut(V.blocks(rows, V.CANDIDATES, "raw binary", whole), "candidates")
+    queries, uri_2 = cut(V.blocks(rows.where(is_query(F.col("vec_id"))), V.QUERIES, "raw binary", whole).withColumn("block", F.xxhash64("ids")), "queries")
     names = ["q_ids", "q_raw", "ids", "raw"]
     lists = V.scan(V.paired(candidates, queries), names, k, np.int64, _lists(k, groups))
     sizes = queries.select("block", F.length("ids").alias("bytes"))
@@ -118,9 +120,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, groups: i
 
     named = lists.join(F.broadcast(sizes) if queries.count() <= 1000 else sizes, "block")
     safe = named.groupBy("block").applyInArrow(cutoffs, "block bigint, cutoff binary")
-    ready, _ = cut(queries.join(safe, "block"), "cutoffs")
+    ready, uri_3 = cut(queries.join(safe, "block"), "cutoffs")
     found = V.scan(V.paired(candidates, ready), [*names, "q_cutoff"], k, np.int64, _collect(k, groups))
-    return V.merged(found, ready.select("block", F.col("ids").alias("q_ids")), k, np.int64, "bigint")
+    out, _ = cut(V.merged(found, ready.select("block", F.col("ids").alias("q_ids")), k, np.int64, "bigint"), "highest")
+    for uri in (uri_1, uri_2, uri_3):
+        remove_folder(spark, uri)
+    return out
 
 
 SQL = """

@@ -102,6 +102,51 @@ def test_classifier_on_held_out_rows(spark, docs, none, module, label, line, lea
     assert kept.count() == docs.count()
 
 
+def test_ftrl_against_a_scalar_version(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 25)))) for i in range(60)] + [(60, None), (61, "")]
+    labels = [(i, int("w3" in (t or "").split())) for i, t in docs]
+    df, own_labels = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def terms(t):
+        data, ends = np.frombuffer((t or "").encode(), np.uint8), np.asarray([0, len((t or "").encode())])
+        return set(toxicity.features(data, ends)[0].tolist())
+
+    place = {r.doc_id: r.p for r in df.select("doc_id", F.xxhash64("doc_id").alias("p")).collect()}
+    rows = sorted((place[i], terms(t), y) for (i, t), (_, y) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5)
+    often = collections.Counter(f for _, own, _ in rows for f in own)
+    z, n = collections.Counter(), collections.Counter()
+    weight = lambda f: 0.0 if abs(z[f]) <= 2 else -(z[f] - math.copysign(2, z[f])) / ((1 + math.sqrt(n[f])) / 0.5 + 0.1)
+    for _ in range(4):
+        for _, own, y in rows:
+            own = [f for f in own if often[f] >= 3] + ["bias"]
+            g = 1 / (1 + math.exp(-sum(weight(f) for f in own))) - y
+            for f in own:
+                s = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / 0.5
+                z[f] += g - s * weight(f)
+                n[f] += g * g
+    got = {r.doc_id: r.score for r in toxicity.classify(df, own_labels).collect()}
+    assert any(weight(f) for f in often)
+    for i, t in docs:
+        assert math.isclose(got[i], 1 / (1 + math.exp(-weight("bias") - sum(weight(f) for f in terms(t)))), rel_tol=1e-6)
+
+
+def test_votes_against_all_neighbours(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(_labels.sample(docs, labels, "quality", {0: 60, 1: 90}, 0))
+    some = docs.limit(40)
+    got = {r.doc_id: r.score for r in quality.score(some, model).collect()}
+    unit = lambda v: v / max(math.sqrt(float(v @ v)), 1e-12)
+    for r in some.collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        own = unit(unit(quality.counts(data, np.asarray([0, len(data)]))[0].astype(float) * model["idf"]) @ model["axes"])
+        votes = sorted(((max(float(own @ v), 0) ** 4, y) for v, y in zip(model["vectors"].astype(float), model["labels"].tolist())), reverse=True)[: quality.NEIGHBOURS]
+        want = (sum(w * y for w, y in votes) + 1e-3 * model["labels"].mean()) / (sum(w for w, _ in votes) + 1e-3)
+        assert math.isclose(got[r.doc_id], want, abs_tol=2e-3)
+
+
 def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
