@@ -378,7 +378,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     """
     found = _joined(docs, words, percent, id_col, text_col, region_most).where("n_shingles > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
-    node, none, first = fresh(docs, "node", "none", "first")
+    node, none, first = fresh(docs, "stay_node", "stay_none", "stay_first")
     stay, _ = cut(found.groupBy("root").agg(least.alias("x")).select(F.col("x.node").alias(node), F.col("x.none").alias(none), F.col("x.doc_id").alias(first)), "stay")
     keys = found.groupBy("doc_id", "node").count().where("count > 1")
     twice, _ = cut(stay.join(keys, (F.col(node) == keys["node"]) & F.col(first).eqNullSafe(keys["doc_id"]), "left_semi"), "twice")
@@ -387,7 +387,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
         parts = [signatures(*shingle_sets(data, offsets[a : b + 1], words)) for a, b in groups(offsets)]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    own = fresh(docs, "set")[0]
+    own = fresh(docs, "stay_set")[0]
     named = appended(docs, docs.columns, text_col, own, "bigint", name)
     key = F.col(f"`{id_col}`").cast("bigint")
     on = (F.col(own) == F.col(node)) & (F.col(none) == key.isNull()) & key.eqNullSafe(F.col(first))
