@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 75
 #: Most sets and shingles of a region that one task joins, how often regions are cut, and tiles of what doesn't shrink, as far as memory allows.
 REGION_MOST, SHINGLES, LEVELS, TILES = 192, 1 << 22, 3, 24
 #: Least prefix hashes that a link shares (of sets that have as many); postings of a bucket; most bytes of pivots that are broadcast.
-SPARE, BUCKET, PIVOT_BYTES = 3, 1 << 20, 32 << 20
+SPARE, BUCKET, PIVOT_BYTES = 3, 1 << 20, 8 << 20
 WHOLE, SLICE = 2, 8 << 20
 
 
@@ -213,7 +213,12 @@ def _split(members: DataFrame, percent: int, level: int, scratch: list[str]) ->
     pivots, uri = cut(members.groupBy("region").agg(*picks), "pivots")
     scratch.append(uri)
     size = pivots.agg(F.sum(sum(F.length(f"p{i}") for i in range(PIVOTS)))).first()[0] or 0
-    dealt = members.join(F.broadcast(pivots) if size <= PIVOT_BYTES else pivots.hint("merge"), "region")
+    shared, columns = None, ["region", "node", "own"]
+    if size <= PIVOT_BYTES:
+        shared = members.sparkSession.sparkContext.broadcast({r[0]: [bytes(x) for x in r[1:]] for r in pivots.collect()})
+    else:
+        members = members.join(pivots.hint("merge"), "region")
+        columns += [f"p{i}" for i in range(PIVOTS)]
 
     def run(batches):
         for batch in batches:
@@ -223,15 +228,15 @@ def _split(members: DataFrame, percent: int, level: int, scratch: list[str]) ->
                 held, d = Sets(_rows(sets)), np.empty((PIVOTS, len(sets)))
                 for r in set(region):  # all rows of a region have the same pivots
                     at = np.asarray([k for k, x in enumerate(region) if x == r])
-                    for p in range(PIVOTS):
-                        d[p, at] = held.distances(np.frombuffer(picked[p][at[0]], np.uint64), at)
+                    for p, pivot in enumerate(shared.value[r] if shared else [x[at[0]] for x in picked]):
+                        d[p, at] = held.distances(np.frombuffer(pivot, np.uint64), at)
                 at, cell = np.nonzero(boundary(d, percent).T)
                 names = np.asarray(region, np.int64)[at].view(np.uint64)
                 cells = combine(names, cell.astype(np.uint64), salt=level + 1).view(np.int64)
                 ends = np.searchsorted(at, np.arange(len(sets) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(cells))], ["region", "node", "own", "cells"])
 
-    return dealt.select("region", "node", "own", *[f"p{i}" for i in range(PIVOTS)]).mapInArrow(run, "region bigint, node bigint, own binary, cells array<bigint>")
+    return members.select(*columns).mapInArrow(run, "region bigint, node bigint, own binary, cells array<bigint>")
 
 
 def _cells(members: DataFrame, meet: DataFrame, percent: int, most: int, scratch: list[str]) -> DataFrame:
@@ -392,11 +397,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     key = F.col(f"`{id_col}`").cast("bigint")
     on = (F.col(own) == F.col(node)) & (F.col(none) == key.isNull()) & key.eqNullSafe(F.col(first))
     side = lambda df: F.broadcast(df) if df.count() <= SMALL else df.hint("merge")
-    out = named.join(side(stay), on, "left_semi")
+    out = named.join(side(stay), on, "left").where((F.col(own) == 0) | F.col(node).isNotNull()).drop(node, none, first)
     if twice.limit(1).count():
         more = out.join(side(twice), on, "left_semi").dropDuplicates([own, id_col])
         out = out.join(side(twice), on, "left_anti").unionByName(more)
-    return out.unionByName(named.where(F.col(own) == 0)).drop(own)
+    return out.drop(own)
 
 
 SQL = """

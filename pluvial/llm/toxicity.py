@@ -68,7 +68,9 @@ def _fit(rows: list[tuple[int, int, np.ndarray]], epochs: int, least_docs: int,
     for *_, own in rows:
         spot = own >> np.uint32(8)
         times[spot] += 1
-    rows = [(place, label, own[times[own >> np.uint32(8)] >= least_docs]) for place, label, own in rows]
+    for k, (place, label, own) in enumerate(rows):  # one after the other, so that what was gathered is let go of
+        rows[k] = (place, label, own[times[own >> np.uint32(8)] >= least_docs])
+    del times, own
     known, times = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
     known = known[times >= least_docs]
     model = Ftrl(len(known) + 1, **rates)
@@ -108,8 +110,7 @@ def train(sampled: DataFrame, epochs: int = 4, least_docs: int = 3, **rates) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["place", "label", "features"])
 
     def learn(batches):
-        rows = [(p, y, np.frombuffer(f, np.uint32)) for batch in batches for p, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        hashes, weights, bias = _fit(rows, epochs, least_docs, **rates)
+        hashes, weights, bias = _fit([(p, y, np.frombuffer(f, np.uint32)) for batch in batches for p, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)], epochs, least_docs, **rates)
         yield pa.RecordBatch.from_pydict({"hashes": [hashes.tobytes()], "weights": [weights.tobytes()], "bias": [bias]})
 
     found = sampled.select("place", "label", "text").mapInArrow(featurize, "place bigint, label int, features binary").repartition(1).mapInArrow(learn, "hashes binary, weights binary, bias double").collect()
