@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _U = np.uint64
 
 
@@ -45,7 +45,7 @@ def _powers(pos: np.ndarray) -> np.ndarray:
     return _LOW[pos & (_TILE - 1)] * high[pos >> 12]
 
 
-def groups(offsets: np.ndarray, size: int = CHUNK, most: int = 2048) -> Iterator[tuple[int, int]]:
+def groups(offsets: np.ndarray, size: int = CHUNK, most: int = 1024) -> Iterator[tuple[int, int]]:
     """Ranges of up to ``most`` documents and about ``size`` bytes each; a longer document is a range of its own."""
     n, a = len(offsets) - 1, 0
     while a < n:

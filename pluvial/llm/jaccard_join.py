@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 75
 #: Most sets and shingles of a region that one task joins, how often regions are cut, and tiles of what doesn't shrink, as far as memory allows.
 REGION_MOST, SHINGLES, LEVELS, TILES = 192, 1 << 22, 3, 24
 #: Least prefix hashes that a link shares (of sets that have as many); postings of a bucket; most bytes of pivots that are broadcast.
-SPARE, BUCKET, PIVOT_BYTES = 3, 1 << 20, 8 << 20
+SPARE, BUCKET, PIVOT_BYTES = 3, 1 << 18, 8 << 20
 WHOLE, SLICE = 2, 8 << 20
 
 

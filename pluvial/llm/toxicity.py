@@ -109,8 +109,15 @@ def train(sampled: DataFrame, epochs: int = 4, least_docs: int = 3, **rates) ->
                 out += [f[ends[i] : ends[i + 1]].tobytes() for i in range(b - a)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["place", "label", "features"])
 
+    def rows_of(batch):
+        """The features are views of the batch, not copies."""
+        place, label, found = batch.columns
+        at = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1] // 4
+        flat = np.frombuffer(found.buffers()[2] or b"", np.uint32)
+        return [(p, y, flat[a:b]) for p, y, a, b in zip(place.to_pylist(), label.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def learn(batches):
-        hashes, weights, bias = _fit([(p, y, np.frombuffer(f, np.uint32)) for batch in batches for p, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)], epochs, least_docs, **rates)
+        hashes, weights, bias = _fit([row for batch in batches for row in rows_of(batch)], epochs, least_docs, **rates)
         yield pa.RecordBatch.from_pydict({"hashes": [hashes.tobytes()], "weights": [weights.tobytes()], "bias": [bias]})
 
     found = sampled.select("place", "label", "text").mapInArrow(featurize, "place bigint, label int, features binary").repartition(1).mapInArrow(learn, "hashes binary, weights binary, bias double").collect()
