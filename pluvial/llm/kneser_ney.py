@@ -29,6 +29,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,8 @@ from ._chunks import ragged
 from ._shared import cut, local_path, new_folder, publish, remove_folder, ship, text_bytes
 from ._words import combine, groups, mix, word_hashes
 
-SLICE, SCORED, CHUNK = 16 << 20, 4 << 20, 8
-#: N-grams of a bucket, about: as many at most, and at least where there are more shuffle partitions than that needs. A bucket's contexts and pairs are known by 40 bits of their hash, and its number by others.
+SLICE, SCORED, CHUNK, STEP = 16 << 20, 4 << 20, 8, 64
+#: STEP: of so many hashes of a file one is also in its index. BUCKET: n-grams of a bucket, about: as many at most, and at least where there are more shuffle partitions than that needs. A bucket's contexts and pairs are known by 40 bits of their hash, and its number by others.
 BUCKET, LEAST, HASH_BYTES, CLASSES, PAD = 2_000_000, 100_000, 5, 64, bytes(8)
 END = np.uint64(1)
 #: The ids of words that were never counted and of begins; counted words follow.
@@ -92,10 +93,23 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - 8 * HASH_BYTES)
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different key, and which of these each key is. By hashing, since only what differs needs sorting later."""
+    which, different = pd.factorize(key)
+    some = np.empty(len(different), np.int64)
+    some[which] = np.arange(len(key))
+    return some, which
+
+
 def _cut(x: np.ndarray, size: int) -> bytes:
     return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
+def _hashes(x: np.ndarray) -> bytes:
+    """Ascending hashes, and before them every STEP-th whole, for searches to start from."""
+    return x[::STEP].astype("<u8").tobytes() + _cut(x, HASH_BYTES)
+
+
 def packed(raw: np.ndarray, at: int, n: int, size: int) -> np.ndarray:
     """``n`` numbers of ``size`` bytes as they lie in a file. Each is read with bytes of the next, so ``low`` has to cut these off."""
     return np.ndarray(n, "<u8", raw, at, (size,))
@@ -128,8 +142,8 @@ def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tu
     """Distinct n-grams and the sums of their counts."""
     key = combine(*columns)
     if counts is None:
-        _, at, counts = np.unique(key, return_index=True, return_counts=True)
-        return [c[at] for c in columns], counts
+        some, which = distinct(key)
+        return [c[some] for c in columns], np.bincount(which, minlength=len(some))
     order = np.argsort(key, kind="stable")
     head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     return [c[order[head]] for c in columns], np.add.reduceat(counts[order], head)
@@ -208,7 +222,7 @@ def _merge_grams(place: str, order: int, width: int, n_below: int):
         follow = np.diff(np.append(head, len(n)))
         (far, follows), (many, counts) = _small(follow), _small(n)
         header = np.asarray([len(head), len(n), len(far), len(many)], "<u8").tobytes()
-        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, *follows, *counts, head[::CHUNK].astype("<u8").tobytes(), _cut(context[head], HASH_BYTES), _cut(columns[-1], width), PAD]))
+        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, *follows, *counts, head[::CHUNK].astype("<u8").tobytes(), _hashes(context[head]), _cut(columns[-1], width), PAD]))
         below = _distinct(columns[1:], np.where(columns[1] == BEGIN, n, 1))
         return pa.table(_blocks(*below, n_below, _note(table, order, n)), names=["bucket", "contexts", "words", "notes"])
 
@@ -220,7 +234,9 @@ def _counts(n_buckets: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in groups(offsets, SLICE, 1 << 16):
-                word, n = np.unique(tokens(data, offsets[a : b + 1])[0], return_counts=True)
+                token = tokens(data, offsets[a : b + 1])[0]
+                some, which = distinct(token)
+                word, n = token[some], np.bincount(which)
                 bucket = word_bucket(word, n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -273,7 +289,7 @@ def _merge_pairs(place: str, n_words: int):
         key = short(combine(v, w))
         order = np.argsort(key, kind="stable")
         many, counts = _small(n[order])
-        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), *counts, _cut(key[order], HASH_BYTES), PAD]))
+        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), *counts, _hashes(key[order]), PAD]))
         one = np.ones_like(n)
         targets = _summed(w, one)
         contexts = _summed(v, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
@@ -336,6 +352,7 @@ def train(docs: DataFrame, folder: str | None = None, text_col: str = "text", or
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_words = max(4, partitions, texts.rdd.getNumPartitions())
     counted = texts.mapInArrow(_counts(n_words), "bucket int, word binary, n binary").groupBy("bucket").applyInArrow(_merge_counts(place), "bucket int, tokens bigint, classes array<bigint>").collect()  # a row for each bucket
+    counted.sort(key=lambda r: r.bucket)  # so that reruns give the same ids
     sizes = np.asarray([r.classes for r in counted], np.int64).reshape(len(counted), CLASSES + 1)
     starts = FIRST + (np.cumsum(sizes.T.ravel()) - sizes.T.ravel()).reshape(CLASSES + 1, -1).T
     vocabulary, n_tokens = int(sizes.sum()), sum(r.tokens for r in counted)
@@ -359,31 +376,44 @@ def train(docs: DataFrame, folder: str | None = None, text_col: str = "text", or
 
 def places(x: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """For each bucket in ``x`` where it stands."""
+    x = x.astype(np.uint16) if n <= 1 << 16 else x  # these sort by digits
     order = np.argsort(x, kind="stable")
-    edges = np.searchsorted(x[order], np.arange(n + 1))
-    return [(i, order[edges[i] : edges[i + 1]]) for i in np.flatnonzero(np.diff(edges)).tolist()]
+    edges = np.searchsorted(x[order], np.arange(n))
+    return [(i, order[edges[i] : end]) for i, end in enumerate((*edges[1:], len(x))) if end > edges[i]]
 
 
 def find(keys: np.ndarray, size: int, first: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """In ascending ``packed`` numbers: the first place within [first, end) that holds ``wanted`` or more, and whether it is there."""
-    below, above = first.copy(), end.copy()
-    while (open_ := below < above).any():
-        middle = np.minimum((below + above) // 2, len(keys) - 1)
-        less = open_ & (low(keys[middle], size) < wanted)
-        below, above = np.where(less, middle + 1, below), np.where(open_ & ~less, middle, above)
-    there = below < end
-    there[there] = low(keys[below[there]], size) == wanted[there]
-    return below, there
-
-
-def find_hash(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``find`` among all of a file's hashes. They are spread evenly, so a search starts near a hash's share of the range."""
-    n, reach = len(keys), 8 + 4 * int(len(keys) ** 0.5)
-    guess = (wanted.astype(np.float64) * (n / 2.0 ** (8 * HASH_BYTES))).astype(np.int64)
-    first, end = np.clip(guess - reach, 0, n - 1), np.clip(guess + reach, 1, n)
-    first[low(keys[first], HASH_BYTES) >= wanted] = 0
-    end[low(keys[end - 1], HASH_BYTES) < wanted] = n
-    return find(keys, HASH_BYTES, first, end, wanted)
+    place, there = first.copy(), np.zeros(len(first), bool)
+    at, below, above, sought = np.arange(len(first)), first, end, wanted
+    while len(at):
+        open_ = below < above
+        place[at[~open_]] = below[~open_]
+        at, below, above, sought = at[open_], below[open_], above[open_], sought[open_]
+        middle = (below + above) >> 1
+        less = low(keys[middle], size) < sought
+        below, above = np.where(less, middle + 1, below), np.where(less, above, middle)
+    inner = np.flatnonzero(place < end)
+    there[inner] = low(keys[place[inner]], size) == wanted[inner]
+    return place, there
+
+
+def find_hash(raw: np.ndarray, at: int, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ascending ``wanted`` stand among a file's ``_hashes``, and whether they do: the places of those that don't mean nothing."""
+    starts = -(-n // STEP)
+    keys = packed(raw, at + 8 * starts, n, HASH_BYTES)
+    block = np.searchsorted(np.frombuffer(raw[at : at + 8 * starts].tobytes(), "<u8"), wanted)
+    place = np.maximum((block - 1) * STEP + 1, 0)
+    step = STEP >> 1
+    while step:
+        place += step * (low(keys[np.minimum(place + (step - 1), n - 1)], HASH_BYTES) < wanted)
+        step >>= 1
+    np.minimum(place, n - 1, out=place)
+    return place, low(keys[place], HASH_BYTES) == wanted
+
+
+def hashes_size(n: int) -> int:
+    return 8 * -(-n // STEP) + HASH_BYTES * n
 
 
 class Bytes:
@@ -420,13 +450,15 @@ class Model:
 
     def words(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The id of each token, and how often it occurs, by its 64 bits."""
-        word, back = np.unique(token, return_inverse=True)
+        some, back = distinct(token)
+        word = token[some]
         ids, counts = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64)
         for i, own in places(word_bucket(word, self.about["n_words"]), self.about["n_words"]):
             if (raw := self._open(f"counts-{i:06d}")) is None:
                 continue
             n = int(self._take(raw, 0, 1, "<u8")[0])
             keys = self._take(raw, 8, n, "<u8")
+            own = own[np.argsort(word[own])]
             spot = np.minimum(np.searchsorted(keys, word[own]), n - 1)
             hit = keys[spot] == word[own]
             counts[own[hit]] = self._take(raw, 8 + 8 * n, n, "<u8")[spot[hit]]
@@ -441,7 +473,7 @@ class Model:
             n, many = (int(x) for x in self._take(raw, 0, 2, "<u8"))
             counts = Bytes(raw, 16, n, many)
             own = own[np.argsort(key[own])]
-            spot, hit = find_hash(packed(raw, counts.end, n, HASH_BYTES), key[own])
+            spot, hit = find_hash(raw, counts.end, n, key[own])
             out[own[hit]] = counts[spot[hit]]
         return out
 
@@ -465,7 +497,12 @@ class Model:
         """Rows (count, the context's total, once, twice, more) of n-grams of three words and more."""
         out = np.zeros((len(columns[0]), 5), np.int64)
         hashes = context_hash(columns[:-1])
-        for i, own in places(context_bucket(hashes, self.about["n_grams"]), self.about["n_grams"]):
+        some, context = distinct(hashes)
+        hashes, n_grams = hashes[some], self.about["n_grams"]
+        bucket, wanted = context_bucket(hashes, n_grams), short(hashes)
+        first, last, stats = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), np.zeros((len(some), 4), np.int64)
+        grams = dict(places(bucket[context], n_grams))
+        for i, own in places(bucket, n_grams):
             raw = self._open(f"grams-{len(columns)}-{i:06d}")
             if raw is None:
                 continue
@@ -474,26 +511,26 @@ class Model:
             counts = Bytes(raw, follow.end, n, many)
             chunks = -(-m // CHUNK)
             starts, at = np.frombuffer(raw[counts.end : counts.end + 8 * chunks].tobytes(), "<u8"), counts.end + 8 * chunks
-            contexts, words = packed(raw, at, m, HASH_BYTES), packed(raw, at + HASH_BYTES * m, n, self.about["width"])
-            wanted, back = np.unique(short(hashes[own]), return_inverse=True)
-            spot, hit = find_hash(contexts, wanted)
-            spot = spot[hit]
+            words = packed(raw, at + hashes_size(m), n, self.about["width"])
+            own = own[np.argsort(wanted[own])]
+            spot, hit = find_hash(raw, at, m, wanted[own])
+            spot, own = spot[hit], own[hit]
             if not len(spot):
                 continue
             before = spot % CHUNK
             within = follow[ragged(spot - before, before)]
-            first = starts[spot // CHUNK].astype(np.int64) + np.bincount(np.repeat(np.arange(len(spot)), before), within, len(spot)).astype(np.int64)
-            last = first + follow[spot]
-            begin = np.cumsum(last - first) - (last - first)
-            every = counts[ragged(first, last - first)]
-            stats = np.stack([np.add.reduceat(x.astype(np.int64), begin) for x in (every, every == 1, every == 2, every > 2)], 1)
-            place = np.full(len(wanted), -1)
-            place[hit] = np.arange(len(spot))
-            place = place[back]
-            own, place = own[place >= 0], place[place >= 0]
-            out[own, 1:] = stats[place]
-            at, there = find(words, self.about["width"], first[place], last[place], columns[-1][own])
-            out[own[there], 0] = counts[at[there]]
+            first[own] = starts[spot // CHUNK].astype(np.int64) + np.bincount(np.repeat(np.arange(len(spot)), before), within, len(spot)).astype(np.int64)
+            size = follow[spot]
+            last[own] = first[own] + size
+            every, begin = counts[ragged(first[own], size)], np.cumsum(size) - size
+            once, twice = (np.add.reduceat(every == k, begin, dtype=np.int64) for k in (1, 2))
+            stats[own] = np.stack([np.add.reduceat(every, begin), once, twice, size - once - twice], 1)
+            gram = grams[i]
+            gram = gram[last[context[gram]] > 0]
+            of = context[gram]
+            at, there = find(words, self.about["width"], first[of], last[of], columns[-1][gram])
+            out[gram[there], 0] = counts[at[there]]
+        out[:, 1:] = stats[context]
         return out
 
     def score(self, token: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -502,11 +539,12 @@ class Model:
         ids, known = self.words(token)
         columns = ngrams(ids, ends, a["order"])
         v, w = columns[-2:]
+        some, pair = distinct(v << np.uint64(32) | w)
+        v, w = v[some], w[some]
         words, place = np.unique(np.concatenate([v, w]), return_inverse=True)
         stats = self.word_stats(words)
         vi, wi = place[: len(v)], place[len(v) :]
-        _, first, pair = np.unique(vi * np.int64(len(words)) + wi, return_index=True, return_inverse=True)
-        count = self.pair_counts(v[first], w[first])[pair]
+        count = self.pair_counts(v, w)
         d, e = np.asarray([0.0, *a["d"]]), np.asarray([0.0, *a["d_follow"]])
         follows, f = stats[:, 1], a["follow_classes"]
         more = a["words"] - f[0] - f[1]
@@ -514,11 +552,13 @@ class Model:
         low = (follows - e[np.minimum(follows, 3)]) / max(a["pairs"], 1) + handed / (a["words"] + 1)
         gives = stats[:, 2] * d[1] + stats[:, 3] * d[2] + stats[:, 4] * d[3]
         t = stats[vi, 0]
-        p = np.where(t > 0, (count - d[np.minimum(count, 3)] + gives[vi] * low[wi]) / np.maximum(t, 1), low[wi])
+        p = np.where(t > 0, (count - d[np.minimum(count, 3)] + gives[vi] * low[wi]) / np.maximum(t, 1), low[wi])[pair]
         for k, own in enumerate(a["d_longer"], 3):
-            _, first, gram = np.unique(combine(*columns[-k:]), return_index=True, return_inverse=True)
-            x, d = self.gram_stats([c[first] for c in columns[-k:]])[gram], np.asarray([0.0, *own])
-            p = np.where(x[:, 1] > 0, (x[:, 0] - d[np.minimum(x[:, 0], 3)] + (x[:, 2:] @ d[1:]) * p) / np.maximum(x[:, 1], 1), p)
+            some, gram = distinct(combine(*columns[-k:]))
+            n, t, *follow = self.gram_stats([c[some] for c in columns[-k:]]).T
+            d, p = np.asarray([0.0, *own]), p[some]
+            gives = follow[0] * d[1] + follow[1] * d[2] + follow[2] * d[3]
+            p = np.where(t > 0, (n - d[np.minimum(n, 3)] + gives * p) / np.maximum(t, 1), p)[gram]
         return np.log10(p), np.log10((known + 0.5) / (a["tokens"] + 0.5 * (a["vocabulary"] + 1))), known
 
 
