@@ -6,7 +6,10 @@ holds the signs. With x the code as a unit vector and o' the turned vector,
 |o| <x, q'> / <x, o'>. The estimate's error is at most
 |o| |q| sqrt(1 - <x, o'>^2) / <x, o'> * EPSILON / sqrt(D - 1), but for a chance
 that falls off fast in EPSILON. Vectors whose upper bound reaches the k-th
-exact score found so far are reranked on the original components.
+exact score found so far are reranked on the original components: a tile of
+queries meets the vectors chosen for any of them in one matrix product, of
+which the chosen pairs are read, and those that may reach the k-th score, by
+the product's own rounding, get their sum component by component.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from . import _vectors as V
 from ._shared import cut, remove_folder, ship
 
-EPSILON, PAIRS = 3.5, 1 << 14
+EPSILON, PAIRS, TILE = 3.5, 1 << 14, 64
 
 
 @lru_cache(maxsize=4)
@@ -50,8 +53,10 @@ def _meet(k: int, epsilon: float):
         bits = np.unpackbits(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32) * 2 - 1
         estimate = ((q @ turn).astype(np.float32) @ bits.T) * (norm / fit / np.sqrt(size)).astype(np.float32)
         spread = norm * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit * epsilon / np.sqrt(max(size - 1, 1)) + 1e-5 * norm
-        bound = np.sqrt((q * q).sum(axis=1))[:, None].astype(np.float32) * spread.astype(np.float32)
-        estimate[q_ids[:, None] == ids] = -np.inf
+        size_of = np.sqrt((q * q).sum(axis=1))
+        bound = size_of[:, None].astype(np.float32) * spread.astype(np.float32)
+        own = q_ids[:, None] == ids
+        estimate[own] = -np.inf
 
         def exact(qi, ci):
             out = np.zeros(len(qi))
@@ -68,11 +73,19 @@ def _meet(k: int, epsilon: float):
         qi, ci = np.repeat(np.arange(len(q_ids)), first.shape[1]), first.ravel()
         real = q_ids[qi] != ids[ci]
         qi, ci = qi[real], ci[real]
-        seen = np.zeros(estimate.shape, bool)
-        seen[qi, ci] = True
+        done = own
+        done[qi, ci] = True
         best.add(qi, ids[ci], exact(qi, ci))
         floor = best.floor(-np.inf)
-        qi, ci = np.nonzero((estimate + bound >= floor[:, None]) & ~seen & np.isfinite(estimate))
+        chosen = ~(estimate + bound < floor[:, None]) & ~done  # what has no estimate, by overflow, is chosen
+        slack, parts = 4e-16 * dim * norm, []
+        for a in range(0, len(q), TILE):
+            part = chosen[a : a + TILE]
+            some = np.flatnonzero(part.any(axis=0))
+            near = q[a : a + TILE] @ raw[some].T
+            qi, ci = np.nonzero(part[:, some] & ~(near + size_of[a : a + TILE, None] * slack[some] < floor[a : a + TILE, None]))
+            parts.append((qi + a, some[ci]))
+        qi, ci = (np.concatenate(x) for x in zip(*parts, strict=True))
         scores = exact(qi, ci)
         stay = scores >= floor[qi]
         best.add(qi[stay], ids[ci[stay]], scores[stay])
