@@ -185,6 +185,24 @@ def test_vector_search(spark, module, integer):
     assert module.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e37, 1e-200])
+def test_codes_choose_at_any_magnitude(scale):
+    """Scores of meeting blocks equal brute force, also where estimates overflow or lengths vanish."""
+    from pluvial.llm import _vectors
+
+    x = np.random.default_rng(1).standard_normal((900, 12)) * scale
+    ids, q = np.arange(900), 60
+    best, meet = _vectors.Best(q, 20, np.float64), rabitq._meet(20, rabitq.EPSILON)
+    with np.errstate(all="ignore"):
+        for a in range(0, 900, 300):
+            made = {k: v.tobytes() for k, v in rabitq.pack(x[a : a + 300]).items()}
+            meet(best, {"dim": 12, "q_ids": ids[:q].tobytes(), "q_raw": x[:q].tobytes(), "ids": ids[a : a + 300].tobytes(), **made})
+    every = x[:q] @ x.T
+    every[np.arange(q), np.arange(q)] = -np.inf
+    top = np.sort(every, axis=1)[:, ::-1][:, :20]
+    np.testing.assert_allclose(best.scores.reshape(q, 20), top, rtol=1e-12)
+
+
 def test_large_integers_stay_exact():
     q, c = np.asarray([[1 << 26, 3]]), np.asarray([[1 << 26, 1], [(1 << 26) + 1, -7]])
     assert uniform_topk.partial_scores(q, c).tolist() == [[(1 << 52) + 3, (1 << 52) + (1 << 26) - 21]]
