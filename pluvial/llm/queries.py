@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _labels, byte_bpe, jaccard_join, kneser_ney, mixing, quality, rabitq, token_blocks, token_counts, toxicity, uniform_topk
+from . import _labels, byte_bpe, jaccard_join, kneser_ney, mixing, periodic_runs, quality, rabitq, token_blocks, token_counts, toxicity, uniform_topk
 from ._shared import cut, remove_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,32 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in about a tenth of the documents, by crc32 of the id, the words from some place on
+    repeat what stands there; these texts become their words joined by one space. A null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    held = docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w").cast("bigint"))
+    held = held.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    tail = F.col("n") - F.col("a")
+    held = held.withColumn("p", 1 + F.floor(tail / (3 + F.col("g") % 8)))
+    piece = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    again = F.flatten(F.array_repeat(piece, F.ceil(tail / F.col("p")).cast("int")))
+    made = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice(again, F.lit(1), tail.cast("int"))), " ")
+    return held.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(_with_repeats(_table(spark, sf_dir, "documents")))
+    longer = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]  # noqa: E731  of two exponents, exactly
+    best = F.reduce("runs", F.try_element_at("runs", F.lit(1)), lambda kept, x: F.when(longer(x, kept), x).otherwise(kept))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    exponent = F.expr("(1000 * best.length) div best.period")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_rabitq": op2_rabitq,
@@ -83,5 +109,6 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op2_rabitq": rabitq.SQL, "op4_uniform_topk": uniform_topk.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
