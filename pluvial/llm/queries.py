@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _labels, byte_bpe, jaccard_join, kneser_ney, mixing, periodic_runs, quality, rabitq, token_blocks, token_counts, toxicity, uniform_topk
+from . import _labels, anchor_dedup, byte_bpe, jaccard_join, kneser_ney, mixing, periodic_runs, quality, rabitq, token_blocks, token_counts, toxicity, uniform_topk
 from ._shared import cut, remove_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op12_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def _with_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: in about a tenth of the documents, by crc32 of the id, the words from some place on
     repeat what stands there; these texts become their words joined by one space. A null id changes nothing."""
@@ -109,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_simhash_anchors": op12_simhash_anchors,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {"op2_rabitq": rabitq.SQL, "op4_uniform_topk": uniform_topk.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
