@@ -6,10 +6,10 @@ code word, so every fingerprint has a home: the anchor within the covering
 radius in both parts. If two fingerprints differ in at most t bits, each lies
 within radius plus t of the other's home, and the bits beyond the radius, added
 over the two parts, are at most t: to the anchors of which this holds a
-fingerprint is replicated (some 300 for t = 3, however many documents there
-are), and there it is compared, on all 64 bits, with those at home. Only anchors
-where somebody is at home matter; a bit set of them, 2 MB at most since there
-are 2^24 anchors, leaves out the others before anything is shuffled.
+fingerprint is replicated, and there it is compared, on all 64 bits, with those
+at home. Rows travel by the first code word (71 copies for t = 3, however many
+documents there are); the second word's copies are made, and met with the
+homes, by the task that has all fingerprints of a first word.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from ._chunks import ragged
 from ._components import beside, components
 from ._shared import appended, cut, remove_folder, ship
 
-#: Bits of a part, its covering radius, the code's generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
-PART, RADIUS, GENERATOR, ANCHORS = 23, 3, 0b110001110101, 1 << 24
-#: Fingerprints at home, or visiting, that one task compares at one anchor; pairs held at once; rows replicated at once.
-TILE, PAIRS, ROWS, SHINGLES = 2048, 1 << 20, 4096, 1 << 16
+#: Bits of a part, its covering radius, the code's generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, its words.
+PART, RADIUS, GENERATOR, WORDS = 23, 3, 0b110001110101, 1 << 12
+#: Fingerprints at home at one code word, and visits to it, that one task takes; pairs held at once; rows replicated at once.
+RESIDENTS, GUESTS, PAIRS, ROWS, SHINGLES = 1 << 20, 1 << 16, 1 << 20, 1 << 14, 1 << 16
 _U = np.uint64
 
 
@@ -94,34 +94,24 @@ def _parts(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (fps & mask).astype(np.int64), ((fps >> _U(PART)) & mask).astype(np.int64)
 
 
-def _anchor(words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A code word's upper 12 bits say which it is."""
-    return (words[0] >> 11) << 12 | words[1] >> 11
-
-
-def home(fps: np.ndarray) -> np.ndarray:
-    """The anchor within the radius of each fingerprint (uint64)."""
+def home(part: np.ndarray) -> np.ndarray:
+    """The one code word within the radius of each part: its upper 12 bits say which it is."""
     difference, start, _ = patterns(0)
-    return _anchor(tuple(p ^ difference[start[syndrome(p), 0]] for p in _parts(fps)))
+    return (part ^ difference[start[syndrome(part), 0]]) >> 11
 
 
-def visits(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``fps`` and the anchors to which each goes: all that can be the home of one within ``limit`` bits."""
+def visits(part: np.ndarray, budget: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``part``, the code words within RADIUS + budget (of at most ``limit``) of each, and what of the budget is left."""
     difference, start, count = patterns(limit)
-    a, b = _parts(fps)
-    sa, sb = syndrome(a), syndrome(b)
-    who, where = [], []
-    for i in range(limit + 1):
-        for j in range(limit + 1 - i):
-            na, nb = count[sa, i], count[sb, j]
-            total = na * nb
-            own = np.repeat(np.arange(len(fps)), total)
-            k = ragged(np.zeros(len(fps), np.int64), total)
-            x = difference[start[sa, i][own] + k // nb[own]]
-            y = difference[start[sb, j][own] + k % nb[own]]
-            who.append(own)
-            where.append(_anchor((a[own] ^ x, b[own] ^ y)))
-    return np.concatenate(who), np.concatenate(where)
+    s = syndrome(part)
+    own, where, left = [], [], []
+    for excess in range(limit + 1):
+        n = np.where(budget >= excess, count[s, excess], 0)
+        who = np.repeat(np.arange(len(part)), n)
+        own.append(who)
+        where.append((part[who] ^ difference[ragged(start[s, excess], n)]) >> 11)
+        left.append(budget[who] - excess)
+    return np.concatenate(own), np.concatenate(where), np.concatenate(left)
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,62 +132,81 @@ def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def _with_homes(batches):
+def _at_home(batches):
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home(fps.view(_U)).astype(np.int32))], [*batch.schema.names, "anchor"])
+        yield pa.RecordBatch.from_arrays([pa.array(home(_parts(fps.view(_U))[0]).astype(np.int32)), pa.array(np.zeros(len(fps), np.int32)), batch.column(0)], ["anchor", "budget", "fp"])
 
 
-def _visiting(limit: int, taken):
+def _visiting(limit: int):
     def run(batches):
-        bits = np.frombuffer(taken.value, np.uint8)
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for a in range(0, len(fps), ROWS):
-                who, where = visits(fps[a : a + ROWS].view(_U), limit)
-                some = (bits[where >> 3] >> (where & 7).astype(np.uint8)) & 1 > 0
-                yield pa.RecordBatch.from_arrays([pa.array(fps[a : a + ROWS][who[some]]), pa.array(where[some].astype(np.int32))], ["fp", "anchor"])
+                some = fps[a : a + ROWS]
+                who, where, left = visits(_parts(some.view(_U))[0], np.full(len(some), limit), limit)
+                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(some[who])], ["anchor", "budget", "fp"])
+
+    return run
+
+
+def _visited(limit: int):
+    def run(batches):
+        n = np.zeros(WORDS, np.int64)
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            for a in range(0, len(fps), ROWS):
+                some = _parts(fps[a : a + ROWS].view(_U))[0]
+                n += np.bincount(visits(some, np.full(len(some), limit), limit)[1], minlength=WORDS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["anchor", "n"])
 
     return run
 
 
 def _compared(limit: int):
-    """Rows (key, resident, fp) sorted by key, a partition at a time, to links. What a batch leaves open waits for the next."""
+    """Rows (key, resident, budget, fp) sorted by key, a partition at a time, to links. What a batch leaves open waits for the next."""
 
-    def met(key, resident, fp):
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    def met(key, resident, budget, fp):
         group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        second = _parts(fp)[1]
         here = np.flatnonzero(resident)
-        homes = np.bincount(group[here], minlength=len(edge))
-        first = np.cumsum(homes) - homes
+        place = group[here] * WORDS + home(second[here])
+        order = np.argsort(place, kind="stable")
+        here, place = here[order], place[order]
         guests = np.flatnonzero(~resident)
-        times = homes[group[guests]]
-        ends = np.cumsum(times)
-        a = 0
-        while a < len(guests):
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
-            some = guests[a:z]
-            x = np.repeat(fp[some], times[a:z])
-            y = fp[here[ragged(first[group[some]], times[a:z])]]
-            close = (np.bitwise_count(x ^ y) <= limit) & (x != y)
-            if close.any():
-                yield joined(x[close].view(np.int64), y[close].view(np.int64))
-            a = z
+        for a in range(0, len(guests), ROWS):
+            some = guests[a : a + ROWS]
+            who, where, _ = visits(second[some], budget[some], limit)
+            who = some[who]
+            at = group[who] * WORDS + where
+            first = np.searchsorted(place, at)
+            times = np.searchsorted(place, at, "right") - first
+            found = np.flatnonzero(times)
+            who, first, times = who[found], first[found], times[found]
+            ends, b = np.cumsum(times), 0
+            while b < len(who):
+                z = max(b + 1, int(np.searchsorted(ends, (ends[b - 1] if b else 0) + PAIRS, "right")))
+                x = np.repeat(fp[who[b:z]], times[b:z])
+                y = fp[here[ragged(first[b:z], times[b:z])]]
+                close = (np.bitwise_count(x ^ y) <= limit) & (x != y)
+                if close.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in joined(x[close].view(np.int64), y[close].view(np.int64))], ["a", "b"])
+                b = z
 
     def run(batches):
         held = None
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            columns[2] = columns[2].view(_U)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            columns[3] = columns[3].view(_U)
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             last = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
             held = [c[last:] for c in columns]
-            for a, b in met(*(c[:last] for c in columns)) if last else ():
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if last:
+                yield from met(*(c[:last] for c in columns))
         if held is not None and len(held[0]):
-            for a, b in met(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield from met(*held)
 
     return run
 
@@ -205,42 +214,32 @@ def _compared(limit: int):
 def links(distinct: DataFrame, limit: int = 3) -> tuple[DataFrame, str]:
     """``a, b``: links that connect exactly the fingerprints that chains of at most ``limit`` differing bits connect.
 
-    ``distinct`` has distinct ``fp``, read from files. An anchor with more than
-    TILE residents or visitors is dealt as tiles of both, so that no task
-    compares more than TILE with TILE. Also the folder that the links are read from.
+    ``distinct`` has distinct ``fp``, read from files. Who is at home at a first
+    word, and who visits it, is counted first: where these are more than
+    RESIDENTS or GUESTS they are dealt as tiles of both (guests in tiles not
+    smaller than the number of residents, so that residents are not copied more
+    often than there are guests). Also the folder that the links are read from.
     """
-    spark = distinct.sparkSession
-    homes, uri_1 = cut(distinct.select("fp").mapInArrow(_with_homes, "fp bigint, anchor int"), "homes")
-    places = homes.select((F.col("anchor") + 1).cast("bigint").alias("p"))  # counted from 1 as the bit sets are
-    rows = places.groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()  # 512 rows of 4 KB at most
-    size = 4096
-    taken = bytearray(ANCHORS // 8)
-    for r in rows:
-        taken[(r.n - 1) * size : r.n * size] = r.bits
-    bits = spark.sparkContext.broadcast(bytes(taken))
-    guests, uri_2 = cut(distinct.select("fp").mapInArrow(_visiting(limit, bits), "fp bigint, anchor int"), "visits")
-    n = lambda df, name: df.groupBy("anchor").agg(F.count(F.lit(1)).alias(name))
-    crowds = n(homes, "h").join(n(guests, "v"), "anchor").where((F.col("h") > TILE) | (F.col("v") > TILE))
-    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
-    crowds, uri_3 = cut(crowds.select("anchor", tiles("h").alias("h"), tiles("v").alias("v")), "crowds")
+    at_home = lambda: distinct.select("fp").mapInArrow(_at_home, "anchor int, budget int, fp bigint")
+    h = at_home().groupBy("anchor").agg(F.count(F.lit(1)).alias("h"))
+    v = distinct.select("fp").mapInArrow(_visited(limit), "anchor int, n bigint").groupBy("anchor").agg(F.sum("n").alias("v"))
+    tiles = lambda n, most: F.ceil(F.col(n) / most).cast("int")
+    sizes, uri_1 = cut(h.join(v, "anchor").select("anchor", tiles("h", RESIDENTS).alias("th"), F.least(tiles("v", GUESTS), F.ceil(F.col("v") / F.col("h")).cast("int")).alias("tv")), "sizes")
+    sizes = F.broadcast(sizes)  # a row for each code word at most: 4096
 
     def dealt(rows: DataFrame, own: str, other: str, resident: bool) -> DataFrame:
-        held = beside(rows, crowds, "anchor", "left")
-        tile = lambda c: F.coalesce(c, F.lit(1))
-        mine = F.pmod(F.xxhash64("fp"), tile(F.col(own))).cast("int")
-        held = held.select("fp", "anchor", "h", "v", mine.alias("mine"), F.explode(F.sequence(F.lit(0), tile(F.col(other)) - 1)).alias("theirs"))
-        at = (F.col("mine"), F.col("theirs")) if resident else (F.col("theirs"), F.col("mine"))
-        key = F.when(F.col("h").isNull(), F.col("anchor").cast("bigint")).otherwise(F.xxhash64("anchor", *at).bitwiseOR(F.lit(1 << 62)))
-        return held.select(key.alias("key"), F.lit(resident).alias("resident"), "fp")
-
-    both = dealt(homes, "h", "v", True).unionByName(dealt(guests, "v", "h", False))
-    # keys of tiles are hashes: two that agree only add comparisons
+        mine = F.pmod(F.xxhash64("fp"), F.col(own)).cast("int")
+        rows = rows.join(sizes, "anchor").select("anchor", "budget", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("theirs"))
+        tile = (F.col("mine"), F.col("theirs")) if resident else (F.col("theirs"), F.col("mine"))
+        key = (tile[0].cast("bigint") * (1 << 24) + tile[1]) * WORDS + F.col("anchor")
+        return rows.select(key.alias("key"), F.lit(resident).alias("resident"), "budget", "fp")
+
+    guests = distinct.select("fp").mapInArrow(_visiting(limit), "anchor int, budget int, fp bigint")
+    both = dealt(at_home(), "th", "tv", True).unionByName(dealt(guests, "tv", "th", False))
     met = both.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(limit), "a bigint, b bigint")
-    found, uri_4 = cut(met, "links")
-    for uri in (uri_1, uri_2, uri_3):
-        remove_folder(spark, uri)
-    bits.destroy()
-    return found, uri_4
+    found, uri_2 = cut(met, "links")
+    remove_folder(distinct.sparkSession, uri_1)
+    return found, uri_2
 
 
 def _named(distinct: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -49,10 +49,12 @@ def test_the_code_covers_and_has_one_home_for_each():
     y = x.copy()
     for _ in range(3):
         y ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
-    who, where = anchor_dedup.visits(y, 3)
-    goes = set(zip(who.tolist(), where.tolist(), strict=True))
-    assert all((i, a) in goes for i, a in enumerate(anchor_dedup.home(x).tolist()))
-    assert len(goes) == len(who) and 250 < len(who) / len(x) < 350
+    (x1, x2), (y1, y2) = anchor_dedup._parts(x), anchor_dedup._parts(y)
+    who, first, left = anchor_dedup.visits(y1, np.full(len(y), 3), 3)
+    again, second, _ = anchor_dedup.visits(y2[who], left, 3)
+    goes = set(zip(who[again].tolist(), first[again].tolist(), second.tolist(), strict=True))
+    assert all(a in goes for a in zip(range(len(x)), anchor_dedup.home(x1).tolist(), anchor_dedup.home(x2).tolist(), strict=True))
+    assert len(goes) == len(again) and 250 < len(again) / len(x) < 350 and 68 < len(who) / len(x) < 74
 
 
 def test_links_become_a_forest():
@@ -72,9 +74,10 @@ def prints_with_neighbours(n, seed):
     return out
 
 
-@pytest.mark.parametrize(("limit", "tile"), [(3, 2048), (3, 4), (0, 2048), (1, 3), (4, 2048)])
+@pytest.mark.parametrize(("limit", "tile"), [(3, 2048), (3, 2), (0, 2048), (1, 1), (4, 2048)])
 def test_components_equal_all_pairs(spark, monkeypatch, limit, tile):
-    monkeypatch.setattr(anchor_dedup, "TILE", tile)
+    monkeypatch.setattr(anchor_dedup, "RESIDENTS", tile)
+    monkeypatch.setattr(anchor_dedup, "GUESTS", tile * 8)
     monkeypatch.setattr(anchor_dedup, "PAIRS", 64)
     prints = [(i, p) for i, p in enumerate(prints_with_neighbours(400, limit))]
     rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in prints]
