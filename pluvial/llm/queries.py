@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _labels, anchor_dedup, byte_bpe, jaccard_join, kneser_ney, mixing, periodic_runs, quality, rabitq, token_blocks, token_counts, toxicity, uniform_topk
+from . import _labels, anchor_dedup, byte_bpe, cover_tree, jaccard_join, kneser_ney, mixing, periodic_runs, quality, rabitq, token_blocks, token_counts, toxicity, uniform_topk
 from ._shared import cut, remove_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.mine(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, label)
+
+
 def op12_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -113,7 +118,8 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_cover_tree": op11_cover_tree,
     "op12_simhash_anchors": op12_simhash_anchors,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op2_rabitq": rabitq.SQL, "op4_uniform_topk": uniform_topk.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_rabitq": rabitq.SQL, "op4_uniform_topk": uniform_topk.SQL, "op9_mixing": mixing.SQL, "op10_jaccard_join": jaccard_join.SQL, "op11_cover_tree": cover_tree.SQL}
