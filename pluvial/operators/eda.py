@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order_stats
+
 
 def long(df: DataFrame, metrics: dict[str, Column], name: str = "metric", value: str = "value") -> DataFrame:
     """One row for each aggregate, as doubles."""
@@ -14,15 +16,18 @@ def long(df: DataFrame, metrics: dict[str, Column], name: str = "metric", value:
 
 
 def overview(df: DataFrame, station: str, time: str, x: str, threshold: float = 0.1) -> DataFrame:
+    """``metric, value``; medians and percentiles are exact, by ``order_stats``."""
     v, n = F.col(x), F.count(F.lit(1))
+    exact = order_stats.percentiles(df, {"all": (v, [0.5, 0.95, 0.99]), "rainy": (F.when(v >= threshold, v), [0.5])})
+    median, p95, p99, rainy_median = (F.lit(q).cast("double") for q in exact["all"] + exact["rainy"])
     known = F.count(v)
     rainy = F.count_if(v >= threshold)
     metrics = {
         "rows": n, "stations": F.count_distinct(station), "days": F.count_distinct(time), "years": F.count_distinct(F.year(time)),
         "known": known, "missing": n - known, "missing_percent": F.try_divide((n - known) * 100.0, n),
         "zero": F.count_if(v == 0), "rainy": rainy, "dry": F.count_if(v < threshold), "rainy_percent": F.try_divide(rainy * 100.0, known),
-        "sum": F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg(v), "median": F.median(v), "p95": F.percentile(v, F.lit(0.95)), "p99": F.percentile(v, F.lit(0.99)),
-        "min": F.min(v), "max": F.max(v), "rainy_mean": F.avg(F.when(v >= threshold, v)), "rainy_median": F.median(F.when(v >= threshold, v)), "rainy_max": F.max(F.when(v >= threshold, v)),
+        "sum": F.coalesce(F.sum(v), F.lit(0.0)), "mean": F.avg(v), "median": median, "p95": p95, "p99": p99,
+        "min": F.min(v), "max": F.max(v), "rainy_mean": F.avg(F.when(v >= threshold, v)), "rainy_median": rainy_median, "rainy_max": F.max(F.when(v >= threshold, v)),
     }
     return long(df, metrics)
 
@@ -47,11 +52,10 @@ def missing_by(df: DataFrame, keys: Sequence[str | Column], x: str, threshold: f
 
 
 def quantiles(df: DataFrame, x: str, probabilities: Sequence[float], subsets: dict[str, Column]) -> DataFrame:
-    """``subset, probability, value``, linear between values."""
-    p = F.array(*[F.lit(q) for q in probabilities])
-    rows = df.agg(*[F.percentile(F.when(c, F.col(x)), p).alias(k) for k, c in subsets.items()]).unpivot([], list(subsets), "subset", "values")
-    exploded = rows.select("subset", F.posexplode("values").alias("place", "value"))
-    return exploded.select("subset", F.element_at(p, F.col("place") + 1).alias("probability"), "value")
+    """``subset, probability, value``: exact, linear between values, by ``order_stats``; null for an empty subset."""
+    found = order_stats.percentiles(df, {k: (F.when(c, F.col(x)), probabilities) for k, c in subsets.items()})
+    rows = [(k, float(p), q) for k, qs in found.items() for p, q in zip(probabilities, qs, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "subset string, probability double, value double")
 
 
 def value_counts(df: DataFrame, c: Column, categories: Sequence[str]) -> DataFrame:

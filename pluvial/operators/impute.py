@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order_stats, store
 from . import windows as win
 
 
@@ -20,13 +21,15 @@ def cascade(df: DataFrame, c: str, station: str, season: Column, time: str, limi
     season, then the station's median, then the median of all, each of the stage before.
 
     The medians cover the whole period, later rows included; not for targets.
+    The rows are written to the shared folder before the last stage, whose
+    median is exact and found in a few passes (``order_stats``).
     """
     out = df.withColumn(c, win.carried(c, win.by([station], time), limit)).withColumn("_season", season)
     for keys in ([station, "_season"], [station]):
         out = out.withColumn(c, F.coalesce(F.col(c), F.median(c).over(Window.partitionBy(*keys))))
-    overall = out.agg(F.median(c).alias("_overall"))
-    out = out.join(F.broadcast(overall))  # one row
-    return out.withColumn(c, F.coalesce(F.col(c), F.col("_overall"))).drop("_season", "_overall")
+    out, _ = store.written(out.drop("_season"), "cascade")
+    (overall,) = order_stats.percentiles(out, {c: (F.col(c), [0.5])})[c]
+    return out.withColumn(c, F.coalesce(F.col(c), F.lit(overall).cast("double")))
 
 
 def past_proxy(df: DataFrame, c: str, station: str, season: Column, time: str, out: str, limit: int = 2, window: bool = False) -> DataFrame:
@@ -49,6 +52,6 @@ def past_proxy(df: DataFrame, c: str, station: str, season: Column, time: str, o
 
 def fill_with_medians(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
     """Nulls of all tables replaced by the medians of ``train``; 0 where train has no value."""
-    medians = train.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()  # one row
-    fill = {c: 0.0 if m is None else m for c, m in medians.items()}
+    medians = order_stats.percentiles(train, {c: (F.col(c), [0.5]) for c in columns})
+    fill = {c: 0.0 if m is None else m for c, (m,) in medians.items()}
     return [t.na.fill(fill) for t in (train, *others)]

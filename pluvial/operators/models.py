@@ -1,38 +1,40 @@
-"""One-stage and two-stage rain models on MLlib.
-
-MLlib has no boosted Tweedie regression; the one-stage model is a generalized
-linear one. Scores are not comparable with those of boosted trees elsewhere.
-"""
+"""One-stage and two-stage rain models: boosted trees, and a generalized linear model beside them."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fewer rainy rows to train on, or to validate on, than these: rain is predicted by its mean.
+from pluvial.functions.expr import finite
+
+from . import boosting, metrics, order_stats, selection
+from .boosting import DASHBOARD, EVALUATION, SELECTION, Settings
+
+#: Fewer rainy rows to train on, or to validate on, than these: the dashboard predicts rain by its mean.
 LEAST_ROWS, LEAST_RAINY = 30, 10
 
+Predict = Callable[[DataFrame], DataFrame]
+
 
 def _ready(df: DataFrame, features: Sequence[str], fill: dict[str, float]) -> DataFrame:
     """Features without nulls: infinities and nulls become ``fill``."""
-    return df.withColumns({c: F.coalesce(F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double")), F.lit(fill[c])) for c in features})
+    return df.withColumns({c: F.coalesce(finite(F.col(c).cast("double")), F.lit(fill[c])) for c in features})
 
 
 def medians(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Medians of the finite values of the training rows; 0 where there are none."""
-    finite = [F.median(F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double"))).alias(c) for c in features]
-    return {c: 0.0 if m is None else m for c, m in train.agg(*finite).first().asDict().items()}  # one row
+    """Exact medians of the finite values of the training rows; 0 where there are none."""
+    found = order_stats.percentiles(train, {c: (finite(F.col(c).cast("double")), [0.5]) for c in features})
+    return {c: 0.0 if m[0] is None else m[0] for c, m in found.items()}
 
 
-def tweedie(train: DataFrame, features: Sequence[str], label: str, power: float = 1.3, rounds: int = 25):
-    """E(y) = exp(x b), with variance mean ** power. Nulls take the training medians."""
+def tweedie(train: DataFrame, features: Sequence[str], label: str, power: float = 1.3, rounds: int = 25) -> Predict:
+    """The linear model: E(y) = exp(x b), with variance mean ** power. Nulls take the training medians."""
     fill = medians(train, features)
     glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=label, predictionCol="prediction", regParam=0.01, maxIter=rounds)
     stages = [VectorAssembler(inputCols=list(features), outputCol="_x"), glm.setFeaturesCol("_x")]
@@ -40,99 +42,108 @@ def tweedie(train: DataFrame, features: Sequence[str], label: str, power: float
     return lambda df: model.transform(_ready(df, features, fill)).drop("_x")
 
 
-def balanced(df: DataFrame, label: str) -> DataFrame:
-    """``weight``: rows / (2 * rows of the same label)."""
-    n = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two rows
-    total = sum(n.values())
-    pairs = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, total / (len(n) * v))])
-    return df.withColumn("weight", F.element_at(pairs, F.col(label)))
+def one_stage(train: DataFrame, features: Sequence[str], label: str, valid: DataFrame | None = None, settings: Settings = EVALUATION) -> boosting.Boosted:
+    """Boosted trees under the Tweedie loss; missing values go where a split sends them."""
+    return boosting.fit(train, features, label, replace(settings, objective="tweedie"), valid)
 
 
 class TwoStage:
     """The chance of rain times its amount. ``amount`` is None where too few rows rained; ``mean`` serves then."""
 
-    def __init__(self, features: Sequence[str], fill: dict[str, float], chance, amount, mean: float):
-        self.features, self.fill, self.chance, self.amount, self.mean = list(features), fill, chance, amount, mean
+    def __init__(self, chance: boosting.Boosted, amount: boosting.Boosted | None, mean: float):
+        self.chance, self.amount, self.mean = chance, amount, mean
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with ``prediction``, not below 0."""
-        out = VectorAssembler(inputCols=self.features, outputCol="_x").transform(_ready(df, self.features, self.fill))
-        out = self.chance.transform(out)
+        out = self.chance.predict(df, "_chance")
         if self.amount is None:
             amount = F.lit(float(self.mean))
         else:
-            out, amount = self.amount.transform(out), F.expm1("_log")
-        expected = F.greatest(vector_to_array("probability")[1] * amount, F.lit(0.0))
-        return out.withColumn("prediction", expected).drop("_x", "rawPrediction", "probability", "_label", "_log")
+            out, amount = self.amount.predict(out, "_log"), F.greatest(F.expm1("_log"), F.lit(0.0))
+        return out.withColumn("prediction", F.greatest(F.col("_chance") * amount, F.lit(0.0))).drop("_chance", "_log")
 
-    def importances(self) -> dict[str, list[tuple[str, float]]]:
-        """Impurity-based importances of each stage, by feature."""
-        stages = {"importance_stage1_cls": self.chance, "importance_stage2_wet": self.amount}
-        return {name: list(zip(self.features, m.featureImportances.toArray().tolist(), strict=True)) for name, m in stages.items() if m is not None}
 
+def two_stage(train: DataFrame, features: Sequence[str], rain: str = "target_stage1_rain_label", log_amount: str = "target_stage2_prcp_log1p", settings: Settings = EVALUATION, valid: DataFrame | None = None, fallback: bool = False) -> TwoStage:
+    """A rain classifier, and a regressor of log amounts on rainy rows.
 
-def two_stage(train: DataFrame, features: Sequence[str], rain: str = "target_stage1_rain_label", log_amount: str = "target_stage2_prcp_log1p", trees: int = 20, depth: int = 4, valid: DataFrame | None = None) -> TwoStage:
-    """A rain classifier, and a regressor of log amounts on rainy rows. Nulls take the training medians.
-
-    With ``valid`` boosting stops when its rows no longer gain. Fewer than
-    LEAST_ROWS rainy rows to train on, or LEAST_RAINY to validate on: the mean
-    amount of the rainy training rows stands for the regressor.
+    Class weights balance the training rows; validation rows count alike and
+    stop each stage by themselves; a second stage without rainy validation rows
+    runs all rounds. No rainy training row is an error. ``fallback``, as the
+    dashboard does it: with fewer than LEAST_ROWS rainy training rows or
+    LEAST_RAINY rainy validation rows their mean amount stands for the regressor.
     """
-    fill, flag = medians(train, features), "_valid"
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_x")
-    rows = train.withColumn(flag, F.lit(False))
-    if valid is not None:
-        rows = rows.unionByName(valid.withColumn(flag, F.lit(True)), allowMissingColumns=True)
-    data = assemble.transform(_ready(rows.where(F.col(rain).isNotNull()), features, fill))
-    stop = {} if valid is None else {"validationIndicatorCol": flag}
-    chance = GBTClassifier(featuresCol="_x", labelCol=rain, weightCol="weight", maxIter=trees, maxDepth=depth, seed=42, predictionCol="_label", **stop).fit(balanced(data, rain))
-    rainy = data.where(F.col(rain) == 1)
-    n, n_valid, mean = rainy.agg(F.count_if(~F.col(flag)), F.count_if(F.col(flag)), F.avg(F.when(~F.col(flag), F.expm1(log_amount)))).first()
-    if n < LEAST_ROWS or valid is not None and n_valid < LEAST_RAINY:
-        return TwoStage(features, fill, chance, None, mean or 0.0)
-    amount = GBTRegressor(featuresCol="_x", labelCol=log_amount, maxIter=trees, maxDepth=depth, seed=42, predictionCol="_log", **stop).fit(rainy)
-    return TwoStage(features, fill, chance, amount, mean)
-
-
-def scenarios(parts: dict[str, DataFrame], feature_sets: dict[str, Sequence[str]], target: str = "target_1stage_prcp_mm", lagged: str = "PRCP_lag_1") -> DataFrame:
+    chance = boosting.fit(train, features, rain, boosting.with_objective(settings, "binary"), valid, balanced=True)
+    wet = lambda df: df.where(F.col(rain) == 1)
+    n, mean = wet(train).agg(F.count(F.lit(1)), F.avg(F.expm1(log_amount))).first()  # one row
+    if not n and not fallback:
+        raise ValueError("no rainy training rows")
+    n_valid = 0 if valid is None else wet(valid).count()
+    if fallback and (n < LEAST_ROWS or valid is not None and n_valid < LEAST_RAINY):
+        return TwoStage(chance, None, mean or 0.0)
+    amount = boosting.fit(wet(train), features, log_amount, boosting.with_objective(settings, "squared"), wet(valid) if n_valid else None)
+    return TwoStage(chance, amount, mean)
+
+
+def importances(train: DataFrame, features: Sequence[str], target: str = "target_1stage_prcp_mm", rain: str = "target_stage1_rain_label", log_amount: str = "target_stage2_prcp_log1p", settings: Settings = SELECTION) -> DataFrame:
+    """``feature`` and, for the one-stage model and both stages, its number of splits and their gains: trees walked as tables."""
+    spark, parts = train.sparkSession, []
+    fits = (("importance_tweedie", "tweedie", target, train, False), ("importance_stage1_cls", "binary", rain, train, True), ("importance_stage2_wet", "squared", log_amount, train.where(F.col(rain) == 1), False))
+    for name, objective, label, rows, balanced in fits:
+        parts.append(boosting.fit(rows, features, label, boosting.with_objective(settings, objective), balanced=balanced).importances(spark, name))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p), "feature", "full").na.fill(0.0)  # a row for each feature
+    return out
+
+
+def combined(parts: DataFrame, correlations: DataFrame) -> DataFrame:
+    """``feature, score``: importances of three models and ``abs_spearman, abs_spearman_rain`` by ``feature``, weighed as selection.WEIGHTS says."""
+    return selection.scored(selection.with_correlation(parts, correlations), "feature", selection.WEIGHTS)
+
+
+def scenarios(parts: dict[str, DataFrame], feature_sets: dict[str, Sequence[str]], target: str = "target_1stage_prcp_mm", lagged: str = "PRCP_lag_1", settings: Settings = EVALUATION, linear: bool = False, dashboard: bool = False) -> DataFrame:
     """The result table: persistence, one-stage and two-stage for each feature set on every part but ``train``.
 
-    A part named ``valid`` also stops the boosting.
+    A part named ``valid`` also stops the boosting. ``linear``: the generalized
+    linear model in place of the one-stage trees. ``dashboard``: nulls take the
+    training medians, and too few rainy rows their mean.
     """
-    from . import metrics
-
     out: list[DataFrame] = []
 
     def add(df: DataFrame, name: str, feature_set: str, model: str, n: int) -> None:
         row = metrics.regression(df, target, "prediction")
         out.append(row.select(F.lit(feature_set).alias("feature_set"), F.lit(name).alias("scenario"), F.lit(model).alias("model"), F.lit(n).alias("n_features"), F.col("mae").alias("mae_mm"), F.col("rmse").alias("rmse_mm"), "wape_percent", "r2", F.col("bias").alias("bias_mean_pred_minus_true_mm")))
 
-    train = parts["train"]
-    for name in [p for p in parts if p != "train"]:
+    others = [p for p in parts if p != "train"]
+    for name in others:
         add(metrics.persistence(parts[name], lagged), name, "none", "persistence", 0)
     for label, features in feature_sets.items():
-        one, two = tweedie(train, features, target), two_stage(train, features, valid=parts.get("valid"))
-        for name in [p for p in parts if p != "train"]:
-            add(one(parts[name]), name, label, "one_stage", len(features))
-            add(two.predict(parts[name]), name, label, "two_stage", len(features))
+        own = parts
+        if dashboard:
+            fill = medians(parts["train"], features)
+            own = {name: _ready(df, features, fill) for name, df in parts.items()}
+        train, valid = own["train"], own.get("valid")
+        one = tweedie(train, features, target) if linear else one_stage(train, features, target, valid, settings).predict
+        two = two_stage(train, features, settings=settings, valid=valid, fallback=dashboard)
+        for name in others:
+            add(one(own[name]), name, label, "one_stage", len(features))
+            add(two.predict(own[name]), name, label, "two_stage", len(features))
     table = out[0]
     for t in out[1:]:
         table = table.unionByName(t)
     return table
 
 
-def live_benchmark(parts: dict[str, DataFrame], full: Sequence[str], selected: Sequence[str], target: str = "target_1stage_prcp_mm", lagged: str = "PRCP_lag_1") -> DataFrame:
+def live_benchmark(parts: dict[str, DataFrame], full: Sequence[str], selected: Sequence[str], target: str = "target_1stage_prcp_mm", lagged: str = "PRCP_lag_1", settings: Settings = DASHBOARD, linear: bool = False) -> DataFrame:
     """The dashboard's comparison on the part ``test``: only one feature set where both are the same."""
     sets = {f"full {len(full)}": full} | ({f"selected {len(selected)}": selected} if list(selected) != list(full) else {})
-    return scenarios(parts, sets, target, lagged).where("scenario = 'test'")
+    return scenarios(parts, sets, target, lagged, settings, linear, dashboard=True).where("scenario = 'test'")
 
 
-def quick_check(train: DataFrame, valid: DataFrame, full: Sequence[str], selected: Sequence[str], target: str = "target_1stage_prcp_mm") -> DataFrame:
+def quick_check(train: DataFrame, valid: DataFrame, full: Sequence[str], selected: Sequence[str], target: str = "target_1stage_prcp_mm", settings: Settings = SELECTION) -> DataFrame:
     """``feature_set, n_features`` and the measures of the one-stage model with all and with the selected features."""
-    from . import metrics
-
     rows = []
     for name, features in (("Full filtered features", full), ("Selected features", selected)):
-        found = tweedie(train, features, target, rounds=10)(valid).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
+        found = one_stage(train, features, target, settings=settings).predict(valid)
         rows.append(metrics.regression(found, target, "prediction").select(F.lit(name).alias("feature_set"), F.lit(len(features)).alias("n_features"), "*"))
     return rows[0].unionByName(rows[1])

@@ -8,13 +8,14 @@ doubles are compared at four decimals.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvial.functions import expr
 from pluvial.functions.columns import month_name, numeric_columns
-from pluvial.operators import eda, features, frame, impute, joins, metrics, models, selection, stats, validate
+from pluvial.operators import boosting, eda, features, frame, impute, joins, metrics, models, order_stats, selection, stats, validate
 from pluvial.operators import windows as win
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,8 +478,8 @@ def box_stats(spark, sf_dir):
 @query(f"SELECT event_id, {r4('least(value, (SELECT quantile_cont(value, 0.99) FROM events))')} AS value FROM events")
 def clip_p99(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "value")
-    bound = events.agg(F.percentile("value", F.lit(0.99)).alias("p99"))  # one row
-    return rounded(events.join(F.broadcast(bound)).select("event_id", expr.clipped(F.col("value"), high=F.col("p99")).alias("value")))
+    (bound,) = order_stats.percentiles(events, {"p99": (F.col("value"), [0.99])})["p99"]
+    return rounded(events.select("event_id", expr.clipped(F.col("value"), high=F.lit(bound).cast("double")).alias("value")))
 
 
 POINTS = [float(p) for p in range(0, 101, 10)]
@@ -671,14 +672,52 @@ def gold_gate(spark, sf_dir):
     return validate.violations(df, validate.gold_rules("rain"))
 
 
+#: The evaluation's settings with few rounds: a query shows the method and not the last decimal of a score.
+FEW = replace(boosting.EVALUATION, rounds=5, rate=0.1, leaves=8)
+
+
 @query()
 def two_stage_glm(spark, sf_dir):
-    """Persistence, one-stage and two-stage on the frame: train on 17 days, stop the boosting by 4, test on the rest."""
+    """Persistence, the linear one-stage and the boosted two-stage model on the frame: train on 17 days, stop the boosting by 4, test on the rest."""
     df, day = targets_frame(spark, sf_dir).na.drop(), F.dayofyear("time")
     inputs = ["lag_1", "lag_2", "mean_3d", "sum_3d"]
     parts = {"train": df.where(day <= 17), "valid": df.where((day > 17) & (day <= 21)), "test": df.where(day > 21)}
-    return models.live_benchmark(parts, inputs, inputs[:2], lagged="lag_1")
+    return models.live_benchmark(parts, inputs, inputs[:2], lagged="lag_1", settings=FEW, linear=True)
 
 
 def targets_frame(spark, sf_dir) -> DataFrame:
     return features.targets(prcp_proxy(spark, sf_dir).drop("proxy"), "rain")
+
+
+PARTS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "lag_days"]
+
+
+def priced(spark, sf_dir) -> DataFrame:
+    """Lines with a price that is often 0, as rain is, and its targets."""
+    df = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    amount = F.when(F.col("l_quantity") * (1 + F.col("l_linenumber")) > 60, F.round(F.col("l_extendedprice") / 1000, 2)).otherwise(0.0)
+    return features.targets(df.withColumns({"rain": amount, "lag_days": F.date_diff("l_shipdate", "o_orderdate").cast("double")}), "rain")
+
+
+@query()
+def boosted_tweedie(spark, sf_dir):
+    """``model, deviance``: mean Tweedie loss on the lines of every fourth order, which neither model saw; trees stop by those of another fourth."""
+    df = priced(spark, sf_dir)
+    part = F.col("l_orderkey") % 4
+    train, valid, test = df.where(part < 2), df.where(part == 2), df.where(part == 3)
+    trees = models.one_stage(train, PARTS, "rain", valid, replace(boosting.EVALUATION, rounds=12, rate=0.2))
+    line = models.tweedie(train, PARTS, "rain")
+    loss = F.avg(F.pow("prediction", 0.7) / 0.7 + F.col("rain") * F.pow("prediction", -0.3) / 0.3)
+    rows = [predict(test).agg(loss.alias("deviance")).select(F.lit(name).alias("model"), "deviance") for name, predict in (("trees", trees.predict), ("linear", line))]
+    return rows[0].unionByName(rows[1])
+
+
+@query()
+def boosted_importances(spark, sf_dir):
+    """``feature``, the number of its splits in three models, and the score by the fixed weights, with rank correlations."""
+    df = priced(spark, sf_dir)
+    splits = models.importances(df, PARTS, settings=replace(boosting.SELECTION, rounds=5, leaves=8)).select("feature", *[c for c in selection.WEIGHTS if c.startswith("importance")])
+    pairs = stats.spearman_pairs(df.withColumn("rainy", F.col("target_stage1_rain_label").cast("double")), [*PARTS, "rain", "rainy"], [(c, t) for c in PARTS for t in ("rain", "rainy")])
+    by = [pairs.where(F.col("b") == t).select(F.col("a").alias("feature"), F.abs("r").alias(name)) for t, name in (("rain", "abs_spearman"), ("rainy", "abs_spearman_rain"))]
+    correlations = by[0].join(by[1], "feature")
+    return splits.join(models.combined(splits, correlations), "feature")

@@ -2,6 +2,7 @@
 
 import json
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pluvial.functions import columns as cols
 from pluvial.functions import expr
-from pluvial.operators import eda, features, frame, impute, joins, metrics, models, selection, stats, validate
+from pluvial.operators import boosting, eda, features, frame, impute, joins, metrics, models, selection, stats, validate
 from pluvial.operators import windows as win
 from pluvial.plans import medallion
 from pluvial.sources import fetch, files, schemas
@@ -183,14 +184,16 @@ def test_models_fall_back_and_explain(spark):
     rng = np.random.default_rng(5)
     rows = [(float(x), None if i % 9 == 0 else float(y), float(max(0, x))) for i, (x, y) in enumerate(rng.normal(size=(160, 2)))]
     df = features.targets(spark.createDataFrame(rows, "u double, v double, PRCP double"))
-    few = models.two_stage(df.where("PRCP = 0 or u > 1.8"), ["u", "v"], trees=2)
-    assert few.amount is None and set(few.importances()) == {"importance_stage1_cls"}
-    full = models.two_stage(df, ["u", "v"], trees=3, valid=df)
-    assert set(full.importances()) == {"importance_stage1_cls", "importance_stage2_wet"}
+    small = replace(boosting.EVALUATION, rounds=2, leaves=4)
+    few = models.two_stage(df.where("PRCP = 0 or u > 1.8"), ["u", "v"], settings=small, fallback=True)
+    full = models.two_stage(df, ["u", "v"], settings=small, valid=df)
+    assert few.amount is None and full.amount is not None
     for m in (few, full):
         assert m.predict(df).where("prediction is null or prediction < 0").count() == 0
+    scores = models.combined(models.importances(df, ["u", "v"], settings=small), spark.createDataFrame([("u", 0.8, 0.4)], "feature string, abs_spearman double, abs_spearman_rain double"))
+    assert {r.feature: r.score for r in scores.collect()}["u"] == pytest.approx(1.0)
     assert math.isclose(models.medians(df, ["v"])["v"], np.median([r[1] for r in rows if r[1] is not None]))
-    assert [r.n_features for r in models.quick_check(df, df, ["u", "v"], ["u"]).collect()] == [2, 1]
+    assert [r.n_features for r in models.quick_check(df, df, ["u", "v"], ["u"], settings=small).collect()] == [2, 1]
 
 
 def test_gates(spark):
