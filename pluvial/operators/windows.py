@@ -56,24 +56,16 @@ def with_past_median(df: DataFrame, c: str, keys: Sequence[str], order: str, out
 def with_past_medians(df: DataFrame, c: str, keys: Sequence[str], order: str, outs: dict[str, Sequence[str]], where: Column | None = None) -> DataFrame:
     """Medians of the strictly earlier values of a key, for each of ``outs`` of those that also agree in its columns.
 
-    The rows ``where`` meet the earlier values of their key once and are
-    aggregated, with partial sums by value, so the work follows the gaps and
-    not the square of the key's rows. (keys, order) has to identify a row.
+    Only the rows ``where`` (default: ``c`` is null) get one; see
+    ``past_medians``. (keys, order) has to identify a row.
     """
+    from . import past_medians
+
     where = F.col(c).isNull() if where is None else where
-    finer = sorted({x for columns in outs.values() for x in columns})
-    gaps = df.where(where).select(*keys, order, *finer)
-    values = df.where(F.col(c).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(order).alias("_then"), F.col(c).alias("_value"), *[F.col(x).alias(f"_was_{x}") for x in finer])
-    same = F.col("_then") < F.col(order)
-    for i, k in enumerate(keys):
-        same &= F.col(f"_k{i}") == F.col(k)
-    medians = []
     for out, columns in outs.items():
-        value = F.col("_value")
-        for x in columns:
-            value = F.when(F.col(f"_was_{x}") == F.col(x), value)
-        medians.append(F.percentile(value, F.lit(0.5)).alias(out))
-    return df.join(gaps.join(values, same).groupBy(*keys, order).agg(*medians), [*keys, order], "left")
+        found = past_medians.medians(df, c, [*keys, *columns], order, out, where)
+        df = df.join(found.drop(*columns), [*keys, order], "left")
+    return df
 
 
 def splits(values: Sequence[float] | None) -> list[float]:
