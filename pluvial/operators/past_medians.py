@@ -124,33 +124,85 @@ def _swept(width: int):
     return run
 
 
-def medians(df: DataFrame, c: str, groups: Sequence[str], order: str, out: str, where: Column) -> DataFrame:
-    """``groups, order, out`` for the rows ``where`` with whole keys: the median of ``c`` over the group's strictly
-    earlier rows, null without any. (groups, order) has to identify a row; NaN counts as no value."""
+def _swept_short(width: int, finer: list[list[int]]):
+    """Rows sorted by key and order, whole keys together, to a row of medians for each gap. Columns: the ``width`` of the
+    key, order, v, gap, and those that ``finer`` has the places of, for each median."""
+
+    def run(batches):
+        name, states = None, [{} for _ in finer]
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            v, gap = columns[width + 1], columns[width + 2]
+            at, medians = [], [[] for _ in finer]
+            for i, own in enumerate(zip(*columns[:width], strict=True)):
+                if own != name:
+                    name, states = own, [{} for _ in finer]
+                if gap[i]:
+                    at.append(i)
+                for state, places, out in zip(states, finer, medians, strict=True):
+                    key = tuple(columns[p][i] for p in places)
+                    if gap[i]:
+                        out.append(state[key].median() if key in state else None)
+                    if v[i] is not None and None not in key:
+                        state.setdefault(key, Earlier()).add(v[i])
+            some = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns[: width + 1], *(pa.array(m, pa.float64()) for m in medians)], [*batch.schema.names[: width + 1], *[f"m{j}" for j in range(len(finer))]])
+
+    return run
+
+
+def medians(df: DataFrame, c: str, keys: Sequence[str], order: str, outs: dict[str, Sequence[str]], where: Column) -> DataFrame:
+    """``keys, order`` and the columns ``outs`` for the rows ``where`` with whole keys: medians of ``c`` over the key's
+    strictly earlier rows that also agree in an out's columns, null without any.
+
+    (keys, order) has to identify a row; NaN counts as no value. The rows'
+    needed columns are written to the shared folder once. If no key has over
+    LEAST values, keys are swept whole, for all medians at once.
+    """
     spark = df.sparkSession
     store.ship(spark)
-    names = [f"g{i}" for i in range(len(groups))]
+    names, extra = [f"g{i}" for i in range(len(keys))], sorted({x for columns in outs.values() for x in columns})
     v = F.col(c).cast("double")
-    rows = df.select(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.col(order).alias("o"), F.when(~F.isnan(v), v).alias("v"), F.coalesce(where, F.lit(False)).alias("gap"), _position(df, order).alias("p"))
-    rows = rows.where("v is not null or gap")
+    rows = df.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(order).alias("o"), F.when(~F.isnan(v), v).alias("v"),
+        F.coalesce(where, F.lit(False)).alias("gap"), *[F.col(x).alias(f"f{i}") for i, x in enumerate(extra)], _position(df, order).alias("p"),
+    )
+    for n in names:
+        rows = rows.where(F.col(n).isNotNull())
+    rows, _ = store.written(rows.where("v is not null or gap"), "past")
+    kind = dict(rows.dtypes)
+    head = [*names, "o"]
+    if (rows.groupBy(*names).agg(F.count("v").alias("m")).agg(F.max("m")).first()[0] or 0) <= LEAST:  # one row
+        dealt = rows.withColumn("deal", F.xxhash64(*names)).repartition("deal").sortWithinPartitions(*head)
+        places = [[len(names) + 3 + extra.index(x) for x in columns] for columns in outs.values()]
+        schema = ", ".join([*(f"{n} {kind[n]}" for n in head), *(f"m{j} double" for j in range(len(outs)))])
+        found = dealt.select(*head, "v", "gap", *[f"f{i}" for i in range(len(extra))]).mapInArrow(_swept_short(len(names), places), schema)
+    else:
+        found = None
+        for j, columns in enumerate(outs.values()):
+            groups = [*names, *[f"f{extra.index(x)}" for x in columns]]
+            one = _by_blocks(rows, groups, kind).select(*head, F.col("m").alias(f"m{j}"))
+            found = one if found is None else found.join(one, head, "full")
+    return found.select(*[F.col(n).alias(k) for n, k in zip(head, [*keys, order], strict=True)], *[F.col(f"m{j}").alias(out) for j, out in enumerate(outs)])
+
+
+def _by_blocks(rows: DataFrame, names: list[str], kind: dict[str, str]) -> DataFrame:
+    """``names, o, m`` for the gaps of ``rows`` (names, o, v, gap, p)."""
     sizes = rows.groupBy(*names).agg(F.count("v").alias("m"), F.min("p").alias("a"), F.max("p").alias("z"), F.max("gap").alias("any")).where("any")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("m") / F.greatest(F.lit(LEAST), F.sqrt("m"))))
     share = F.try_divide(F.col("p") - F.col("a"), F.col("z") - F.col("a"))
     block = F.when(F.col("blocks") > 1, F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("blocks")), F.col("blocks") - 1)).otherwise(0).cast("int")
     placed = rows.join(sizes, names).select(*names, "o", "v", "gap", "blocks", block.alias("block"))
-    kind = dict(rows.dtypes)
     columns = [*names, "block", "kind", "o", "v", "gap", "n", "below", "before"]
     targets = placed.where("gap").select(*names, "block", "blocks").distinct()
     own = placed.join(targets.select(*names, "block"), [*names, "block"], "left_semi")
     own = own.select(*names, "block", F.lit(1).alias("kind"), "o", "v", "gap", *[F.lit(None).cast("bigint").alias(x) for x in ("n", "below", "before")])
-    if (sizes.agg(F.max("blocks")).first()[0] or 0) > 1:  # one row; short keys need nothing but their own rows
-        many = F.col("blocks") > 1
-        fetched = _fetched(placed.where(many & F.col("v").isNotNull()).select(*names, "block", "v"), targets.where(many), names)
-        own = own.unionByName(fetched.select(*names, "block", F.lit(0).alias("kind"), F.lit(None).cast(kind["o"]).alias("o"), "v", F.lit(False).alias("gap"), "n", "below", "before"))
+    many = F.col("blocks") > 1
+    fetched = _fetched(placed.where(many & F.col("v").isNotNull()).select(*names, "block", "v"), targets.where(many), names)
+    own = own.unionByName(fetched.select(*names, "block", F.lit(0).alias("kind"), F.lit(None).cast(kind["o"]).alias("o"), "v", F.lit(False).alias("gap"), "n", "below", "before"))
     # by a fresh column: an exchange on the columns themselves may be left out where both parts of the union have it,
     # and their own exchanges may then be read where they lie
     dealt = own.select(*columns).withColumn("deal", F.xxhash64(*names, "block")).repartition("deal")
     swept = dealt.sortWithinPartitions(*names, "block", "kind", "o", "v").select(*columns)
     schema = ", ".join([*(f"{n} {kind[n]}" for n in names), f"o {kind['o']}", "m double"])
-    found = swept.mapInArrow(_swept(len(names) + 1), schema)
-    return found.select(*[F.col(n).alias(g) for n, g in zip(names, groups, strict=True)], F.col("o").alias(order), F.col("m").alias(out))
+    return swept.mapInArrow(_swept(len(names) + 1), schema)

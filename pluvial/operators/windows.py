@@ -61,11 +61,8 @@ def with_past_medians(df: DataFrame, c: str, keys: Sequence[str], order: str, ou
     """
     from . import past_medians
 
-    where = F.col(c).isNull() if where is None else where
-    for out, columns in outs.items():
-        found = past_medians.medians(df, c, [*keys, *columns], order, out, where)
-        df = df.join(found.drop(*columns), [*keys, order], "left")
-    return df
+    found = past_medians.medians(df, c, keys, order, outs, F.col(c).isNull() if where is None else where)
+    return df.join(found, [*keys, order], "left")
 
 
 def splits(values: Sequence[float] | None) -> list[float]:

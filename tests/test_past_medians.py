@@ -40,12 +40,14 @@ def test_medians_equal_numpy(spark, monkeypatch, least, buckets):
             assert getattr(got[k, t], name) == (want if want is None else pytest.approx(want, abs=1e-12))
 
 
-def test_rows_where_and_other_orders(spark):
+def test_rows_where_and_other_orders(spark, monkeypatch):
     df = spark.createDataFrame([("a", i, float(i % 4)) for i in range(30)], "k string, t long, v double")
     got = win.with_past_median(df, "v", ["k"], "t", "m", F.col("t") % 7 == 0).collect()
     assert {r.t: r.m for r in got} == {i: (float(np.median([j % 4 for j in range(i)])) if i % 7 == 0 and i else None) for i in range(30)}
-    text = df.withColumn("t", F.format_string("%03d", "t"))
-    assert {int(r.t): r.m for r in win.with_past_median(text, "v", ["k"], "t", "m", F.col("t") == "029").collect()}[29] == 1.0
+    for least in (1024, 4):
+        monkeypatch.setattr(past_medians, "LEAST", least)
+        text = df.withColumn("t", F.format_string("%03d", "t"))
+        assert {int(r.t): r.m for r in win.with_past_median(text, "v", ["k"], "t", "m", F.col("t") == "029").collect()}[29] == 1.0
 
 
 def test_fetched_rows_grow_with_one_keys_rows(spark, monkeypatch):
@@ -62,7 +64,7 @@ def test_fetched_rows_grow_with_one_keys_rows(spark, monkeypatch):
             return out
 
         monkeypatch.setattr(past_medians, "_fetched", counted)
-        out = past_medians.medians(df, "v", ["k"], "t", "m", F.col("v").isNull())
+        out = past_medians.medians(df, "v", ["k"], "t", {"m": []}, F.col("v").isNull())
         last = out.where(F.col("t") == n - 10).first().m
         monkeypatch.setattr(past_medians, "_fetched", fetched)
         assert last == df.where(F.col("t") < n - 10).agg(F.median("v")).first()[0]
