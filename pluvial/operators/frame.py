@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def calendar(keys: DataFrame, start: Column, end: Column, name: str = "time") -> DataFrame:
@@ -59,3 +60,32 @@ def levels_wide(df: DataFrame, keys: Sequence[str], level: str, levels: Sequence
     for i in range(len(levels)):
         wide = wide.where(F.col(f"_has_{i}").isNotNull()).drop(f"_has_{i}")
     return wide
+
+
+def array_rows(df: DataFrame, values: Sequence[str], axes: Sequence[tuple[str, str]]) -> DataFrame:
+    """A row for each cell of array columns.
+
+    ``axes``: (name of the new column, array of coordinates), slowest first; the
+    arrays ``values`` are nested by axis, or flat in that order. Cells go by
+    their position; where an array is null, its cells are. A row whose axes are
+    empty or null gives no rows; an array of the wrong size is an error.
+    """
+    def flat(c: str) -> Column:
+        out, kind = F.col(c), df.schema[c].dataType.elementType
+        while isinstance(kind, ArrayType):
+            out, kind = F.flatten(out), kind.elementType
+        return out
+
+    sizes = [F.size(F.col(a)) for _, a in axes]
+    cells = F.lit(1)
+    for n in sizes:
+        cells = cells * F.greatest(n, F.lit(0))
+    kept = [c for c in df.columns if c not in {*values, *(a for _, a in axes)}]
+    whole = [F.when(flat(c).isNull() | (F.size(flat(c)) == cells), flat(c)).otherwise(F.raise_error(F.lit(f"{c}: not a value for each cell"))).alias(c) for c in values]
+    out = df.where(cells > 0).select(*[F.col(f"`{c}`") for c in kept], *[a for a in dict.fromkeys(a for _, a in axes)], *whole)
+    out = out.select("*", F.explode(F.sequence(F.lit(0), cells - 1)).alias("_at"))
+    place, made = F.col("_at"), {}
+    for (name, a), n in zip(reversed(axes), reversed(sizes), strict=True):
+        made[name] = F.get(F.col(a), F.pmod(place, n))
+        place = F.floor(place / n).cast("int")
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[made[name].alias(name) for name, _ in axes], *[F.get(F.col(c), F.col("_at")).alias(c) for c in values])

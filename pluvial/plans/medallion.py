@@ -1,4 +1,4 @@
-"""Bronze to silver to gold as one lazy plan."""
+"""Bronze to silver to gold: one plan, written once, with its checks counted on the way."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvial.functions import expr
 from pluvial.functions.columns import existing, require, required
-from pluvial.operators import features, frame, impute, joins, validate
+from pluvial.operators import features, frame, impute, joins, store, validate
 from pluvial.operators import windows as win
 from pluvial.sources.schemas import LEVELS, MARKS, OBSERVED, PRESSURE_RANGE, UNITS
 
@@ -42,10 +42,15 @@ def single_daily(grid: DataFrame, north: float = 24, south: float = 8, west: flo
     return frame.daily(held.withColumns(change), ["latitude", "longitude"], "time", means, existing(grid, ("lsm",)))
 
 
-def pressure_daily(grid: DataFrame, levels=LEVELS, north: float = 24, south: float = 8, west: float = 102, east: float = 110) -> DataFrame:
-    """Daily cells of the pressure grid within the box, a column for each variable and level; cells need both levels."""
+def pressure_daily(grid: DataFrame, levels=LEVELS, north: float = 24, south: float = 8, west: float = 102, east: float = 110, audit: validate.Audit | None = None) -> DataFrame:
+    """Daily cells of the pressure grid within the box, a column for each variable and level; cells need both levels.
+
+    Absent levels are an error: at once, or in the report of ``audit``.
+    """
     grid = grid.where(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
-    if gone := validate.absent_levels(grid, "isobaricInhPa", levels):
+    if audit is not None:
+        grid = audit.watch(grid, "pressure", present={f"level_{x}_is_there": F.col("isobaricInhPa") == x for x in levels})
+    elif gone := validate.absent_levels(grid, "isobaricInhPa", levels):
         raise validate.Violation(f"levels absent: {gone}")
     change = {"t": expr.celsius(F.col("t")), "z": expr.metres(F.col("z"))}
     wide = frame.levels_wide(grid.withColumns(change), ["time", "latitude", "longitude"], "isobaricInhPa", levels, ("z", "t", "q", "u", "v", "w"))
@@ -79,10 +84,26 @@ def silver(bronze: DataFrame, single: DataFrame, pressure: DataFrame, start: str
     return df.withColumns({c: expr.round4(F.col(c)) for c in numbers})
 
 
+def watched_gold(bronze: DataFrame, single: DataFrame, pressure: DataFrame, start: str, end: str, audit: validate.Audit) -> DataFrame:
+    """The plan of the gold table, whose checks ``audit`` will have when an action has run: times that can't be read,
+    absent levels, targets that don't follow from rain, and (up to a tenth of the rows a warning) inverted temperatures."""
+    read = lambda grid, name: audit.watch(grid, name, {"time_is_read": F.col("time").try_cast("timestamp_ntz").isNotNull()})
+    grids = single_daily(read(single, "single")), pressure_daily(read(pressure, "grid"), audit=audit)
+    out = features.gold(silver(bronze, *grids, start, end))
+    rain = F.col("PRCP")
+    rules = {name: rain.isNull() | rule for name, rule in validate.gold_rules().items()}
+    rules["levels_in_order"] = F.col("z_500").isNull() | F.col("z_850").isNull() | (F.col("z_500") > F.col("z_850"))
+    rules["colder_above"] = F.col("t_500").isNull() | F.col("t_850").isNull() | (F.col("t_850") > F.col("t_500"))
+    return audit.watch(out, "gold", rules, {"levels_in_order": 0.01, "colder_above": 0.1})
+
+
 def gold(bronze: DataFrame, single: DataFrame, pressure: DataFrame, start: str, end: str) -> DataFrame:
-    """The gold table; an error if a grid's times can't be read or targets don't follow from rain."""
-    for name, grid in (("single", single), ("pressure", pressure)):
-        validate.check(grid, {f"{name}_time_is_read": F.col("time").try_cast("timestamp_ntz").isNotNull()})
-    out = features.gold(silver(bronze, single_daily(single), pressure_daily(pressure), start, end))
-    validate.check(out.where("PRCP is not null"), validate.gold_rules())
+    """The gold table, computed and written once to the shared folder; an error if a check that was counted meanwhile failed."""
+    audit = validate.Audit()
+    out, uri = store.written(watched_gold(bronze, single, pressure, start, end, audit), "gold")
+    try:
+        audit.settle()
+    except validate.Violation:
+        store.removed(out.sparkSession, uri)
+        raise
     return out

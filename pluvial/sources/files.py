@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,27 @@ def write_yearly(df: DataFrame, uri: str, time: str, order: Sequence[str]) -> No
     out.repartition("year", F.dayofyear(time)).sortWithinPartitions("year", *order).write.mode("overwrite").partitionBy("year").parquet(uri)
 
 
+def write_ordered(df: DataFrame, uri: str, order: Sequence[str], kind: str = "parquet") -> None:
+    """All rows in one total order over the files' names: ranges of ``order`` are dealt to tasks, which sort their own."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).format(kind).save(uri)
+
+
+def read_numbered(spark: SparkSession, uri: str, out: str = "row") -> DataFrame:
+    """Rows of an ordered Parquet table with their numbers, from 1: place in the file after the rows of the files before.
+
+    No row is sorted or shuffled; only the files' counts, a row for each, are added up.
+    """
+    rows = spark.read.parquet(uri).withColumns({"_file": F.col("_metadata.file_name"), "_place": F.col("_metadata.row_index")})
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(before), "_file").withColumn(out, F.col("_before") + F.col("_place") + 1).drop("_file", "_place", "_before")
+
+
+def preview(spark: SparkSession, uri: str, n: int = 20) -> DataFrame:
+    """The first ``n`` rows of an ordered Parquet table, in order: a limit over numbered rows, of the files that hold them."""
+    return read_numbered(spark, uri, "_row").where(F.col("_row") <= n).orderBy("_row").drop("_row")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A short table as one CSV file with a byte-order mark."""
     df.toPandas().to_csv(path, index=False, encoding="utf-8-sig")
