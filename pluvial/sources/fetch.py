@@ -112,25 +112,3 @@ class _StationReader(DataSourceReader):
 def station_years(spark: SparkSession, **options) -> DataFrame:
     spark.dataSource.register(StationYears)
     return spark.read.format("station_years").options(**{k: str(v) for k, v in options.items()}).load()
-
-
-def read_grib(spark: SparkSession, paths: Sequence[str], schema: str, filters: dict | None = None) -> DataFrame:
-    """GRIB files in long form, one file a task; needs cfgrib on the executors, else an error."""
-    import numpy as np
-
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
-        import xarray as xr
-
-        for pdf in batches:
-            for path in pdf["path"]:
-                with xr.open_dataset(path, engine="cfgrib", backend_kwargs={"filter_by_keys": filters or {}}) as ds:
-                    rows = ds.to_dataframe().reset_index()
-                for c in names:
-                    if c not in rows:
-                        rows[c] = np.nan
-                yield rows[names]
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInPandas(run, schema)
