@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvial.functions import expr
-from pluvial.functions.columns import month_name, numeric_columns
-from pluvial.operators import boosting, eda, features, frame, impute, joins, metrics, models, order_stats, selection, stats, validate
+from pluvial.functions.columns import feature_group, month_name, numeric_columns
+from pluvial.operators import boosting, eda, features, frame, impute, joins, metrics, models, order_stats, selection, stats, store, validate
 from pluvial.operators import windows as win
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -721,3 +721,220 @@ def boosted_importances(spark, sf_dir):
     by = [pairs.where(F.col("b") == t).select(F.col("a").alias("feature"), F.abs("r").alias(name)) for t, name in (("rain", "abs_spearman"), ("rainy", "abs_spearman_rain"))]
     correlations = by[0].join(by[1], "feature")
     return splits.join(models.combined(splits, correlations), "feature")
+
+
+# ---- contracts, order, publishing, arrays
+
+#: (column, type in Spark, least, greatest, least number of known values) of a table that is nearly ``lineitem``.
+CODEBOOK = [
+    ("l_orderkey", "bigint", 0, None, 1), ("l_quantity", "double", 1, 50, 1), ("l_discount", "double", 0, 0.05, 1), ("l_tax", "float", 0, 0.08, 1),
+    ("l_linestatus", "string", None, None, 10**12), ("l_shipdate", "timestamp_ntz", None, None, 1), ("l_colour", "string", None, None, 1),
+]
+PROFILED = ("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
+
+
+@query("WITH p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column, count({c}) AS known, {f'CAST(min({c}) AS DOUBLE)' if n else 'NULL::DOUBLE'} AS least, {f'CAST(max({c}) AS DOUBLE)' if n else 'NULL::DOUBLE'} AS greatest, '{k}' AS kind FROM lineitem" for c, k, n in zip(PROFILED, ("bigint", "bigint", "double", "double", "double", "string", "timestamp_ntz"), (1, 1, 1, 1, 1, 0, 0), strict=True)) + "), b AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{k}', {'NULL' if lo is None else lo}::DOUBLE, {'NULL' if hi is None else hi}::DOUBLE, {n})" for c, k, lo, hi, n in CODEBOOK) + ") AS t(\"column\", declared, low, high, least_known)) " + """
+SELECT coalesce(p.column, b.column) AS column, CASE WHEN p.column IS NULL THEN 'absent' WHEN b.column IS NULL THEN 'extra' WHEN declared <> kind THEN 'mistyped' WHEN known < least_known THEN 'too_few'
+  WHEN least < low OR greatest > high THEN 'out_of_range' ELSE 'ok' END AS verdict, known, least, greatest FROM p FULL JOIN b ON p.column = b.column""")
+def codebook_contract(spark, sf_dir):
+    book = spark.createDataFrame([(c, k, None if lo is None else float(lo), None if hi is None else float(hi), n) for c, k, lo, hi, n in CODEBOOK], "column string, type string, low double, high double, least_known bigint")
+    return validate.against_codebook(table(spark, sf_dir, "lineitem").select(*PROFILED), book)
+
+
+@query("""WITH q AS (SELECT l_suppkey, l_returnflag AS flag, l_linenumber AS line, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)
+SELECT s.l_suppkey, f.flag, CAST(k.line AS BIGINT) AS line, q.quantity, coalesce(q.n, 0) AS n FROM (SELECT DISTINCT l_suppkey FROM lineitem) s CROSS JOIN (SELECT unnest(['A', 'N', 'R']) AS flag) f
+CROSS JOIN (SELECT unnest(range(1, 8)) AS line) k LEFT JOIN q ON q.l_suppkey = s.l_suppkey AND q.flag = f.flag AND q.line = k.line""")
+def array_cells(spark, sf_dir):
+    """Sums by supplier as 3 x 7 arrays over flag and line number, and back to rows by position."""
+    flags, numbers = ["A", "N", "R"], list(range(1, 8))
+    line = lines(spark, sf_dir, "l_returnflag", "l_quantity")
+    at = [(F.col("l_returnflag") == f) & (F.col("l_linenumber") == k) for f in flags for k in numbers]
+    sums, counts = [F.sum(F.when(c, F.col("l_quantity"))) for c in at], [F.count_if(c) for c in at]
+    nested = F.array(*[F.array(*sums[i : i + 7]) for i in range(0, 21, 7)])
+    held = line.groupBy("l_suppkey").agg(nested.alias("quantity"), F.array(*counts).alias("n"))
+    held = held.withColumns({"flags": F.array(*[F.lit(f) for f in flags]), "lines": F.array(*[F.lit(k).cast("bigint") for k in numbers])})
+    return frame.array_rows(held, ["quantity", "n"], [("flag", "flags"), ("line", "lines")])
+
+
+def ordered_orders(spark, sf_dir) -> str:
+    from pluvial.sources import files
+
+    uri = store.fresh_uri(spark, "ordered")
+    files.write_ordered(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), uri, ["o_totalprice", "o_orderkey"])
+    return uri
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS row FROM orders")
+def ordered_rows(spark, sf_dir):
+    """All orders written in one order over the files, read back with their numbers."""
+    from pluvial.sources import files
+
+    return files.read_numbered(spark, ordered_orders(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20")
+def preview_rows(spark, sf_dir):
+    from pluvial.sources import files
+
+    return files.preview(spark, ordered_orders(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT count(*) AS n, count(*) FILTER (NOT coalesce(o_totalprice > 0, false)) AS a, count(*) FILTER (NOT coalesce(o_totalprice <= 400000, false)) AS b, count(*) FILTER (o_orderkey IS NULL) AS k, count(DISTINCT o_custkey) AS g,
+  (SELECT count(*) FROM (SELECT max(o_totalprice) AS m FROM orders GROUP BY o_custkey) WHERE NOT m >= 1000) AS c FROM orders)
+SELECT 'orders_positive' AS "check", CASE WHEN a = 0 THEN 'PASS' ELSE 'FAIL' END AS status, a AS violations, n AS rows FROM v
+UNION ALL SELECT 'orders_bounded', CASE WHEN b = 0 THEN 'PASS' WHEN b <= 0.9 * n THEN 'WARNING' ELSE 'FAIL' END, b, n FROM v UNION ALL SELECT 'orders_known', CASE WHEN k = 0 THEN 'PASS' ELSE 'FAIL' END, k, n FROM v
+UNION ALL SELECT 'customers_large', CASE WHEN c = 0 THEN 'PASS' WHEN c <= 0.5 * g THEN 'WARNING' ELSE 'FAIL' END, c, g FROM v""")
+def published_checks(spark, sf_dir):
+    """Largest orders by customer, published through a gate; the report of what was counted while they were written."""
+    from . import gates
+
+    audit, price = validate.Audit(), F.col("o_totalprice")
+    orders = audit.watch(table(spark, sf_dir, "orders"), "orders", {"positive": price > 0, "bounded": price <= 400000, "known": F.col("o_orderkey").isNotNull()}, {"bounded": 0.9})
+    best = orders.groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"))
+    root = store.fresh_uri(spark, "gate")
+    gates.publish(best, root, "customers", {"large": F.col("top") >= 1000}, {"large": 0.5}, audit)
+    return gates.report(spark, root, "customers")
+
+
+#: Columns of ``lineitem`` under names whose groups differ.
+NAMED = {"TEMP": "l_quantity", "u_850": "l_discount", "TEMP_lag_1": "l_tax", "STATION": "l_suppkey", "dew_point_depression": "l_extendedprice", "other": "l_partkey"}
+NAMED_GROUPS = {"TEMP": "gsod_surface", "u_850": "era5_pressure_850hpa", "TEMP_lag_1": "lag_rolling", "STATION": "metadata_time", "dew_point_depression": "thermodynamic", "other": "other_engineered"}
+
+
+@query("WITH m AS (" + " UNION ALL ".join(f"SELECT '{NAMED_GROUPS[c]}' AS g, count(*) FILTER ({x} > 10) * 100.0::DOUBLE / count(*) AS p FROM lineitem" for c, x in NAMED.items()) + f""") SELECT g AS "group", count(*) AS columns, {r4('avg(p)')} AS average, {r4('max(p)')} AS largest, {r4('min(p)')} AS smallest FROM m GROUP BY 1""")
+def missing_by_feature_group(spark, sf_dir):
+    """Missing values by the group that a column's name belongs to; values over 10 count as missing."""
+    df = table(spark, sf_dir, "lineitem").select(*[F.when(F.col(x) <= 10, F.col(x)).alias(c) for c, x in NAMED.items()])
+    return rounded(eda.group_missingness(eda.missing_per_column(df), {c: feature_group(c) for c in df.columns}))
+
+
+@query(f"""WITH i AS (SELECT l_partkey AS feature, sum(l_quantity) AS importance_tweedie, sum(l_discount) AS importance_stage1_cls, sum(l_tax) AS importance_stage2_wet FROM lineitem GROUP BY 1),
+c AS (SELECT p_partkey AS feature, p_retailprice AS abs_spearman, CAST(p_size AS DOUBLE) AS abs_spearman_rain FROM part WHERE p_size > 10),
+b AS (SELECT i.*, coalesce(abs_spearman, 0) AS s, coalesce(abs_spearman_rain, 0) AS r FROM i LEFT JOIN c ON c.feature = i.feature)
+SELECT feature, {r4('0.35 * importance_tweedie / (SELECT max(importance_tweedie) FROM b) + 0.25 * importance_stage1_cls / (SELECT max(importance_stage1_cls) FROM b) + 0.25 * importance_stage2_wet / (SELECT max(importance_stage2_wet) FROM b) + 0.1 * s / (SELECT max(s) FROM b) + 0.05 * r / (SELECT max(r) FROM b)')} AS score FROM b""")
+def weighted_score(spark, sf_dir):
+    """The fixed weights on five parts, with parts standing for features."""
+    sums = {"importance_tweedie": "l_quantity", "importance_stage1_cls": "l_discount", "importance_stage2_wet": "l_tax"}
+    i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("feature")).agg(*[F.sum(x).alias(n) for n, x in sums.items()])
+    c = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("feature"), F.col("p_retailprice").alias("abs_spearman"), F.col("p_size").cast("double").alias("abs_spearman_rain"))
+    return rounded(models.combined(i, c))
+
+
+# ---- silver and gold from a stand-in: events make observations and both grids
+
+FIRST_DAY, LAST_DAY = "2024-01-01", "2024-01-30"
+#: Expressions that both languages read, over n, lo and hi of a station's events of a day, or of six hours.
+OBSERVATION = {
+    "LATITUDE": "CASE WHEN n <= 5 THEN {lat} + 0.05 END", "LONGITUDE": "CASE WHEN n <= 5 THEN {lon} + 0.05 END", "ELEVATION": "CAST(user_id % 97 AS DOUBLE)",
+    "TEMP": "CASE WHEN n % 5 = 4 THEN 9999.9D ELSE lo + 30 END", "DEWP": "CASE WHEN n % 5 = 3 THEN 9999.9D ELSE lo END", "PRCP": "CASE WHEN n % 3 = 0 THEN 99.99D WHEN n % 3 = 1 THEN hi / 100 ELSE 0D END",
+    "WDSP": "CASE WHEN n % 4 = 3 THEN 999.9D ELSE hi / 10 END", "STP": "CASE WHEN n % 2 = 0 THEN 9999.9D ELSE 700 + lo * 4 END", "SLP": "CASE WHEN n % 3 = 2 THEN 9999.9D ELSE 900 + hi END", "VISIB": "CASE WHEN n % 3 > 0 THEN 999.9D ELSE hi / 10 END",
+}
+SURFACE = {"t2m": "270 + hi / 4", "d2m": "265 + lo / 4", "sst": "lo * 0 + 290", "u10": "lo / 10", "v10": "hi / 10", "sp": "90000 + hi * 100", "msl": "95000 + lo * 100", "z": "user_id % 50 * 9", "lsm": "user_id % 7 / 8"}
+ALOFT = {500: {"z": "57000 + hi * 10", "t": "250 + lo / 10", "q": "lo / 1000", "u": "hi / 7", "v": "lo / 7", "w": "lo / 900"}, 850: {"z": "15000 + lo * 10", "t": "280 + hi / 10", "q": "hi / 1000", "u": "lo / 9", "v": "hi / 9", "w": "hi / 800"}}
+LATITUDE, LONGITUDE = "(CASE WHEN user_id % 61 = 60 THEN 30 ELSE 8 + 0.25D * (user_id % 61) END)", "(102 + 0.25D * (CAST(floor(user_id / 61) AS BIGINT) % 30))"
+
+
+def stand_in(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observations and both grids, in the sources' schemas and units."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "value")
+    sums = [F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    days = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(*sums)
+    made = {c: F.expr(e.format(lat=LATITUDE, lon=LONGITUDE)) for c, e in OBSERVATION.items()}
+    bronze = days.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("STATION"), F.when(F.col("n") == 6, "no day").otherwise(F.col("day").cast("string")).alias("DATE"), *[e.alias(c) for c, e in made.items()])
+    six = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 21600) * 21600).cast("timestamp_ntz")
+    hours = events.groupBy("user_id", six.alias("time")).agg(*sums)
+    cell = [F.expr(e).cast("float").alias(c) for c, e in (("latitude", LATITUDE), ("longitude", LONGITUDE))]
+    single = hours.select("time", *cell, *[F.expr(e).cast("float").alias(c) for c, e in SURFACE.items()])
+    levels = [hours.where("n < 3" if level == 850 else "true").select("time", *cell, F.lit(level).alias("isobaricInhPa"), *[F.expr(e).cast("float").alias(c) for c, e in own.items()]) for level, own in ALOFT.items()]
+    return bronze, single, levels[0].unionByName(levels[1])
+
+
+def _duck(e: str) -> str:
+    """Double literals as DuckDB writes them."""
+    import re
+
+    return re.sub(r"([0-9.]+)D\b", r"CAST(\1 AS DOUBLE)", e)
+
+
+def _float4(x: str) -> str:
+    f = f"CAST(({x}) AS FLOAT)"
+    return f"CAST(CAST(CAST(round_even(CAST({f} * CAST(10000 AS FLOAT) AS FLOAT), 0) AS FLOAT) / CAST(10000 AS FLOAT) AS VARCHAR) AS DOUBLE)"
+
+
+def _round(x: str) -> str:
+    return f"(round_even(({x}) * 10000, 0) / 10000)"
+
+
+MARK = "CASE WHEN abs({c} - CAST({m} AS DOUBLE)) <= 1e-3 + 1e-5 * {m} THEN NULL ELSE {c} END"
+METRIC = {"TEMP": "({x} + (-32.0)) * (5.0::DOUBLE / 9.0::DOUBLE)", "DEWP": "({x} + (-32.0)) * (5.0::DOUBLE / 9.0::DOUBLE)", "PRCP": "({x} + 0.0) * 25.4", "WDSP": "({x} + 0.0) * 0.514444", "VISIB": "({x} + 0.0) * 1.60934", "STP": "CASE WHEN {x} BETWEEN 800 AND 1100 THEN {x} END", "SLP": "CASE WHEN {x} BETWEEN 800 AND 1100 THEN {x} END"}
+MARKS_SQL = {"TEMP": 9999.9, "DEWP": 9999.9, "PRCP": 99.99, "WDSP": 999.9, "STP": 9999.9, "SLP": 9999.9, "VISIB": 999.9}
+PLACES = ("LATITUDE", "LONGITUDE", "ELEVATION")
+CHANGED = {"t2m": "{x} - CAST(273.15 AS FLOAT)", "d2m": "{x} - CAST(273.15 AS FLOAT)", "msl": "{x} / CAST(100 AS FLOAT)", "sp": "{x} / CAST(100 AS FLOAT)", "z": "{x} / CAST(9.80665 AS FLOAT)", "t": "{x} - CAST(273.15 AS FLOAT)"}
+BOX = f"{_duck(LATITUDE)} BETWEEN 8 AND 24 AND {_duck(LONGITUDE)} BETWEEN 102 AND 110"
+
+
+def _single(c: str) -> str:
+    return CHANGED.get(c, "{x}").format(x=f"CAST({_duck(SURFACE[c])} AS FLOAT)")
+
+
+def _aloft(level: int, v: str) -> str:
+    return CHANGED.get(v, "{x}").format(x=f"CAST({_duck(ALOFT[level][v])} AS FLOAT)")
+
+
+STATION_WINDOW = "OVER (PARTITION BY STATION ORDER BY time"
+SILVER = f"""a AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2),
+b AS (SELECT 's' || user_id AS STATION, day AS time, {', '.join(f"{_duck(e.format(lat=LATITUDE, lon=LONGITUDE))} AS {c}" for c, e in OBSERVATION.items())} FROM a WHERE n <> 6),
+o AS (SELECT STATION, time, {', '.join(METRIC[c].format(x='(' + MARK.format(c=c, m=m) + ')') + f' AS {c}' for c, m in MARKS_SQL.items())} FROM b),
+place AS (SELECT STATION, {', '.join(f'arg_min({c}, time) FILTER ({c} IS NOT NULL) AS {c}' for c in PLACES)} FROM b GROUP BY 1),
+span AS (SELECT CAST(unnest(generate_series(TIMESTAMP '{FIRST_DAY}', TIMESTAMP '{LAST_DAY}', INTERVAL 1 DAY)) AS DATE) AS time),
+d AS (SELECT p.*, span.time, {', '.join(f'o.{c}' for c in MARKS_SQL)}, {', '.join(f'round_even(round_even(p.{c} / 0.25, 0) * 0.25 * 100, 0) / 100 AS {n}' for c, n in (('LATITUDE', 'cell_lat'), ('LONGITUDE', 'cell_lon')))}
+  FROM place p CROSS JOIN span LEFT JOIN o ON o.STATION = p.STATION AND o.time = span.time),
+h AS (SELECT user_id, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01') AS six, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2),
+hc AS (SELECT *, CAST(six AS DATE) AS day, {_duck(LATITUDE)} AS lat, {_duck(LONGITUDE)} AS lon FROM h WHERE {BOX}),
+s1 AS (SELECT lat, lon, day, {', '.join(f'CAST(avg({_single(c)}) AS FLOAT) AS {c}' for c in SURFACE if c != 'lsm')}, arg_min({_single('lsm')}, six) AS lsm FROM hc GROUP BY 1, 2, 3),
+s2 AS (SELECT lat, lon, day, {', '.join(f'{_float4(c)} AS {c}' for c in SURFACE)} FROM s1),
+w AS (SELECT lat, lon, day, {', '.join(f'{_aloft(level, v)} AS {v}_{level}' for level in ALOFT for v in ALOFT[level])} FROM hc WHERE n < 3),
+p1 AS (SELECT lat, lon, day, {', '.join(f'CAST(avg({v}_{level}) AS FLOAT) AS {v}_{level}' for level in ALOFT for v in ALOFT[level])} FROM w GROUP BY 1, 2, 3),
+p2 AS (SELECT lat, lon, day, {', '.join(f'{_float4(f"{v}_{level}")} AS {v}_{level}' for level in ALOFT for v in ALOFT[level])} FROM p1),
+j AS (SELECT d.*, {', '.join(f's2.{c}' for c in SURFACE)} FROM d LEFT JOIN s2 ON s2.lat = d.cell_lat AND s2.lon = d.cell_lon AND s2.day = d.time),
+k AS (SELECT * REPLACE ({', '.join(f'coalesce(last_value({c} IGNORE NULLS) {STATION_WINDOW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) {STATION_WINDOW} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}' for c in ('z', 'lsm'))},
+  coalesce(TEMP, t2m) AS TEMP, coalesce(DEWP, d2m) AS DEWP, coalesce(SLP, msl) AS SLP, coalesce(STP, sp) AS STP, coalesce(WDSP, sqrt(u10 * u10 + v10 * v10)) AS WDSP) FROM j),
+v1 AS (SELECT * REPLACE (last_value(VISIB IGNORE NULLS) {STATION_WINDOW} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS VISIB) FROM k),
+v2 AS (SELECT * REPLACE (coalesce(VISIB, median(VISIB) OVER (PARTITION BY STATION, month(time))) AS VISIB) FROM v1),
+v3 AS (SELECT * REPLACE (coalesce(VISIB, median(VISIB) OVER (PARTITION BY STATION)) AS VISIB) FROM v2),
+v4 AS (SELECT * REPLACE (coalesce(VISIB, (SELECT median(VISIB) FROM v3)) AS VISIB) FROM v3),
+silver AS (SELECT STATION, v4.time, {', '.join(f'{_round(c)} AS {c}' for c in (*PLACES, 'TEMP', 'PRCP', 'WDSP', 'DEWP', 'STP', 'SLP', 'VISIB', 'u10', 'v10', 'z', 'lsm', *(f'{v}_{level}' for level in ALOFT for v in ALOFT[level])))}
+  FROM v4 LEFT JOIN p2 ON p2.lat = v4.cell_lat AND p2.lon = v4.cell_lon AND p2.day = v4.time)"""
+SILVER_NUMBERS = (*PLACES, "TEMP", "PRCP", "WDSP", "DEWP", "STP", "SLP", "VISIB", "u10", "v10", "z", "lsm", *(f"{v}_{level}" for level in ALOFT for v in ALOFT[level]))
+
+
+@query(f"WITH {SILVER} SELECT STATION, time, {', '.join(f'{r4(c)} AS {c}' for c in SILVER_NUMBERS)} FROM silver")
+def silver_table(spark, sf_dir):
+    """Observations and both grids to dense, imputed station-days."""
+    from . import medallion
+
+    bronze, single, pressure = stand_in(spark, sf_dir)
+    out = medallion.silver(bronze, medallion.single_daily(single), medallion.pressure_daily(pressure), FIRST_DAY, LAST_DAY)
+    return rounded(out.select("STATION", "time", *SILVER_NUMBERS))
+
+
+LAST3 = f"{STATION_WINDOW} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
+GOLD = {
+    "PRCP": "PRCP", "PRCP_impute": "PRCP_impute", "day_sin": f"sin({TURN} * dayofyear(time) / 365)", "month_cos": f"cos({TURN} * month(time) / 12)", "moist_convection_850": "q_850 * w_850",
+    "lapse_rate_850_500": "(t_850 - t_500) / nullif(z_500 - z_850, 0)", "dew_point_depression": "TEMP - DEWP", "wind_shear_mag": "sqrt((u_850 - u_500) * (u_850 - u_500) + (v_850 - v_500) * (v_850 - v_500))",
+    "thickness_500_850": "z_500 - z_850", "elevation_diff": "ELEVATION - z", "moisture_flux_850": "flux", "du_dt_850": f"u_850 - lag(u_850) {STATION_WINDOW})", "PRCP_lag_1": f"lag(rain) {STATION_WINDOW})", "PRCP_lag_2": f"lag(rain, 2) {STATION_WINDOW})",
+    "TEMP_lag_1": f"lag(TEMP) {STATION_WINDOW})", "VISIB_3d_mean": f"avg(VISIB) {LAST3}", "moisture_flux_3d_sum": f"sum(flux) {LAST3}", "PRCP_past_3d_mean": f"avg(rain) {LAST3}", "PRCP_past_3d_sum": f"sum(rain) {LAST3}",
+    "target_1stage_prcp_mm": "PRCP", "target_stage2_prcp_log1p": "ln(1 + PRCP)",
+}
+
+
+@query(f"""WITH {SILVER}, g1 AS (SELECT *, q_850 * sqrt(u_850 * u_850 + v_850 * v_850) AS flux, CASE WHEN PRCP IS NULL THEN coalesce(last_value(PRCP IGNORE NULLS) {STATION_WINDOW} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW),
+  quantile_cont(PRCP, 0.5) OVER (PARTITION BY STATION, month(time) ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), quantile_cont(PRCP, 0.5) {STATION_WINDOW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) END AS PRCP_impute FROM silver),
+g2 AS (SELECT *, coalesce(PRCP, PRCP_impute) AS rain FROM g1)
+SELECT STATION, time, {', '.join(f'{r4(e)} AS {c}' for c, e in GOLD.items())}, CAST(PRCP >= 0.1 AS INTEGER) AS target_stage1_rain_label FROM g2""")
+def gold_table(spark, sf_dir):
+    """The gold table, written once with its checks counted; a column of each family is compared."""
+    from . import medallion
+
+    out = medallion.gold(*stand_in(spark, sf_dir), FIRST_DAY, LAST_DAY)
+    return rounded(out.select("STATION", "time", *GOLD, "target_stage1_rain_label"))
