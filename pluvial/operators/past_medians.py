@@ -155,9 +155,10 @@ def medians(df: DataFrame, c: str, keys: Sequence[str], order: str, outs: dict[s
     """``keys, order`` and the columns ``outs`` for the rows ``where`` with whole keys: medians of ``c`` over the key's
     strictly earlier rows that also agree in an out's columns, null without any.
 
-    (keys, order) has to identify a row; NaN counts as no value. The rows'
-    needed columns are written to the shared folder once. If no key has over
-    LEAST values, keys are swept whole, for all medians at once.
+    (keys, order) has to identify a row; NaN counts as no value. The values of
+    the largest key are counted first: up to LEAST, keys are swept whole, for
+    all medians at once; beyond, the needed columns are written to the shared
+    folder, since many passes read them.
     """
     spark = df.sparkSession
     store.ship(spark)
@@ -169,16 +170,17 @@ def medians(df: DataFrame, c: str, keys: Sequence[str], order: str, outs: dict[s
     )
     for n in names:
         rows = rows.where(F.col(n).isNotNull())
-    rows, _ = store.written(rows.where("v is not null or gap"), "past")
+    most = rows.where("v is not null").groupBy(*names).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0]  # one row
+    rows = rows.where("v is not null or gap")
     kind = dict(rows.dtypes)
     head = [*names, "o"]
-    if (rows.groupBy(*names).agg(F.count("v").alias("m")).agg(F.max("m")).first()[0] or 0) <= LEAST:  # one row
+    if (most or 0) <= LEAST:
         dealt = rows.withColumn("deal", F.xxhash64(*names)).repartition("deal").sortWithinPartitions(*head)
         places = [[len(names) + 3 + extra.index(x) for x in columns] for columns in outs.values()]
         schema = ", ".join([*(f"{n} {kind[n]}" for n in head), *(f"m{j} double" for j in range(len(outs)))])
         found = dealt.select(*head, "v", "gap", *[f"f{i}" for i in range(len(extra))]).mapInArrow(_swept_short(len(names), places), schema)
     else:
-        found = None
+        found, (rows, _) = None, store.written(rows, "past")
         for j, columns in enumerate(outs.values()):
             groups = [*names, *[f"f{extra.index(x)}" for x in columns]]
             one = _by_blocks(rows, groups, kind).select(*head, F.col("m").alias(f"m{j}"))
