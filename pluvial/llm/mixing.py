@@ -17,7 +17,7 @@ from ._components import SMALL
 from ._shared import cut, fresh, remove_folder
 
 WORD, SYMBOL = r"[^\x20\x09-\x0D]+", r"[!|#$%&*]"
-BUCKET_DOCS, BROADCAST_SOURCES, SALTS, ROUNDS = 1024, 10_000, 64, 3
+BUCKET_DOCS, BROADCAST_SOURCES, SALTS = 1024, 10_000, 64
 
 
 def sizes(text: Column) -> Column:
@@ -153,16 +153,9 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _sql() -> str:
-    rounds = []
-    for k in range(ROUNDS):
-        rounds.append(f"""
-f{k} AS (SELECT *, CASE WHEN NOT chosen AND size <= gap AND size > 0 THEN size ELSE 0 END AS op FROM g{k}),
-t{k} AS (SELECT *, op > 0 AND CAST(sum(op) OVER (PARTITION BY rk ORDER BY k, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) <= gap AS now FROM f{k}),
-u{k} AS (SELECT *, CAST(coalesce(sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY rk), 0) AS BIGINT) AS spent FROM t{k}),
-g{k + 1} AS (SELECT doc_id, size, k, rk, source_size, target, epochs, gap - spent AS gap, chosen OR now AS chosen FROM u{k})""")
-    return f"""
-WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+#: The fractional epoch is a recursion: a step takes what fits, the next one goes on from its rows, and the last is one that took none.
+SQL = """
+WITH RECURSIVE s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[!|#$%&*]')) AS DOUBLE) AS symbols,
     (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 d AS (SELECT doc_id, source, size, -ln(u) / (CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1.0::DOUBLE + 10.0::DOUBLE * symbols / size::DOUBLE) END) AS k FROM s),
@@ -176,9 +169,12 @@ j AS (SELECT source, rk, source_size, CASE WHEN held THEN top ELSE least(top, lv
 g0 AS (SELECT d.doc_id, d.size, d.k, j.rk, j.source_size, j.target,
     CASE WHEN j.source_size > 0 THEN CAST(floor(j.target / j.source_size) AS BIGINT) ELSE 1 END AS epochs,
     CAST(floor(j.target - (CASE WHEN j.source_size > 0 THEN floor(j.target / j.source_size) ELSE 1 END) * j.source_size) AS BIGINT) AS gap, false AS chosen
-    FROM d JOIN j ON d.source IS NOT DISTINCT FROM j.source),{",".join(rounds)}
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST((epochs + CAST(chosen AS BIGINT)) * size AS BIGINT) AS taken FROM g{ROUNDS}
+    FROM d JOIN j ON d.source IS NOT DISTINCT FROM j.source),
+r AS (SELECT *, 0 AS step, true AS went_on FROM g0
+    UNION ALL
+    SELECT doc_id, size, k, rk, source_size, target, epochs, gap - spent AS gap, chosen OR now AS chosen, step + 1 AS step, bool_or(now) OVER () AS went_on FROM (
+        SELECT *, CAST(coalesce(sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY rk), 0) AS BIGINT) AS spent FROM (
+            SELECT *, op > 0 AND CAST(sum(op) OVER (PARTITION BY rk ORDER BY k, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) <= gap AS now FROM (
+                SELECT *, CASE WHEN NOT chosen AND size <= gap AND size > 0 THEN size ELSE 0 END AS op FROM r WHERE went_on))))
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST((epochs + CAST(chosen AS BIGINT)) * size AS BIGINT) AS taken FROM r WHERE step = (SELECT max(step) FROM r)
 """
-
-
-SQL = _sql()
