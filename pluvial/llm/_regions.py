@@ -7,11 +7,14 @@ nearest's: by the triangle inequality two linked sets keep a common cell. Cells
 are cut again; a link that lies in several cells counts in the first. What is
 small or doesn't shrink is compared directly: elements of few sets propose
 pairs, and sets that could link by elements of many alone are multiplied out
-block by block, so no pair goes unseen.
+block by block, so no pair goes unseen. Links come in blocks as well: near
+copies of one text link all with all, and who only counts them needs no list.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 from ._chunks import ragged
@@ -20,6 +23,9 @@ from ._chunks import ragged
 LEAF, PIVOTS, BLOCK, COLUMNS, PAIRS = 64, 8, 1024, 4096, 1 << 22
 
 
+Links = tuple[np.ndarray, np.ndarray]
+
+
 class Sets:
     """Arrays of distinct ascending elements, one after the other."""
 
@@ -89,8 +95,30 @@ def _verified(sets: Sets, at: np.ndarray, codes: np.ndarray, i: np.ndarray, j: n
     return yes
 
 
-def direct(sets: Sets, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links as places in ``at``, the smaller first."""
+def batched(blocks: Iterable[Links]) -> Iterator[Links]:
+    """The same links in blocks of a quarter of PAIRS or more, the last with what is left; none without links."""
+    held: list[Links] = []
+    for block in blocks:
+        if len(block[0]):
+            held.append(block)
+        if 4 * sum(len(i) for i, _ in held) >= PAIRS:
+            yield together(held)
+            held = []
+    if held:
+        yield together(held)
+
+
+def together(blocks: Iterable[Links]) -> Links:
+    i, j = zip((np.zeros(0, np.int64),) * 2, *blocks, strict=True)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def direct(sets: Sets, at: np.ndarray, percent: int) -> Iterator[Links]:
+    """Links as places in ``at``, the smaller first.
+
+    Proposed pairs are gathered for so many sets at a time that these have
+    about PAIRS pairs with all others.
+    """
     m, n = len(at), sets.n[at]
     need = -(-n * percent // 100)
     x, owner = sets.take(at)
@@ -102,30 +130,34 @@ def direct(sets: Sets, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.nda
     light = ~often & (times[key] > 1)
     order = np.argsort(key[light], kind="stable")
     k, o = key[light][order], owner[light][order]
-    codes, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    base = owner * len(keys) + key, len(keys)
+    open_ = need - many
 
-    def gathered():
+    def gathered(codes, counts, held):
         c = np.concatenate([codes, *held])
         w = np.concatenate([counts, np.ones(len(c) - len(counts), np.int64)])
         u, place = np.unique(c, return_inverse=True)
         return u, np.bincount(place, w, len(u)).astype(np.int64)
 
-    for gap in range(1, limit):
-        same = np.flatnonzero(k[gap:] == k[:-gap]) if len(k) > gap else ()
-        if not len(same):
-            break
-        held.append(o[same] * m + o[same + gap])
-        size += len(same)
-        if size > PAIRS:
-            codes, counts = gathered()
-            held, size = [], 0
-    codes, counts = gathered()
-    i, j = codes // m, codes % m
-    open_ = need - many
-    maybe = (counts >= np.maximum(open_[i], open_[j])) & ~(close[i] & close[j])
-    i, j = i[maybe], j[maybe]
-    yes = _verified(sets, at, (owner * len(keys) + key, len(keys)), i, j, percent)
-    found = [(i[yes], j[yes])]
+    some = max(BLOCK, 2 * PAIRS // max(m, 1))
+    for lo in range(0, m, some):
+        codes, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        own = (o >= lo) & (o < lo + some)
+        for gap in range(1, limit):
+            same = np.flatnonzero((k[gap:] == k[:-gap]) & own[:-gap]) if len(k) > gap else ()
+            if not len(same):
+                break
+            held.append(o[same] * m + o[same + gap])
+            size += len(same)
+            if size > PAIRS:
+                codes, counts = gathered(codes, counts, held)
+                held, size = [], 0
+        codes, counts = gathered(codes, counts, held)
+        i, j = codes // m, codes % m
+        maybe = (counts >= np.maximum(open_[i], open_[j])) & ~(close[i] & close[j])
+        i, j = i[maybe], j[maybe]
+        yes = _verified(sets, at, base, i, j, percent)
+        yield i[yes], j[yes]
     spots = np.flatnonzero(close)
     blocks = [spots[b : b + BLOCK] for b in range(0, len(spots), BLOCK)] if len(spots) > 1 else []
     for p, a in enumerate(blocks):
@@ -133,39 +165,40 @@ def direct(sets: Sets, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.nda
             both = overlaps(sets, at[a], at[b])
             r, c = np.nonzero(100 * both >= percent * (n[a][:, None] + n[b] - both))
             later = a[r] < b[c]
-            found.append((a[r[later]], b[c[later]]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            yield a[r[later]], b[c[later]]
 
 
-def links(sets: Sets, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def links(sets: Sets, at: np.ndarray, percent: int) -> Iterator[Links]:
     """Every link among the sets ``at``, once, as places in ``at``, the smaller first."""
-    if len(at) <= LEAF:
-        return direct(sets, at, percent)
-    inside = cells(sets, at, percent)
-    if 2 * (inside.sum(axis=1) ** 2).sum() > len(at) ** 2:  # no fewer pairs
-        return direct(sets, at, percent)
-    found = [(at[:0], at[:0])]
+    inside = cells(sets, at, percent) if len(at) > LEAF else None
+    if inside is None or 2 * (inside.sum(axis=1) ** 2).sum() > len(at) ** 2:  # no fewer pairs
+        yield from direct(sets, at, percent)
+        return
     for c, own in enumerate(inside):
         spots = np.flatnonzero(own)
         if len(spots) > 1:
-            i, j = links(sets, at[spots], percent)
-            i, j = spots[i], spots[j]
-            first = (inside[:, i] & inside[:, j]).argmax(axis=0) == c
-            found.append((i[first], j[first]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            for i, j in links(sets, at[spots], percent):
+                i, j = spots[i], spots[j]
+                first = (inside[:, i] & inside[:, j]).argmax(axis=0) == c
+                yield i[first], j[first]
 
 
-def across(sets: Sets, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def across(sets: Sets, side: np.ndarray, percent: int) -> Iterator[Links]:
     """Links between the sets of side 0 and those of side 1."""
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    both = overlaps(sets, a, b)
-    r, c = np.nonzero(100 * both >= percent * (sets.n[a][:, None] + sets.n[b] - both))
-    return a[r], b[c]
+    places = [np.flatnonzero(side == s) for s in (0, 1)]
+    rows, columns = ([at[k : k + BLOCK] for k in range(0, len(at), BLOCK)] for at in places)
+    for a in rows:
+        for b in columns:
+            both = overlaps(sets, a, b)
+            r, c = np.nonzero(100 * both >= percent * (sets.n[a][:, None] + sets.n[b] - both))
+            yield a[r], b[c]
 
 
-def roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The component (smallest place) of each of ``m`` places under the links."""
+def roots(m: int, i: np.ndarray, j: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """The component (smallest place) of each of ``m`` places under the links and those that gave ``before``."""
     root = np.arange(m)
+    if before is not None:
+        return roots(m, before[i], before[j])[before]
     while True:
         least = np.minimum(root[i], root[j])
         new = root.copy()
@@ -200,4 +233,7 @@ def unseen(earlier: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
 def join_region(sets: list[np.ndarray], percent: int = 75) -> np.ndarray:
     """The component (smallest place) of each set of a region; ``sets`` ascending and distinct."""
     own = Sets(sets)
-    return roots(len(sets), *links(own, np.arange(len(sets)), percent))
+    top = np.arange(len(sets))
+    for i, j in batched(links(own, np.arange(len(sets)), percent)):
+        top = roots(len(sets), i, j, top)
+    return top

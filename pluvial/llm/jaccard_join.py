@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import SMALL, beside, components
-from ._regions import PIVOTS, Sets, across, boundary, roots, unseen
+from ._regions import PIVOTS, Sets, across, batched, boundary, roots, unseen
 from ._regions import links as links_of
 from ._shared import appended, cut, fresh, remove_folder, ship, text_bytes
 from ._words import combine, document_of, groups, mix, word_hashes
 
 WORDS, PERCENT = 5, 75
-#: Most sets and shingles of a region that one task joins, how often regions are cut, and tiles of what doesn't shrink, as far as memory allows.
-REGION_MOST, SHINGLES, LEVELS, TILES = 192, 1 << 22, 3, 24
+#: Most sets and shingles of a region that one task joins, how often regions are cut; tiles of what doesn't shrink, and most sets of a tile, beyond which there are more.
+REGION_MOST, SHINGLES, LEVELS, TILES, TILE_SETS = 192, 1 << 22, 3, 24, 8192
 #: Least prefix hashes that a link shares (of sets that have as many); postings of a bucket; most bytes of pivots that are broadcast.
 SPARE, BUCKET, PIVOT_BYTES = 3, 1 << 18, 8 << 20
 WHOLE, SLICE = 2, 8 << 20
@@ -175,14 +175,14 @@ def _join_regions(members: DataFrame, percent: int) -> DataFrame:
                 return
             base, side, names, sets, copies, bases = zip(*rows, strict=True)
             own, side, copies = Sets(_rows(sets)), np.asarray(side), np.asarray(copies)
-            i, j = links_of(own, np.arange(len(rows)), percent) if side[0] == WHOLE else across(own, side, percent)
-            if not len(i):
-                return
-            top = roots(len(rows), i, j)
+            earlier = [np.asarray([x for x in b if x < base[0]], np.int64) for b in bases]
+            top, more = np.arange(len(rows)), np.zeros(len(rows))
+            for i, j in batched(links_of(own, np.arange(len(rows)), percent) if side[0] == WHOLE else across(own, side, percent)):
+                top = roots(len(rows), i, j, top)
+                fresh = unseen(earlier, i, j)
+                i, j = i[fresh], j[fresh]
+                more += np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
             done.extend((names[k], names[int(top[k])], 0) for k in np.flatnonzero(top != np.arange(len(rows))).tolist())
-            fresh = unseen([np.asarray([x for x in b if x < base[0]], np.int64) for b in bases], i, j)
-            i, j = i[fresh], j[fresh]
-            more = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
             done.extend((names[k], None, int(more[k])) for k in np.flatnonzero(more).tolist())
 
         def out():
@@ -254,7 +254,7 @@ def _cells(members: DataFrame, meet: DataFrame, percent: int, most: int, scratch
 
     large = (F.col("k") > most) | (F.col("shingles") > SHINGLES)
     measures = F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")
-    tiles = F.greatest(F.least(F.ceil(F.col("k") / most), F.lit(TILES)), F.ceil(2 * F.col("shingles") / SHINGLES)).cast("int")
+    tiles = F.greatest(F.least(F.ceil(F.col("k") / most), F.lit(TILES)), F.ceil(F.col("k") / TILE_SETS), F.ceil(2 * F.col("shingles") / SHINGLES)).cast("int")
     sizes = kept(meet.groupBy("region").agg(*measures).where(large), "sizes")
     if not sizes.count():
         return placed(members)

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -629,10 +630,10 @@ def test_links_within_regions(monkeypatch, leaf):
                 own = np.where(rng.random(len(base)) < rng.random() * 0.3, rng.integers(0, 1 << 60, len(base), dtype=np.uint64), base)
                 sets.append(np.unique(np.concatenate([own, passage]) if k % 2 else own))
         want, at, held = pairs_of(sets), np.arange(len(sets)), _regions.Sets(sets)
-        for found in (_regions.links(held, at, 75), _regions.direct(held, at, 75)):
+        for found in (_regions.together(f(held, at, 75)) for f in (_regions.links, _regions.direct)):
             assert len(found[0]) == len(want) and {*zip(*(x.tolist() for x in found))} == want
         side = rng.integers(0, 2, len(sets))
-        assert {(min(p), max(p)) for p in zip(*(x.tolist() for x in _regions.across(held, side, 75)))} == {(i, j) for i, j in want if side[i] != side[j]}
+        assert {(min(p), max(p)) for p in zip(*(x.tolist() for x in _regions.together(_regions.across(held, side, 75))))} == {(i, j) for i, j in want if side[i] != side[j]}
         top = _regions.join_region(sets)
         up = list(range(len(sets)))
         for i, j in want:
@@ -645,6 +646,37 @@ def test_links_within_regions(monkeypatch, leaf):
     assert cut  # cells that are smaller than their region
 
 
+@pytest.mark.parametrize("kind", ["across", "links", "direct"])
+def test_large_tiles_in_bounded_memory(kind):
+    rng = np.random.default_rng(3)
+    text = np.unique(rng.integers(0, 1 << 60, 12, dtype=np.uint64))
+    m = 16_000 if kind == "across" else 8_000
+    sets = [np.unique(np.append(text[np.arange(12) != k % 13], rng.integers(0, 1 << 60, dtype=np.uint64))) for k in range(m)]  # every two share 10 of at most 14
+    for near in (True, False):
+        own = sets if near else [np.unique(np.append(s[:2], rng.integers(0, 1 << 60, 8, dtype=np.uint64))) for s in sets]
+        held, top, n = _regions.Sets(own), np.arange(m), 0
+        tracemalloc.start()
+        for i, j in _regions.batched(_regions.across(held, np.arange(m) % 2, 60) if kind == "across" else getattr(_regions, kind)(held, np.arange(m), 60)):
+            top, n = _regions.roots(m, i, j, top), n + len(i)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 300 << 20
+        assert n == (0 if not near else (m // 2) ** 2 if kind == "across" else m * (m - 1) // 2) and (top == (0 if near else np.arange(m))).all()
+
+
+def test_pairs_proposed_for_some_sets_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 1 << 60, 9, dtype=np.uint64)) for _ in range(40)]
+    sets = [np.unique(np.append(base[k % 40], rng.integers(0, 1 << 60, dtype=np.uint64))) for k in range(400)]
+    want = pairs_of(sets)
+    for block, pairs in ((1024, 1 << 22), (16, 1000), (3, 10)):
+        monkeypatch.setattr(_regions, "BLOCK", block)
+        monkeypatch.setattr(_regions, "PAIRS", pairs)
+        found = [*_regions.direct(_regions.Sets(sets), np.arange(400), 75)]
+        i, j = _regions.together(found)
+        assert len(i) == len(want) and {*zip(i.tolist(), j.tolist())} == want and (len(found) > 1) == (block < 1024)
+
+
 def test_a_shared_element_is_no_work():
     rng = np.random.default_rng(1)
     sets = [np.unique(np.append(rng.integers(1, 1 << 60, 5, dtype=np.uint64), np.uint64(7))) for _ in range(50_000)]
