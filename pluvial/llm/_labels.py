@@ -16,9 +16,10 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: dict[i
 
     Those with the smallest hash of their id are taken, so the choice doesn't
     hang on the order of rows. Null labels, and ids in fold ``held_out``, take
-    no part; of several labels of one id the largest counts. The ids are few by
-    that bound and go to the documents by broadcast: no text is shuffled for
-    rows outside of the sample.
+    no part; of several labels of one id the largest counts, and of several
+    texts of one id the smallest that is not null, so that the bound holds for
+    rows too. The ids are few by that bound and go to the documents by
+    broadcast: no text is shuffled for rows outside of the sample.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null")
     if held_out is not None:
@@ -29,4 +30,4 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: dict[i
     for p in parts[1:]:
         ids = ids.unionByName(p)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "label", "place", "text")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label", "place").agg(F.min("text").alias("text"))

@@ -378,8 +378,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     That is a row with the component's smallest id, a null id counting as larger
     than any; where an id stands on rows of different texts, the text decides,
     so each row is kept or dropped by its own set and none is lost with a
-    namesake. Rows with equal id and equal set are one document. Texts without
-    words are near nothing, and all such rows stay. An empty table gives no rows.
+    namesake. Rows with equal id and equal set are one document, of which the row
+    whose columns come first as JSON stays. Texts without words are near nothing,
+    and all such rows stay. An empty table gives no rows.
     """
     found = _joined(docs, words, percent, id_col, text_col, region_most).where("n_shingles > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
@@ -399,7 +400,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     side = lambda df: F.broadcast(df) if df.count() <= SMALL else df.hint("merge")
     out = named.join(side(stay), on, "left").where((F.col(own) == 0) | F.col(node).isNotNull()).drop(node, none, first)
     if twice.limit(1).count():
-        more = out.join(side(twice), on, "left_semi").dropDuplicates([own, id_col])
+        row = F.struct(*[F.col(f"`{c}`") for c in out.columns])
+        more = out.join(side(twice), on, "left_semi").select(F.col(own), F.col(f"`{id_col}`").alias(first), row.alias(none))
+        more = more.groupBy(own, first).agg(F.min_by(none, F.to_json(none)).alias(none)).select(f"{none}.*")
         out = out.join(side(twice), on, "left_anti").unionByName(more)
     return out.drop(own)
 

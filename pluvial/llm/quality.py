@@ -1,12 +1,14 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are triples of character classes (letters by case, digits,
-other characters as themselves), hashed to a fixed number of places, and
-statistics of its words, each cut into steps: share of distinct words, share
-of the commonest word, share of distinct lines, words and their mean length.
-Counts grow as 1 + log, are weighted by rarity and scaled to unit length; a
-truncated singular value decomposition of the labelled sample gives the
-latent space. Each document meets all labelled vectors in blocked products.
+A text's terms are its words, its triples of bytes with letters and scripts as
+they are (but A-Z lower-cased and digits alike) and its triples of character
+classes (letters by case, digits, others as themselves), each kind hashed to a
+number of places of its own, and statistics of its words, each cut into steps:
+share of distinct words, share of the commonest word, words, their mean length
+and words a line. Counts grow as 1 + log, are weighted by rarity and scaled to
+unit length; a truncated singular value decomposition of the labelled sample
+gives the latent space. Each document meets all labelled vectors in blocked
+products.
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from ._words import _SPACE, document_of, groups, word_hashes
 
 #: Most labelled documents of each label that are kept as neighbours.
 PER_LABEL = {0: 4_000, 1: 8_000}
-PLACES, STEPS, RANK, NEIGHBOURS, BLOCK = 1024, 12, 48, 25, 512
+SHAPES, SPELLED, WORDS = 512, 1024, 1024
+PLACES, STEPS, RANK, NEIGHBOURS, BLOCK = SHAPES + SPELLED + WORDS, 12, 48, 25, 512
+#: Weight of words and spelled triples beside shapes, chosen on fold 1 with folds 2 to 4 to learn from.
+SPELLING = 0.35
 STATS = 5
 DIM = PLACES + STATS * STEPS
 
@@ -30,6 +35,14 @@ _CLASS = np.arange(256, dtype=np.uint32)
 _CLASS[48:58] = 48
 _CLASS[65:91] = 65
 _CLASS[97:123] = _CLASS[128:256] = 97
+_LETTER = np.arange(256, dtype=np.uint32)
+_LETTER[48:58] = 48
+_LETTER[65:91] = _LETTER[97:123]
+
+
+def _triples(c: np.ndarray, places: int) -> np.ndarray:
+    """The place of each three neighbouring values."""
+    return ((c[:-2] << 16 | c[1:-1] << 8 | c[2:]) * np.uint32(2654435761) >> np.uint32(12)) % np.uint32(places)
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -39,15 +52,22 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     raw = data[offsets[0] : offsets[-1]]
     lens = np.diff(at)
     doc = np.repeat(np.arange(n), lens)
-    c = _CLASS[raw]
-    out = np.zeros((n, DIM), np.float32)
-    if len(c) > 2:
-        t = (c[:-2] << 16 | c[1:-1] << 8 | c[2:]) * np.uint32(2654435761) >> np.uint32(22)
-        same = doc[:-2] == doc[2:]
-        out[:, :PLACES] = np.bincount(doc[:-2][same] * PLACES + t[same], minlength=n * PLACES).reshape(n, PLACES)
-        np.log1p(out, out=out)
     words, per_doc = word_hashes(data, offsets)
     of = document_of(per_doc)
+    same = doc[:-2] == doc[2:]
+    within = doc[:-2][same]
+    out = np.empty((n, DIM), np.float32)
+    kinds = (
+        (SHAPES, 1, within, _triples(_CLASS[raw], SHAPES)[same]),
+        (SPELLED, SPELLING, within, _triples(_LETTER[raw], SPELLED)[same]),
+        (WORDS, SPELLING, of, words % np.uint64(WORDS)),
+    )
+    begin = 0
+    for places, weight, owner, place in kinds:
+        found = np.bincount(owner * places + place.astype(np.int64), minlength=n * places).reshape(n, places)
+        out[:, begin : begin + places] = np.log1p(found) * weight
+        begin += places
+    out[:, PLACES:] = 0
     order = np.lexsort((words, of))
     w, d = words[order], of[order]
     new = np.ones(len(w), bool)
@@ -67,7 +87,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         size / some,
         np.log2(some / lines + 1) * 1.5,
     ]
-    scale = np.sqrt((out**2).sum(axis=1)) * 0.35 + 1e-3
+    scale = np.sqrt(np.einsum("ij,ij->i", out, out)) * 0.35 + 1e-3
     for k, s in enumerate(stats):
         step = np.clip(s, 0, STEPS - 1).astype(int)
         out[np.arange(n), PLACES + k * STEPS + step] = scale
@@ -101,11 +121,15 @@ def fit(sampled: DataFrame) -> dict:
         rows = sorted((p, r, y) for batch in batches for p, y, r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         if not rows:
             return
-        x = np.stack([np.frombuffer(r, np.float32) for _, r, _ in rows])
+        x = np.empty((len(rows), DIM), np.float32)
+        for k, (_, r, _) in enumerate(rows):
+            x[k] = np.frombuffer(r, np.float32)
+        y = np.asarray([y for *_, y in rows], np.float32)
+        del rows
         idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-        x = _unit(x * idf)
+        x *= idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
         axes = decompose(x, RANK)
-        y = np.asarray([y for *_, y in rows], np.float32)
         yield pa.RecordBatch.from_pydict({k: [v.astype(np.float32).tobytes()] for k, v in (("idf", idf), ("axes", axes), ("vectors", _unit(x @ axes)), ("labels", y))})
 
     found = sampled.select("place", "label", "text").mapInArrow(featurize, "place bigint, label int, row binary").repartition(1).mapInArrow(learn, "idf binary, axes binary, vectors binary, labels binary").collect()

@@ -148,12 +148,50 @@ def test_votes_against_all_neighbours(spark):
         assert math.isclose(got[r.doc_id], want, abs_tol=2e-3)
 
 
+def plain_terms(text):
+    """The terms of one text, in plain Python: places by kind, then the steps of the statistics."""
+    raw = text.encode()
+    shape = [97 if b >= 128 or 97 <= b < 123 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in raw]
+    spelled = [b + 32 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in raw]
+    own = words(text)
+    name = lambda w: int(_words.word_hashes(np.frombuffer(w.encode(), np.uint8), np.asarray([0, len(w.encode())]))[0][0])
+    triple = lambda c, places: [(((c[i] << 16 | c[i + 1] << 8 | c[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 12) % places for i in range(len(c) - 2)]
+    out = []
+    for places, weight, found in ((quality.SHAPES, 1, triple(shape, quality.SHAPES)), (quality.SPELLED, quality.SPELLING, triple(spelled, quality.SPELLED)), (quality.WORDS, quality.SPELLING, [name(w) % quality.WORDS for w in own])):
+        often = collections.Counter(found)
+        out += [weight * math.log1p(often[k]) for k in range(places)]
+    scale = math.sqrt(sum(v * v for v in out)) * 0.35 + 1e-3
+    n, most = max(len(own), 1), max(collections.Counter(own).values(), default=0)
+    stats = [len(set(own)) / n * quality.STEPS, math.log2(n / max(most, 1)) * 1.5, math.log2(n), sum(len(w.encode()) for w in own) / n, math.log2(n / (raw.count(b"\n") + 1) + 1) * 1.5]
+    for s in stats:
+        out += [scale * (k == int(min(max(s, 0), quality.STEPS - 1))) for k in range(quality.STEPS)]
+    return out
+
+
+def test_terms_against_plain_ones():
+    sentence = "The committee has published a careful report on river water quality and its causes."
+    rng = random.Random(5)
+    shuffled = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") if c.islower() else c for c in sentence)
+    texts = [sentence, shuffled, "мир дом", "кот лес", "", " ", "a", "ab", "é" * 4, "Go go GO 12 1999\n\nlines\tand, signs!!", "x" * 5000, sentence * 50]
+    data = [t.encode() for t in texts]
+    got = quality.counts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert np.allclose(got, [plain_terms(t) for t in texts], rtol=1e-4, atol=1e-5)
+    spelled = slice(quality.SHAPES, quality.PLACES)
+    for a, b in ((0, 1), (2, 3)):
+        assert np.array_equal(got[a, : quality.SHAPES], got[b, : quality.SHAPES])
+        x, y = got[a, spelled], got[b, spelled]
+        assert x @ y < 0.5 * math.sqrt(x @ x * (y @ y))
+
+
 def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
     rows = _labels.sample(docs, labels, "toxic", {0: 10, 1: 5}, 0).collect()
     assert collections.Counter(r.label for r in rows) == {0: 10, 1: 5}
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+    often = docs.unionByName(docs.selectExpr("doc_id", "concat('s', doc_id) AS text")).unionByName(docs.selectExpr("doc_id", "CAST(NULL AS string) AS text")).repartition(5)
+    again = _labels.sample(often, labels, "toxic", {0: 10, 1: 5}, 0).collect()
+    assert {(r.doc_id, r.label, r.text) for r in again} == {(r.doc_id, r.label, f"s{r.doc_id}") for r in rows} and len(again) == 15
 
 
 # ---- 2 and 4: vectors
@@ -707,11 +745,12 @@ def test_one_of_each_loses_no_document(spark, names):
     schema = "{} long, {} string, {} string".format(*names)
     rng = random.Random(4)
     a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
-    rows = [(3, " ".join(a), "x"), (5, " ".join([*a, "more"]), "y"), (5, " ".join(b), "z"), (7, " ".join(b), "q"), (None, near(rng, a, 1), "n"), (None, "none of this is here yet", "n"), (None, "None of this  is here yet", "m"), (8, "", "e"), (8, None, "e"), (3, " ".join(a).upper(), "x")]
+    rows = [(3, " ".join(a), "x"), (3, " ".join(a), "w"), (5, " ".join([*a, "more"]), "y"), (5, " ".join(b), "z"), (7, " ".join(b), "q"), (None, near(rng, a, 1), "n"), (None, "none of this is here yet", "n"), (None, "None of this  is here yet", "m"), (8, "", "e"), (8, None, "e"), (3, " ".join(a).upper(), "x")]
     for parts in (1, 4):
         df = spark.createDataFrame(rows, schema).repartition(parts)
         got = jaccard_join.one_of_each(df, id_col=names[0], text_col=names[1]).collect()
         assert sorted(((r[0], (r[1] or "").lower().split()[:1]) for r in got), key=repr) == [(3, ["a0"]), (5, ["b0"]), (8, []), (8, []), (None, ["none"])]
+        assert next(tuple(r) for r in got if r[0] == 3) == (3, " ".join(a).upper(), "x")  # capitals come first
     assert jaccard_join.one_of_each(df.limit(0), id_col=names[0], text_col=names[1]).count() == 0
 
 
