@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvial.functions import expr
-from pluvial.functions.columns import feature_group, month_name, numeric_columns
+from pluvial.functions.columns import feature_group, first_of, month_name, numeric_columns, trimmed, without_suffix
 from pluvial.operators import boosting, eda, features, frame, impute, joins, metrics, models, order_stats, selection, stats, store, validate
 from pluvial.operators import windows as win
+from pluvial.sources.files import with_origin
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,6 +174,32 @@ def float_units(spark, sf_dir):
     return lines(spark, sf_dir, expr.celsius(x).cast("double").alias("celsius"), expr.metres(x).cast("double").alias("metres"))
 
 
+@query(f"SELECT {LINE}, CAST(CAST(l_extendedprice AS FLOAT) / CAST(100 AS FLOAT) AS DOUBLE) AS pressure, CAST(CAST(CAST(l_discount AS FLOAT) AS VARCHAR) AS DOUBLE) AS as_written, CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS widened FROM lineitem")
+def pressure_units(spark, sf_dir):
+    """Pascal to hectopascal in single precision, and single values as their text reads beside their plain widening."""
+    x = expr.as_float(F.col("l_discount"))
+    pressure = expr.hectopascal(expr.as_float(F.col("l_extendedprice"))).cast("double")
+    return lines(spark, sf_dir, pressure.alias("pressure"), expr.float_as_written(x).alias("as_written"), x.cast("double").alias("widened"))
+
+
+@query("""SELECT o_orderkey, o_orderdate AS time, lower(trim(o_orderpriority)) AS priority, starts_with(o_orderpriority, '1') AS urgent, ends_with(o_orderpriority, 'W') AS low,
+  contains(lower(o_orderpriority), 'spec') AS unspecified, format('{:,.2f}', o_totalprice) AS price FROM orders""")
+def tidied_text(spark, sf_dir):
+    """Column names trimmed, doubles of a join left out by suffix, the time column found by its aliases; then text tests and a written number."""
+    o = table(spark, sf_dir, "orders")
+    raw = o.select("o_orderkey", F.col("o_orderdate").alias(" Date "), F.col("o_orderpriority").alias("priority "), "o_totalprice", F.col("o_orderkey").alias("o_orderkey_y"))
+    tidy = without_suffix(trimmed(raw), "_y")
+    p = F.col("priority")
+    return tidy.select("o_orderkey", F.col(first_of(tidy, ["time", "date"])).alias("time"), F.lower(F.trim(p)).alias("priority"), p.startswith("1").alias("urgent"), p.endswith("W").alias("low"), F.lower(p).contains("spec").alias("unspecified"), F.format_number("o_totalprice", 2).alias("price"))
+
+
+@query("SELECT o_orderkey, 'station ' || CAST(o_custkey AS VARCHAR) AS station_name, CAST(year(o_orderdate) AS INTEGER) AS source_year, 'orders/' || CAST(year(o_orderdate) AS VARCHAR) AS source_url FROM orders")
+def provenance(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    year = F.year("o_orderdate")
+    return with_origin(o, F.concat(F.lit("station "), F.col("o_custkey").cast("string")), year, F.concat(F.lit("orders/"), year.cast("string"))).drop("o_custkey", "o_orderdate")
+
+
 @query("SELECT event_id, round_even(value * 10000, 0) / 10000 AS value FROM events")
 def round4(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", expr.round4(F.col("value")).alias("value"))
@@ -322,6 +349,13 @@ def targets(spark, sf_dir):
     return rounded(features.targets(dense(spark, sf_dir), "rain").drop("rain"), "target_1stage_prcp_mm")
 
 
+@query(f"WITH {FRAME} SELECT station, time, rain AS target_1stage_prcp_mm, CAST(rain >= 0.1 AS INTEGER) AS target_stage1_rain_label, {r4('ln(1 + rain)')} AS target_stage2_prcp_log1p FROM f WHERE rain IS NOT NULL")
+def complete_targets(spark, sf_dir):
+    """Only days on which every target is known."""
+    named = features.targets(dense(spark, sf_dir), "rain").drop("rain")
+    return rounded(named.na.drop(subset=[c for c in named.columns if c.startswith("target_")]), "target_1stage_prcp_mm")
+
+
 @query("SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(dayofyear(ts) AS INTEGER) AS day_of_year, CASE WHEN value >= 50 THEN 'rain' ELSE 'dry' END AS status FROM events")
 def date_parts(spark, sf_dir):
     v = F.col("value")
