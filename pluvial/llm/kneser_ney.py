@@ -5,8 +5,9 @@ that are never predicted. Batches are counted where they are read. First words
 are counted by 64-bit hashes and get ids, frequent ones the smaller. N-grams of
 the highest order, as ids, meet in buckets of their contexts as compressed
 blocks; each bucket becomes one file: sorted hashes of contexts, and behind
-each the words that follow it with their counts. It hands on its part of the
-next lower order's continuation counts, and so on down to pairs. Their buckets
+each the words that follow it with their counts; contexts of many words have
+their totals beside them, so that these are not read again for every text that
+holds one. It hands on its part of the next lower order's continuation counts, and so on down to pairs. Their buckets
 become files of sorted hashes of pairs with counts, or of sorted words with the
 total of the pairs they begin, the number of words they follow, and how many
 pairs they begin that count one, two, or more. Scoring tasks map the files into
@@ -39,9 +40,9 @@ from ._chunks import ragged
 from ._shared import cut, local_path, new_folder, publish, remove_folder, ship, text_bytes
 from ._words import combine, groups, mix, word_hashes
 
-SLICE, SCORED, CHUNK, STEP = 16 << 20, 4 << 20, 8, 64
-#: STEP: of so many hashes of a file one is also in its index. BUCKET: n-grams of a bucket, about: as many at most, and at least where there are more shuffle partitions than that needs. A bucket's contexts and pairs are known by 40 bits of their hash, and its number by others.
-BUCKET, LEAST, HASH_BYTES, CLASSES, PAD = 2_000_000, 100_000, 5, 64, bytes(8)
+SLICE, SCORED, CHUNK, LONG = 16 << 20, 6 << 20, 4, 8
+#: LONG: of contexts that more words follow the file holds the totals. BUCKET: n-grams of a bucket, about: as many at most, and at least where there are more shuffle partitions than that needs. A bucket's contexts and pairs are known by the first bits of their hash, 8 at least, which number a cell of the file, and by HASH_BYTES (1, 2 or 4) after these; the bucket's number by others.
+BUCKET, LEAST, HASH_BYTES, CLASSES, PAD = 2_000_000, 100_000, 4, 64, bytes(8)
 END = np.uint64(1)
 #: The ids of words that were never counted and of begins; counted words follow.
 UNKNOWN, BEGIN, FIRST = 0, 1, 2
@@ -88,9 +89,19 @@ def context_bucket(context: np.ndarray, n: int) -> np.ndarray:
     return (mix(context) % np.uint64(n)).astype(np.int32)
 
 
-def short(h: np.ndarray) -> np.ndarray:
-    """The bits of a hash that files hold."""
-    return h >> np.uint64(64 - 8 * HASH_BYTES)
+def cell_bits(n: int) -> int:
+    """How many first bits number the cells of a file of ``n`` hashes: 4 to 8 of these in a cell."""
+    return max(8, (n >> 3).bit_length())
+
+
+def short(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of a hash that a file with so many bits for cells knows."""
+    return h >> np.uint64(64 - bits - 8 * HASH_BYTES)
+
+
+def digits(bucket: np.ndarray, n: int) -> np.ndarray:
+    """Numbers below ``n``, of a type that sorts by digits where these suffice."""
+    return bucket.astype(np.uint16) if n <= 1 << 16 else bucket
 
 
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,9 +116,10 @@ def _cut(x: np.ndarray, size: int) -> bytes:
     return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _hashes(x: np.ndarray) -> bytes:
-    """Ascending hashes, and before them every STEP-th whole, for searches to start from."""
-    return x[::STEP].astype("<u8").tobytes() + _cut(x, HASH_BYTES)
+def _hashes(h: np.ndarray, bits: int) -> bytes:
+    """Ascending hashes without the bits of their cells, and before them where each cell starts."""
+    starts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    return starts.astype("<u4").tobytes() + _cut(short(h, bits), HASH_BYTES)
 
 
 def packed(raw: np.ndarray, at: int, n: int, size: int) -> np.ndarray:
@@ -132,23 +144,56 @@ def unsqueezed(data: bytes, columns: int) -> list[np.ndarray]:
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, ascending, with the sums of their values."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[head], *(np.add.reduceat(v[order], head) if len(head) else v for v in values)
 
 
+def _joined(columns: list[np.ndarray]) -> np.ndarray:
+    """A key of each n-gram: of one or two ids these themselves, so that they ascend with it, of more a hash."""
+    return columns[0] if len(columns) == 1 else columns[0] << np.uint64(32) | columns[1] if len(columns) == 2 else combine(*columns)
+
+
+def _heads(*ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    new = np.zeros(max(len(ordered[0]) - 1, 0), bool)
+    for x in ordered:
+        new |= x[1:] != x[:-1]
+    return np.flatnonzero(np.concatenate([[True], new])) if len(ordered[0]) else np.zeros(0, np.int64)
+
+
 def _distinct(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams and the sums of their counts."""
-    key = combine(*columns)
+    key = _joined(columns)
     if counts is None:
         some, which = distinct(key)
         return [c[some] for c in columns], np.bincount(which, minlength=len(some))
-    order = np.argsort(key, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    order = np.argsort(key)
+    head = _heads(key[order])
     return [c[order[head]] for c in columns], np.add.reduceat(counts[order], head)
 
 
+def _by_context(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, int]:
+    """Distinct n-grams with the sums of their counts by known context and word, where contexts start, these ones' hashes, and the bits of cells."""
+    context = context_hash(columns[:-1])
+    order = np.argsort(context)
+    head = _heads(context[order])
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.repeat(np.arange(len(head), dtype=np.uint64), np.diff(np.append(head, len(order))))
+    key = rank << np.uint64(32) | columns[-1]
+    order = np.argsort(key)
+    first = _heads(key[order])
+    columns, counts, context = [c[order[first]] for c in columns], np.add.reduceat(counts[order], first), context[order[first]]
+    bits = cell_bits(len(head))
+    part = short(context, bits)
+    head = _heads(part)
+    if len(head) < len(_heads(context)):  # the file takes such contexts for one
+        order = np.lexsort((columns[-1], part))
+        columns, counts, context = [c[order] for c in columns], counts[order], context[order]
+    return columns, counts, head, context[head], bits
+
+
 #: A block of n-grams: what its contexts are and how many words follow each; the words and counts; notes of the files written so far.
 _BLOCK = "bucket int, contexts binary, words binary, notes binary"
 
@@ -156,12 +201,10 @@ _BLOCK = "bucket int, contexts binary, words binary, notes binary"
 def _blocks(columns: list[np.ndarray], counts: np.ndarray, n_buckets: int, notes: bytes = b"") -> list[pa.Array]:
     """A row for each bucket that distinct n-grams reach. Contexts are sorted, the first word as differences, for the codec."""
     bucket = pair_bucket(*columns, n_buckets) if len(columns) == 2 else context_bucket(context_hash(columns[:-1]), n_buckets)
-    order = np.lexsort((*columns[-2::-1], bucket))
+    order = np.argsort(_joined(columns[:-1])) if len(columns) < 4 else np.lexsort(columns[-2::-1])
+    order = order[np.argsort(digits(bucket[order], n_buckets), kind="stable")]
     columns, counts, bucket = [c[order] for c in columns], counts[order], bucket[order]
-    new = bucket[1:] != bucket[:-1]
-    for c in columns[:-1]:
-        new |= c[1:] != c[:-1]
-    head = np.flatnonzero(np.concatenate([[True], new]))
+    head = _heads(bucket, *columns[:-1])
     follow = np.diff(np.append(head, len(bucket)))
     edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
     rows = []
@@ -183,7 +226,7 @@ def _unblocked(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarra
         word, n = unsqueezed(w, 2)
         parts[-1].append(word)
         counts.append(n.astype(np.int64))
-    return _distinct([np.concatenate(x) for x in parts], np.concatenate(counts))
+    return [np.concatenate(x) for x in parts], np.concatenate(counts)
 
 
 def _note(table: pa.Table, order: int, n: np.ndarray) -> bytes:
@@ -214,15 +257,13 @@ def _merge_grams(place: str, order: int, width: int, n_below: int):
     """The file of a bucket of n-grams; hands on its part of the counts of one order less."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns, n = _unblocked(table, order)
-        context = short(context_hash(columns[:-1]))
-        at = np.lexsort((columns[-1], context))
-        columns, n, context = [c[at] for c in columns], n[at], context[at]
-        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        columns, n, head, hashes, bits = _by_context(*_unblocked(table, order))
         follow = np.diff(np.append(head, len(n)))
         (far, follows), (many, counts) = _small(follow), _small(n)
-        header = np.asarray([len(head), len(n), len(far), len(many)], "<u8").tobytes()
-        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, *follows, *counts, head[::CHUNK].astype("<u8").tobytes(), _hashes(context[head]), _cut(columns[-1], width), PAD]))
+        long = np.flatnonzero(follow > LONG)
+        totals = [np.add.reduceat(x, head, dtype=np.int64)[long].astype(kind).tobytes() for x, kind in ((n, "<u8"), (n == 1, "<u4"), (n == 2, "<u4"))]
+        header = np.asarray([len(head), len(n), len(far), len(many), len(long), bits], "<u8").tobytes()
+        publish(place, f"grams-{order}-{table.column('bucket')[0].as_py():06d}", b"".join([header, *follows, *counts, head[::CHUNK].astype("<u4").tobytes(), long.astype("<u4").tobytes(), *totals, _hashes(hashes, bits), _cut(columns[-1], width), PAD]))
         below = _distinct(columns[1:], np.where(columns[1] == BEGIN, n, 1))
         return pa.table(_blocks(*below, n_below, _note(table, order, n)), names=["bucket", "contexts", "words", "notes"])
 
@@ -238,7 +279,7 @@ def _counts(n_buckets: int):
                 some, which = distinct(token)
                 word, n = token[some], np.bincount(which)
                 bucket = word_bucket(word, n_buckets)
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort(digits(bucket, n_buckets), kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
                 some = np.flatnonzero(np.diff(edges))
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array([x[order][edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary()) for x in (word, n.astype("<u4")))], ["bucket", "word", "n"])
@@ -285,11 +326,11 @@ def _name_words(place: str, starts: dict[int, np.ndarray]):
 
 def _merge_pairs(place: str, n_words: int):
     def run(table: pa.Table) -> pa.Table:
-        (v, w), n = _unblocked(table, 2)
-        key = short(combine(v, w))
-        order = np.argsort(key, kind="stable")
+        (v, w), n = _distinct(*_unblocked(table, 2))
+        key = combine(v, w)
+        order = np.argsort(key)
         many, counts = _small(n[order])
-        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), *counts, _hashes(key[order]), PAD]))
+        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), *counts, _hashes(key[order], cell_bits(len(key)))]))
         one = np.ones_like(n)
         targets = _summed(w, one)
         contexts = _summed(v, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
@@ -299,7 +340,7 @@ def _merge_pairs(place: str, n_words: int):
         rest = [np.concatenate(x) for x in ((targets[1], zero_c), (zero_t, contexts[2]), (zero_t, contexts[3]), (zero_t, contexts[4]))]
         word, total, *rest = _summed(word, total, *rest)
         bucket = word_bucket(word, n_words)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(digits(bucket, n_words), kind="stable")
         word, total, bucket, rest = word[order], total[order], bucket[order], [x[order] for x in rest]
         edges = np.searchsorted(bucket, np.arange(n_words + 1))
         rows = []
@@ -376,44 +417,45 @@ def train(docs: DataFrame, folder: str | None = None, text_col: str = "text", or
 
 def places(x: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """For each bucket in ``x`` where it stands."""
-    x = x.astype(np.uint16) if n <= 1 << 16 else x  # these sort by digits
+    x = digits(x, n)
     order = np.argsort(x, kind="stable")
     edges = np.searchsorted(x[order], np.arange(n))
     return [(i, order[edges[i] : end]) for i, end in enumerate((*edges[1:], len(x))) if end > edges[i]]
 
 
-def find(keys: np.ndarray, size: int, first: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In ascending ``packed`` numbers: the first place within [first, end) that holds ``wanted`` or more, and whether it is there."""
-    place, there = first.copy(), np.zeros(len(first), bool)
-    at, below, above, sought = np.arange(len(first)), first, end, wanted
-    while len(at):
-        open_ = below < above
-        place[at[~open_]] = below[~open_]
-        at, below, above, sought = at[open_], below[open_], above[open_], sought[open_]
-        middle = (below + above) >> 1
-        less = low(keys[middle], size) < sought
-        below, above = np.where(less, middle + 1, below), np.where(less, above, middle)
-    inner = np.flatnonzero(place < end)
-    there[inner] = low(keys[place[inner]], size) == wanted[inner]
+def find(read, first: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` stands among the ascending numbers that ``read`` gives of [first, first + size), and whether it does: the places of those that don't mean nothing."""
+    order = np.argsort(-size)  # so that those still open are the first ones
+    at, left, sought = first[order], size[order], wanted[order]
+    place, there = np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+    some = k = np.count_nonzero(left)
+    while k := np.count_nonzero(left[:k] > 1):
+        half = left[:k] >> 1
+        at[:k] += half * (read(at[:k] + half) <= sought[:k])
+        left[:k] -= half
+    place[order], there[order[:some]] = at, read(at[:some]) == sought[:some]
     return place, there
 
 
-def find_hash(raw: np.ndarray, at: int, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ascending ``wanted`` stand among a file's ``_hashes``, and whether they do: the places of those that don't mean nothing."""
-    starts = -(-n // STEP)
-    keys = packed(raw, at + 8 * starts, n, HASH_BYTES)
-    block = np.searchsorted(np.frombuffer(raw[at : at + 8 * starts].tobytes(), "<u8"), wanted)
-    place = np.maximum((block - 1) * STEP + 1, 0)
-    step = STEP >> 1
-    while step:
-        place += step * (low(keys[np.minimum(place + (step - 1), n - 1)], HASH_BYTES) < wanted)
-        step >>= 1
-    np.minimum(place, n - 1, out=place)
-    return place, low(keys[place], HASH_BYTES) == wanted
+def find_hash(raw, at: int, n: int, bits: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` stand among a file's ``_hashes``, and whether they do: the places of those that don't mean nothing."""
+    starts = raw[at : (keys_at := at + cells_size(bits))].view("<u4")
+    keys = raw[keys_at : keys_at + HASH_BYTES * n].view(f"<u{HASH_BYTES}")
+    cell = (wanted >> np.uint64(64 - bits)).astype(np.int64)
+    first = starts[cell].astype(np.int64)
+    return find(keys.__getitem__, first, starts[cell + 1] - first, short(wanted, bits).astype(keys.dtype))
+
+
+def _extended(gram: np.ndarray, n: int, word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From each token's n-gram, as a number below ``n``: a place of each different one that is a word longer, which of these each token has, and what the word follows: an n-gram, or ``n`` for begins alone."""
+    context = np.empty_like(gram)
+    context[1:] = gram[:-1]
+    context[ends[:-1]] = n
+    return *distinct(context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)), context
 
 
-def hashes_size(n: int) -> int:
-    return 8 * -(-n // STEP) + HASH_BYTES * n
+def cells_size(bits: int) -> int:
+    return 4 * ((1 << bits) + 1)
 
 
 class Bytes:
@@ -451,7 +493,10 @@ class Model:
     def words(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The id of each token, and how often it occurs, by its 64 bits."""
         some, back = distinct(token)
-        word = token[some]
+        ids, counts = self._words(token[some])
+        return ids[back], counts[back]
+
+    def _words(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64)
         for i, own in places(word_bucket(word, self.about["n_words"]), self.about["n_words"]):
             if (raw := self._open(f"counts-{i:06d}")) is None:
@@ -463,17 +508,17 @@ class Model:
             hit = keys[spot] == word[own]
             counts[own[hit]] = self._take(raw, 8 + 8 * n, n, "<u8")[spot[hit]]
             ids[own[hit]] = self._open(f"ids-{i:06d}").view("<u4")[spot[hit]]
-        return ids[back], counts[back]
+        return ids, counts
 
     def pair_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        key, out = short(combine(v, w)), np.zeros(len(v), np.int64)
+        key, out = combine(v, w), np.zeros(len(v), np.int64)
         for i, own in places(pair_bucket(v, w, self.about["n_pairs"]), self.about["n_pairs"]):
             if (raw := self._open(f"pairs-{i:06d}")) is None:
                 continue
             n, many = (int(x) for x in self._take(raw, 0, 2, "<u8"))
             counts = Bytes(raw, 16, n, many)
             own = own[np.argsort(key[own])]
-            spot, hit = find_hash(raw, counts.end, n, key[own])
+            spot, hit = find_hash(raw, counts.end, n, cell_bits(n), key[own])
             out[own[hit]] = counts[spot[hit]]
         return out
 
@@ -493,58 +538,63 @@ class Model:
                 out[own, k + 1] = self._take(raw, 8 + 12 * n + 4 * n * k, n, "<u4")[spot]
         return out
 
-    def gram_stats(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Rows (count, the context's total, once, twice, more) of n-grams of three words and more."""
-        out = np.zeros((len(columns[0]), 5), np.int64)
-        hashes = context_hash(columns[:-1])
-        some, context = distinct(hashes)
-        hashes, n_grams = hashes[some], self.about["n_grams"]
-        bucket, wanted = context_bucket(hashes, n_grams), short(hashes)
-        first, last, stats = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), np.zeros((len(some), 4), np.int64)
+    def gram_stats(self, contexts: list[np.ndarray], context: np.ndarray, word: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Counts of n-grams of three words and more, each given by the place of its context and its word; their contexts' totals, and what the discounts ``d`` take of these."""
+        out, hashes, n_grams = np.zeros(len(word), np.int64), context_hash(contexts), self.about["n_grams"]
+        bucket = context_bucket(hashes, n_grams)
+        first, sizes, total, taken = (np.zeros(len(hashes), kind) for kind in (np.int64, np.int64, np.int64, np.float64))
         grams = dict(places(bucket[context], n_grams))
         for i, own in places(bucket, n_grams):
-            raw = self._open(f"grams-{len(columns)}-{i:06d}")
+            raw = self._open(f"grams-{len(contexts) + 1}-{i:06d}")
             if raw is None:
                 continue
-            m, n, far, many = (int(x) for x in self._take(raw, 0, 4, "<u8"))
-            follow = Bytes(raw, 32, m, far)
+            m, n, far, many, n_long, bits = (int(x) for x in self._take(raw, 0, 6, "<u8"))
+            follow = Bytes(raw, 48, m, far)
             counts = Bytes(raw, follow.end, n, many)
-            chunks = -(-m // CHUNK)
-            starts, at = np.frombuffer(raw[counts.end : counts.end + 8 * chunks].tobytes(), "<u8"), counts.end + 8 * chunks
-            words = packed(raw, at + hashes_size(m), n, self.about["width"])
-            own = own[np.argsort(wanted[own])]
-            spot, hit = find_hash(raw, at, m, wanted[own])
+            starts, at = self._take(raw, counts.end, -(-m // CHUNK), "<u4"), counts.end + 4 * -(-m // CHUNK)
+            long, at = self._take(raw, at, n_long, "<u4"), at + 4 * n_long
+            totals = [self._take(raw, at + x * n_long, n_long, kind) for x, kind in ((0, "<u8"), (8, "<u4"), (12, "<u4"))]
+            at += 16 * n_long
+            words = packed(raw, at + cells_size(bits) + HASH_BYTES * m, n, self.about["width"])
+            own = own[np.argsort(hashes[own])]
+            spot, hit = find_hash(raw, at, m, bits, hashes[own])
             spot, own = spot[hit], own[hit]
             if not len(spot):
                 continue
-            before = spot % CHUNK
-            within = follow[ragged(spot - before, before)]
-            first[own] = starts[spot // CHUNK].astype(np.int64) + np.bincount(np.repeat(np.arange(len(spot)), before), within, len(spot)).astype(np.int64)
-            size = follow[spot]
-            last[own] = first[own] + size
-            every, begin = counts[ragged(first[own], size)], np.cumsum(size) - size
-            once, twice = (np.add.reduceat(every == k, begin, dtype=np.int64) for k in (1, 2))
-            stats[own] = np.stack([np.add.reduceat(every, begin), once, twice, size - once - twice], 1)
+            begin, before, size = starts[spot // CHUNK].astype(np.int64), spot % CHUNK, follow[spot]
+            for k in range(1, CHUNK):
+                some = np.flatnonzero(before >= k)
+                begin[some] += follow[spot[some] - k]
+            first[own], sizes[own] = begin, size
+            some = np.flatnonzero(size > LONG)
+            in_long = np.searchsorted(long, spot[some].astype(np.uint32))
+            total[own[some]], once, twice = (x[in_long].astype(np.int64) for x in totals)
+            taken[own[some]] = once * d[1] + twice * d[2] + (size[some] - once - twice) * d[3]
+            some = np.flatnonzero(size <= LONG)
+            if len(some):
+                few, edge = size[some], np.cumsum(size[some]) - size[some]
+                every = counts[ragged(begin[some], few)]
+                once, twice = (np.add.reduceat(every == k, edge, dtype=np.int64) for k in (1, 2))
+                total[own[some]] = np.add.reduceat(every, edge)
+                taken[own[some]] = once * d[1] + twice * d[2] + (few - once - twice) * d[3]
             gram = grams[i]
-            gram = gram[last[context[gram]] > 0]
+            gram = gram[sizes[context[gram]] > 0]
             of = context[gram]
-            at, there = find(words, self.about["width"], first[of], last[of], columns[-1][gram])
-            out[gram[there], 0] = counts[at[there]]
-        out[:, 1:] = stats[context]
-        return out
+            at, there = find(lambda x: low(words[x], self.about["width"]), first[of], sizes[of], word[gram])  # noqa: B023
+            out[gram[there]] = counts[at[there]]
+        return out, total[context], taken[context]
 
     def score(self, token: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 p(w | the words before), log10 of the base probability, and the word's count, of each token."""
         a = self.about
-        ids, known = self.words(token)
-        columns = ngrams(ids, ends, a["order"])
-        v, w = columns[-2:]
-        some, pair = distinct(v << np.uint64(32) | w)
-        v, w = v[some], w[some]
-        words, place = np.unique(np.concatenate([v, w]), return_inverse=True)
-        stats = self.word_stats(words)
-        vi, wi = place[: len(v)], place[len(v) :]
-        count = self.pair_counts(v, w)
+        some, word = distinct(token)
+        ids, known = self._words(token[some])
+        columns = ngrams(ids[word], ends, a["order"])
+        ids = np.append(ids, np.uint64(BEGIN))
+        stats = self.word_stats(ids)
+        some, gram, context = _extended(word, len(ids) - 1, word, ends)
+        vi, wi = context[some], word[some]
+        count = self.pair_counts(ids[vi], ids[wi])
         d, e = np.asarray([0.0, *a["d"]]), np.asarray([0.0, *a["d_follow"]])
         follows, f = stats[:, 1], a["follow_classes"]
         more = a["words"] - f[0] - f[1]
@@ -552,13 +602,15 @@ class Model:
         low = (follows - e[np.minimum(follows, 3)]) / max(a["pairs"], 1) + handed / (a["words"] + 1)
         gives = stats[:, 2] * d[1] + stats[:, 3] * d[2] + stats[:, 4] * d[3]
         t = stats[vi, 0]
-        p = np.where(t > 0, (count - d[np.minimum(count, 3)] + gives[vi] * low[wi]) / np.maximum(t, 1), low[wi])[pair]
+        p = np.where(t > 0, (count - d[np.minimum(count, 3)] + gives[vi] * low[wi]) / np.maximum(t, 1), low[wi])[gram]
         for k, own in enumerate(a["d_longer"], 3):
-            some, gram = distinct(combine(*columns[-k:]))
-            n, t, *follow = self.gram_stats([c[some] for c in columns[-k:]]).T
-            d, p = np.asarray([0.0, *own]), p[some]
-            gives = follow[0] * d[1] + follow[1] * d[2] + follow[2] * d[3]
+            contexts = [np.append(c[some], np.uint64(BEGIN)) for c in columns[1 - k :]]
+            some, gram, context = _extended(gram, len(some), word, ends)
+            d = np.asarray([0.0, *own])
+            n, t, gives = self.gram_stats(contexts, context[some], columns[-1][some], d)
+            p = p[some]
             p = np.where(t > 0, (n - d[np.minimum(n, 3)] + gives * p) / np.maximum(t, 1), p)[gram]
+        known = known[word]
         return np.log10(p), np.log10((known + 0.5) / (a["tokens"] + 0.5 * (a["vocabulary"] + 1))), known
 
 

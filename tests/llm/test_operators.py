@@ -350,6 +350,45 @@ def test_words_count_by_all_bits(monkeypatch, tmp_path):
     assert {ids[0], ids[4]} == {2, 3} and ids[1] > 3  # frequent words have the smaller ids
 
 
+def test_long_contexts_are_not_read_whole(spark, docs, tmp_path, monkeypatch):
+    many = spark.createDataFrame([(i, f"so often x{i}", "en", "a", 1, *["z"] * len(CLASH)) for i in range(3000)], SCHEMA)
+    model = kneser_ney.train(docs.unionByName(many), folder=f"file://{tmp_path}/m", order=3)
+    read, get = [], kneser_ney.Bytes.__getitem__
+    monkeypatch.setattr(kneser_ney.Bytes, "__getitem__", lambda self, at: read.append(np.size(at)) or get(self, at))
+    token, ends = kneser_ney.tokens(np.frombuffer(b"so often x7", np.uint8), np.asarray([0, 11]))
+    assert np.isfinite(kneser_ney.Model(model).score(token, ends)[0]).all()
+    assert 0 < sum(read) < 200  # all 3,000 counts before
+
+
+@pytest.mark.parametrize("size", [4, 1])
+def test_gram_files_hold_every_count(monkeypatch, tmp_path, size):
+    monkeypatch.setattr(kneser_ney, "HASH_BYTES", size)
+    rng = np.random.default_rng(3)
+    u, v, w = (rng.integers(0, n, 60_000).astype(np.uint64) for n in (40, 200, 4000))
+    u[:9000], v[:9000], v[9000:9400], w[9000:9400] = 1, 2, 7, 9  # one context of many words, one n-gram of a large count
+    u[9000:9400] = 3
+    plain = collections.Counter(zip(u.tolist(), v.tolist(), w.tolist()))
+    half = [kneser_ney._blocks(*kneser_ney._distinct([x[at] for x in (u, v, w)]), 1) for at in (slice(0, 30_000), slice(30_000, None))]
+    table = pa.concat_tables([pa.table(x, names=["bucket", "contexts", "words", "notes"]) for x in half])
+    kneser_ney._merge_grams(str(tmp_path), 3, 2, 8)(table)
+    model = kneser_ney.Model({"place": str(tmp_path), "n_grams": 1, "width": 2, "files": {"grams-3-000000"}})
+    contexts = sorted({g[:2] for g in plain}) + [(50, 50)]
+    place = {c: i for i, c in enumerate(contexts)}
+    asked = [*plain, (1, 2, 5000), (50, 50, 1)]
+    d = np.asarray([0, 0.5, 0.75, 1.25])
+    count, total, taken = model.gram_stats([np.asarray(x, np.uint64) for x in zip(*contexts)], np.asarray([place[g[:2]] for g in asked]), np.asarray([g[2] for g in asked], np.uint64), d)
+    sums, takes = collections.Counter(), collections.Counter()
+    for g, n in plain.items():
+        sums[g[:2]] += n
+        takes[g[:2]] += d[min(n, 3)]
+    if size == 4:
+        assert count.tolist() == [plain[g] for g in asked]
+        assert total.tolist() == [sums[g[:2]] for g in asked] and taken.tolist() == [takes[g[:2]] for g in asked]
+    else:  # 8000 contexts share 18 bits: some are taken for one, whose words stay in order
+        assert (count > 0)[: len(plain)].all() and (total[: len(plain)] >= [sums[g[:2]] for g in plain]).all()
+        assert (total[: len(plain)] > [sums[g[:2]] for g in plain]).any()
+
+
 def test_lost_model_file_is_an_error(spark, docs, tmp_path):
     model = kneser_ney.train(docs, folder=f"file://{tmp_path}/m", order=3)
     assert {p.name for p in (tmp_path / "m").iterdir()} == model["files"]
