@@ -89,9 +89,14 @@ def context_bucket(context: np.ndarray, n: int) -> np.ndarray:
     return (mix(context) % np.uint64(n)).astype(np.int32)
 
 
-def cell_bits(n: int) -> int:
-    """How many first bits number the cells of a file of ``n`` hashes: 4 to 8 of these in a cell."""
-    return max(8, (n >> 3).bit_length())
+def cell_bits(h: np.ndarray) -> int:
+    """How many first bits number the cells of a file of ascending hashes: 4 to 8 of these in a cell, or up to 6 bits more until the file knows them all apart."""
+    least = max(8, (len(h) >> 3).bit_length())
+    for bits in range(least, least + 7):
+        part = short(h, bits)
+        if (part[1:] != part[:-1]).all():
+            break
+    return bits
 
 
 def short(h: np.ndarray, bits: int) -> np.ndarray:
@@ -185,10 +190,11 @@ def _by_context(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.
     order = np.argsort(key)
     first = _heads(key[order])
     columns, counts, context = [c[order[first]] for c in columns], np.add.reduceat(counts[order], first), context[order[first]]
-    bits = cell_bits(len(head))
+    whole = _heads(context)
+    bits = cell_bits(context[whole])
     part = short(context, bits)
     head = _heads(part)
-    if len(head) < len(_heads(context)):  # the file takes such contexts for one
+    if len(head) < len(whole):  # the file takes such contexts for one
         order = np.lexsort((columns[-1], part))
         columns, counts, context = [c[order] for c in columns], counts[order], context[order]
     return columns, counts, head, context[head], bits
@@ -329,8 +335,9 @@ def _merge_pairs(place: str, n_words: int):
         (v, w), n = _distinct(*_unblocked(table, 2))
         key = combine(v, w)
         order = np.argsort(key)
+        key, bits = key[order], cell_bits(key[order])
         many, counts = _small(n[order])
-        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many)], "<u8").tobytes(), *counts, _hashes(key[order], cell_bits(len(key)))]))
+        publish(place, f"pairs-{table.column('bucket')[0].as_py():06d}", b"".join([np.asarray([len(key), len(many), bits], "<u8").tobytes(), *counts, _hashes(key, bits)]))
         one = np.ones_like(n)
         targets = _summed(w, one)
         contexts = _summed(v, n, (n == 1) * one, (n == 2) * one, (n > 2) * one)
@@ -515,10 +522,10 @@ class Model:
         for i, own in places(pair_bucket(v, w, self.about["n_pairs"]), self.about["n_pairs"]):
             if (raw := self._open(f"pairs-{i:06d}")) is None:
                 continue
-            n, many = (int(x) for x in self._take(raw, 0, 2, "<u8"))
-            counts = Bytes(raw, 16, n, many)
+            n, many, bits = (int(x) for x in self._take(raw, 0, 3, "<u8"))
+            counts = Bytes(raw, 24, n, many)
             own = own[np.argsort(key[own])]
-            spot, hit = find_hash(raw, counts.end, n, cell_bits(n), key[own])
+            spot, hit = find_hash(raw, counts.end, n, bits, key[own])
             out[own[hit]] = counts[spot[hit]]
         return out
 

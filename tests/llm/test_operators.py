@@ -364,7 +364,7 @@ def test_long_contexts_are_not_read_whole(spark, docs, tmp_path, monkeypatch):
 def test_gram_files_hold_every_count(monkeypatch, tmp_path, size):
     monkeypatch.setattr(kneser_ney, "HASH_BYTES", size)
     rng = np.random.default_rng(3)
-    u, v, w = (rng.integers(0, n, 60_000).astype(np.uint64) for n in (40, 200, 4000))
+    u, v, w = (rng.integers(0, n, 60_000).astype(np.uint64) for n in (400, 200, 4000))
     u[:9000], v[:9000], v[9000:9400], w[9000:9400] = 1, 2, 7, 9  # one context of many words, one n-gram of a large count
     u[9000:9400] = 3
     plain = collections.Counter(zip(u.tolist(), v.tolist(), w.tolist()))
@@ -384,11 +384,26 @@ def test_gram_files_hold_every_count(monkeypatch, tmp_path, size):
     if size == 4:
         assert count.tolist() == [plain[g] for g in asked]
         assert total.tolist() == [sums[g[:2]] for g in asked] and taken.tolist() == [takes[g[:2]] for g in asked]
-    else:  # 8000 contexts share 18 bits: some are taken for one, whose words stay in order
+    else:  # 40,000 contexts share 27 bits: some are taken for one, whose words stay in order
         assert (count > 0)[: len(plain)].all() and (total[: len(plain)] >= [sums[g[:2]] for g in plain]).all()
         assert (total[: len(plain)] > [sums[g[:2]] for g in plain]).any()
 
 
+def test_pairs_that_share_many_bits_keep_their_counts(tmp_path, monkeypatch):
+    w = np.arange(2, 4_000_000, dtype=np.uint64)
+    key = kneser_ney.combine(np.full(len(w), 78, np.uint64), w)
+    order = np.argsort(key)
+    close = np.flatnonzero(np.diff(key[order] >> np.uint64(24)) == 0)  # the same first 40 bits
+    assert len(close)
+    ids = np.sort(w[order[close[0] : close[0] + 2]])
+    v = np.full(2, 78, np.uint64)
+    monkeypatch.setattr(kneser_ney, "pair_bucket", lambda v, w, n: np.zeros(len(v), np.int32))
+    block = kneser_ney._blocks([v, ids], np.asarray([1, 2]), 8)
+    kneser_ney._merge_pairs(str(tmp_path), 4)(pa.table(block, names=["bucket", "contexts", "words", "notes"]))
+    model = kneser_ney.Model({"place": str(tmp_path), "n_pairs": 8, "files": {"pairs-000000"}})
+    assert model.pair_counts(v, ids).tolist() == [1, 2]
+
+
 def test_lost_model_file_is_an_error(spark, docs, tmp_path):
     model = kneser_ney.train(docs, folder=f"file://{tmp_path}/m", order=3)
     assert {p.name for p in (tmp_path / "m").iterdir()} == model["files"]
