@@ -13,6 +13,8 @@ from pluvial.sources.schemas import LEVELS, MARKS, OBSERVED, PRESSURE_RANGE, UNI
 
 SUPPORT = ("t2m", "d2m", "msl", "sp", "sst")
 STATIONARY = ("z", "lsm")
+#: What tells apart grid rows of one time, cell and level, such as the members of an ensemble.
+MEMBER = ("number", "step", "valid_time")
 
 
 def observations(bronze: DataFrame) -> DataFrame:
@@ -45,6 +47,7 @@ def single_daily(grid: DataFrame, north: float = 24, south: float = 8, west: flo
 def pressure_daily(grid: DataFrame, levels=LEVELS, north: float = 24, south: float = 8, west: float = 102, east: float = 110, audit: validate.Audit | None = None) -> DataFrame:
     """Daily cells of the pressure grid within the box, a column for each variable and level; cells need both levels.
 
+    Levels meet by time, cell and those columns of MEMBER that the grid has; the means go over all members.
     Absent levels are an error: at once, or in the report of ``audit``.
     """
     grid = grid.where(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
@@ -53,7 +56,7 @@ def pressure_daily(grid: DataFrame, levels=LEVELS, north: float = 24, south: flo
     elif gone := validate.absent_levels(grid, "isobaricInhPa", levels):
         raise validate.Violation(f"levels absent: {gone}")
     change = {"t": expr.celsius(F.col("t")), "z": expr.metres(F.col("z"))}
-    wide = frame.levels_wide(grid.withColumns(change), ["time", "latitude", "longitude"], "isobaricInhPa", levels, ("z", "t", "q", "u", "v", "w"))
+    wide = frame.levels_wide(grid.withColumns(change), ["time", "latitude", "longitude", *existing(grid, MEMBER)], "isobaricInhPa", levels, ("z", "t", "q", "u", "v", "w"))
     return frame.daily(wide, ["latitude", "longitude"], "time", [f"{v}_{x}" for x in levels for v in ("z", "t", "q", "u", "v", "w")])
 
 
