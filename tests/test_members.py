@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from pluvial.operators import frame
 from pluvial.plans import medallion, queries
 
 from .oracle import ordered, sql_rows
@@ -31,6 +32,15 @@ def test_gold_of_shared_cells_equals_sql(spark, shared):
     assert (columns, rows) == ordered(*sql_rows(queries.SQL["gold_table"], shared))
 
 
+def test_silver_of_shared_cells_equals_sql(spark, shared):
+    """But for ``lsm``, where the SQL takes any of the users whose six hours come first."""
+    df = queries.silver_table(spark, shared).drop("lsm")
+    columns, rows = ordered(df.columns, [tuple(r) for r in df.collect()])
+    want_columns, want = sql_rows(queries.SQL["silver_table"], shared)
+    at = want_columns.index("lsm")
+    assert (columns, rows) == ordered([c for c in want_columns if c != "lsm"], [r[:at] + r[at + 1 :] for r in want])
+
+
 def test_members_meet_their_own_levels(spark):
     rows = [(n, p, float(p + 10 * n)) for n in (1, 2, 3) for p in (500, 850) if (n, p) != (3, 850)]
     df = spark.createDataFrame(rows, "number int, isobaricInhPa int, x double")
@@ -39,3 +49,9 @@ def test_members_meet_their_own_levels(spark):
     assert (r.q_500, r.q_850) == (515.0, 865.0)  # without member 3, whose lower level is absent
     (r,) = medallion.pressure_daily(grid.drop("number")).collect()
     assert (r.q_500, r.q_850) == (520.0, 865.0)
+
+
+def test_first_of_equal_times_is_the_least(spark):
+    df = spark.createDataFrame([(1, 2, 0.5), (1, 1, 0.75), (1, 1, 0.25), (1, 1, None), (1, 0, None)], "k int, t int, x double")
+    for order in ("x", F.desc("x")):
+        assert df.orderBy(order).coalesce(1).groupBy("k").agg(frame.first_valid("x", "t").alias("x")).first().x == 0.25
