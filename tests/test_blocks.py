@@ -60,3 +60,11 @@ def test_frame_is_computed_once(spark, writes, monkeypatch):
     (parts,) = calls
     assert [kind for kind, *_ in writes] == ["frame"] and not any("Window" in p._jdf.queryExecution().toString() for p in parts.values())
     assert sum(p.count() for p in parts.values()) == real(spark, SF).na.drop().count()
+
+
+def test_ranks_are_computed_once(spark, writes, monkeypatch):
+    names = spark.createDataFrame([(c, 1.0, 2.0, 3.0) for c in queries.PARTS], "feature string, importance_tweedie double, importance_stage1_cls double, importance_stage2_wet double")
+    monkeypatch.setattr(queries.models, "importances", lambda *a, **k: names)
+    out = queries.boosted_importances(spark, SF)
+    assert [(kind, n) for kind, n, _ in writes] == [("lines", spark.read.parquet(f"{SF}/lineitem.parquet").count()), ("ranks", 10)]
+    assert "covar" not in out._jdf.queryExecution().toString() and {r.feature for r in out.collect()} == set(queries.PARTS)
